@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fingerprints, tokenfiles, urlfilter
+from . import bpe, decontam, fingerprints, minhash, tokenfiles, urlfilter
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_document_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_level_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -29,4 +33,4 @@ def op8_token_id_output(spark, sf_dir):
     return tokenfiles.read_documents(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_byte_level_bpe, op5_url_filters, op7_benchmark_decontamination, op8_token_id_output)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op5_url_filters, op7_benchmark_decontamination, op8_token_id_output)}
