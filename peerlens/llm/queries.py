@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fingerprints, minhash, tokenfiles, urlfilter
+from . import bpe, decontam, fingerprints, htmlextract, minhash, tokenfiles, urlfilter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_url_filters(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return htmlextract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -33,4 +37,4 @@ def op8_token_id_output(spark, sf_dir):
     return tokenfiles.read_documents(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op5_url_filters, op7_benchmark_decontamination, op8_token_id_output)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output)}
