@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fingerprints, htmlextract, minhash, tokenfiles, urlfilter
+from . import bpe, decontam, fingerprints, htmlextract, minhash, ngramlm, tokenfiles, toxicity, urlfilter
 from .common import table
 
 
@@ -37,4 +37,12 @@ def op8_token_id_output(spark, sf_dir):
     return tokenfiles.read_documents(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output)}
+def op9_lm_scoring(spark, sf_dir):
+    return ngramlm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output, op9_lm_scoring, op10_toxicity)}
