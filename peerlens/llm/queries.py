@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fingerprints, htmlextract, minhash, ngramlm, tokenfiles, toxicity, urlfilter
+from . import bpe, decontam, fingerprints, htmlextract, minhash, ngramlm, substrings, tokenfiles, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_byte_level_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
 
@@ -45,4 +49,4 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output, op9_lm_scoring, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op4_suffix_array_dedup, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output, op9_lm_scoring, op10_toxicity)}
