@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE = 250_000
+CACHE = 500_000
 WORD_BITS = 256
 
 
@@ -34,15 +36,12 @@ class RankQueue:
         self.words = [0] * (ranks // WORD_BITS + 1)
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        b = self.buckets.get(rank)
-        if b is None:
-            self.buckets[rank] = [position]
-            word = rank >> 8
-            self.words[word] |= 1 << (rank & 255)
-            self.top |= 1 << word
-        else:
-            b.append(position)
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Opens an empty bucket; later positions are appended to it."""
+        self.buckets[rank] = positions
+        word = rank >> 8
+        self.words[word] |= 1 << (rank & 255)
+        self.top |= 1 << word
 
     def pop(self) -> tuple[int, list[int]] | None:
         """The lowest rank and all its positions."""
@@ -65,7 +64,7 @@ class Encoder:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.tokens[r] = t
-        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         # rank of the joined bytes, by the two parts' ids: the only pairs that can ever merge
         self.pairs: dict[int, int] = {}
         for t, r in ranks.items():
@@ -73,49 +72,63 @@ class Encoder:
                 a, b = ranks.get(t[:cut]), ranks.get(t[cut:])
                 if a is not None and b is not None:
                     self.pairs[a << 20 | b] = r
+        self.of_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
 
     def encode(self, pretokens: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token, all merged through one queue."""
-        single, pair = self.single, self.pairs.get
-        part: list[int] = []
-        ends = []
-        for p in pretokens:
-            part.extend([single[b] for b in p])
-            part.append(-1)  # a barrier
-            ends.append(len(part))
-        n = len(part)
-        following = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        if not pretokens:
+            return []
+        # a barrier (-1) before, between and after the pre-tokens: no pair with it has a rank
+        data = np.frombuffer(b"\0" + b"\0".join(pretokens) + b"\0", np.uint8)
+        ends = np.cumsum(np.array([len(p) + 1 for p in pretokens], np.int64))
+        barrier = np.zeros(len(data), bool)
+        barrier[0] = True
+        barrier[ends] = True
+        ids = self.single[data]
+        ids[barrier] = -1
+        rank_at = np.append(np.where(barrier[:-1] | barrier[1:], -1, self.of_bytes[data[:-1], data[1:]]), -1)
+        part, at = ids.tolist(), rank_at.tolist()
+        following = list(range(1, len(part) + 1))
+        before = list(range(-1, len(part) - 1))
         queue = RankQueue(len(self.tokens))
-        push = queue.push
-        for i in range(n - 1):
-            a, b = part[i], part[i + 1]
-            if a >= 0 and b >= 0 and (r := pair(a << 20 | b)) is not None:
-                push(r, i)
+        places = np.flatnonzero(rank_at >= 0)
+        places = places[np.argsort(rank_at[places], kind="stable")]
+        ranks, begins = np.unique(rank_at[places], return_index=True)
+        ordered, begins = places.tolist(), [*begins.tolist(), len(places)]
+        for k, rank in enumerate(ranks.tolist()):
+            queue.fill(rank, ordered[begins[k] : begins[k + 1]])
+        pair, buckets, open_ = self.pairs.get, queue.buckets, queue.fill
         while (got := queue.pop()) is not None:
             rank, positions = got
-            positions.sort()
+            if len(positions) > 1:
+                positions.sort()
             for i in positions:
-                a = part[i]
-                if a < 0:
-                    continue  # stale: merged away
+                if at[i] != rank:
+                    continue  # stale: merged away, or a part has grown
                 j = following[i]
-                b = part[j] if j < n else -1
-                if b < 0 or pair(a << 20 | b) != rank:
-                    continue  # stale: one of the parts has grown
-                part[i], part[j] = rank, -2
-                k = following[i] = following[j]
-                if k < n:
-                    before[k] = i
-                    if (c := part[k]) >= 0 and (r := pair(rank << 20 | c)) is not None:
-                        push(r, i)
+                k = following[j]
+                part[i] = rank
+                part[j] = -2
+                at[j] = -1
+                following[i] = k
+                before[k] = i
+                r = at[i] = pair(rank << 20 | part[k], -1)
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        open_(r, [i])
                 h = before[i]
-                if h >= 0 and (c := part[h]) >= 0 and (r := pair(c << 20 | rank)) is not None:
-                    push(r, h)
-        out, start = [], 0
-        for end in ends:
-            out.append([x for x in part[start : end - 1] if x >= 0])
-            start = end
+                r = at[h] = pair(part[h] << 20 | rank, -1)
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(h)
+                    else:
+                        open_(r, [h])
+        out, start = [], 1
+        for end in ends.tolist():
+            out.append([x for x in part[start:end] if x >= 0])
+            start = end + 1
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -141,24 +154,22 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) if t else [] for t in texts]
-        distinct = set()
-        for ps in cut:
-            distinct.update(ps)
-        known: dict[str, bytes] = {}
-        missing = []
-        for p in distinct:
-            if (b := self.new.get(p)) is not None or (b := self.old.get(p)) is not None:
-                known[p] = b
-            else:
-                missing.append(p)
-        if missing:
-            made = self.encoder.encode([p.encode("utf-8", "replace") for p in missing])
-            known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(missing, made, strict=True))
-        if len(self.new) + len(known) > self.limit:
+        new = set(chain.from_iterable(cut)).difference(self.new)
+        if self.old:
+            found = {p: b for p in new if (b := self.old.get(p)) is not None}
+            self.new.update(found)
+            new.difference_update(found)
+        missing = list(new)
+        made = self.encoder.encode([p.encode("utf-8", "replace") for p in missing])
+        self.new.update((p, array("I", ids).tobytes()) for p, ids in zip(missing, made, strict=True))
+        get = self.new.__getitem__
+        out = [b"".join(map(get, ps)) for ps in cut]
+        for p in missing:
+            if len(p) > 64:
+                del self.new[p]  # the cache's bytes stay bounded
+        if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        self.new.update((p, b) for p, b in known.items() if len(p) <= 64)
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return self.encoder.decode(np.frombuffer(ids, "<u4").tolist())

@@ -5,6 +5,7 @@ part is written again): one row is one block of up to BLOCK_IDS ids of whole doc
 makes a block of its own), in ascending (bucket, block) = ascending doc_id order, with
 
     bucket int, block int      place of the block
+    before long                ids of the bucket's earlier blocks
     n_docs long, n_ids long    its documents and ids
     width int                  bytes of an id: 2 if the vocabulary fits 65,536, else 4
     ids binary                 ids, little-endian, end id after each document
@@ -27,20 +28,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MIN_LONG, bucket_count, bucket_of, order_bounds, written
 
 BLOCK_IDS = 2_000_000
 SELECT_STEP = 64
-CACHE = 300_000
+CACHE = 500_000
 
-FILE_SCHEMA = "bucket int, block int, n_docs long, n_ids long, width int, ids binary, doc_ids binary, nulls binary, low_bits int, low binary, high binary, marks binary"
+FILE_SCHEMA = "bucket int, block int, before long, n_docs long, n_ids long, width int, ids binary, doc_ids binary, nulls binary, low_bits int, low binary, high binary, marks binary"
 
 
 class EliasFano:
@@ -91,34 +93,63 @@ class EliasFano:
         return (high << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
 
-class PieceCache:
-    """Bytes of a piece's ids; two generations of bounded size, so that frequent pieces stay."""
+class PieceCache(dict):
+    """Bytes of a piece's ids, made when first asked for; two generations of bounded size, so that frequent pieces stay."""
 
     def __init__(self, encode, limit: int = CACHE):
+        super().__init__()
         self.encode, self.limit = encode, limit
-        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, pieces: list[list[str]]) -> list[bytes]:
-        missing = set()
-        for ps in pieces:
-            missing.update(ps)
-        known: dict[str, bytes] = {}
-        for p in list(missing):
-            if (b := self.new.get(p)) is not None or (b := self.old.get(p)) is not None:
-                known[p] = b
-        missing.difference_update(known)
-        if missing:
-            order = list(missing)
-            known.update(zip(order, self.encode(order), strict=True))
-        if len(self.new) + len(known) > self.limit:
-            self.old, self.new = self.new, {}
-        self.new.update(known)
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in pieces]
-
-
-_loaded: dict[tuple, tuple] = {}
+    def __missing__(self, piece: str) -> bytes:
+        b = self.old.get(piece)
+        if b is None:
+            b = self.encode(piece)
+        self[piece] = b
+        return b
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        get = self.__getitem__
+        out = [b"".join(map(get, pieces_of(t))) for t in texts]
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        return out
+
+
+class PieceEncoder:
+    """Ids of white-space pieces by the library.
+
+    A piece is first brought to lower case, and one full stop or comma behind a letter is taken off, as the library's
+    normaliser and pattern do; what is then a run of Latin letters is one pre-token, in normal form, and goes straight
+    to the library's merges in its byte alphabet. Any other piece takes the library's whole way.
+    """
+
+    def __init__(self, library, kind: np.dtype):
+        self.library, self.kind = library, "H" if kind.itemsize == 2 else "I"
+        self.merge = library.model.tokenize
+        # the byte alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+        self.marks = {m: self._whole(m) for m in ".,"}
+
+    def _whole(self, piece: str) -> bytes:
+        return array(self.kind, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, piece: str) -> bytes:
+        mark = piece[-1] if piece[-1] in ".," and len(piece) > 1 else ""
+        word = (piece[:-1] if mark else piece).lower()
+        if not _LATIN(word):
+            return self._whole(piece)
+        in_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        b = array(self.kind, [t.id for t in self.merge(in_bytes)]).tobytes()
+        return b + self.marks[mark] if mark else b
+
+
+#: a-z and the lower-case letters of Latin-1 and Latin Extended-A and -B but for those whose forms depend on more than the letter
+_LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
+_loaded: dict[str, tuple[PieceCache, np.dtype]] = {}
 
 
 def _piece_cache(path: str) -> tuple[PieceCache, np.dtype]:
@@ -131,11 +162,7 @@ def _piece_cache(path: str) -> tuple[PieceCache, np.dtype]:
 
         library = Tokenizer.from_file(path)
         kind = np.dtype("<u2") if library.get_vocab_size(with_added_tokens=True) <= 65_536 else np.dtype("<u4")
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        _loaded[path] = (PieceCache(encode), kind)
+        _loaded[path] = (PieceCache(PieceEncoder(library, kind)), kind)
     return _loaded[path]
 
 
@@ -163,30 +190,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, block_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, kind = _piece_cache(tokenizer)
         end = np.array([end_id], kind).tobytes()
-        at, block = None, 0
+        at, block, before = None, 0, 0
         ids: list[bytes] = []
         doc_ids: list[int] = []
         nulls: list[bool] = []
         size = 0
 
         def close():
-            nonlocal ids, doc_ids, nulls, size, block
+            nonlocal ids, doc_ids, nulls, size, block, before
             bounds = np.cumsum([0, *(len(x) // kind.itemsize for x in ids)])
             bits, low, high, marks = EliasFano.encode(bounds)
-            out = {"bucket": at, "block": block, "n_docs": len(ids), "n_ids": int(bounds[-1]), "width": kind.itemsize, "ids": b"".join(ids), "doc_ids": np.array(doc_ids, "<i8").tobytes(), "nulls": np.array(nulls, np.uint8).tobytes(), "low_bits": bits, "low": low, "high": high, "marks": marks}
-            ids, doc_ids, nulls, size, block = [], [], [], 0, block + 1
+            out = {"bucket": at, "block": block, "before": before, "n_docs": len(ids), "n_ids": int(bounds[-1]), "width": kind.itemsize, "ids": b"".join(ids), "doc_ids": np.array(doc_ids, "<i8").tobytes(), "nulls": np.array(nulls, np.uint8).tobytes(), "low_bits": bits, "low": low, "high": high, "marks": marks}
+            ids, doc_ids, nulls, size, block, before = [], [], [], 0, block + 1, before + out["n_ids"]
             return pa.RecordBatch.from_pylist([out], schema=FILE_ARROW)
 
         for batch in batches:
             buckets, keys = batch.column("_bucket").to_pylist(), batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 256):
-                made = cache.ids([pieces_of(t) for t in texts[a : a + 256]])
-                for b, k, x in zip(buckets[a : a + 256], keys[a : a + 256], made, strict=True):
+            for a in range(0, len(texts), 512):
+                made = cache.ids(texts[a : a + 512])
+                for b, k, x in zip(buckets[a : a + 512], keys[a : a + 512], made, strict=True):
                     if ids and (b != at or size >= block_ids):
                         yield close()
                     if b != at:
-                        at, block = b, 0
+                        at, block, before = b, 0, 0
                     ids.append(x + end)
                     doc_ids.append(0 if k is None else k)
                     nulls.append(k is None)
@@ -197,18 +224,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, block_id
     return written(dealt.mapInArrow(run, FILE_SCHEMA), "token-files")
 
 
-FILE_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("marks", pa.binary())])
+FILE_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("marks", pa.binary())])
 
 
 def with_base(files: DataFrame) -> DataFrame:
-    """Adds `base`: the ids of all blocks before. Buckets are few (at most 65,536); a window never spans more than one."""
-    from pyspark.sql import Window
-
+    """Adds `base`: the ids of all blocks before. There are at most 65,536 buckets, so their totals can be broadcast."""
     totals = files.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = files.select("bucket", "block", "n_ids").withColumn("_own", F.coalesce(F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = own.join(F.broadcast(before), "bucket").select("bucket", "block", (F.col("_before") + F.col("_own")).alias("base"))
-    return files.join(base, ["bucket", "block"])
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.join(F.broadcast(totals.select("bucket", earlier.alias("_earlier"))), "bucket").withColumn("base", F.col("_earlier") + F.col("before"))
 
 
 def read_documents(files: DataFrame) -> DataFrame:

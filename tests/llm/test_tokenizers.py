@@ -80,3 +80,19 @@ def test_token_files_of_nothing_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (5, None), (5, None)], "doc_id long, text string")
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfiles.read_documents(tokenfiles.write_token_files(docs, path)).collect())
     assert got == [(0, None, 2), (2, 5, 1), (3, 5, 1)]
+
+
+@pytest.fixture(scope="module")
+def word_pieces():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfiles._piece_cache(path)[0], Tokenizer.from_file(path)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=("Cs", "Cn")), max_size=40) | st.text("aBÉéßŒœŁİıÅſǅŉΣς.,'s1 \n-", max_size=30))
+def test_pieces_equal_library(word_pieces, text):
+    cache, library = word_pieces
+    got = np.frombuffer(cache.ids([text])[0], "<u2").tolist()
+    assert got == library.encode(text, add_special_tokens=False).ids
