@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """A copy of df in the warehouse, bucketed by keys: joins on them shuffle the other side only."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(shuffle_partitions(df.sparkSession), *keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def order_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """Up to buckets - 1 ascending values that cut the key's values into ranges of about equal row counts."""
     if buckets <= 1:

@@ -5,13 +5,16 @@
    signature values; a band is the two minima and maxima of two permutations. A pair at similarity 0.75 shares no
    band with a probability of about (1 - 0.75**4)**32 = 5e-6.
 2. Rows of one set (copies) are one class; its least doc_id stands for it from here on.
-3. In each bucket of a band, every member is compared with the bucket's least member: a star and not all
-   pairs. Similarities are exact, on the full sets of the texts. Components of these links are found.
-4. Buckets that still hold several components are taken up again: their members are compared across
-   components, and only there, which completes every link that could join two components.
+3. Documents that share buckets of bands, directly or through others, form a candidate cluster: each member is
+   tied to its bucket's least member only, so the ties are as many as the members and never the pairs.
+4. A cluster is cut into blocks of bounded size, and each two blocks meet in one tile. A tile compares the full
+   sets of its members, all at once by a product of incidence matrices, and returns the links that join its
+   components, at most one for each member. Links within a cluster are all found, whether or not a band was shared.
+5. Components of the links are the groups.
 
 Defined results: a text without words (null, empty) has an empty set and is linked with nothing; a row without doc_id
-is linked with nothing either and has no component; repeated rows are copies; an empty table gives no rows.
+is linked with nothing either, has no component and is not kept; repeated rows are copies; rows of one doc_id are
+one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bucketed, written
 from .components import components
 from .shingles import SIZE, mix, shingle_set
 
 PERMUTATIONS = 64
 BANDS = 32
 THRESHOLD = 75  # percent
-BLOCK = 128  # members that meet one copy of a centre's text
+BLOCK_DOCS = 1024
+BLOCK_SHINGLES = 1_500_000
+COLUMNS = 2048
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -79,72 +84,100 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Many pairs may share b: each BLOCK of them gets a copy of b's text."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # a centre with many members is dealt to as many blocks
-    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(load, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).select("a", "b", "block")
-    members = texts.join(dealt, texts["doc_id"] == dealt["a"]).select("b", "block", "a", "text")
-    centres = texts.join(load, texts["doc_id"] == load["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"), "text")
-    rows = centres.unionByName(members).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, as a matrix."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if len(left) * len(right) <= 16:
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
+        return out
+    values_l, values_r = np.concatenate(left), np.concatenate(right)
+    rows_l, rows_r = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    shared = np.intersect1d(values_l, values_r)
+    at_l, at_r = np.searchsorted(shared, values_l), np.searchsorted(shared, values_r)
+    for at, values, rows in ((at_l, values_l, rows_l), (at_r, values_r, rows_r)):
+        at[at == len(shared)] = 0
+        at[shared[at] != values if len(shared) else slice(None)] = -1
+    order_l, order_r = np.argsort(at_l, kind="stable"), np.argsort(at_r, kind="stable")
+    at_l, rows_l, at_r, rows_r = at_l[order_l], rows_l[order_l], at_r[order_r], rows_r[order_r]
+    for begin in range(0, len(shared), COLUMNS):  # a few columns at a time keep the memory bounded
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for m, at, rows in ((x, at_l, rows_l), (y, at_r, rows_r)):
+            s = slice(*np.searchsorted(at, [begin, begin + COLUMNS]))
+            m[rows[s], at[s] - begin] = 1
+        out += x @ y.T
+    return out
+
+
+def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], threshold: int) -> list[tuple[int, int]]:
+    """Links between two blocks (or within one, if `right` is empty) that suffice to join what is linked."""
+    other = right or left
+    if not left or not other:
+        return []
+    both = _common([s for _, s in left], [s for _, s in other])
+    sizes_l, sizes_r = np.array([len(s) for _, s in left]), np.array([len(s) for _, s in other])
+    linked = (both > 0) & (100 * both.astype(np.int64) >= threshold * (sizes_l[:, None] + sizes_r[None, :] - both.astype(np.int64)))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p] if p in parent else p
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = left[i][0], other[j][0]
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def confirmed(clusters: DataFrame, stored: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """Links (a, b) within clusters(doc_id, cluster, n_shingles), by the full sets of the texts; stored is bucketed by doc_id."""
+    load = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = clusters.join(load, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = placed.select("doc_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("doc_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    # the few members are shuffled to the texts and not the texts to them
+    rows = stored.join(dealt.hint("shuffle_hash"), "doc_id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = np.zeros(0, np.uint64)
+        tile, left, right = None, [], []
+
+        def links():
+            found = tile_links(left, right, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            a_out, b_out = [], []
-            for b, a, text in zip(batch.column("b").to_pylist(), batch.column("a").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = shingle_set(text, size)
-                if a is None:  # a block begins with its centre
-                    centre = own
-                    continue
-                both = len(np.intersect1d(centre, own, assume_unique=True))
-                if both and 100 * both >= threshold * (len(centre) + len(own) - both):
-                    a_out.append(a)
-                    b_out.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            columns = (batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "doc_id", "text"))
+            for cluster, low, high, block, doc, text in zip(*columns, strict=True):
+                if (cluster, low, high) != tile:
+                    if tile is not None and (tile[1] == tile[2] or right):
+                        yield links()
+                    tile, left, right = (cluster, low, high), [], []
+                (left if block == low else right).append((doc, shingle_set(text, size)))
+        if tile is not None and (tile[1] == tile[2] or right):
+            yield links()
 
     return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
+    stored = bucketed(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id")
     sketched = written(sketches(docs, size), "sketches")
     linked = sketched.where("set_key is not null and doc_id is not null")
-    classes = written(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    buckets = linked.join(classes.select(F.col("rep").alias("doc_id"), "set_key", "n"), ["doc_id", "set_key"], "left_semi")
-    buckets = buckets.select("doc_id", "n_shingles", F.explode("bands").alias("band")).distinct()
-    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # rows of buckets with two members or more; what follows never sees the rest
-    buckets = written(buckets.join(shared, "band"), "buckets")
-
-    def near_in_size(a: str, b: str) -> Column:
-        """No two sets can reach the threshold if the smaller is below that part of the larger."""
-        return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-
-    sizes = buckets.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre")).distinct()
-    stars = buckets.where("doc_id <> centre").select("doc_id", "n_shingles", "centre").distinct().join(sizes, "centre")
-    stars = stars.where(near_in_size("n_shingles", "n_centre")).select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-    links = written(confirmed(written(stars, "stars"), docs, threshold, size), "links")
-    found = components(links)
-    placed = buckets.select("band", "doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = written(placed, "placed")
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = placed.join(open_, "band", "left_semi")
-    # members of different components of a bucket; pairs of one component never arise
-    kinds = rest.groupBy("band", "component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    other = kinds.select("band", F.col("component").alias("component_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
-    meet = kinds.join(other, "band").where(F.col("component") < F.col("component_b"))
-    meet = meet.where((100 * F.col("most") >= threshold * F.col("least_b")) & (100 * F.col("most_b") >= threshold * F.col("least"))).select("band", "component", "component_b")
-    left = rest.select("band", "component", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = rest.select("band", F.col("component").alias("component_b"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"))
-    pairs = meet.join(left, ["band", "component"]).join(right, ["band", "component_b"]).where(near_in_size("n_a", "n_b")).select("a", "b").distinct()
-    more = written(pairs, "pairs")
-    if not more.isEmpty():
-        again = written(confirmed(more, docs, threshold, size), "links")
-        if not again.isEmpty():
-            found = components(links.union(again))
+    classes = written(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
+    members = linked.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
+    buckets = members.select("doc_id", F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").select("band", "b")
+    ties = buckets.join(shared, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    clusters = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = written(clusters.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep").select(F.col("rep").alias("doc_id"), "cluster", "n_shingles"), "clusters")
+    found = components(confirmed(clusters, stored, threshold, size))
     of_class = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))

@@ -19,7 +19,6 @@ texts below LENGTH bytes are kept; a null doc_id comes first; an empty table giv
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import MIN_LONG, shuffle_partitions, written
+from .common import MIN_LONG, bucketed, written
 from .shingles import mix
 from .suffixes import repeated_windows
 
@@ -224,13 +223,9 @@ def hash_head(data: bytes, k: int) -> int:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """key, mark, doc_id, data, ranges (array of struct<start, stop>, may overlap) of each row of docs, and its other columns."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     columns = docs.columns
-    name = f"texts_{uuid.uuid4().hex}"
     marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG))).withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked.write.option("compression", "zstd").bucketBy(n, "_key", "_mark").saveAsTable(name)
-    stored = spark.table(name)
+    stored = bucketed(marked, "_key", "_mark")
     rows = stored.select(F.col("_key").alias("key"), F.col("_mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     found = written(settle(find_anchors(rows)), "anchors")
     asked = found.where("h is not null")
@@ -238,7 +233,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     asked = asked.join(busy, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     by_text = asked.groupBy("key", "mark").agg(F.collect_set(F.struct("h", "parts", "start", "n")).alias("asked"))
     # equal rows stand once
-    once = rows.join(by_text, ["key", "mark"]).dropDuplicates(["key", "mark"])
+    once = rows.join(by_text.hint("shuffle_hash"), ["key", "mark"]).dropDuplicates(["key", "mark"])
     contexts = once.select("key", "mark", "data", F.explode("asked").alias("a")).select(
         "key", "mark", F.col("a.h").alias("h"), F.col("a.parts").alias("parts"), F.col("a.start").alias("start"), F.col("a.n").alias("n"),
         F.substring(F.col("data"), F.col("a.start") + 1, F.col("a.n") + (LENGTH - 1)).alias("bytes"),
@@ -246,7 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = found.where("h is null").select("key", "mark", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
     ranges = whole.unionByName(compare(contexts)).groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     ranges = ranges.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "ranges")
-    return stored.join(ranges, ["_key", "_mark"], "left").select(*columns, "ranges")
+    return stored.join(ranges.hint("shuffle_hash"), ["_key", "_mark"], "left").select(*columns, "ranges")
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:

@@ -83,3 +83,11 @@ def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(60, 60), (70, 71), (71, 72), (72, 70)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 70: 70, 71: 70, 72: 70}
+
+
+def test_tiles_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rows = texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
