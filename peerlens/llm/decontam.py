@@ -140,6 +140,20 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_W
     return rows.mapInArrow(run, out)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, in which no window of an item occurs."""
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, MAX_WORDS)]
+    loaded: list = []
+
+    @F.pandas_udf("boolean")
+    def untouched(texts):
+        if not loaded:
+            loaded.extend(automaton(b.value) for b in shared)
+        return texts.map(lambda t: not any(scan(built, words_of(t))[0] for built in loaded))
+
+    return docs.where(untouched(F.coalesce("text", F.lit(""))))
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """The flat columns of a scan."""
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["first"]).cast("long"))

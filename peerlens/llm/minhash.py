@@ -167,7 +167,10 @@ def confirmed(clusters: DataFrame, stored: DataFrame, threshold: int = THRESHOLD
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
-    stored = bucketed(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id")
+    return _near_duplicates(docs, bucketed(docs.select("doc_id", "text"), "doc_id"), threshold, size)
+
+
+def _near_duplicates(docs: DataFrame, stored: DataFrame, threshold: int, size: int) -> DataFrame:
     sketched = written(sketches(docs, size), "sketches")
     linked = sketched.where("set_key is not null and doc_id is not null")
     classes = written(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
@@ -182,3 +185,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZ
     out = sketched.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group: one for each; rows without doc_id stay."""
+    stored = bucketed(docs, "doc_id")
+    kept = _near_duplicates(stored, stored.select("doc_id", "text"), threshold, size).where("kept").select("doc_id").distinct()
+    rows = stored.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    ids = stored.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
+    if not ids.isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(stored.where("doc_id is null"))

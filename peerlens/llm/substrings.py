@@ -36,7 +36,6 @@ GRAM = 32
 CHUNK = 1 << 18
 GROUP = 20_000
 BLOCK_BYTES = 4 << 20
-_BASE = np.uint64(shingles._BASE)
 
 
 def anchors(data: np.ndarray, doc_end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -49,10 +48,10 @@ def anchors(data: np.ndarray, doc_end: np.ndarray, length: int = LENGTH) -> tupl
     if n < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     x = data.astype(np.uint64) + np.uint64(1)
-    h, p, size = x, _BASE, 1
+    h, p, size = x, shingles._BASE, 1
     while size < GRAM:
-        h = h[: len(h) - size] * p + h[size:]
-        p, size = p * p, 2 * size
+        h = h[: len(h) - size] * np.uint64(p) + h[size:]
+        p, size = p * p % 2**64, 2 * size
     value = mix(h)
     span = length - GRAM + 1
     at = np.arange(len(value), dtype=np.int32)

@@ -6,7 +6,7 @@ import numpy as np
 from peerlens.llm import substrings, suffixes
 
 
-def brute(rows):
+def brute(rows, texts=False):
     seen: dict[bytes, tuple] = {}
     places = []
     for i, t in rows:
@@ -24,7 +24,7 @@ def brute(rows):
                 gone[p : p + 100] = True
         kept = bytes(x for x, g in zip(b, gone) if not g)
         starts = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out[i] = (len(b), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest())
+        out[i] = kept.decode(errors="ignore") if texts else (len(b), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest())
     return out
 
 
