@@ -1,6 +1,8 @@
-"""The registered queries over the driver's tables, with their SQL."""
+"""All registered queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
