@@ -35,7 +35,7 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 18
 GROUP = 20_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, doc_end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
