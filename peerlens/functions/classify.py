@@ -74,7 +74,7 @@ def money(number: Column, unit: Column) -> Column:
     return value * F.when(u.startswith("b"), 1e9).when(u.isin("k", "mil"), 1e3).when(u.startswith("m"), 1e6).otherwise(1.0)
 
 
-MONEY = r"(?i)(?:us\$|r\$|\$|€|£)\s*([0-9][0-9.,]*)\s*(k|mil|m|million|bi|b|billion)?"
+MONEY = r"(?i)(?:us\$|r\$|\$|€|£)\s*([0-9][0-9.,]*)(?:\s*(million|mil|m|billion|bi|b|k)\b)?"
 ROUND = r"(?i)\b(pre-seed|seed|series [a-e])\b"
 
 
@@ -139,8 +139,10 @@ def infer_cause(text: Column, lexicon: dict[str, list[str]], shortest: int = 20)
 def categories_to_macros(categories: Column, macros: dict[str, list[str]]) -> Column:
     """Sorted macros of which a keyword contains a category or is contained in one; the table of keywords is a parameter."""
     cats = F.filter(F.transform(categories, lambda c: F.lower(F.trim(c))), lambda c: c != "")
-    hits = [
-        F.when(F.exists(cats, lambda c, ks=keywords: F.exists(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(c, k) | F.contains(k, c))), F.lit(m))
-        for m, keywords in macros.items()
-    ]
+
+    def met(keywords: list[str]) -> Column:
+        table = F.array(*[F.lit(k) for k in keywords])
+        return F.exists(cats, lambda c: F.exists(table, lambda k: F.contains(c, k) | F.contains(k, c)))
+
+    hits = [F.when(met(keywords), F.lit(m)) for m, keywords in macros.items()]
     return F.array_sort(F.array_compact(F.array(*hits)))

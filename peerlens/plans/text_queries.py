@@ -124,10 +124,10 @@ WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations
 SELECT conv_id, turn,
   list_min(list_transform(y, lambda x: x::INT)) AS least_year, len(list_distinct(y))::INT AS years,
   nullif(lower(regexp_extract(t, '(?i)\\b(pre-seed|seed|series [a-e])\\b', 1)), '') AS round,
-  try_cast(replace(replace(nullif(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)\\s*(k|mil|m|million|bi|b|billion)?', 1), ''), '.', ''), ',', '.') AS DOUBLE)
-    * CASE WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)\\s*(k|mil|m|million|bi|b|billion)?', 2)) LIKE 'b%' THEN 1e9
-      WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)\\s*(k|mil|m|million|bi|b|billion)?', 2)) IN ('k', 'mil') THEN 1e3
-      WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)\\s*(k|mil|m|million|bi|b|billion)?', 2)) LIKE 'm%' THEN 1e6 ELSE 1.0 END AS money
+  try_cast(replace(replace(nullif(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 1), ''), '.', ''), ',', '.') AS DOUBLE)
+    * CASE WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 2)) LIKE 'b%' THEN 1e9
+      WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 2)) IN ('k', 'mil') THEN 1e3
+      WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 2)) LIKE 'm%' THEN 1e6 ELSE 1.0 END AS money
 FROM (SELECT *, regexp_extract_all(t, '\\b((?:19|20)[0-9]{2})\\b', 1) AS y FROM t)
 """)
 def money_extract(spark, sf_dir):
