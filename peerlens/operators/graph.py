@@ -121,3 +121,37 @@ def read_node_link(spark, path: str) -> tuple[DataFrame, DataFrame]:
     doc = spark.read.json(path, multiLine=True)
     links = [F.col(c) for c in ("edges", "links") if c in doc.columns]
     return doc.select(F.inline("nodes")), doc.select(F.inline(F.coalesce(*links)))
+
+
+def resemblance_edges(matches: DataFrame, user: Column, company: Column, top: int = 15) -> DataFrame:
+    """Edges from a query's node to its best matches; the relation tells the match's outcome, or a clone among the dead."""
+    relation = (
+        F.when(F.col("outcome") == "dead", F.when(F.col("convergence"), "RESEMBLES_DEAD_CLONE").otherwise("RESEMBLES_DEAD"))
+        .when(F.col("outcome") == "acquired", "RESEMBLES_ACQUIRED")
+        .when(F.col("outcome") == "operating", "RESEMBLES_OPERATING")
+        .otherwise("RESEMBLES")
+    )
+    return matches.where(F.col("final_rank") <= top).select(user.alias("source"), company.alias("target"), relation.alias("relation"))
+
+
+def integrated(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with another merged in: known nodes keep what they have and fill what is absent, edges are distinct."""
+    a, b = nodes.alias("a"), new_nodes.alias("b")
+    joined = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer")
+    columns = [c for c in nodes.columns if c != "id"]
+    merged = joined.select(F.coalesce("a.id", "b.id").alias("id"), *[F.coalesce(F.nullif(F.col(f"a.{c}"), F.lit("")), F.col(f"b.{c}")).alias(c) for c in columns])
+    return merged, edges.unionByName(new_edges).distinct()
+
+
+def section_graph(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of pages and their sections: page_id, section, heading."""
+    page = F.concat(F.lit("PAGE:"), "page_id")
+    own = F.concat(page, F.lit("#"), "section")
+    nodes = sections.select(own.alias("id"), F.lit("section").alias("type"), F.col("heading").alias("name")).unionByName(sections.select(page.alias("id"), F.lit("page").alias("type"), page.alias("name")).distinct())
+    return nodes, sections.select(page.alias("source"), own.alias("target"), F.lit("HAS_SECTION").alias("relation"))
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, key, n: nodes by type and edges by relation."""
+    a = nodes.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "key", "n")
+    return a.unionByName(edges.groupBy(F.col("relation").alias("key")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "key", "n"))
