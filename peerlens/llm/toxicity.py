@@ -49,6 +49,14 @@ def features(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+class _Features(dict):
+    """Features of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> list[str]:
+        made = self[word] = features(word)
+        return made
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -58,11 +66,14 @@ class Model:
     slope: float = 0.0
 
     def word(self, word: str) -> float:
-        for f in features(word):
-            w = self.weights.get(f)
-            if w is not None:
-                return w if w > 0 else -DRIFT
-        return -DRIFT
+        get = self.weights.get
+        w = get(word + "$")
+        if w is None:
+            for k in PREFIXES:
+                w = get(word[:k]) if len(word) >= k else None
+                if w is not None:
+                    break
+        return w if w is not None and w > 0 else -DRIFT
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -89,27 +100,31 @@ def evidence(good: list[tuple[int, int, float, float]]) -> float:
     return float(sum(-np.log(max(e, 1e-300)) for *_, e in good))
 
 
+class _Scores(dict):
+    """Word scores of a model, made when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        score = self[word] = self.model.word(word)
+        return score
+
+
 class Scorer:
     """Words and segments of texts under one model; word scores are kept in a bounded dict."""
 
     def __init__(self, model: Model, limit: int = 500_000):
-        self.model, self.limit, self.known = model, limit, {}
+        self.model, self.limit, self.known = model, limit, _Scores(model)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        words = _WORD.findall(text.lower()) if text else []
-        known, model = self.known, self.model
-        try:
-            scores = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = model.word(w)
-            scores = [known[w] for w in words]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        scores = list(map(self.known.__getitem__, _WORD.findall(text.lower()))) if text else []
         if not scores or max(scores) <= 0:
-            return len(words), []
-        return len(words), segments(np.array(scores))
+            return len(scores), []
+        return len(scores), segments(np.array(scores))
 
     def significant(self, n: int, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float, float]]:
         """Segments with their E values, those below MAX_E."""
@@ -149,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = Counter(), Counter()
+        known = _Features()
 
         def flush():
             names = list(found[0].keys() | found[1].keys())
@@ -159,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = set(_WORD.findall((text or "").lower()))
-                found[1 if toxic else 0].update({f for w in words for f in features(w)} | {""})
+                found[1 if toxic else 0].update({""}.union(*map(known.__getitem__, words)))
+                if len(known) > 200_000:
+                    known.clear()
                 if len(found[0]) + len(found[1]) > 400_000:
                     yield flush()
         yield flush()
