@@ -40,7 +40,7 @@ from .common import MIN_LONG, bucket_count, bucket_of, order_bounds, written
 
 BLOCK_IDS = 2_000_000
 SELECT_STEP = 64
-CACHE = 500_000
+CACHE = 700_000
 
 FILE_SCHEMA = "bucket int, block int, before long, n_docs long, n_ids long, width int, ids binary, doc_ids binary, nulls binary, low_bits int, low binary, high binary, marks binary"
 
@@ -166,7 +166,7 @@ def _piece_cache(path: str) -> tuple[PieceCache, np.dtype]:
     return _loaded[path]
 
 
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _ASCII_SPACE = re.compile(r"[\t\n\x0b\f\r ]+")
 
 
@@ -174,7 +174,7 @@ def pieces_of(text: str | None) -> list[str]:
     """White-space pieces. str.split() also cuts at \\x1c-\\x1f, which are no white space to the library."""
     if not text:
         return []
-    if _SEPARATORS.search(text):
+    if any(c in text for c in _SEPARATORS):
         return [p for p in _ASCII_SPACE.split(text) if p]
     return text.split()
 
