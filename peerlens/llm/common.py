@@ -23,10 +23,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+_made: list[tuple[str, str]] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Drops the tables and folders that written() and bucketed() have made; call it when no result of theirs is needed any more."""
+    while _made:
+        kind, name = _made.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage so that a lost executor costs a read, not a rebuild."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(("folder", path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -34,6 +49,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     """A copy of df in the warehouse, bucketed by keys: joins on them shuffle the other side only."""
     name = f"bucketed_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").bucketBy(shuffle_partitions(df.sparkSession), *keys).saveAsTable(name)
+    _made.append(("table", name))
     return df.sparkSession.table(name)
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,13 +144,12 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_W
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no window of an item occurs."""
     shared = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, MAX_WORDS)]
-    loaded: list = []
 
     @F.pandas_udf("boolean")
-    def untouched(texts):
-        if not loaded:
-            loaded.extend(automaton(b.value) for b in shared)
-        return texts.map(lambda t: not any(scan(built, words_of(t))[0] for built in loaded))
+    def untouched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        loaded = [automaton(b.value) for b in shared]
+        for texts in batches:
+            yield texts.map(lambda t: not any(scan(built, words_of(t))[0] for built in loaded))
 
     return docs.where(untouched(F.coalesce("text", F.lit(""))))
 

@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,9 +286,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     found = remove_repeats(docs)
 
     @F.pandas_udf("string")
-    def cut(texts, ranges):
-        import pandas as pd
-
+    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         out = []
         for text, rs in zip(texts, ranges, strict=True):
             runs = merged([] if rs is None else [r if isinstance(r, dict) else r.asDict() for r in rs])

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -265,9 +266,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def clean(texts):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        return texts.map(lambda t: scorer.score(scorer.significant(*scorer.scan(t))) < threshold)
+        for texts in batches:
+            yield texts.map(lambda t: scorer.score(scorer.significant(*scorer.scan(t))) < threshold)
 
     return docs.where(clean(F.coalesce("text", F.lit(""))))
 

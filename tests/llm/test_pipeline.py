@@ -77,3 +77,17 @@ def test_last_stage_decodes(spark):
     (r,) = corpus_pipeline.encode(spark, d, "").collect()
     assert r.decoded_sha256 == hashlib.sha256(b"a b").hexdigest()
     assert bpe.round_trip(d).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_release_drops_what_was_made(spark):
+    from peerlens.llm import common
+
+    common.release(spark)
+    kept = common.written(spark.range(3), "kept")
+    table = common.bucketed(spark.range(3).withColumnRenamed("id", "doc_id"), "doc_id")
+    assert kept.count() == table.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://")
+    common.release(spark)
+    import os
+
+    assert not os.path.exists(path) and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
