@@ -84,3 +84,44 @@ def erase(companies: DataFrame, queue: DataFrame, nodes: DataFrame, ids: DataFra
     hit = nodes.join(gone.withColumn("_hit", F.lit(True)), "company_id", "left")
     nodes = hit.withColumn("name", F.when(F.col("_hit"), "[deleted]").otherwise(F.col("name"))).drop("_hit").select(nodes.columns)
     return companies.join(gone, "company_id", "left_anti"), queue.join(gone, "company_id", "left_anti"), nodes
+
+
+def registered(companies: DataFrame, submissions: DataFrame, now: Column) -> DataFrame:
+    """User companies with submissions merged in by (norm, email); an absent email is one value.
+
+    A known company keeps its id, creation time and status and takes new consents; a new one gets an id from its key.
+    """
+    key = ["norm", "_email"]
+    last = latest(submissions.withColumn("_email", F.coalesce("email", F.lit(""))).withColumn("_k", F.concat_ws("|", *key)), "_k", [F.desc("submitted_at")])
+    old = companies.withColumn("_email", F.coalesce("email", F.lit("")))
+    a, b = old.alias("a"), last.alias("b")
+    joined = a.join(b, (F.col("a.norm") == F.col("b.norm")) & (F.col("a._email") == F.col("b._email")), "full_outer")
+    return joined.select(
+        F.coalesce("a.company_id", F.xxhash64("b.norm", "b._email")).alias("company_id"),
+        F.coalesce("a.norm", "b.norm").alias("norm"),
+        F.coalesce("a.email", "b.email").alias("email"),
+        F.coalesce("b.consent_followup", "a.consent_followup").alias("consent_followup"),
+        F.coalesce("a.created_at", now).alias("created_at"),
+        F.when(F.col("b.norm").isNotNull(), now).otherwise(F.col("a.updated_at")).alias("updated_at"),
+        F.coalesce("a.current_status", F.lit("active")).alias("current_status"),
+    )
+
+
+def promote(corpus: DataFrame, companies: DataFrame, snapshots: DataFrame, ids: DataFrame, source: str = "user") -> tuple[DataFrame, DataFrame]:
+    """The corpus with the given companies added from their last snapshot, and the companies marked promoted.
+
+    A company whose key the corpus has only adds its source there. corpus: norm, name, status, country, sources.
+    """
+    last = snapshots.groupBy("company_id").agg(F.max_by("input", "taken_at").alias("_in"))
+    chosen = companies.join(ids.select("company_id").distinct(), "company_id", "left_semi").where("current_status <> 'promoted'").join(last, "company_id")
+    new = chosen.groupBy("norm").agg(F.min_by(F.struct(F.col("_in.name").alias("name"), promoted_status(F.col("current_status")).alias("status"), F.col("_in.country").alias("country")), "company_id").alias("n"))
+    a, b = corpus.alias("a"), new.alias("b")
+    joined = a.join(b, F.col("a.norm") == F.col("b.norm"), "full_outer")
+    none = F.array().cast("array<string>")
+    merged = joined.select(
+        F.coalesce("a.norm", "b.norm").alias("norm"),
+        *[F.when(F.col("a.norm").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.n.{c}")).alias(c) for c in ("name", "status", "country")],
+        F.array_union(F.coalesce("a.sources", none), F.when(F.col("b.norm").isNotNull(), F.array(F.lit(source))).otherwise(none)).alias("sources"),
+    )
+    hit = companies.join(chosen.select("company_id", F.lit(True).alias("_hit")), "company_id", "left")
+    return merged, hit.withColumn("current_status", F.when(F.col("_hit"), "promoted").otherwise(F.col("current_status"))).drop("_hit").select(companies.columns)

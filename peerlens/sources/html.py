@@ -151,3 +151,24 @@ def table_records(rows: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
         return F.when(hit > 0, F.get("cells", (hit - 1).cast("int")))
 
     return body.select("page_id", "row", *[value(words).alias(role) for role, words in roles.items()])
+
+
+def portfolio(pages: DataFrame, stop: list[str]) -> DataFrame:
+    """page_id, name, url of outward links whose text is no navigation word; a link without text is named by its address."""
+    anchors = F.regexp_extract_all("html", F.lit(r'<a[^>]+href="https?://[^"]+"[^>]*>[^<]*</a>'), F.lit(0))
+    rows = pages.select("page_id", F.explode(anchors).alias("a"))
+    url, text = F.regexp_extract("a", 'href="([^"]+)"', 1), F.trim(F.regexp_extract("a", ">([^<]*)</a>", 1))
+    named = F.coalesce(F.nullif(text, F.lit("")), F.regexp_extract(url, r"^https?://(?:www\.)?([^./]+)", 1))
+    return rows.select("page_id", named.alias("name"), url.alias("url")).where(~F.lower("name").isin(stop) if stop else F.lit(True)).dropDuplicates(["page_id", "url"])
+
+
+def taxonomy(pages: DataFrame, prefix: str) -> DataFrame:
+    """page_id, slug, name of the links below a path."""
+    anchors = F.regexp_extract_all("html", F.lit(rf'<a[^>]+href="{prefix}[^"]+"[^>]*>[^<]*</a>'), F.lit(0))
+    rows = pages.select("page_id", F.explode(anchors).alias("a"))
+    return rows.select("page_id", F.regexp_extract("a", rf'href="{prefix}([^"/?#]+)', 1).alias("slug"), F.trim(F.regexp_extract("a", ">([^<]*)</a>", 1)).alias("name")).distinct()
+
+
+def expanded(templates: DataFrame, first: int, last: int) -> DataFrame:
+    """Templates with each year of a range for {year}."""
+    return templates.select(F.col("template"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year")).select("year", F.replace("template", F.lit("{year}"), F.col("year").cast("string")).alias("name"))
