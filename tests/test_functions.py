@@ -79,3 +79,14 @@ def test_cause(one):
 def test_macros(one):
     found = one(cl.categories_to_macros(F.array(F.lit("FinTech"), F.lit(""), F.lit("ed")), {"fin": ["fintech", "bank"], "edu": ["edtech"], "x": ["zzz"]}))
     assert found == ["edu", "fin"]
+
+
+def test_sql_functions_equal_expressions(spark):
+    from peerlens.functions import sql
+
+    assert "entity_key" in sql.register(spark)
+    df = spark.createDataFrame([(" Acme, Inc. ", "Inactive"), ("Foo S.A.", "Series B"), ("É só the Über", "Acquired"), (None, None)], "s string, t string")
+    df.createOrReplaceTempView("sql_functions_test")
+    a = spark.sql("SELECT entity_key(s) AS k, compact_key(s) AS c, text_tokens(s) AS w, outcome_bucket(t) AS o FROM sql_functions_test").collect()
+    b = df.select(tx.entity_key(F.col("s")).alias("k"), tx.compact_key(F.col("s")).alias("c"), tx.tokens(F.col("s")).alias("w"), cl.outcome(F.col("t")).alias("o")).collect()
+    assert a == b

@@ -140,3 +140,10 @@ def test_kmeans_invariants(spark):
     assert sizes == [10, 10] and model.summary.trainingCost == pytest.approx(0)
     encoded = vectors.encode_texts(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda: lambda texts: [[len(t), 1.0] for t in texts])
     assert [r.embedding for r in encoded.collect()] == [[2.0, 1.0], [0.0, 1.0]]
+
+
+def test_topk_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "vec_id int, embedding array<float>")
+    q = df.where("vec_id < 5").withColumnRenamed("vec_id", "query_id")
+    one = sorted(map(tuple, vectors.topk(q, "query_id", df, "vec_id", k=2).collect()))
+    assert one == sorted(map(tuple, vectors.topk(q, "query_id", df, "vec_id", k=2, block=2).collect())) and len(one) == 10
