@@ -7,7 +7,6 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from peerlens.llm import bpe, decontam, minhash, substrings, toxicity
 from peerlens.llm.common import table, written

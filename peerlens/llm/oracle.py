@@ -72,4 +72,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hits USING (k) LEFT JOIN ids USING (k)
 """
 
-ORACLES: dict[str, str] = {"op1_document_fingerprints": OP1, "op5_url_filters": OP5, "op7_benchmark_decontamination": OP7}
+OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, md5_number(array_to_string(w[i:i + 4], ' ')) AS x FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+common AS (SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT p.doc_id AS a, q.doc_id AS b FROM common c JOIN n p ON p.r = ra JOIN n q ON q.r = rb WHERE 100 * c.n >= 75 * (p.n + q.n - c.n)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN low ON low.a = d.doc_id
+"""
+
+OP4 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, md5_number(substring(h, 2 * p + 1, 200)) AS x FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+f AS (SELECT x, min((doc_id, p)) AS place FROM w GROUP BY x HAVING count(*) > 1),
+g AS (SELECT r, p FROM w JOIN f USING (x) WHERE (doc_id, p) <> place),
+m AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 1 ELSE 0 END AS new FROM g),
+k AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM m),
+span AS (SELECT r, k, min(p) AS a, max(p) + 100 AS b FROM k GROUP BY r, k),
+piece AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM piece JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substring(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_document_fingerprints": OP1, "op2_minhash_near_dedup": OP2, "op4_suffix_array_dedup": OP4, "op5_url_filters": OP5, "op7_benchmark_decontamination": OP7}
