@@ -7,10 +7,13 @@
 2. Rows of one set (copies) are one class; its least doc_id stands for it from here on.
 3. Documents that share buckets of bands, directly or through others, form a candidate cluster: each member is
    tied to its bucket's least member only, so the ties are as many as the members and never the pairs.
-4. A cluster is cut into blocks of bounded size, and each two blocks meet in one tile. A tile compares the full
+4. Each member first meets one other, the least member of a bucket that it shares most bands with: by this most
+   groups are joined, in work that grows with the members.
+5. Where a cluster still has several components, members of different ones must meet too. It is cut into blocks of
+   bounded size, and each two blocks meet in one tile, but for those of one and the same component. A tile compares the full
    sets of its members, all at once by a product of incidence matrices, and returns the links that join its
    components, at most one for each member. Links within a cluster are all found, whether or not a band was shared.
-5. Components of the links are the groups.
+6. Components of the links are the groups.
 
 Defined results: a text without words (null, empty) has an empty set and is linked with nothing; a row without doc_id
 is linked with nothing either, has no component and is not kept; repeated rows are copies; rows of one doc_id are
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, written
@@ -135,12 +138,9 @@ def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nda
     return out
 
 
-def confirmed(clusters: DataFrame, stored: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """Links (a, b) within clusters(doc_id, cluster, n_shingles), by the full sets of the texts; stored is bucketed by doc_id."""
-    load = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = clusters.join(load, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = placed.select("doc_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+def confirmed(dealt: DataFrame, stored: DataFrame, threshold: int, size: int) -> DataFrame:
+    """Links (a, b) found in tiles; dealt: doc_id, cluster, block, low, high. A tile (cluster, low, high) compares the block
+    `low` with the block `high`, or a block with itself. stored is bucketed by doc_id."""
     # the few members are shuffled to the texts and not the texts to them
     rows = stored.join(dealt.hint("shuffle_hash"), "doc_id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
@@ -165,6 +165,48 @@ def confirmed(clusters: DataFrame, stored: DataFrame, threshold: int = THRESHOLD
     return rows.mapInArrow(run, "a long, b long")
 
 
+def stars(ties: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tiles of each member with its nearest: the bucket's least member that it shares most bands with, the least of several.
+
+    ties: a, b, n (shared bands); sizes: doc_id, n_shingles. A nearest with many members stands in as many tiles as they fill blocks.
+    """
+    nearest = ties.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("most")).select(F.col("a").alias("doc_id"), (-F.col("most.b")).alias("cluster"))
+    nearest = nearest.join(sizes, "doc_id")
+    load = nearest.groupBy("cluster").agg(_blocks().alias("blocks"))
+    members = nearest.join(load, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("high"))
+    members = members.select("doc_id", "cluster", F.col("high").alias("block"), (-1 - F.col("high")).alias("low"), "high")
+    centres = load.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"))
+    return members.unionByName(centres.select(F.col("cluster").alias("doc_id"), "cluster", (-1 - F.col("high")).alias("block"), (-1 - F.col("high")).alias("low"), "high"))
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """Tiles of members (doc_id, cluster, component, n_shingles) that are in one cluster and may be in different components.
+
+    A component that fills more than a block has blocks of its own, which don't meet each other; the small ones
+    of a cluster share blocks.
+    """
+    parts = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), _blocks().alias("blocks"))
+    small = F.col("blocks") == 1
+    shape = parts.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum(F.when(small, F.col("n"))) / BLOCK_DOCS), F.ceil(F.sum(F.when(small, F.col("s"))) / BLOCK_SHINGLES), F.lit(0)).cast("int").alias("pool"),
+        F.coalesce(F.sum(F.when(~small, F.col("blocks"))), F.lit(0)).cast("int").alias("more"),
+    )
+    # at most one row for each block of members
+    before = Window.partitionBy("cluster").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = parts.where(~small).select("cluster", "component", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int").alias("from"))
+    placed = members.join(shape, "cluster").join(large, ["cluster", "component"], "left")
+    first = F.col("pool") + F.col("from")
+    hashed = F.xxhash64("doc_id")
+    block = F.when(F.col("from").isNull(), F.pmod(hashed, F.greatest("pool", F.lit(1)))).otherwise(first + F.pmod(hashed, F.col("blocks"))).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.col("pool") + F.col("more") - 1), lambda x: F.col("from").isNull() | (x < first) | (x >= first + F.col("blocks")))
+    dealt = placed.select("doc_id", "cluster", block.alias("block"), F.explode(met).alias("other"))
+    return dealt.select("doc_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     return _near_duplicates(docs, bucketed(docs.select("doc_id", "text"), "doc_id"), threshold, size)
@@ -177,10 +219,16 @@ def _near_duplicates(docs: DataFrame, stored: DataFrame, threshold: int, size: i
     members = linked.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
     buckets = members.select("doc_id", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").select("band", "b")
-    ties = buckets.join(shared, "band").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    clusters = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    clusters = written(clusters.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep").select(F.col("rep").alias("doc_id"), "cluster", "n_shingles"), "clusters")
-    found = components(confirmed(clusters, stored, threshold, size))
+    ties = written(buckets.join(shared, "band").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n")), "ties")
+    sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
+    links = written(confirmed(stars(ties, sizes), stored, threshold, size), "star-links")
+    joined = components(links)
+    clusters = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id")
+    clusters = clusters.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    clusters = written(clusters, "clusters")
+    # two members have met already
+    unsettled = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high").select("cluster")
+    found = components(links.unionByName(confirmed(tiles(clusters.join(unsettled, "cluster")), stored, threshold, size)))
     of_class = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
