@@ -8,7 +8,7 @@
 3. Where an anchor still has different surroundings, the earliest of each kind send their bytes (a run's windows,
    about 136 bytes). Blocks of whole anchor groups are suffix-sorted in two stages, and adjacent
    common prefixes of LENGTH bytes tell the windows that start earlier as well (suffixes.py). A group of more
-   than GROUP kinds is dealt to several blocks by the windows' first bytes, which equal windows share.
+   than GROUP kinds is dealt to several blocks by the checksums of its windows, which equal windows share.
 4. A document's ranges meet its text once more, and the rest is put together.
 
 The texts are kept in a bucketed table for steps 3 and 4 and are not shuffled. Order is (doc_id, start); rows of
@@ -19,12 +19,13 @@ texts below LENGTH bytes are kept; a null doc_id comes first; an empty table giv
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -36,6 +37,7 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 18
 GROUP = 20_000
+HELD = 200_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -126,22 +128,30 @@ def settle(anchor_rows: DataFrame) -> DataFrame:
     """key, mark, start, n and h: null for runs that repeat as a whole, the anchor for those whose bytes must be compared."""
     dealt = anchor_rows.repartition("deal").sortWithinPartitions("settled", "h", "c", "key", "start")
 
-    def decided(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def places(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group begins, place of each row's leader, and whether a row repeats its leader."""
         h, c, key, start = (t.column(x).to_numpy() for x in ("h", "c", "key", "start"))
         kind = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        group = np.concatenate([[True], h[1:] != h[:-1]])
         lead = np.maximum.accumulate(np.where(kind, np.arange(len(h)), 0))
-        repeat = (key != key[lead]) | (start != start[lead])
+        return np.concatenate([[True], h[1:] != h[:-1]]), lead, (key != key[lead]) | (start != start[lead])
+
+    def decided(t: pa.Table, told: bool = False) -> Iterator[pa.RecordBatch]:
+        """told: the first group is known to have several kinds, and its first row has been told."""
+        group, lead, repeat = places(t)
         of_group = np.cumsum(group) - 1
-        several = np.bincount(of_group, kind)[of_group] > 1
+        several = np.bincount(of_group, lead == np.arange(len(lead)))[of_group] > 1
+        if told:
+            several |= of_group == 0
         keep = repeat | several
+        keep[0] &= not told
         out = t.select(["key", "mark", "start", "n", "h"]).filter(pa.array(keep))
+        h = t.column("h").to_numpy()
         out = out.set_column(4, "h", pa.array(h[keep], mask=repeat[keep]))
         yield from out.to_batches(50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        rows = 0
+        rows, told = 0, False
         for batch in batches:
             t = pa.Table.from_batches([batch])
             done = t.filter(t.column("settled"))
@@ -153,17 +163,22 @@ def settle(anchor_rows: DataFrame) -> DataFrame:
                 continue
             held.append(t)
             rows += len(t)
-            if rows < 200_000:
+            if rows < HELD:
                 continue
             whole = pa.concat_tables(held)
             h = whole.column("h").to_numpy()
             cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
             if cut:
-                yield from decided(whole.slice(0, cut))
-                held = [whole.slice(cut)]
-                rows = len(whole) - cut
+                yield from decided(whole.slice(0, cut), told)
+                held, told = [whole.slice(cut)], False
+            else:  # one long group: of its rows only the leader of the last kind is still needed
+                _, lead, repeat = places(whole)
+                yield from decided(whole, told)
+                told = told or bool(lead[-1])
+                held = [whole.slice(int(lead[-1]), 1) if told else whole.filter(pa.array(~repeat))]
+            rows = len(held[0])
         if rows:
-            yield from decided(pa.concat_tables(held))
+            yield from decided(pa.concat_tables(held), told)
 
     import pyarrow.compute  # noqa: F401
 
@@ -177,15 +192,15 @@ def compare(contexts: DataFrame) -> DataFrame:
     def decided(rows: list[dict]) -> pa.RecordBatch | None:
         texts = [r["bytes"] for r in rows]
         first, starts, counts = (np.array([r[c] for r in rows], np.int64) for c in ("key", "start", "n"))
-        # a dealt group: only windows of this part, by their first bytes
+        # a dealt group: only windows of this part
         repeated = repeated_windows(texts, first, starts, counts)
         owner = np.repeat(np.arange(len(rows)), counts)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
         parts = np.array([r["parts"] for r in rows], np.int64)
         if (parts > 1).any():
             part = np.array([r["part"] for r in rows], np.int64)
-            head = np.array([hash_head(r["bytes"], k) for r in rows for k in range(r["n"])], np.int64)
-            repeated &= head % parts[owner] == part[owner]
+            window = np.array([zlib.crc32(r["bytes"][k : k + LENGTH]) if r["parts"] > 1 else 0 for r in rows for k in range(r["n"])], np.int64)
+            repeated &= window % parts[owner] == part[owner]
         w = np.flatnonzero(repeated)
         if not len(w):
             return None
@@ -217,8 +232,10 @@ def compare(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, mark long, start int, stop int")
 
 
-def hash_head(data: bytes, k: int) -> int:
-    return int.from_bytes(hashlib.blake2b(data[k : k + GRAM], digest_size=4).digest(), "little")
+def window_parts(data: Column, n: Column, parts: Column) -> Column:
+    """The parts that a run's windows are dealt to: at most one for each window, however many there are."""
+    of_window = F.transform(F.sequence(F.lit(1), n), lambda k: F.pmod(F.crc32(F.substring(data, k, F.lit(LENGTH))), parts).cast("int"))
+    return F.when(parts == 1, F.array(F.lit(0))).otherwise(F.array_distinct(of_window))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -237,7 +254,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     contexts = once.select("key", "mark", "data", F.explode("asked").alias("a")).select(
         "key", "mark", F.col("a.h").alias("h"), F.col("a.parts").alias("parts"), F.col("a.start").alias("start"), F.col("a.n").alias("n"),
         F.substring(F.col("data"), F.col("a.start") + 1, F.col("a.n") + (LENGTH - 1)).alias("bytes"),
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ).withColumn("part", F.explode(window_parts(F.col("bytes"), F.col("n"), F.col("parts"))))
     whole = found.where("h is null").select("key", "mark", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
     ranges = whole.unionByName(compare(contexts)).groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     ranges = ranges.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "ranges")

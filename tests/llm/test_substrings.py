@@ -59,6 +59,20 @@ def test_dealt_groups_give_the_same(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_long_groups_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HELD", 3)
+    monkeypatch.setattr(substrings, "GROUP", 2)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        p = " ".join(f"passage{i}" for i in range(20))
+        rows = corpus() + [(600 + i, f"{'xyz'[i % 3] * (i % 7)} {p}{i % 5}") for i in range(60)]
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute(rows)
+
+
 def test_nulls_repeats_and_nothing(spark):
     p = " ".join(f"passage{i}" for i in range(30))
     docs = spark.createDataFrame([(None, p), (3, p), (3, p), (4, None)], "doc_id long, text string")
