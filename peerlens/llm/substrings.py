@@ -38,6 +38,7 @@ GRAM = 32
 CHUNK = 1 << 18
 GROUP = 20_000
 HELD = 200_000
+BROADCAST_ROWS = 500_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -246,8 +247,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = stored.select(F.col("_key").alias("key"), F.col("_mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     found = written(settle(find_anchors(rows)), "anchors")
     asked = found.where("h is not null")
-    busy = asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    asked = asked.join(busy, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    busy = written(asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "busy-anchors")
+    asked = asked.join(F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     by_text = asked.groupBy("key", "mark").agg(F.collect_set(F.struct("h", "parts", "start", "n")).alias("asked"))
     # equal rows stand once
     once = rows.join(by_text.hint("shuffle_hash"), ["key", "mark"]).dropDuplicates(["key", "mark"])
