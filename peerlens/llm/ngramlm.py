@@ -1,21 +1,26 @@
-"""Language-model scores by deleted interpolation of class n-grams.
-
-Tokens are words (runs of bytes other than ASCII white space, A-Z lower-cased) and one end for each document. Words fall
-into CLASSES classes: the end, the OWN most frequent words each by itself, the rest by their last two bytes
-(the most frequent endings) and one class for what is left. The model is
-
-    P(w | u, v) = P(class w | class u, class v) * P(w | class w)
-
-with add-one estimates for a word in its class (one place for unknown words in each) and, for classes, the
-maximum-likelihood trigram, bigram and unigram estimates and the uniform one, mixed by weights that depend
-on how often the context was seen (buckets by powers of two). The weights are learned by expectation-maximisation
-on the counts of deleted rows: training rows with crc32(doc_id) mod 7 = DELETED, whose n-grams are left out
-of the estimates until the weights stand.
-
-All counts are taken over all training documents. Word counts meet in a shuffled aggregation after each task
-has combined its own. What is broadcast is bounded by parameters: the class table has CLASSES**3 cells, and
-words of at least FREQUENT of all tokens number 1 / FREQUENT at most. The counts of all other words
-reach the documents by a shuffled join.
+"""Language-model scores by deleted interpolation of word trigrams and bigrams over class n-grams.
+
+Tokens are words (runs of bytes other than ASCII white space, A-Z lower-cased) and one end for each document; a document
+begins after two ends. The model is
+
+    P(w | u, v) = a * N(u v w) / N(u v) + b * N(v w) / N(v) + c * P(class w | class u, class v) * P(w | class w)
+
+N are counts of word trigrams, bigrams and unigrams over all training rows, all of them kept, those that occur once
+too. a, b and c depend on how often the context was seen (buckets by powers of two of N(u v), or of N(v) where u v is
+new). Words fall into CLASSES classes: the end, the OWN most frequent words each by itself, the rest by their last two bytes
+(the most frequent endings) and one class for what is left. P(w | class w) is the add-one estimate (one place for
+unknown words in each class); for classes, the maximum-likelihood trigram, bigram and unigram estimates and the uniform
+one are mixed by weights by bucket too. All weights are learned by expectation-maximisation on deleted
+rows: training rows with crc32(doc_id) mod 7 = DELETED, whose n-grams are left out of the estimates until the weights
+stand. For a, b and c the estimates of each deleted token are rounded to a third of a power of ten and counted, so that the
+driver gets 2 * BUCKETS * LEVELS**3 counts at most.
+
+N-grams reach their counts and come back without a row for each: rows are packed into blocks of about BLOCK_BYTES of
+text (deleted rows in blocks of their own), a block's distinct n-grams are hashes in ascending order, cut into ranges of
+the hash. A range of all blocks meets in one task (about RANGE_GRAMS n-grams), which sums them and answers each block with
+the sums in the block's order. Hashes have SPARE bits more than it takes to number all n-grams: a bigram or trigram is
+mistaken for another with a chance of 2**-SPARE; words have a space of their own with WORD_BITS.
+Tables of n-grams grow with the input and are nowhere held as a whole. The class table has CLASSES**3 cells.
 
 Defined results: a null text counts as empty and has the end token only; a null doc_id is trained on and is
 not held out; repeated rows are counted and scored each; without training rows every token is unknown.
@@ -23,9 +28,11 @@ not held out; repeated rows are counted and scored each; without training rows e
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -33,16 +40,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bucketed, shuffle_partitions, written
 
 CLASSES = 96
 OWN = 63
-FREQUENT = 5e-7
 DELETED = 3
 HELD_OUT = 2
 BUCKETS = 40
 END = b"\n"
 FLUSH = 400_000
+BLOCK_BYTES = 2 << 20
+RANGE_GRAMS = 1_000_000
+SPARE = 17
+WORD_BITS = 56
+LEVELS = 25  # rounded estimates: 0, and 10 ** -(k / 3)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,26 +64,30 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), n: occurrences of each token; combined in each task before the shuffle."""
+def word_counts(docs: DataFrame, deleted: Column) -> DataFrame:
+    """word (binary), n, kept: occurrences of each token in all and in kept rows; combined in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        found: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
+            kept, out = found
+            words = [*kept, *(w for w in out if w not in kept)]
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([kept[w] + out[w] for w in words], pa.int64()), pa.array([kept[w] for w in words], pa.int64())], names=["word", "n", "kept"])
+            kept.clear()
+            out.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(tokens(text))
-                if len(found) >= FLUSH:
+            for text, out in zip(batch.column("text").to_pylist(), batch.column("deleted").to_pylist(), strict=True):
+                found[out].update(tokens(text))
+                if len(found[out]) >= FLUSH:
                     yield flush()
-        if found:
+        if any(found):
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", F.coalesce(deleted, F.lit(False)).alias("deleted"))
+    return rows.mapInArrow(run, "word binary, n long, kept long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
 
 
 class Classes:
@@ -172,88 +187,303 @@ def deleted_interpolation(counts: np.ndarray, rounds: int = 40) -> np.ndarray:
     return weights
 
 
-def class_model(counts: np.ndarray) -> np.ndarray:
-    """log10 P(class | two classes before) for all cells, from all training counts and the learned weights."""
-    weights = deleted_interpolation(counts)
+def class_model(counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """log10 P(class | two classes before) for all cells, from all counts given and the learned weights."""
+    weights = deleted_interpolation(counts) if weights is None else weights
     p3, p2, p1, bucket = _estimates(counts.sum(0))
     g = weights[bucket]
     mixed = g[:, :, 0:1] * p3 + g[:, :, 1:2] * p2[None] + g[:, :, 2:3] * p1[None, None] + g[:, :, 3:4] / CLASSES
     return np.log10(mixed).astype(np.float32)
 
 
+def blocks_of(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """block, deleted, ids, held and texts: rows packed until their texts reach `size` bytes, deleted rows apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        open_: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+        sizes = [0, 0]
+
+        def close(out):
+            nonlocal number
+            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string())]
+            row = [pa.array([x], k) for x, k in zip((number, out, *open_[out]), kinds, strict=True)]
+            open_[out], sizes[out], number = ([], [], []), 0, number + 1
+            return pa.RecordBatch.from_arrays(row, names=["block", "deleted", "ids", "held", "texts"])
+
+        for batch in batches:
+            for i, f, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fold", "text")), strict=True):
+                out = f == DELETED
+                for column, x in zip(open_[out], (i, f == HELD_OUT, t), strict=True):
+                    column.append(x)
+                sizes[out] += len(t or "") + 16
+                if sizes[out] >= size:
+                    yield close(out)
+        for out in (False, True):
+            if open_[out][0]:
+                yield close(out)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id")).cast("int").alias("fold"), "text")
+    return bucketed(rows.mapInArrow(run, "block long, deleted boolean, ids array<long>, held array<boolean>, texts array<string>"), "block")
+
+
+class Words(dict):
+    """Numbers of words as they come, with the hash and the class of each; bounded by trim()."""
+
+    def __init__(self, of=None):
+        super().__init__()
+        self.of, self.hashes, self.classes = of, array("Q"), array("q")
+        self.end = self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.hashes)
+        self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+        self.classes.append(self.of(word) if self.of else 0)
+        return n
+
+    def trim(self, limit: int = 400_000):
+        if len(self) > limit:
+            self.clear()
+            self.hashes, self.classes = array("Q"), array("q")
+            self.end = self[END]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that moves each bit (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Grams:
+    """The n-grams of a block: classes of its tokens and of the two before, and its n-gram hashes of `bits` bits behind those of words."""
+
+    def __init__(self, texts: list[str | None], words: Words, bits: int):
+        each = [tokens(t) for t in texts]
+        self.lengths = np.array([len(t) for t in each], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.n = n = int(self.lengths.sum())
+        w = np.fromiter(map(words.__getitem__, chain.from_iterable(each)), np.int64, n)
+        v = self._before(w, words.end)
+        u = self._before(v, words.end)
+        h, c = np.array(words.hashes, np.uint64), np.array(words.classes, np.int64)
+        self.classes = c[u], c[v], c[w]
+        self.words, self.w = h >> np.uint64(64 - WORD_BITS), w
+        two = _mix(h + np.uint64(2))[v] + h[w]
+        three = _mix(_mix(h + np.uint64(3))[u] + h[v]) + h[w]
+        self.more = (_mix(np.concatenate([two, three])) >> np.uint64(64 - bits)) + np.uint64(1 << WORD_BITS)
+
+    def counted(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes and how often each stands at tokens that are not held out."""
+        size = len(self.words)
+        met = np.flatnonzero(np.bincount(self.w, minlength=size))
+        order = met[np.argsort(self.words[met])]
+        # the mark of a held-out token is the lowest bit
+        marked = np.sort(self.more << np.uint64(1) | np.tile(held, 2).astype(np.uint64))
+        keys = np.concatenate([self.words[order], marked >> np.uint64(1)])
+        counts = np.concatenate([np.bincount(self.w[~held], minlength=size)[order], 1 - (marked & np.uint64(1)).astype(np.int64)])
+        first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
+        return keys[first], np.add.reduceat(counts, first)
+
+    def places(self) -> np.ndarray:
+        """For each token the place of its word, bigram and trigram among the distinct hashes."""
+        met = np.flatnonzero(np.bincount(self.w, minlength=len(self.words)))
+        one, at = np.unique(self.words[met], return_inverse=True)
+        rank = np.zeros(len(self.words), np.int64)
+        rank[met] = at
+        return np.concatenate([rank[self.w], np.unique(self.more, return_inverse=True)[1] + len(one)])
+
+    def _before(self, x: np.ndarray, first: int) -> np.ndarray:
+        out = np.roll(x, 1)
+        out[self.starts] = first
+        return out
+
+    def spread(self, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """N(w), N(v w), N(u v w), N(v) and N(u v) at each token, from the counts of the distinct n-grams."""
+        one, two, three = np.split(counts[self.places()], 3)
+        # a context is seen as often as it stands: the end begins a document as often as it ends one
+        ends = one[self.lengths[0] - 1]
+        return one, two, three, self._before(one, ends), self._before(two, ends)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts)
+
+
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def pack(values: np.ndarray, whole: bool = True) -> bytes:
+    """Non-negative integers as planes of bytes, no wider than the greatest needs, compressed; or the plane of the highest bytes only."""
+    most = int(values.max()) if len(values) else 0
+    width = max(1, -(-most.bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    low = 0 if whole else (width - 1) * len(values)
+    return bytes([width]) + planes[:low] + _ZSTD.compress(planes[low:], asbytes=True)
+
+
+def unpack(packed: bytes, n: int, whole: bool = True) -> np.ndarray:
+    width = packed[0]
+    low = 0 if whole else (width - 1) * n
+    planes = packed[1 : 1 + low] + _ZSTD.decompress(packed[1 + low :], width * n - low, asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def gram_counts(blocks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """block, found: for each block its ranges in order, each with the counts over all training rows (`n_all`) of the block's distinct n-grams in it, and those over kept rows for deleted blocks (`n_kept`)."""
+    # words are about a tenth of all
+    few = -(-ranges // 10)
+    firsts = [k * ((1 << WORD_BITS) // few + 1) for k in range(few)] + [(1 << WORD_BITS) + k * ((1 << bits) // ranges + 1) for k in range(ranges)]
+    firsts = np.array(firsts, np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, deleted, held, texts = (batch.column(c)[r].as_py() for c in ("block", "deleted", "held", "texts"))
+                g = Grams(texts, words, bits)
+                hashes, counts = g.counted(np.repeat(held, g.lengths))
+                ends = [*np.searchsorted(hashes, firsts), len(hashes)]
+                rows = [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(rows), pa.int64()),
+                        pa.array([deleted] * len(rows), pa.bool_()),
+                        pa.array([k for k, _, _ in rows], pa.int32()),
+                        pa.array([b - a for _, a, b in rows], pa.int32()),
+                        pa.array([pack(np.diff(hashes[a:b], prepend=firsts[k]), False) for k, a, b in rows], pa.binary()),
+                        pa.array([pack(counts[a:b]) for _, a, b in rows], pa.binary()),
+                    ],
+                    names=["block", "deleted", "range", "n", "grams", "counts"],
+                )
+                words.trim()
+
+    def answer(table: pa.Table) -> pa.Table:
+        ns, first = table.column("n").to_pylist(), firsts[table.column("range")[0].as_py()]
+        grams = np.concatenate([np.cumsum(unpack(x, n, False), dtype=np.uint64) + first for x, n in zip(table.column("grams").to_pylist(), ns, strict=True)])
+        counts = np.concatenate([unpack(x, n) for x, n in zip(table.column("counts").to_pylist(), ns, strict=True)])
+        deleted = table.column("deleted").to_pylist()
+        at = np.unique(grams, return_inverse=True)[1]
+        ends = np.cumsum(ns)[:-1]
+        # sums are exact: below 2 ** 53
+        n_all = np.bincount(at, counts).astype(np.int64)
+        n_kept = np.bincount(at, np.where(np.repeat(deleted, ns), 0, counts)).astype(np.int64)
+        parts = list(zip(np.split(at, ends), deleted, strict=True))
+        columns = [pa.array([pack(n_all[x]) for x, _ in parts], pa.binary()), pa.array([pack(n_kept[x]) if d else None for x, d in parts], pa.binary())]
+        return pa.table([table.column("block"), table.column("range"), table.column("n"), *columns], names=["block", "range", "n", "n_all", "n_kept"])
+
+    asked = blocks.mapInArrow(ask, "block long, deleted boolean, range int, n int, grams binary, counts binary")
+    answered = asked.groupBy("range").applyInArrow(answer, "block long, range int, n int, n_all binary, n_kept binary")
+    return bucketed(answered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "n_all", "n_kept"))).alias("found")), "block")
+
+
+def _found(found: list[dict], column: str) -> np.ndarray:
+    return np.concatenate([unpack(f[column], f["n"]) for f in found]).astype(np.int64)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+
+
+def estimates(g: Grams, counts: np.ndarray, table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At each token: N(w), the bucket of the context, and the trigram, bigram and class estimates (3 rows)."""
+    one, two, three, v, uv = g.spread(counts)
+    power = np.minimum(np.frexp(np.where(uv > 0, uv, v).astype(float))[1], BUCKETS - 1)
+    bucket = np.where(uv > 0, power, BUCKETS + power)
+    a, b, c = g.classes
+    by_class = table[(a * CLASSES + b) * CLASSES + c] / held[c] * (one + 1)
+    return one, bucket, np.stack([_ratio(three, uv), _ratio(two, v), by_class])
+
+
+def word_weights(joined: DataFrame, table: np.ndarray, held: np.ndarray, classes: Classes, bits: int, rounds: int = 40) -> np.ndarray:
+    """Weights (2 * BUCKETS, 3) of trigram, bigram and class estimates, by EM on all tokens of the deleted rows."""
+    shared = joined.sparkSession.sparkContext.broadcast((table, held, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, classes = shared.value
+        words = Words(classes.of)
+        total = np.zeros(2 * BUCKETS * LEVELS**3, np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                texts, found = (batch.column(c)[r].as_py() for c in ("texts", "found"))
+                g = Grams(texts, words, bits)
+                _, bucket, p = estimates(g, _found(found, "n_kept"), table, held)
+                level = np.where(p > 0, np.clip(np.rint(-3 * np.log10(np.where(p > 0, p, 1))), 0, LEVELS - 2) + 1, 0).astype(np.int64)
+                code = ((bucket * LEVELS + level[0]) * LEVELS + level[1]) * LEVELS + level[2]
+                cells, n = np.unique(code, return_counts=True)
+                total[cells] += n
+                words.trim()
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    # at most 2 * BUCKETS * LEVELS ** 3 rows
+    met = joined.where("deleted").select("texts", "found").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = met.column("cell").to_numpy(), met.column("n").to_numpy().astype(float)
+    value = np.array([0.0, *(10 ** -(np.arange(LEVELS - 1) / 3))])
+    p = value[np.stack([cell // LEVELS**2 % LEVELS, cell // LEVELS % LEVELS, cell % LEVELS], 1)]
+    bucket = cell // LEVELS**3
+    # no trigram estimate where u v is new, no bigram estimate where v is new too
+    may = np.ones((2 * BUCKETS, 3))
+    may[BUCKETS:, 0] = 0
+    may[BUCKETS, 1] = 0
+    weights = may / may.sum(1, keepdims=True)
+    for _ in range(rounds):
+        part = weights[bucket] * p
+        part *= (n / np.maximum(part.sum(1), 1e-300))[:, None]
+        gained = (np.stack([np.bincount(bucket, part[:, j], 2 * BUCKETS) for j in range(3)], 1) + 1e-3) * may
+        weights = gained / gained.sum(1, keepdims=True)
+    return weights
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    spark = docs.sparkSession
     mod = fold(F.col("doc_id"))
     train = docs.where(F.coalesce(mod != HELD_OUT, F.lit(True)))
-    vocabulary = written(word_counts(train), "vocabulary")
+    vocabulary = written(word_counts(train, mod == DELETED), "vocabulary")
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"], size["v"]
     classes = learn_classes(vocabulary)
-    table = class_model(class_trigrams(train, classes, mod == DELETED))
+    counts = class_trigrams(train, classes, mod == DELETED)
+    by_bucket = deleted_interpolation(counts)
+    table, kept_table = (10.0 ** class_model(c, by_bucket).ravel().astype(float) for c in (counts, counts[:1]))
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+        held = np.zeros((2, CLASSES))
         for batch in batches:
             c = np.array([classes.of(w) for w in batch.column("word").to_pylist()], np.int64)
-            n += np.bincount(c, batch.column("n").to_numpy(), CLASSES)
-            v += np.bincount(c, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n.astype(np.int64)), pa.array(v.astype(np.int64))], names=["c", "n", "v"])
-
-    held = np.zeros(CLASSES)
-    for r in vocabulary.mapInArrow(by_class, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        held[r.c] = r.n + r.v
-    # at most 1 / FREQUENT words
-    least = max(2.0, FREQUENT * total)
-    often = vocabulary.where(F.col("n") >= least).toArrow()
-    frequent = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((frequent, classes, table, np.log10(held + 1)))
+            for k, column in enumerate(("n", "kept")):
+                n = batch.column(column).to_numpy()
+                held[k] += np.bincount(c, n + (n > 0), CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *(pa.array(h.astype(np.int64)) for h in held)], names=["c", "n", "kept"])
+
+    held = np.zeros((2, CLASSES))
+    for r in vocabulary.mapInArrow(by_class, "c long, n long, kept long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).collect():
+        held[:, r.c] = r.n, r.kept
+    held += 1  # one place for unknown words
+
+    blocks = blocks_of(docs)
+    # about two distinct n-grams a token
+    bits = min(WORD_BITS, max(40, (2 * total).bit_length() + SPARE))
+    found = gram_counts(blocks, max(2 * shuffle_partitions(docs.sparkSession), -(-2 * total // RANGE_GRAMS)), bits)
+    joined = blocks.join(found, "block")
+    weights = word_weights(joined, kept_table, held[1], classes, bits)
+    shared = docs.sparkSession.sparkContext.broadcast((table, held[0], classes, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, classes, table, log_held = shared.value
-        table = table.ravel()
-        get = frequent.get
-        logs: _Memo = _Memo(lambda n: log10(n + 1))
-        known = _Memo(lambda w: (classes.of(w), logs[get(w, 0)], w in frequent))
+        table, in_class, classes, weights = shared.value
+        words = Words(classes.of)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "counts", "score", "mark", "rare", "times")}
-                for text in part.column("text").to_pylist():
-                    words = tokens(text)
-                    c, gained, frequent_ = zip(*map(known.__getitem__, words), strict=True)
-                    c = np.array((0, 0, *c), np.int64)
-                    code = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
-                    rare = Counter(w for w, f in zip(words, frequent_, strict=True) if not f)
-                    out["n_tokens"].append(len(words))
-                    out["n_known"].append(sum(frequent_))
-                    out["counts"].append(float(np.sum(gained)))
-                    out["score"].append(float(table[code].sum(dtype=np.float64) - log_held[c[2:]].sum()))
-                    out["mark"].append(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
-                    out["rare"].append(list(rare.keys()))
-                    out["times"].append(list(rare.values()))
-                known.trim()
-                kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "counts": pa.float64(), "score": pa.float64(), "mark": pa.int64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(out[c], k) for c, k in kinds.items())], names=["doc_id", *kinds])
-
-    # counts: sum of log10(c + 1) over frequent words; score: the rest of the model but for log10(c + 1) of all words
-    scored = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, counts double, score double, mark long, rare array<binary>, times array<int>"), "scored")
-    keys = ["doc_id", "mark", "n_tokens"]
-    rare = scored.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "mark", "n_tokens", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(*keys, F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    met = rare.join(vocabulary.where(F.col("n") < least), "word")
-    sums = met.groupBy(*keys).agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("also"))
-    # equal rows have given their words once each
-    rows = scored.drop("rare", "times").withColumn("_id", F.coalesce("doc_id", F.lit(-1)))
-    copies = rows.groupBy("_id", "mark", "n_tokens").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = rows.join(sums.withColumnRenamed("doc_id", "_id"), ["_id", "mark", "n_tokens"], "left").join(copies, ["_id", "mark", "n_tokens"], "left")
-    copies = F.coalesce("copies", F.lit(1))
-    counts = F.col("counts") + F.coalesce(F.col("more") / copies, F.lit(0.0))
-    return out.select(
-        "doc_id",
-        F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce((F.col("also") / copies).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (counts - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"),
-        (counts + F.col("score")).alias("score"),
-    )
+            for r in range(batch.num_rows):
+                ids, held, texts, found = (batch.column(c)[r].as_py() for c in ("ids", "held", "texts", "found"))
+                g = Grams(texts, words, bits)
+                one, bucket, p = estimates(g, _found(found, "n_all"), table, in_class)
+                mixed = (weights[bucket].T * p).sum(0)
+                base = g.sums(np.log10(one + 1)) - g.lengths * log10(total + distinct + 1)
+                columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(g.lengths), pa.array(g.sums((one > 0).astype(np.int64))), pa.array([total] * len(ids), pa.int64()), pa.array(base), pa.array(g.sums(np.log10(mixed)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                words.trim()
+
+    return joined.select("ids", "held", "texts", "found").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -56,3 +56,47 @@ def test_nothing(spark):
 def test_classes_cover_all_words():
     c = m.Classes([b"the"], [b"ng"])
     assert [c.of(w) for w in (m.END, b"the", b"sing", b"x")] == [0, 1, m.OWN + 1, m.CLASSES - 1]
+
+
+def test_word_ngrams_of_the_corpus_are_counted(spark):
+    # x and y, p and q are of one class each: only word n-grams tell which follows which
+    rng = random.Random(5)
+    pairs = [(f"a{i}zz", f"b{rng.randrange(10**6)}zz") for i in range(300)]
+    rows = [(i, " ".join(x for _ in range(20) for x in rng.choice(pairs))) for i in range(400)]
+    swapped = " ".join(x for k in range(20) for x in (pairs[k][0], pairs[k + 40][1]))
+    straight = " ".join(x for k in range(20) for x in pairs[k])
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], straight), (held[1], swapped)]
+    got = {r.doc_id: r for r in m.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert a.held_out and b.held_out and a.n_tokens == b.n_tokens == 41
+    assert a.score > b.score + 15
+
+
+def test_counts_of_ngrams_equal_brute_force(spark):
+    rows = corpus()
+    blocks = m.blocks_of(spark.createDataFrame(rows, "doc_id long, text string"), 3000)
+    assert blocks.count() > 3
+    counts = [Counter(), Counter()]
+
+    def grams(t):
+        w = ["\n", "\n", *words(t)]
+        for i in range(2, len(w)):
+            yield from (tuple(w[i - k : i + 1]) for k in (0, 1, 2))
+
+    for i, t in rows:
+        f = -1 if i is None else zlib.crc32(str(i).encode()) % 7
+        if f != m.HELD_OUT:
+            counts[f == m.DELETED].update(grams(t))
+    for r in blocks.join(m.gram_counts(blocks, 9, 50), "block").collect():
+        g = m.Grams(r.texts, m.Words(), 50)
+        found = [f.asDict() for f in r.found]
+        for column, want in [("n_all", counts[0] + counts[1])] + [("n_kept", counts[0])] * r.deleted:
+            one, two, three, v, uv = g.spread(m._found(found, column))
+            at = 0
+            for t in r.texts:
+                w = ["\n", "\n", *words(t)]
+                for i in range(2, len(w)):
+                    assert [one[at], two[at], three[at]] == [want[tuple(w[i - j : i + 1])] for j in (0, 1, 2)]
+                    assert v[at] == want[(w[i - 1],)] and uv[at] == (want[("\n",)] if i == 2 else want[(w[i - 2], w[i - 1])])
+                    at += 1
