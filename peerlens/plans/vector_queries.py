@@ -66,6 +66,6 @@ def ivf_topk(spark, sf_dir):
 def kmeans_profile(spark, sf_dir):
     """Sizes and outcomes of clusters; ids depend on the library, so there is no SQL."""
     e = load(spark, sf_dir, "embeddings")
-    placed = vectors.with_cluster(e, vectors.kmeans(e, k=10, starts=2, iterations=50))
+    placed = vectors.with_cluster(e, vectors.kmeans(e))
     rows = placed.withColumn("outcome", F.when(F.col("label") % 3 == 0, "dead").when(F.col("label") % 3 == 1, "operating").otherwise("acquired"))
     return rows.groupBy("cluster_id").agg(*cohorts.outcome_counts())

@@ -147,3 +147,16 @@ def test_topk_in_blocks(spark):
     q = df.where("vec_id < 5").withColumnRenamed("vec_id", "query_id")
     one = sorted(map(tuple, vectors.topk(q, "query_id", df, "vec_id", k=2).collect()))
     assert one == sorted(map(tuple, vectors.topk(q, "query_id", df, "vec_id", k=2, block=2).collect())) and len(one) == 10
+
+
+def test_kmeans_profile_takes_the_defaults(spark, monkeypatch, tmp_path):
+    from peerlens.operators import vectors
+    from peerlens.plans import catalogue
+
+    rows = [(i, i % 3, [float(i % 60), float(i % 7)]) for i in range(240)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    fits = []
+    fit = vectors.KMeans.fit
+    monkeypatch.setattr(vectors.KMeans, "fit", lambda self, df: fits.append((self.getK(), self.getMaxIter())) or fit(self, df))
+    assert catalogue.QUERIES["kmeans_profile"](spark, str(tmp_path)).count() == 50
+    assert fits == [(50, 200)] * 4
