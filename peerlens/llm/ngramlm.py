@@ -1,26 +1,23 @@
-"""Language-model scores by deleted interpolation of word trigrams and bigrams over class n-grams.
+"""Language-model scores by deleted interpolation of word trigrams, bigrams and unigrams.
 
 Tokens are words (runs of bytes other than ASCII white space, A-Z lower-cased) and one end for each document; a document
 begins after two ends. The model is
 
-    P(w | u, v) = a * N(u v w) / N(u v) + b * N(v w) / N(v) + c * P(class w | class u, class v) * P(w | class w)
+    P(w | u, v) = a * N(u v w) / N(u v) + b * N(v w) / N(v) + c * (N(w) + 1) / (N + V + 1)
 
 N are counts of word trigrams, bigrams and unigrams over all training rows, all of them kept, those that occur once
-too. a, b and c depend on how often the context was seen (buckets by powers of two of N(u v), or of N(v) where u v is
-new). Words fall into CLASSES classes: the end, the OWN most frequent words each by itself, the rest by their last two bytes
-(the most frequent endings) and one class for what is left. P(w | class w) is the add-one estimate (one place for
-unknown words in each class); for classes, the maximum-likelihood trigram, bigram and unigram estimates and the uniform
-one are mixed by weights by bucket too. All weights are learned by expectation-maximisation on deleted
-rows: training rows with crc32(doc_id) mod 7 = DELETED, whose n-grams are left out of the estimates until the weights
-stand. For a, b and c the estimates of each deleted token are rounded to a third of a power of ten and counted, so that the
-driver gets 2 * BUCKETS * LEVELS**3 counts at most.
+too; unigrams take the add-one estimate (one place for all unknown words), so no token is impossible. a, b and c depend on
+how often the context was seen (buckets by powers of two of N(u v), or of N(v) where u v is new). They are learned by
+expectation-maximisation on deleted rows: training rows with crc32(doc_id) mod 7 = DELETED, whose n-grams are left out of
+the estimates until the weights stand. For that the estimates of each deleted token are rounded to a third of a power
+of ten and counted, so that the driver gets 2 * BUCKETS * LEVELS**3 counts at most.
 
 N-grams reach their counts and come back without a row for each: rows are packed into blocks of about BLOCK_BYTES of
 text (deleted rows in blocks of their own), a block's distinct n-grams are hashes in ascending order, cut into ranges of
 the hash. A range of all blocks meets in one task (about RANGE_GRAMS n-grams), which sums them and answers each block with
-the sums in the block's order. Hashes have SPARE bits more than it takes to number all n-grams: a bigram or trigram is
-mistaken for another with a chance of 2**-SPARE; words have a space of their own with WORD_BITS.
-Tables of n-grams grow with the input and are nowhere held as a whole. The class table has CLASSES**3 cells.
+the sums in the block's order; ranges of words also tell how many words there are. Hashes have SPARE bits more than it takes to
+number all n-grams: a bigram or trigram is mistaken for another with a chance of 2**-SPARE; words have a space of their own with
+WORD_BITS. Tables of n-grams grow with the input and are nowhere held as a whole.
 
 Defined results: a null text counts as empty and has the end token only; a null doc_id is trained on and is
 not held out; repeated rows are counted and scored each; without training rows every token is unknown.
@@ -30,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from math import log10
@@ -40,20 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, shuffle_partitions, written
+from .common import bucketed, shuffle_partitions
 
-CLASSES = 96
-OWN = 63
 DELETED = 3
 HELD_OUT = 2
 BUCKETS = 40
 END = b"\n"
-FLUSH = 400_000
 BLOCK_BYTES = 2 << 20
 RANGE_GRAMS = 1_000_000
 SPARE = 17
 WORD_BITS = 56
 LEVELS = 25  # rounded estimates: 0, and 10 ** -(k / 3)
+TOTALS = -1  # the block whose answer is the number of words
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -64,140 +58,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7
 
 
-def word_counts(docs: DataFrame, deleted: Column) -> DataFrame:
-    """word (binary), n, kept: occurrences of each token in all and in kept rows; combined in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-
-        def flush():
-            kept, out = found
-            words = [*kept, *(w for w in out if w not in kept)]
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([kept[w] + out[w] for w in words], pa.int64()), pa.array([kept[w] for w in words], pa.int64())], names=["word", "n", "kept"])
-            kept.clear()
-            out.clear()
-            return batch
-
-        for batch in batches:
-            for text, out in zip(batch.column("text").to_pylist(), batch.column("deleted").to_pylist(), strict=True):
-                found[out].update(tokens(text))
-                if len(found[out]) >= FLUSH:
-                    yield flush()
-        if any(found):
-            yield flush()
-
-    rows = docs.select("text", F.coalesce(deleted, F.lit(False)).alias("deleted"))
-    return rows.mapInArrow(run, "word binary, n long, kept long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
-
-
-class Classes:
-    """Class of a word: end 0, own classes, endings, the rest."""
-
-    def __init__(self, own: list[bytes], endings: list[bytes]):
-        self.own = {END: 0} | {w: i + 1 for i, w in enumerate(own)}
-        self.endings = {e: OWN + 1 + i for i, e in enumerate(endings)}
-
-    def of(self, word: bytes) -> int:
-        c = self.own.get(word)
-        return c if c is not None else self.endings.get(word[-2:], CLASSES - 1)
-
-
-def learn_classes(vocabulary: DataFrame) -> Classes:
-    own = [bytes(r.word) for r in vocabulary.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(OWN).collect()]
-    # at most 65,536 two-byte endings and 256 shorter words
-    rest = vocabulary.where(~F.col("word").isin(own) & (F.col("word") != F.lit(END))) if own else vocabulary.where(F.col("word") != F.lit(END))
-    ending = F.when(F.octet_length("word") > 2, F.expr("substring(word, octet_length(word) - 1, 2)")).otherwise(F.col("word"))
-    most = rest.groupBy(ending.alias("e")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "e").limit(CLASSES - OWN - 2).collect()
-    return Classes(own, [bytes(r.e) for r in most])
-
-
-def class_trigrams(docs: DataFrame, classes: Classes, deleted: Column) -> np.ndarray:
-    """Counts (2, CLASSES ** 3) of class trigrams in kept and deleted rows; a document begins after two ends."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Memo(shared.value.of)
-        total = np.zeros((2, CLASSES**3), np.int64)
-        for batch in batches:
-            for text, out in zip(batch.column("text").to_pylist(), batch.column("deleted").to_pylist(), strict=True):
-                c = np.array([0, 0, *map(known.__getitem__, tokens(text))], np.int64)
-                code = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
-                if len(code) > 200_000:
-                    total[int(out)] += np.bincount(code, minlength=CLASSES**3)
-                else:
-                    np.add.at(total[int(out)], code, 1)
-            known.trim()
-        code = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[0, code]), pa.array(total[1, code])], names=["code", "kept", "deleted"])
-
-    counted = docs.select("text", F.coalesce(deleted, F.lit(False)).alias("deleted")).mapInArrow(run, "code long, kept long, deleted long")
-    # at most CLASSES ** 3 rows
-    table = counted.groupBy("code").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted")).toArrow()
-    out = np.zeros((2, CLASSES**3), np.int64)
-    at = table.column("code").to_numpy()
-    out[0, at], out[1, at] = table.column("kept").to_numpy(), table.column("deleted").to_numpy()
-    return out
-
-
-class _Memo(dict):
-    """A bounded dict that fills itself."""
-
-    def __init__(self, make, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
-
-    def trim(self):
-        if len(self) > self.limit:
-            self.clear()
-
-
-def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum-likelihood trigram, bigram and unigram estimates by cell, and the bucket of each trigram context."""
-    k = CLASSES
-    c3 = counts.reshape(k, k, k).astype(float)
-    context = c3.sum(2)
-    c2 = c3.sum(0)
-    one = c2.sum(0)
-    p3 = np.divide(c3, context[:, :, None], out=np.zeros_like(c3), where=context[:, :, None] > 0)
-    p2 = np.divide(c2, c2.sum(1, keepdims=True), out=np.zeros_like(c2), where=c2.sum(1, keepdims=True) > 0)
-    p1 = one / max(one.sum(), 1)
-    bucket = np.minimum(np.where(context > 0, np.log2(np.maximum(context, 1)).astype(int) + 1, 0), BUCKETS - 1)
-    return p3, p2, p1, bucket
-
-
-def deleted_interpolation(counts: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights (BUCKETS, 4) of trigram, bigram, unigram and uniform estimates, by EM on the deleted counts."""
-    p3, p2, p1, bucket = _estimates(counts[0])
-    k = CLASSES
-    cells = np.flatnonzero(counts[1])
-    u, v, w = cells // (k * k), cells // k % k, cells % k
-    n, b = counts[1][cells].astype(float), bucket[u, v]
-    p = np.stack([p3[u, v, w], p2[v, w], p1[w], np.full(len(cells), 1 / k)], 1)
-    weights = np.full((BUCKETS, 4), 0.25)
-    for _ in range(rounds):
-        part = weights[b] * p
-        part *= (n / part.sum(1))[:, None]
-        gained = np.stack([np.bincount(b, part[:, j], BUCKETS) for j in range(4)], 1)
-        # a bucket that no deleted row reaches keeps even weights; the uniform part never vanishes
-        weights = (gained + 1e-3) / (gained + 1e-3).sum(1, keepdims=True)
-    return weights
-
-
-def class_model(counts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """log10 P(class | two classes before) for all cells, from all counts given and the learned weights."""
-    weights = deleted_interpolation(counts) if weights is None else weights
-    p3, p2, p1, bucket = _estimates(counts.sum(0))
-    g = weights[bucket]
-    mixed = g[:, :, 0:1] * p3 + g[:, :, 1:2] * p2[None] + g[:, :, 2:3] * p1[None, None] + g[:, :, 3:4] / CLASSES
-    return np.log10(mixed).astype(np.float32)
-
-
 def blocks_of(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """block, deleted, ids, held and texts: rows packed until their texts reach `size` bytes, deleted rows apart."""
+    """block, deleted, size, ids, held and texts: rows packed until their texts reach `size` characters, deleted rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -208,10 +70,10 @@ def blocks_of(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
         def close(out):
             nonlocal number
-            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string())]
-            row = [pa.array([x], k) for x, k in zip((number, out, *open_[out]), kinds, strict=True)]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string())]
+            row = [pa.array([x], k) for x, k in zip((number, out, sizes[out], *open_[out]), kinds, strict=True)]
             open_[out], sizes[out], number = ([], [], []), 0, number + 1
-            return pa.RecordBatch.from_arrays(row, names=["block", "deleted", "ids", "held", "texts"])
+            return pa.RecordBatch.from_arrays(row, names=["block", "deleted", "size", "ids", "held", "texts"])
 
         for batch in batches:
             for i, f, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fold", "text")), strict=True):
@@ -226,27 +88,26 @@ def blocks_of(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
                 yield close(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id")).cast("int").alias("fold"), "text")
-    return bucketed(rows.mapInArrow(run, "block long, deleted boolean, ids array<long>, held array<boolean>, texts array<string>"), "block")
+    return bucketed(rows.mapInArrow(run, "block long, deleted boolean, size long, ids array<long>, held array<boolean>, texts array<string>"), "block")
 
 
 class Words(dict):
-    """Numbers of words as they come, with the hash and the class of each; bounded by trim()."""
+    """Numbers of words as they come, with the hash of each; bounded by trim()."""
 
-    def __init__(self, of=None):
+    def __init__(self):
         super().__init__()
-        self.of, self.hashes, self.classes = of, array("Q"), array("q")
+        self.hashes = array("Q")
         self.end = self[END]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.hashes)
         self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
-        self.classes.append(self.of(word) if self.of else 0)
         return n
 
     def trim(self, limit: int = 400_000):
         if len(self) > limit:
             self.clear()
-            self.hashes, self.classes = array("Q"), array("q")
+            self.hashes = array("Q")
             self.end = self[END]
 
 
@@ -258,7 +119,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block: classes of its tokens and of the two before, and its n-gram hashes of `bits` bits behind those of words."""
+    """The n-grams of a block as hashes: words of WORD_BITS, bigrams and trigrams of `bits` bits behind them."""
 
     def __init__(self, texts: list[str | None], words: Words, bits: int):
         each = [tokens(t) for t in texts]
@@ -268,8 +129,7 @@ class Grams:
         w = np.fromiter(map(words.__getitem__, chain.from_iterable(each)), np.int64, n)
         v = self._before(w, words.end)
         u = self._before(v, words.end)
-        h, c = np.array(words.hashes, np.uint64), np.array(words.classes, np.int64)
-        self.classes = c[u], c[v], c[w]
+        h = np.array(words.hashes, np.uint64)
         self.words, self.w = h >> np.uint64(64 - WORD_BITS), w
         two = _mix(h + np.uint64(2))[v] + h[w]
         three = _mix(_mix(h + np.uint64(3))[u] + h[v]) + h[w]
@@ -333,7 +193,8 @@ def unpack(packed: bytes, n: int, whole: bool = True) -> np.ndarray:
 
 
 def gram_counts(blocks: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """block, found: for each block its ranges in order, each with the counts over all training rows (`n_all`) of the block's distinct n-grams in it, and those over kept rows for deleted blocks (`n_kept`)."""
+    """block, found: for each block its ranges in order, each with the counts over all training rows (`n_all`) of the block's distinct n-grams in it, and those over kept rows for deleted blocks (`n_kept`).
+    Block TOTALS has, for each range of words, tokens and distinct words of all training rows in n_all, of kept rows in n_kept."""
     # words are about a tenth of all
     few = -(-ranges // 10)
     firsts = [k * ((1 << WORD_BITS) // few + 1) for k in range(few)] + [(1 << WORD_BITS) + k * ((1 << bits) // ranges + 1) for k in range(ranges)]
@@ -372,8 +233,14 @@ def gram_counts(blocks: DataFrame, ranges: int, bits: int) -> DataFrame:
         n_all = np.bincount(at, counts).astype(np.int64)
         n_kept = np.bincount(at, np.where(np.repeat(deleted, ns), 0, counts)).astype(np.int64)
         parts = list(zip(np.split(at, ends), deleted, strict=True))
-        columns = [pa.array([pack(n_all[x]) for x, _ in parts], pa.binary()), pa.array([pack(n_kept[x]) if d else None for x, d in parts], pa.binary())]
-        return pa.table([table.column("block"), table.column("range"), table.column("n"), *columns], names=["block", "range", "n", "n_all", "n_kept"])
+        k, columns = table.column("range")[0].as_py(), [[pack(n_all[x]) for x, _ in parts], [pack(n_kept[x]) if d else None for x, d in parts]]
+        out = [table.column("block").to_pylist(), ns, *columns]
+        if k < few:
+            for column, x in zip(out, (TOTALS, 2, *(pack(np.array([c.sum(), np.count_nonzero(c)])) for c in (n_all, n_kept))), strict=True):
+                column.append(x)
+        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
+        block, n, all_, kept = (pa.array(column, kind) for column, kind in zip(out, kinds, strict=True))
+        return pa.table([block, pa.array([k] * len(n), pa.int32()), n, all_, kept], names=["block", "range", "n", "n_all", "n_kept"])
 
     asked = blocks.mapInArrow(ask, "block long, deleted boolean, range int, n int, grams binary, counts binary")
     answered = asked.groupBy("range").applyInArrow(answer, "block long, range int, n int, n_all binary, n_kept binary")
@@ -388,40 +255,40 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
 
 
-def estimates(g: Grams, counts: np.ndarray, table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At each token: N(w), the bucket of the context, and the trigram, bigram and class estimates (3 rows)."""
+def estimates(g: Grams, counts: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At each token: N(w), the bucket of the context, and the trigram, bigram and unigram estimates (3 rows)."""
     one, two, three, v, uv = g.spread(counts)
     power = np.minimum(np.frexp(np.where(uv > 0, uv, v).astype(float))[1], BUCKETS - 1)
     bucket = np.where(uv > 0, power, BUCKETS + power)
-    a, b, c = g.classes
-    by_class = table[(a * CLASSES + b) * CLASSES + c] / held[c] * (one + 1)
-    return one, bucket, np.stack([_ratio(three, uv), _ratio(two, v), by_class])
+    return one, bucket, np.stack([_ratio(three, uv), _ratio(two, v), (one + 1) / (total + distinct + 1)])
 
 
-def word_weights(joined: DataFrame, table: np.ndarray, held: np.ndarray, classes: Classes, bits: int, rounds: int = 40) -> np.ndarray:
-    """Weights (2 * BUCKETS, 3) of trigram, bigram and class estimates, by EM on all tokens of the deleted rows."""
-    shared = joined.sparkSession.sparkContext.broadcast((table, held, classes))
+def deleted_counts(joined: DataFrame, total: int, distinct: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (bucket and three rounded estimates) that tokens of deleted rows fall into, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, classes = shared.value
-        words = Words(classes.of)
-        total = np.zeros(2 * BUCKETS * LEVELS**3, np.int64)
+        words = Words()
+        count = np.zeros(2 * BUCKETS * LEVELS**3, np.int64)
         for batch in batches:
             for r in range(batch.num_rows):
                 texts, found = (batch.column(c)[r].as_py() for c in ("texts", "found"))
                 g = Grams(texts, words, bits)
-                _, bucket, p = estimates(g, _found(found, "n_kept"), table, held)
+                _, bucket, p = estimates(g, _found(found, "n_kept"), total, distinct)
                 level = np.where(p > 0, np.clip(np.rint(-3 * np.log10(np.where(p > 0, p, 1))), 0, LEVELS - 2) + 1, 0).astype(np.int64)
                 code = ((bucket * LEVELS + level[0]) * LEVELS + level[1]) * LEVELS + level[2]
                 cells, n = np.unique(code, return_counts=True)
-                total[cells] += n
+                count[cells] += n
                 words.trim()
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+        cells = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(count[cells], pa.int64())], names=["cell", "n"])
 
     # at most 2 * BUCKETS * LEVELS ** 3 rows
     met = joined.where("deleted").select("texts", "found").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = met.column("cell").to_numpy(), met.column("n").to_numpy().astype(float)
+    return met.column("cell").to_numpy(), met.column("n").to_numpy()
+
+
+def interpolation_weights(cell: np.ndarray, n: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Weights (2 * BUCKETS, 3) of trigram, bigram and unigram estimates, by EM on the counts of deleted tokens."""
     value = np.array([0.0, *(10 ** -(np.arange(LEVELS - 1) / 3))])
     p = value[np.stack([cell // LEVELS**2 % LEVELS, cell // LEVELS % LEVELS, cell % LEVELS], 1)]
     bucket = cell // LEVELS**3
@@ -433,6 +300,7 @@ def word_weights(joined: DataFrame, table: np.ndarray, held: np.ndarray, classes
     for _ in range(rounds):
         part = weights[bucket] * p
         part *= (n / np.maximum(part.sum(1), 1e-300))[:, None]
+        # a bucket that no deleted row reaches keeps even weights; no part vanishes
         gained = (np.stack([np.bincount(bucket, part[:, j], 2 * BUCKETS) for j in range(3)], 1) + 1e-3) * may
         weights = gained / gained.sum(1, keepdims=True)
     return weights
@@ -440,46 +308,24 @@ def word_weights(joined: DataFrame, table: np.ndarray, held: np.ndarray, classes
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    mod = fold(F.col("doc_id"))
-    train = docs.where(F.coalesce(mod != HELD_OUT, F.lit(True)))
-    vocabulary = written(word_counts(train, mod == DELETED), "vocabulary")
-    size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = size["n"], size["v"]
-    classes = learn_classes(vocabulary)
-    counts = class_trigrams(train, classes, mod == DELETED)
-    by_bucket = deleted_interpolation(counts)
-    table, kept_table = (10.0 ** class_model(c, by_bucket).ravel().astype(float) for c in (counts, counts[:1]))
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, CLASSES))
-        for batch in batches:
-            c = np.array([classes.of(w) for w in batch.column("word").to_pylist()], np.int64)
-            for k, column in enumerate(("n", "kept")):
-                n = batch.column(column).to_numpy()
-                held[k] += np.bincount(c, n + (n > 0), CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), *(pa.array(h.astype(np.int64)) for h in held)], names=["c", "n", "kept"])
-
-    held = np.zeros((2, CLASSES))
-    for r in vocabulary.mapInArrow(by_class, "c long, n long, kept long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).collect():
-        held[:, r.c] = r.n, r.kept
-    held += 1  # one place for unknown words
-
     blocks = blocks_of(docs)
-    # about two distinct n-grams a token
-    bits = min(WORD_BITS, max(40, (2 * total).bit_length() + SPARE))
-    found = gram_counts(blocks, max(2 * shuffle_partitions(docs.sparkSession), -(-2 * total // RANGE_GRAMS)), bits)
+    # about six characters a token with its separator, two distinct n-grams a token at most
+    size = (blocks.agg(F.sum("size").alias("size")).first()["size"] or 0) // 6
+    bits = min(WORD_BITS, max(40, (2 * size).bit_length() + SPARE))
+    found = gram_counts(blocks, max(2 * shuffle_partitions(docs.sparkSession), -(-2 * size // RANGE_GRAMS)), bits)
+    # one row, two numbers for each range of words
+    sums = found.where(F.col("block") == TOTALS).first()
+    total, distinct, kept, kept_distinct = (int(sum(unpack(f[c], 2)[k] for f in sums["found"])) if sums else 0 for c in ("n_all", "n_kept") for k in (0, 1))
     joined = blocks.join(found, "block")
-    weights = word_weights(joined, kept_table, held[1], classes, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((table, held[0], classes, weights))
+    weights = interpolation_weights(*deleted_counts(joined, kept, kept_distinct, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, in_class, classes, weights = shared.value
-        words = Words(classes.of)
+        words = Words()
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, held, texts, found = (batch.column(c)[r].as_py() for c in ("ids", "held", "texts", "found"))
                 g = Grams(texts, words, bits)
-                one, bucket, p = estimates(g, _found(found, "n_all"), table, in_class)
+                one, bucket, p = estimates(g, _found(found, "n_all"), total, distinct)
                 mixed = (weights[bucket].T * p).sum(0)
                 base = g.sums(np.log10(one + 1)) - g.lengths * log10(total + distinct + 1)
                 columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(g.lengths), pa.array(g.sums((one > 0).astype(np.int64))), pa.array([total] * len(ids), pa.int64()), pa.array(base), pa.array(g.sums(np.log10(mixed)))]

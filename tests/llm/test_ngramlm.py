@@ -38,28 +38,64 @@ def test_base_and_known_equal_brute_force(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_class_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((2, m.CLASSES**3), np.int64)
-    np.add.at(counts[0], rng.integers(0, m.CLASSES**3, 20000) // 97, 1)
-    np.add.at(counts[1], rng.integers(0, m.CLASSES**3, 3000) // 97, 1)
-    table = 10.0 ** m.class_model(counts)
-    assert np.allclose(table.reshape(-1, m.CLASSES).sum(1)[counts.sum(0).reshape(-1, m.CLASSES).sum(1) > 0], 1, atol=0.02)
-    weights = m.deleted_interpolation(counts)
-    assert np.allclose(weights.sum(1), 1)
+def test_score_equals_brute_force(spark):
+    """The whole model in plain Python: counts in dictionaries, EM token by token on rounded estimates."""
+    rows = corpus() + [(950, "stone the ing " * 4000)]
+    got = m.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    folds = [None if i is None else zlib.crc32(str(i).encode()) % 7 for i, _ in rows]
+
+    def grams(t):
+        w = ["\n", "\n", *words(t)]
+        return [(w[i - 2 : i + 1]) for i in range(2, len(w))]
+
+    def model(keep):
+        n = Counter()
+        for (_, t), f in zip(rows, folds):
+            if keep(f):
+                for u, v, w in grams(t):
+                    n.update([(w,), (v, w), (u, v, w)])
+        total, distinct = sum(k for g, k in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+
+        def parts(place, u, v, w):
+            first, second = place == 0, place == 1
+            uv = n[("\n",)] if first else n[(u, v)]
+            nv = n[(v,)]
+            context = (1 if uv else 0, (uv or nv).bit_length())
+            p = [n[(u, v, w)] / uv if uv else 0.0, n[(v, w)] / nv if nv else 0.0, (n[(w,)] + 1) / (total + distinct + 1)]
+            return context, p
+
+        return parts
+
+    parts = model(lambda f: f not in (m.DELETED, m.HELD_OUT))
+    seen = [parts(k, *g) for (_, t), f in zip(rows, folds) if f == m.DELETED for k, g in enumerate(grams(t))]
+    rounded = [(c, [0.0 if x == 0 else 10 ** -(min(max(np.rint(-3 * log10(x)), 0), m.LEVELS - 2) / 3) for x in p]) for c, p in seen]
+    may = {c: [float(c[0] == 1), float(c != (0, 0)), 1.0] for c in {c for c, _ in rounded}}
+    weights = {c: [x / sum(may[c]) for x in may[c]] for c in may}
+    for _ in range(40):
+        gained = {c: [1e-3 * x for x in may[c]] for c in may}
+        for c, p in rounded:
+            part = [g * x for g, x in zip(weights[c], p)]
+            for k in range(3):
+                gained[c][k] += part[k] / sum(part)
+        weights = {c: [x / sum(g) for x in g] for c, g in gained.items()}
+    parts = model(lambda f: f != m.HELD_OUT)
+    want = []
+    for i, t in rows:
+        total = 0.0
+        for k, g in enumerate(grams(t)):
+            c, p = parts(k, *g)
+            even = [float(c[0] == 1), float(c != (0, 0)), 1.0]
+            total += log10(sum(a * x for a, x in zip(weights.get(c, [x / sum(even) for x in even]), p)))
+        want.append((-1 if i is None else i, round(total, 4)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 4)) for r in got) == sorted(want)
 
 
 def test_nothing(spark):
     assert m.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_classes_cover_all_words():
-    c = m.Classes([b"the"], [b"ng"])
-    assert [c.of(w) for w in (m.END, b"the", b"sing", b"x")] == [0, 1, m.OWN + 1, m.CLASSES - 1]
-
-
 def test_word_ngrams_of_the_corpus_are_counted(spark):
-    # x and y, p and q are of one class each: only word n-grams tell which follows which
+    # only word n-grams tell which follows which
     rng = random.Random(5)
     pairs = [(f"a{i}zz", f"b{rng.randrange(10**6)}zz") for i in range(300)]
     rows = [(i, " ".join(x for _ in range(20) for x in rng.choice(pairs))) for i in range(400)]
@@ -88,7 +124,12 @@ def test_counts_of_ngrams_equal_brute_force(spark):
         f = -1 if i is None else zlib.crc32(str(i).encode()) % 7
         if f != m.HELD_OUT:
             counts[f == m.DELETED].update(grams(t))
-    for r in blocks.join(m.gram_counts(blocks, 9, 50), "block").collect():
+    counted = m.gram_counts(blocks, 9, 50)
+    sums = counted.where(f"block = {m.TOTALS}").first().found
+    for column, want in (("n_all", counts[0] + counts[1]), ("n_kept", counts[0])):
+        ones = [k for g, k in want.items() if len(g) == 1]
+        assert [sum(int(m.unpack(f[column], 2)[k]) for f in sums) for k in (0, 1)] == [sum(ones), len(ones)]
+    for r in blocks.join(counted, "block").collect():
         g = m.Grams(r.texts, m.Words(), 50)
         found = [f.asDict() for f in r.found]
         for column, want in [("n_all", counts[0] + counts[1])] + [("n_kept", counts[0])] * r.deleted:
