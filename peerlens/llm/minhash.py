@@ -17,7 +17,7 @@
 
 Defined results: a text without words (null, empty) has an empty set and is linked with nothing; a row without doc_id
 is linked with nothing either, has no component and is not kept; repeated rows are copies; rows of one doc_id are
-one document; an empty table gives no rows.
+one document, which is linked by any of its texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, written
-from .components import components
+from .components import HOT, components, looked_up
 from .shingles import SIZE, mix, shingle_set
 
 PERMUTATIONS = 64
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of two lists of sets, as a matrix."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)))
     if len(left) * len(right) <= 16:
         for i, x in enumerate(left):
             for j, y in enumerate(right):
@@ -171,9 +171,9 @@ def stars(ties: DataFrame, sizes: DataFrame) -> DataFrame:
     ties: a, b, n (shared bands); sizes: doc_id, n_shingles. A nearest with many members stands in as many tiles as they fill blocks.
     """
     nearest = ties.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("most")).select(F.col("a").alias("doc_id"), (-F.col("most.b")).alias("cluster"))
-    nearest = nearest.join(sizes, "doc_id")
-    load = nearest.groupBy("cluster").agg(_blocks().alias("blocks"))
-    members = nearest.join(load, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("high"))
+    nearest = written(nearest.join(sizes, "doc_id"), "nearest")
+    load = written(nearest.groupBy("cluster").agg(_blocks().alias("blocks"), F.count("*").alias("n")), "load")
+    members = looked_up(nearest, "cluster", load.select("cluster", "blocks"), hot=load.where(F.col("n") > HOT).select("cluster")).select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("high"))
     members = members.select("doc_id", "cluster", F.col("high").alias("block"), (-1 - F.col("high")).alias("low"), "high")
     centres = load.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"))
     return members.unionByName(centres.select(F.col("cluster").alias("doc_id"), "cluster", (-1 - F.col("high")).alias("block"), (-1 - F.col("high")).alias("low"), "high"))
@@ -218,8 +218,9 @@ def _near_duplicates(docs: DataFrame, stored: DataFrame, threshold: int, size: i
     classes = written(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
     members = linked.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
     buckets = members.select("doc_id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").select("band", "b")
-    ties = written(buckets.join(shared, "band").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n")), "ties")
+    shared = written(buckets.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("b < most"), "buckets")
+    met = looked_up(buckets, "band", shared.select("band", "b"), hot=shared.where(F.col("n") > HOT).select("band"))
+    ties = written(met.where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n")), "ties")
     sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
     links = written(confirmed(stars(ties, sizes), stored, threshold, size), "star-links")
     joined = components(links)
@@ -236,11 +237,13 @@ def _near_duplicates(docs: DataFrame, stored: DataFrame, threshold: int, size: i
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """The rows of docs, all columns, that stand for their group: one for each; rows without doc_id stay."""
+    """The rows of docs, all columns, that stand for their group: one for each; rows without doc_id stay. Of rows of one doc_id each different text stays, once."""
     stored = bucketed(docs, "doc_id")
     kept = _near_duplicates(stored, stored.select("doc_id", "text"), threshold, size).where("kept").select("doc_id").distinct()
     rows = stored.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
     ids = stored.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
     if not ids.isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
+        # of rows with equal doc_id and text the one whose other columns come first as JSON
+        whole, others = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
+        rows = rows.groupBy("doc_id", F.col("text").alias("_of_text")).agg(F.min_by(whole, F.to_json(others)).alias("_row")).select("_row.*")
     return rows.unionByName(stored.where("doc_id is null"))

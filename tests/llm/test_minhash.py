@@ -91,3 +91,68 @@ def test_tiles_give_the_same(spark, monkeypatch):
     rows = texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def plain_components(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(parent)}
+
+
+def counted(monkeypatch):
+    from peerlens.llm import components as c
+
+    made = []
+    plain = c.written
+    monkeypatch.setattr(c, "written", lambda df, name: made.append(name) or plain(df, name))
+    return made
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = counted(monkeypatch)
+    n = 100_000
+    got = components(spark.range(n - 1).selectExpr("id as a", "id + 1 as b"))
+    r = got.selectExpr("count(*) n", "max(component) most").first()
+    assert (r.n, r.most) == (n, 0) and made.count("hooks") <= 20
+
+
+def test_hubs_and_random_graphs(spark, monkeypatch):
+    from peerlens.llm import components as c
+
+    monkeypatch.setattr(c, "HOT", 20)
+    made = counted(monkeypatch)
+    rng = random.Random(3)
+    edges = [(500, i) for i in range(400)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(1500)] + [(7, 7), (5000, 4999), (4999, 5000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in plain_components(edges).items() if k != 7 or v != 7 or 7 in {x for e in edges if e[0] != e[1] for x in e}}
+    assert "hot-keys" in made and made.count("hooks") <= 20
+
+
+def test_one_doc_id_with_two_texts_loses_neither(spark):
+    p = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, "text one of this id", "a"), (1, p, "b"), (1, p, "a"), (2, p + " end", "c"), (3, None, "d"), (3, None, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _of_text string")
+    for _ in range(2):
+        got = sorted((r.doc_id, r.text or "", r._of_text) for r in minhash.deduplicated(d).collect())
+        assert got == [(1, p, "a"), (1, "text one of this id", "a"), (3, "", "d")]
+
+
+def test_very_long_text_and_hot_band(spark, monkeypatch):
+    from peerlens.llm import components as c
+
+    monkeypatch.setattr(c, "HOT", 3)
+    monkeypatch.setattr(minhash, "HOT", 3)
+    long = " ".join(f"w{i % 7919}x{i % 13}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "short"), *((10 + i, " ".join(f"q{j}" for j in range(60)) + f" e{i}") for i in range(12))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
