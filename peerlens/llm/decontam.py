@@ -5,25 +5,34 @@ of WINDOW consecutive item words (a shorter item as a whole) is a pattern, words
 space at either end. The scan runs over the normalised UTF-8 bytes; match ends are mapped to word numbers, and
 spans() maps those to code-point offsets in the original text.
 
-The automaton holds at most MAX_WORDS item words at a time; a larger benchmark is scanned in as many passes,
-whose hits are joined, so nothing is dropped. The texts are never shuffled.
+An automaton holds at most about MAX_WORDS item words (some 3 KB of memory a word) and is built once in a worker process.
+A larger benchmark is dealt to blocks by a hash, long items in pieces that overlap by WINDOW - 1 words; each block is one pass over the
+texts, whose hits (rows that are hit only) are written, and the hits of all passes are joined to the rows by doc_id and
+a 128-bit hash of the text. So one automaton is alive at a time, and nothing is dropped. With one block there is no shuffle and no
+second pass. The driver sees one block of item words at a time.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has no window;
-equal windows of several items count for each of them; repeated rows each get a result.
+equal windows of several items count for each of them; an item without item_id hits but has no name; repeated rows
+each get a result.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 10
-MAX_WORDS = 2_000_000
+MAX_WORDS = 150_000
+PIECE = 5_000
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20) for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -85,71 +94,154 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    block, n = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        block.append((r[0], r[1]))
-        n += len(words_of(r[1]))
-        if n >= limit:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+def pieces(benchmark: DataFrame) -> DataFrame:
+    """item, n_words and text (normalised) of each item, those of more than PIECE words cut into pieces that hold each window once at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for i in range(0, max(len(words) - WINDOW + 1, 1), PIECE) if words else ():
+                    part = words[i : i + PIECE + WINDOW - 1]
+                    rows.append((item, len(part), b" ".join(part).decode("utf-8", "surrogatepass")))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["item", "n_words", "text"])
 
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, n_words long, text string")
 
-SCHEMA = "doc_id long, n_words long, runs array<struct<first: int, end: int>>, items array<string>"
 
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Blocks of about `limit` words, one after the other; empty ones are left out."""
+    cut = pieces(benchmark)
+    total = cut.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    if total <= limit:
+        block = cut.select("item", "text").collect()
+        yield [(r[0], r[1]) for r in block]
+        return
+    # half full on average, so that the hash leaves room
+    n = -(-2 * total // limit)
+    cut = written(cut.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "benchmark-pieces")
+    for k in range(n):
+        block = cut.where(F.col("block") == k).select("item", "text").collect()
+        if block:
+            yield [(r[0], r[1]) for r in block]
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """n_words, runs of hit words and item ids of each row; further columns of docs named in extra are kept."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, max_words)]
-    rows = docs.select("doc_id", "text", *extra)
-    kept = rows.schema
+
+_BUILT: dict = {}
+
+
+def _share(spark, block: list):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+
+def _loaded(shared) -> tuple:
+    """The automaton of a broadcast block and the block, built once in a worker process, which holds one at a time."""
+    name, block = shared.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = automaton(block), block
+    return _BUILT[name]
+
+
+_RUN = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+FOUND = "runs array<struct<first: int, end: int>>, items array<string>"
+
+
+def _pass(rows: DataFrame, shared, keys: tuple[str, ...], hits_only: bool) -> DataFrame:
+    """keys, n_words, runs and items of each row (or each that is hit) under one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [(automaton(b.value), b.value) for b in shared]
+        built, block = _loaded(shared)
         for batch in batches:
             n_words, runs, found = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
+                own, ids = scan(built, words)
                 n_words.append(len(words))
-                if len(loaded) == 1:
-                    own, ids = scan(loaded[0][0], words)
-                    names = {loaded[0][1][k][0] for k in ids}
-                else:
-                    hit: list[tuple[int, int]] = []
-                    names = set()
-                    for built, items in loaded:
-                        more, ids = scan(built, words)
-                        hit += more
-                        names |= {items[k][0] for k in ids}
-                    own = []
-                    for a, b in sorted(hit):
-                        if own and a <= own[-1][1]:
-                            own[-1] = (own[-1][0], max(b, own[-1][1]))
-                        else:
-                            own.append((a, b))
                 runs.append([{"first": a, "end": b} for a, b in own])
-                found.append(sorted(x for x in names if x is not None))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(found, pa.list_(pa.string())), *(batch.column(c) for c in extra)],
-                names=["doc_id", "n_words", "runs", "items", *extra],
-            )
+                found.append(sorted({block[k][0] for k in ids} - {None}))
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(n_words, pa.int64()), pa.array(runs, _RUN), pa.array(found, pa.list_(pa.string()))], names=[*keys, "n_words", "runs", "items"])
+            yield out.filter(pa.array([bool(r) for r in runs], pa.bool_())) if hits_only else out
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys]
+    by_name = {k.split("`")[1]: k for k in kept}
+    return rows.select(*keys, "text").mapInArrow(run, ", ".join([*(by_name[k] for k in keys), "n_words long", FOUND]))
+
 
-    out = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.fields if f.name in extra)
-    return rows.mapInArrow(run, out)
+_HASHES = ("_hash", "_more")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_hash": F.xxhash64("text"), "_more": F.xxhash64(F.lit(7), "text")})
+
+
+def _merge(runs) -> list[dict]:
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: (r["first"], r["end"])):
+        if out and r["first"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], r["end"])
+        else:
+            out.append({"first": r["first"], "end": r["end"]})
+    return out
+
+
+def _hits(rows: DataFrame, blocks: list, spark) -> DataFrame:
+    """_hash, _more, runs and items of texts that are hit by any block, one pass a block."""
+    found = None
+    for block in blocks:
+        shared = _share(spark, block)
+        hits = written(_pass(rows, shared, _HASHES, True), "benchmark-hits")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    merge = F.pandas_udf(lambda s: s.map(_merge), "array<struct<first: int, end: int>>")
+    # at most one row for each block and text after equal texts are one
+    once = found.dropDuplicates([*_HASHES, "items", "runs"]).groupBy(*_HASHES).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return once.withColumn("runs", merge("runs"))
+
+
+def _first_blocks(benchmark: DataFrame, limit: int):
+    """The first block, and an iterator over all blocks if there are more."""
+    blocks = _blocks(benchmark, limit)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is None:
+        return first, None
+    return first, chain([first, second], blocks)
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, runs of hit words and item ids of each row; further columns of docs named in extra are kept, which must have other names."""
+    if clash := {"doc_id", "text", "n_words", "runs", "items", *_HASHES} & set(extra):
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
+    spark = docs.sparkSession
+    first, all_blocks = _first_blocks(benchmark, max_words)
+    rows = docs.select("doc_id", "text", *extra)
+    order = ["doc_id", "n_words", "runs", "items", *extra]
+    if all_blocks is None:
+        return _pass(rows, _share(spark, first), ("doc_id", *extra), False).select(*order)
+    rows = _hashed(rows)
+    hits = written(_hits(rows, all_blocks, spark), "benchmark-hits")
+    plain = _pass(rows, _share(spark, []), ("doc_id", *_HASHES, *extra), False).drop("runs", "items")
+    out = plain.join(hits, list(_HASHES), "left")
+    return out.withColumns({"runs": F.coalesce("runs", F.expr("array()").cast("array<struct<first: int, end: int>>")), "items": F.coalesce("items", F.expr("array()").cast("array<string>"))}).select(*order)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """The rows of docs, all columns, in which no window of an item occurs."""
-    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, MAX_WORDS)]
+    spark = docs.sparkSession
+    first, all_blocks = _first_blocks(benchmark, max_words)
+    if all_blocks is not None:
+        hits = _hits(_hashed(docs.select("text")), all_blocks, spark).select(*_HASHES)
+        met = (F.xxhash64(docs["text"]) == hits["_hash"]) & (F.xxhash64(F.lit(7), docs["text"]) == hits["_more"])
+        return docs.join(hits, met, "left_anti")
+    shared = _share(spark, first)
 
     @F.pandas_udf("boolean")
     def untouched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        loaded = [automaton(b.value) for b in shared]
+        built, _ = _loaded(shared)
         for texts in batches:
-            yield texts.map(lambda t: not any(scan(built, words_of(t))[0] for built in loaded))
+            yield texts.map(lambda t: not scan(built, words_of(t))[0]).astype(bool)
 
     return docs.where(untouched(F.coalesce("text", F.lit(""))))
 
