@@ -83,14 +83,28 @@ class EliasFano:
             low |= (int(self.low[k // 8]) >> (k % 8) & 1) << b
         return (place - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """All values, in one pass."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        high = places - np.arange(self.n)
-        if not self.low_bits:
-            return high
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (high << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places i, each found from its mark; all of them step together."""
+        at = self.marks[i // SELECT_STEP].astype(np.int64)
+        left, byte = i % SELECT_STEP, at // 8
+        ones = self.high[byte] >> (at % 8).astype(np.uint8) << (at % 8).astype(np.uint8)
+        on = np.flatnonzero(_ONES[ones] <= left)
+        while len(on):
+            left[on] -= _ONES[ones[on]]
+            byte[on] += 1
+            ones[on] = self.high[byte[on]]
+            on = on[_ONES[ones[on]] <= left[on]]
+        high = byte * 8 + _NTH[ones, left] - i
+        low = np.zeros(len(i), np.int64)
+        for b in range(self.low_bits):
+            k = i * self.low_bits + b
+            low |= (self.low[k // 8] >> (k % 8).astype(np.uint8) & 1).astype(np.int64) << b
+        return high << self.low_bits | low
+
+
+#: of each byte: how many ones it has, and where its k-th one is
+_ONES = np.array([b.bit_count() for b in range(256)], np.int64)
+_NTH = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 class PieceCache(dict):
@@ -235,12 +249,13 @@ def with_base(files: DataFrame) -> DataFrame:
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files; starts and ends come by select."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                bounds = EliasFano(r["n_docs"] + 1, r["low_bits"], r["low"], r["high"], r["marks"]).all()
+                places = EliasFano(r["n_docs"] + 1, r["low_bits"], r["low"], r["high"], r["marks"])
+                bounds = places.selects(np.arange(r["n_docs"] + 1))
                 ids = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
