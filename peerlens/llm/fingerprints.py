@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and word runs, in DataFrame expressions only.
 
-A text is cut into sections at blank lines, each section into paragraphs at line ends. A paragraph's
-node is the SHA-256 of its text, a section's node the SHA-256 of its paragraphs' nodes, the root that of the
-sections' nodes. Cutting and joining are reversible, so two roots are equal if and only if the texts are.
-Below a paragraph stand its leaves: runs of four words (single words in paragraphs of up to eight), each
-marked by eight hex digits of its MD5; they locate an edit inside a paragraph and give the likeness.
+A text is cut into sections at blank lines, each section into paragraphs at line ends, each paragraph into leaves that
+tile it: runs of four pieces (single pieces in paragraphs of up to SHORT code points), a piece being up to PIECE code points of a word
+with the white space behind. So long paragraphs without spaces have many leaves as well. A leaf's node is the SHA-256 of its text;
+a paragraph's node is that of its leaves' nodes, a section's that of its paragraphs' nodes, the root that of the sections'
+nodes. Cutting is reversible, so two roots are equal if and only if the texts are; where nodes differ,
+the branch leads to the edit. A fingerprint is the root and the first eight hex digits of each leaf; these give the likeness.
 
 Defined results: a null text counts as empty; an empty text has a root and no leaves; two texts without
 leaves are alike (1.0) if their roots are equal, else 0.0. Repeated rows each get their own result.
@@ -17,46 +18,44 @@ from pyspark.sql import functions as F
 
 from .common import MIN_LONG, bucket_count, bucket_of, order_bounds
 
-RUN = r"(?:[^ ]+ *){1,4}"
-WORD = r"[^ ]+ *"
-SHORT = 8
+PIECE = 16
+SHORT = 64
+_SPACE, _WORD = r"[ \t\x0B\f\r]", r"[^ \t\x0B\f\r]"
+WORD = rf"{_SPACE}*{_WORD}{{1,{PIECE}}}{_SPACE}*|{_SPACE}+"
+RUN = rf"{_SPACE}*(?:{_WORD}{{1,{PIECE}}}{_SPACE}*){{1,4}}|{_SPACE}+"
 
 
 def _sha(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def section_nodes(text: Column) -> Column:
-    """One node for each section."""
-    return F.transform(
-        F.split(text, "\n\n", -1),
-        lambda s: _sha(F.array_join(F.transform(F.split(s, "\n", -1), _sha), "")),
+def _let(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def leaf_nodes(text: Column) -> Column:
+    """Nodes of the leaves, by section and paragraph: array<array<array<string>>>."""
+    paragraph = lambda p: F.transform(
+        F.when(F.length(p) <= SHORT, F.regexp_extract_all(p, F.lit(WORD), F.lit(0))).otherwise(F.regexp_extract_all(p, F.lit(RUN), F.lit(0))), _sha
     )
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), paragraph))
 
 
-def root(text: Column) -> Column:
-    return _sha(F.array_join(section_nodes(text), ""))
+def tree(text: Column) -> Column:
+    """struct<root, sections, leaves> of a text: the root, the sections' nodes and the marks of the leaves in order; null counts as empty."""
 
+    def joined(nodes: Column) -> Column:
+        return _sha(F.array_join(nodes, ""))
 
-def leaves(text: Column) -> Column:
-    """Marks of the word runs of all paragraphs, in order."""
-    return F.flatten(
-        F.transform(
-            F.split(text, "\n", -1),
-            lambda p: F.transform(
-                F.when(F.size(F.split(p, " ", -1)) <= SHORT, F.regexp_extract_all(p, F.lit(WORD), F.lit(0))).otherwise(
-                    F.regexp_extract_all(p, F.lit(RUN), F.lit(0))
-                ),
-                lambda run: F.substring(F.md5(run), 1, 8),
-            ),
-        )
-    )
+    def of_sections(nodes: Column, marks: Column) -> Column:
+        return F.struct(joined(nodes).alias("root"), nodes.alias("sections"), marks.alias("leaves"))
 
+    def of_leaves(found: Column) -> Column:
+        marks = F.transform(F.flatten(F.flatten(found)), lambda x: F.substring(x, 1, 8))
+        return _let(F.transform(found, lambda s: joined(F.transform(s, joined))), lambda nodes: of_sections(nodes, marks))
 
-def tree(text: Column) -> Column:
-    """struct<root, sections, leaves> of a text; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.struct(root(text).alias("root"), section_nodes(text).alias("sections"), leaves(text).alias("leaves"))
+    return _let(leaf_nodes(F.coalesce(text, F.lit(""))), of_leaves)
 
 
 def fingerprint(node: Column) -> Column:

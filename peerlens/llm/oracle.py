@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-_PIECES = """
-  SELECT doc_id, n_chars, t, e, nx,
-    sha256(array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS tr,
-    sha256(array_to_string(list_transform(string_split(e, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS er,
-    sha256(array_to_string(list_transform(string_split(nx, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS nr,
-    {t} AS tl, {e} AS el, {n} AS nl
-  FROM edited
-"""
+_SPACE, _WORD = r"[ \t\x0B\f\r]", r"[^ \t\x0B\f\r]"
 
 
-def _leaves(c: str) -> str:
+def _found(c: str) -> str:
+    """Nodes of the leaves by section and paragraph."""
     return (
-        f"flatten(list_transform(string_split({c}, chr(10)), lambda p: list_transform(CASE WHEN len(string_split(p, ' ')) <= 8 "
-        "THEN regexp_extract_all(p, '[^ ]+ *') ELSE regexp_extract_all(p, '(?:[^ ]+ *){1,4}') END, lambda r: md5(r)[1:8])))"
+        f"list_transform(string_split({c}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(CASE WHEN length(p) <= 64 "
+        f"THEN regexp_extract_all(p, '{_SPACE}*{_WORD}{{1,16}}{_SPACE}*|{_SPACE}+') ELSE regexp_extract_all(p, '{_SPACE}*(?:{_WORD}{{1,16}}{_SPACE}*){{1,4}}|{_SPACE}+') END, lambda r: sha256(r))))"
     )
 
 
+def _root(c: str) -> str:
+    return f"sha256(array_to_string(list_transform({c}, lambda s: sha256(array_to_string(list_transform(s, lambda q: sha256(coalesce(array_to_string(q, ''), ''))), ''))), ''))"
+
+
+def _marks(c: str) -> str:
+    return f"list_transform(flatten(flatten({c})), lambda h: h[1:8])"
+
+
 def _like(a: str, ra: str, b: str, rb: str) -> str:
     n = f"(len(list_distinct({a})) + len(list_distinct({b})))"
     return f"CASE WHEN {ra} = {rb} THEN 1.0 WHEN {n} = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({a}, {b})) / {n} END::DOUBLE"
@@ -31,9 +33,10 @@ following AS (
     coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(t) OVER (ORDER BY doc_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nx
   FROM d),
 edited AS (SELECT doc_id, n_chars, t, nx, left(t, n_chars - n_chars // 4) || left(nx, n_chars // 4) AS e FROM following),
-pieces AS ({_PIECES.format(t=_leaves("t"), e=_leaves("e"), n=_leaves("nx"))})
+found AS (SELECT doc_id, n_chars, e, {_found("t")} AS tf, {_found("e")} AS ef, {_found("nx")} AS nf FROM edited),
+pieces AS (SELECT doc_id, n_chars, e, {_root("tf")} AS tr, {_root("ef")} AS er, {_root("nf")} AS nr, {_marks("tf")} AS tl, {_marks("ef")} AS el, {_marks("nf")} AS nl FROM found)
 SELECT doc_id, n_chars, sha256(e) AS edited_sha256,
-  tr || ':' || array_to_string(tl, '') AS fingerprint, er || ':' || array_to_string(el, '') AS edited_fingerprint,
+  tr || ':' || coalesce(array_to_string(tl, ''), '') AS fingerprint, er || ':' || coalesce(array_to_string(el, ''), '') AS edited_fingerprint,
   {_like("tl", "tr", "el", "er")} AS near_edited, {_like("tl", "tr", "nl", "nr")} AS near_next
 FROM pieces
 """

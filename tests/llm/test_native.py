@@ -15,22 +15,25 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
+def runs(p):
+    """Leaves of a paragraph."""
+    pieces = re.findall(r"[ \t\x0b\f\r]*[^ \t\x0b\f\r]{1,16}[ \t\x0b\f\r]*|[ \t\x0b\f\r]+", p)
+    n = 1 if len(p) <= 64 else 4
+    return ["".join(pieces[i : i + n]) for i in range(0, len(pieces), n)]
+
+
 def root(t):
-    return sha("".join(sha("".join(sha(p) for p in s.split("\n"))) for s in t.split("\n\n")))
+    return sha("".join(sha("".join(sha("".join(sha(r) for r in runs(p))) for p in s.split("\n"))) for s in t.split("\n\n")))
 
 
 def marks(t):
-    out = []
-    for p in t.split("\n"):
-        form = r"[^ ]+ *" if len(p.split(" ")) <= 8 else r"(?:[^ ]+ *){1,4}"
-        out += [hashlib.md5(x.encode()).hexdigest()[:8] for x in re.findall(form, p)]
-    return out
+    return [sha(r)[:8] for p in t.split("\n") for r in runs(p)]
 
 
 def texts():
     rng = random.Random(3)
     rows = [(i * 3, "\n".join(" ".join(rng.choices(["aé", "b", "word", "x" * 9], k=rng.randrange(0, 20))) for _ in range(rng.randrange(1, 5)))) for i in range(40)]
-    return rows + [(200, None), (201, ""), (202, "\n\n"), (203, "one"), (203, "one"), (204, "ü" * 3000), (None, "no id")]
+    return rows + [(200, None), (201, ""), (202, "\n\n"), (203, "one"), (203, "one"), (204, "ü" * 3000), (205, " \tlead\t tabs\x0b" + "字" * 70 + "  "), (206, "".join(f"{i}語" for i in range(900))), (None, "no id")]
 
 
 def test_fingerprints_equal_brute_force(spark):
@@ -53,6 +56,14 @@ def test_fingerprints_equal_brute_force(spark):
     assert sorted(made) == sorted(want)
 
 
+def test_text_without_spaces_keeps_its_likeness(spark):
+    a = "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(2000))
+    b = a[:1500] + a[:500]
+    d = spark.createDataFrame([(1, a, b)], "doc_id long, a string, b string")
+    (r,) = d.select(fingerprints.likeness(fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))).alias("like")).collect()
+    assert 0.7 < r.like < 0.9
+
+
 def test_fingerprints_of_nothing_and_one(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fingerprints.edited_fingerprints(empty).count() == 0
@@ -104,8 +115,9 @@ def split(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("max_words", [10**6, 12])
-def test_decontamination_equals_brute_force(spark, max_words):
+@pytest.mark.parametrize("max_words, piece", [(10**6, 5000), (12, 5000), (30, 4)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, max_words, piece):
+    monkeypatch.setattr(decontam, "PIECE", piece)
     rng = random.Random(6)
     words = ["alpha", "Beta", "é", "ça", "x1", "2", "delta"]
     items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([3, 12, 25, 10, 1, 14])] + [(90, None), (91, "!!"), (92, "alpha Beta é"), (93, "ALPHA, beta: é")]
@@ -120,6 +132,8 @@ def test_decontamination_equals_brute_force(spark, max_words):
     b = spark.createDataFrame([(t, i, "z") for i, t in items], "text string, item_id long, doc_id string")
     got = decontam.digest(decontam.scan_documents(d, b, max_words=max_words)).collect()
     pats = {i: windows(split(t)) for i, t in items}
+    clean = decontam.clean(d, b, max_words)
+    assert clean.columns == d.columns
     want = []
     for i, t in docs:
         w = split(t)
@@ -132,6 +146,39 @@ def test_decontamination_equals_brute_force(spark, max_words):
                         hit.update(range(s, s + len(p)))
         want.append((i, len(w), len(hit), len(met), sha(",".join(sorted(met))), bool(hit)))
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=str) == sorted(want, key=str)
+    assert sorted((r.doc_id or -1) for r in clean.collect()) == sorted((i or -1) for i, *_, hit in want if not hit)
+
+
+def test_one_automaton_is_alive_and_built_once(monkeypatch):
+    class Shared:
+        def __init__(self, name, block):
+            self.value = name, block
+
+    made = []
+    plain = decontam.automaton
+    monkeypatch.setattr(decontam, "automaton", lambda block: made.append(block) or plain(block))
+    a, b = Shared("a", [("1", "x y")]), Shared("b", [("2", "z")])
+    for shared in (a, a, b, b, a):
+        decontam._loaded(shared)
+        assert len(decontam._BUILT) == 1
+    assert len(made) == 3
+
+
+def test_blocks_hold_few_words_and_long_texts_are_scanned(spark):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(40))) for i in range(50)] + [(99, " ".join(f"l{k}" for k in range(12_000)))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontam._blocks(b, 8_000))
+    assert len(blocks) >= 2 and all(sum(len(t.split()) for _, t in x) <= 3 * 8_000 for x in blocks)
+    long = " ".join(f"x{k}" for k in range(50_000)) + " " + " ".join(f"l{k}" for k in range(4_990, 5_020))
+    d = spark.createDataFrame([(1, long), (2, "i3w0 " * 20), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.digest(decontam.scan_documents(d, b, 8_000)).collect()}
+    assert got == {1: (50_030, 30), 2: (20, 0), 3: (0, 0)}
+
+
+def test_names_that_clash_are_refused(spark):
+    d = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, runs int")
+    with pytest.raises(ValueError):
+        decontam.scan_documents(d, d.selectExpr("doc_id as item_id", "text"), extra=("runs",))
 
 
 def test_decontamination_spans_and_empty_tables(spark):
