@@ -53,6 +53,14 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from all columns, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def order_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """Up to buckets - 1 ascending values that cut the key's values into ranges of about equal row counts."""
     if buckets <= 1:

@@ -7,8 +7,9 @@
    first within each batch, so a passage in a third of all documents leaves a task once, and then by anchor.
 3. Where an anchor still has different surroundings, the earliest of each kind send their bytes (a run's windows,
    about 136 bytes). Blocks of whole anchor groups are suffix-sorted in two stages, and adjacent
-   common prefixes of LENGTH bytes tell the windows that start earlier as well (suffixes.py). A group of more
-   than GROUP kinds is dealt to several blocks by the checksums of its windows, which equal windows share.
+   common prefixes of LENGTH bytes tell the windows that start earlier as well (suffixes.py). So that a block stays bounded,
+   anchors of more than GROUP kinds (a passage that stands between different words each time) go another way: their
+   windows are dealt one by one by a 128-bit digest, and the least place of each is found by a combined aggregation.
 4. A document's ranges meet its text once more, and the rest is put together.
 
 The texts are kept in a bucketed table for steps 3 and 4 and are not shuffled. Order is (doc_id, start); rows of
@@ -19,17 +20,17 @@ texts below LENGTH bytes are kept; a null doc_id comes first; an empty table giv
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import MIN_LONG, bucketed, written
+from .common import MIN_LONG, bucketed, fresh, written
+from .components import HOT, looked_up
 from .shingles import mix
 from .suffixes import repeated_windows
 
@@ -187,21 +188,15 @@ def settle(anchor_rows: DataFrame) -> DataFrame:
 
 
 def compare(contexts: DataFrame) -> DataFrame:
-    """Ranges (start, stop) of bytes in windows that start earlier as well; contexts: h, part, parts, key, mark, start, n, bytes."""
-    rows = contexts.repartition("h", "part").sortWithinPartitions("h", "part")
+    """Ranges (start, stop) of bytes in windows that start earlier as well; contexts: h, key, mark, start, n, bytes."""
+    rows = contexts.repartition("h").sortWithinPartitions("h")
 
     def decided(rows: list[dict]) -> pa.RecordBatch | None:
         texts = [r["bytes"] for r in rows]
         first, starts, counts = (np.array([r[c] for r in rows], np.int64) for c in ("key", "start", "n"))
-        # a dealt group: only windows of this part
         repeated = repeated_windows(texts, first, starts, counts)
         owner = np.repeat(np.arange(len(rows)), counts)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
-        parts = np.array([r["parts"] for r in rows], np.int64)
-        if (parts > 1).any():
-            part = np.array([r["part"] for r in rows], np.int64)
-            window = np.array([zlib.crc32(r["bytes"][k : k + LENGTH]) if r["parts"] > 1 else 0 for r in rows for k in range(r["n"])], np.int64)
-            repeated &= window % parts[owner] == part[owner]
         w = np.flatnonzero(repeated)
         if not len(w):
             return None
@@ -218,7 +213,7 @@ def compare(contexts: DataFrame) -> DataFrame:
         size, last = 0, None
         for batch in batches:
             for r in batch.to_pylist():
-                group = (r["h"], r["part"])
+                group = r["h"]
                 if size >= BLOCK_BYTES and group != last:
                     out = decided(block)
                     if out is not None:
@@ -233,33 +228,45 @@ def compare(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, mark long, start int, stop int")
 
 
-def window_parts(data: Column, n: Column, parts: Column) -> Column:
-    """The parts that a run's windows are dealt to: at most one for each window, however many there are."""
-    of_window = F.transform(F.sequence(F.lit(1), n), lambda k: F.pmod(F.crc32(F.substring(data, k, F.lit(LENGTH))), parts).cast("int"))
-    return F.when(parts == 1, F.array(F.lit(0))).otherwise(F.array_distinct(of_window))
+def dealt_windows(contexts: DataFrame) -> DataFrame:
+    """The same as compare(), for anchors of any number of kinds: each window by itself, told by its digest."""
+    at = contexts.select("key", "mark", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    digest = F.unhex(F.md5(F.substring(F.col("bytes"), F.col("k") + 1, F.lit(LENGTH))))
+    windows = written(at.select("key", "mark", (F.col("start") + F.col("k")).alias("start"), digest.alias("window")), "windows")
+    least = windows.groupBy("window").agg(F.min(F.struct("key", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = written(least, "least-windows")
+    met = looked_up(windows, "window", least.select("window", "least"), hot=least.where(F.col("n") > HOT).select("window"))
+    return met.where(F.struct("key", "start") > F.col("least")).select("key", "mark", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """key, mark, doc_id, data, ranges (array of struct<start, stop>, may overlap) of each row of docs, and its other columns."""
-    columns = docs.columns
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG))).withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    stored = bucketed(marked, "_key", "_mark")
-    rows = stored.select(F.col("_key").alias("key"), F.col("_mark").alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    """docs with the ranges of bytes (array of struct<start, stop>, may overlap) that start earlier, under a name that fresh() finds for "ranges"."""
+    columns, made = docs.columns, fresh(docs.columns, "ranges")
+    key, mark = fresh(columns, "_key"), fresh(columns, "_mark")
+    marked = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)), mark: F.xxhash64(F.coalesce("text", F.lit("")))})
+    stored = bucketed(marked, key, mark)
+    rows = stored.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     found = written(settle(find_anchors(rows)), "anchors")
     asked = found.where("h is not null")
-    busy = written(asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "busy-anchors")
-    asked = asked.join(F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    by_text = asked.groupBy("key", "mark").agg(F.collect_set(F.struct("h", "parts", "start", "n")).alias("asked"))
+    # at most one busy anchor for GROUP rows
+    busy = written(asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.lit(True).alias("busy")), "busy-anchors")
+    several = busy.count()
+    asked = asked.join(F.broadcast(busy) if several <= BROADCAST_ROWS else busy, "h", "left").withColumn("busy", F.col("busy").isNotNull())
+    by_text = asked.groupBy("key", "mark").agg(F.collect_set(F.struct("h", "busy", "start", "n")).alias("asked"))
     # equal rows stand once
     once = rows.join(by_text.hint("shuffle_hash"), ["key", "mark"]).dropDuplicates(["key", "mark"])
     contexts = once.select("key", "mark", "data", F.explode("asked").alias("a")).select(
-        "key", "mark", F.col("a.h").alias("h"), F.col("a.parts").alias("parts"), F.col("a.start").alias("start"), F.col("a.n").alias("n"),
+        "key", "mark", F.col("a.h").alias("h"), F.col("a.busy").alias("busy"), F.col("a.start").alias("start"), F.col("a.n").alias("n"),
         F.substring(F.col("data"), F.col("a.start") + 1, F.col("a.n") + (LENGTH - 1)).alias("bytes"),
-    ).withColumn("part", F.explode(window_parts(F.col("bytes"), F.col("n"), F.col("parts"))))
+    )
     whole = found.where("h is null").select("key", "mark", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
-    ranges = whole.unionByName(compare(contexts)).groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    ranges = ranges.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "ranges")
-    return stored.join(ranges.hint("shuffle_hash"), ["_key", "_mark"], "left").select(*columns, "ranges")
+    if several:
+        contexts = written(contexts, "contexts")
+        whole = whole.unionByName(dealt_windows(contexts.where("busy")))
+        contexts = contexts.where("not busy")
+    ranges = whole.unionByName(compare(contexts.drop("busy"))).groupBy("key", "mark").agg(F.collect_set(F.struct("start", "stop")).alias(made))
+    ranges = ranges.select(F.col("key").alias(key), F.col("mark").alias(mark), made)
+    return stored.join(ranges.hint("shuffle_hash"), [key, mark], "left").select(*(F.col(f"`{c}`") for c in columns), made)
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -301,7 +308,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes cut out of `text`; a character that is cut in two is dropped as a whole. n_chars follows."""
-    found = remove_repeats(docs)
+    found, made = remove_repeats(docs), fresh(docs.columns, "ranges")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
@@ -311,7 +318,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             out.append(text if text is None or not runs else kept_bytes(text.encode(), runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    out = found.withColumn("text", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(cut("text", "ranges")))
+    out = found.withColumn("text", F.when(F.col(made).isNull(), F.col("text")).otherwise(cut("text", made)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(made).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -59,6 +59,36 @@ def test_dealt_groups_give_the_same(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_one_passage_between_different_words(spark, monkeypatch):
+    """Windows of one passage in every document, each time with other neighbours: no block holds the group, none of its windows is lost."""
+    monkeypatch.setattr(substrings, "GROUP", 10)
+    monkeypatch.setattr(substrings, "HOT", 5)
+    p = "the same hundred and thirty bytes of text stand here in each and every document of this small collection, between other words."
+    rows = [(i, f"{i * 7919} before {i} {p} {i * 104729} behind {i * 31}") for i in range(80)] + [(1000, p), (1000, p), (None, None)]
+    rows = [(i, t) for i, t in rows if i is not None] + [(2000, None)]
+    plans = []
+    plain = substrings.dealt_windows
+    monkeypatch.setattr(substrings, "dealt_windows", lambda c: plans.append(c.count()) or plain(c))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and plans and plans[0] > 80
+
+
+def test_extra_columns_survive(spark):
+    p = " ".join(f"passage{i}" for i in range(30))
+    d = spark.createDataFrame([(1, p, 7, 8, [1], "x.y"), (2, "and " + p, 8, 9, None, None)], "doc_id long, text string, _key int, _mark int, Ranges array<int>, `a.b` string")
+    got = sorted(substrings.cleaned(d).collect())
+    assert substrings.cleaned(d).columns == d.columns
+    assert [tuple(r) for r in got] == [(1, p, 7, 8, [1], "x.y"), (2, "and ", 8, 9, None, None)]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(11)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(4000)) for _ in range(2)]
+    rows = [(1, own[0] + own[1]), (2, own[1] + " tail"), (3, "short")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_long_groups_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HELD", 3)
     monkeypatch.setattr(substrings, "GROUP", 2)
