@@ -146,3 +146,44 @@ def categories_to_macros(categories: Column, macros: dict[str, list[str]]) -> Co
 
     hits = [F.when(met(keywords), F.lit(m)) for m, keywords in macros.items()]
     return F.array_sort(F.array_compact(F.array(*hits)))
+
+
+def sector_by_part(s: Column, table: list[tuple[str, str]] = lx.REGISTER_SECTORS) -> Column:
+    """Sector of the first part that the text contains, else the text in title case; an absent text gives ''."""
+    key = F.trim(F.upper(F.replace(F.coalesce(s, F.lit("")), F.lit("�"), F.lit(""))))
+    found = F.coalesce(*[F.when(F.contains(key, F.lit(part)), F.lit(name)) for part, name in table])
+    return F.when(F.coalesce(s, F.lit("")) == "", "").otherwise(F.coalesce(found, F.initcap(s)))
+
+
+def sector_by_start(s: Column, table: list[tuple[str, str]] = lx.HOLDING_SECTORS, n: int = 10) -> Column:
+    """Sector of the first entry whose first n characters the text begins with, else the text in title case."""
+    key = F.trim(F.upper(F.replace(F.coalesce(s, F.lit("")), F.lit("?"), F.lit(""))))
+    found = F.coalesce(*[F.when(key.startswith(start[:n]), F.lit(name)) for start, name in table])
+    return F.when(F.coalesce(s, F.lit("")) == "", "").otherwise(F.coalesce(found, F.initcap(s)))
+
+
+def sector_by_name(s: Column, table: dict[str, str] = lx.RANKING_CATEGORIES) -> Column:
+    """Sector of an exact name, else the name itself."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), s), s)
+
+
+def lite_macros(categories: Column, macros: Column | None = None, table: dict[str, list[str]] = lx.LITE_MACROS) -> Column:
+    """Macros that are there already, else those one of whose keywords equals a category, in the order of the table."""
+    lower = F.transform(categories, lambda c: F.lower(F.coalesce(c, F.lit(""))))
+    found = F.array_compact(F.array(*[F.when(F.arrays_overlap(lower, F.array(*[F.lit(k) for k in keywords])), F.lit(m)) for m, keywords in table.items()]))
+    return found if macros is None else F.when(F.size(macros) > 0, macros).otherwise(found)
+
+
+def registry_situation(s: Column) -> Column:
+    """struct<status, outcome> of a situation in the tax register; others have status '' and an unknown outcome."""
+    key = F.trim(F.upper(F.coalesce(s, F.lit(""))))
+    out = None
+    for name, (status, result) in lx.REGISTRY_SITUATIONS.items():
+        value = F.struct(F.lit(status).alias("status"), F.lit(result).alias("outcome"))
+        out = F.when(key == name, value) if out is None else out.when(key == name, value)
+    return out.otherwise(F.struct(F.lit("").alias("status"), F.lit("unknown").alias("outcome")))
+
+
+def probe_alive(code: Column) -> Column:
+    """A site answers if its status code is in 200..399; no code is no answer."""
+    return F.coalesce(code.between(200, 399), F.lit(False))

@@ -183,3 +183,33 @@ def infobox(s: Column) -> Column:
         ),
     )
     return F.map_from_entries(F.filter(pairs, lambda p, i: (F.array_position(F.transform(pairs, lambda x: x["key"]), p["key"]) == i + 1) & (p["value"] != "")))
+
+
+def flattened(*parts: Column) -> Column:
+    """All strings of strings, lists of strings and lists of lists (map_values() for maps) as one text, in order; absent parts add nothing."""
+    return F.concat_ws(" ", *parts)
+
+
+def related_slugs(html: Column, own: Column) -> Column:
+    """Slugs of links to companies other than the page's own, distinct, in page order."""
+    found = F.regexp_extract_all(html, F.lit(r'href="[^"]*/company/([^"]*)"'), F.lit(1))
+    bare = F.transform(found, lambda s: F.regexp_replace(s, "^/+|/+$", ""))
+    return F.array_distinct(F.filter(bare, lambda s: (s != "") & ~F.contains(s, own)))
+
+
+COMPETITOR = r"(?:vs\.?|versus|compete[sd]?\s+with|competitors?[:\s]+)\s*([A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)?)"
+
+
+def competitor_names(s: Column) -> Column:
+    """Names behind "vs", "versus", "competes with" and "competitor:", distinct, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(COMPETITOR), F.lit(1)))
+
+
+def unique_id() -> Column:
+    """A random id; not deterministic, so a table of ids must be written before it is read twice."""
+    return F.uuid()
+
+
+def token() -> Column:
+    """128 random bits, safe in a URL; not deterministic, as unique_id()."""
+    return F.rtrim(F.translate(F.base64(F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit("")))), "+/", "-_"), F.lit("="))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerlens.functions import text as tx
+from peerlens.sources.sinks import stored
+
 HEAVY = ["FROM_SOURCE", "HAS_DATA_SOURCE"]
 
 
@@ -53,12 +56,20 @@ def without_types(nodes: DataFrame, edges: DataFrame, types: list[str], relation
     return kept, left
 
 
+BROADCAST_NODES = 200_000  # reached nodes that are broadcast at most
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """seed, id, hops: nodes within some hops of the seeds (column `seed`), with the least number of hops."""
-    both = edges.select("source", "target").union(edges.select(F.col("target"), F.col("source"))).distinct()
+    """seed, id, hops: nodes within some hops of the seeds (column `seed`), with the least number of hops.
+
+    Each hop joins the nodes reached last to either end of the edges, so the edges are cut down before anything is made distinct.
+    """
     found = reached = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops"))
     for h in range(1, hops + 1):
-        reached = reached.join(both, reached["id"] == both["source"]).select("seed", F.col("target").alias("id"), F.lit(h).alias("hops")).distinct()
+        side = F.broadcast(reached) if reached.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else reached
+        out = edges.join(side.select("seed", F.col("id").alias("source")), "source").select("seed", F.col("target").alias("id"))
+        back = edges.join(side.select("seed", F.col("id").alias("target")), "target").select("seed", F.col("source").alias("id"))
+        reached = stored(out.unionByName(back).distinct().withColumn("hops", F.lit(h)), "reached")
         found = found.unionByName(reached)
     return found.groupBy("seed", "id").agg(F.min("hops").alias("hops"))
 
@@ -155,3 +166,102 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, key, n: nodes by type and edges by relation."""
     a = nodes.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "key", "n")
     return a.unionByName(edges.groupBy(F.col("relation").alias("key")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "key", "n"))
+
+
+SMALL = 200_000  # rows of a graph that may be written as one document
+
+
+def _small(*tables: DataFrame) -> None:
+    """One document is one row: refused for graphs of more than SMALL rows, which have write_node_link()."""
+    for t in tables:
+        if t.limit(SMALL + 1).count() > SMALL:
+            raise ValueError(f"a graph of more than {SMALL} rows is written as folders, not as one document")
+
+
+def node_link_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, `value`: the graph as one JSON document with `nodes` and `edges`, each in order."""
+    _small(nodes, edges)
+    a = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
+    b = edges.agg(F.array_sort(F.collect_list(F.struct(*edges.columns))).alias("edges"))
+    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), "nodes", "edges")
+    return a.crossJoin(b).select(F.to_json(whole).alias("value"))
+
+
+def write_node_link_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A document that read_node_link() reads back."""
+    node_link_document(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
+
+
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def gexf_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, `value`: the graph in GEXF 1.2 with types and relations as attributes; other values as text."""
+    _small(nodes, edges)
+    n = F.concat(F.lit('<node id="'), _escaped(F.col("id")), F.lit('" label="'), _escaped(F.coalesce("name", "id")), F.lit('"><attvalues><attvalue for="0" value="'), _escaped(F.coalesce("type", F.lit(""))), F.lit('"/></attvalues></node>'))
+    e = F.concat(F.lit('<edge source="'), _escaped(F.col("source")), F.lit('" target="'), _escaped(F.col("target")), F.lit('" label="'), _escaped(F.col("relation")), F.lit('"/>'))
+    a, b = (t.agg(F.array_join(F.array_sort(F.collect_list(x)), "\n").alias(name)) for t, x, name in ((nodes, n, "n"), (edges, e, "e")))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="type" type="string"/></attributes>\n<nodes>\n'
+    return a.crossJoin(b).select(F.concat(F.lit(head), "n", F.lit("\n</nodes>\n<edges>\n"), "e", F.lit("\n</edges></graph></gexf>")).alias("value"))
+
+
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    gexf_document(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_gexf(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    n = spark.read.format("xml").option("rowTag", "node").option("attributePrefix", "_").schema("_id string, _label string, attvalues struct<attvalue: struct<_value: string>>").load(path)
+    e = spark.read.format("xml").option("rowTag", "edge").option("attributePrefix", "_").schema("_source string, _target string, _label string").load(path)
+    return n.select(F.col("_id").alias("id"), F.col("attvalues.attvalue._value").alias("type"), F.col("_label").alias("name")), e.select(F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_label").alias("relation"))
+
+
+def with_origin(edges: DataFrame, origin: str) -> DataFrame:
+    """Edges with the name of the source that says so."""
+    return edges.withColumn("origin", F.lit(origin))
+
+
+def merged_edges(edges: list[DataFrame]) -> DataFrame:
+    """One edge for each (source, target, relation), with the sorted origins that say so."""
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    # origins are few: one for each source
+    return out.groupBy("source", "target", "relation").agg(F.array_sort(F.collect_set("origin")).alias("origins"))
+
+
+def selected_nodes(nodes: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Nodes with one of the values."""
+    return nodes.where(F.col(column).isin(values))
+
+
+def selected_by_edges(nodes: DataFrame, edges: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Nodes at either end of edges with one of the values."""
+    hit = edges.where(F.col(column).isin(values))
+    ends = hit.select(F.col("source").alias("id")).union(hit.select(F.col("target").alias("id"))).distinct()
+    return nodes.join(ends, "id", "left_semi")
+
+
+def nodes_by_name(rows: DataFrame, name: str, nodes: DataFrame) -> DataFrame:
+    """rows with `id` of the node whose compact name is theirs; of several nodes the greatest id."""
+    key = tx.compact_key
+    one = nodes.withColumn("_key", key(F.col("name"))).where("_key <> ''").groupBy("_key").agg(F.max("id").alias("id"))
+    return rows.withColumn("_key", key(F.col(name))).join(one, "_key").drop("_key")
+
+
+def concern_edges(queries: DataFrame, user: Column, most: int = 60) -> DataFrame:
+    """Edges from a query's node to the nodes of its main and secondary concerns."""
+    concerns = F.array_distinct(F.filter(F.concat(F.array(F.coalesce("main_concern", F.lit(""))), F.coalesce("secondary_concerns", F.array().cast("array<string>"))), lambda c: F.trim(c) != ""))
+    rows = queries.select(user.alias("source"), F.explode(concerns).alias("c"))
+    return rows.select("source", node_id("concern", F.col("c"), most).alias("target"), F.lit("CONCERNED_ABOUT").alias("relation"))
+
+
+def section_tree_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of nested sections (page_id, node, parent, heading): HAS_SECTION from the page, HAS_SUBSECTION from a section."""
+    page = F.concat(F.lit("PAGE:"), "page_id")
+    own, above = F.concat(page, F.lit("#"), "node"), F.concat(page, F.lit("#"), "parent")
+    nodes = tree.select(own.alias("id"), F.lit("section").alias("type"), F.col("heading").alias("name")).unionByName(tree.select(page.alias("id"), F.lit("page").alias("type"), page.alias("name")).distinct())
+    edges = tree.select(F.when(F.col("parent").isNull(), page).otherwise(above).alias("source"), own.alias("target"), F.when(F.col("parent").isNull(), "HAS_SECTION").otherwise("HAS_SUBSECTION").alias("relation"))
+    return nodes, edges

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerlens.functions import classify as cl
 from peerlens.functions import lexicons as lx
 
 
@@ -125,3 +126,15 @@ def promote(corpus: DataFrame, companies: DataFrame, snapshots: DataFrame, ids:
     )
     hit = companies.join(chosen.select("company_id", F.lit(True).alias("_hit")), "company_id", "left")
     return merged, hit.withColumn("current_status", F.when(F.col("_hit"), "promoted").otherwise(F.col("current_status"))).drop("_hit").select(companies.columns)
+
+
+def probes_recorded(probes: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Probes with new answers (company_id, status_code, error) appended; a site is alive by its status code."""
+    new = found.select("company_id", now.alias("probed_at"), "status_code", cl.probe_alive(F.col("status_code")).alias("alive"), "error")
+    return probes.unionByName(new)
+
+
+def dispatch_counts(queue: DataFrame, sent: DataFrame, companies: DataFrame, now: Column, force: bool = False) -> DataFrame:
+    """One row: due rows, those that were sent, and those left over."""
+    rows = due(queue, companies, now, force).join(sent.select("token").distinct().withColumn("_sent", F.lit(True)), "token", "left")
+    return rows.agg(F.count("*").alias("due"), F.count("_sent").alias("sent"), F.count_if(F.col("_sent").isNull()).alias("failed"))

@@ -82,8 +82,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def fill_from_lookup(df: DataFrame, lookup: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Absent fields from a lookup table by key; present ones stay."""
-    other = lookup.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    """Absent fields from a lookup table by key; present ones stay. Of several lookup rows with one key the least present value of each field counts, so rows don't multiply."""
+    other = lookup.groupBy(key).agg(*[F.min(tx.absent(F.col(f))).alias(f"_{f}") for f in fields])
     joined = df.join(other, key, "left")
     return joined.withColumns({f: F.coalesce(tx.absent(F.col(f)), F.col(f"_{f}")) for f in fields}).drop(*[f"_{f}" for f in fields])
 
@@ -103,3 +103,33 @@ def with_suffix_on_collision(df: DataFrame, slug: str, order: list, out: str) ->
     """Unique ids from slugs: the second and later rows of one slug get -2, -3 and so on."""
     n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
     return df.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), "_n"))).drop("_n")
+
+
+def looked_up_by_keys(df: DataFrame, lookup: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:
+    """df with `value` from a lookup table by the first of several alternative keys that meets a row; of rows with one key the longest, then least value."""
+    one = lookup.groupBy(key).agg(F.min_by(value, F.struct(-F.length(value), F.col(value))).alias(value))
+    out = df
+    for i, k in enumerate(keys):
+        out = out.join(one.select(F.col(key).alias(k), F.col(value).alias(f"_v{i}")), k, "left")
+    return out.select(*df.columns, F.coalesce(*[F.col(f"_v{i}") for i in range(len(keys))]).alias(value))
+
+
+def narratives(reports: DataFrame, sections: list[str], raw: str, paywall: list[str], shortest: int = 80) -> DataFrame:
+    """key, narrative of raw reports, one row for each key a report may be looked up by: its name without parenthesis, and its full name."""
+    free = F.when(~tx.mentions(F.col(raw), paywall), tx.absent(F.col(raw)))
+    text = F.trim(tx.flattened(*[tx.absent(F.col(c)) for c in sections], free))
+    clean, full = tx.absent(tx.entity_key_without_parenthesis(F.col("name"))), tx.absent(tx.entity_key(F.col("name")))
+    keys = F.explode(F.array_distinct(F.array_compact(F.array(F.coalesce(clean, full), full))))
+    return reports.select(keys.alias("key"), text.alias("narrative")).where(F.length("narrative") > shortest)
+
+
+def multi_match(df: DataFrame, lookup: DataFrame, key: str, out: str) -> DataFrame:
+    """df with the sorted distinct `name`s of all lookup rows that share its key; an empty list without any."""
+    names = lookup.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias(out))
+    return df.join(names, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
+def status_upgrade(rows: DataFrame, key: str) -> DataFrame:
+    """key, statuses, status: keep-first over sources that list a company as active and as dissolved; dissolved wins."""
+    made = rows.groupBy(key).agg(F.array_sort(F.collect_set("status")).alias("statuses"), F.count_if(F.lower("status").isin("dissolved", "inactive")).alias("_gone"))
+    return made.select(key, "statuses", F.when(F.col("_gone") > 0, "Inactive").otherwise("Active").alias("status"))

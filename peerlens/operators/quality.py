@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.functions import classify as cl
@@ -22,10 +22,24 @@ def section_kind(s: Column, paywall: list[str], shortest: int = 40) -> Column:
     return F.when(t.isNull(), "empty").when(tx.mentions(t, paywall), "pro_only").when(F.length(t) < shortest, "weak").otherwise("real")
 
 
-def upper_median(c: str) -> Column:
-    """Aggregate: the middle value, the upper one of an even number."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+def upper_median(rows: DataFrame, group: str, c: str, out: str) -> DataFrame:
+    """group, out: the middle value of each group, the upper one of an even number, from counts by value and not from a list of all rows."""
+    counts = rows.where(F.col(c).isNotNull()).groupBy(group, c).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group).orderBy(c)
+    below = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_n").over(Window.partitionBy(group))
+    placed = counts.withColumns({"_upto": below, "_total": total})
+    return placed.where((F.col("_upto") > F.floor(F.col("_total") / 2)) & (F.col("_upto") - F.col("_n") <= F.floor(F.col("_total") / 2))).select(group, F.col(c).alias(out))
+
+
+def report_text(rates: DataFrame) -> DataFrame:
+    """field, line: fill rates as lines of a report."""
+    return rates.select("field", F.format_string("%-24s %8d / %8d  %6.2f %%", "field", "filled", "total", F.col("rate") * 100).alias("line"))
+
+
+def report_json(metrics: DataFrame, key: str) -> DataFrame:
+    """key, value: a row of metrics as JSON, absent ones included as null."""
+    return metrics.select(key, F.to_json(F.struct(*metrics.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def ir_metrics(ranked: DataFrame, truth: DataFrame, query: str, key: str, k: tuple[int, ...] = (5, 10)) -> DataFrame:

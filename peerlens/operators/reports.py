@@ -100,3 +100,29 @@ def inherited(answers: DataFrame, snapshots: DataFrame, fields: tuple[str, ...]
     joined = answers.join(last, "company_id", "left")
     return joined.withColumns({f: F.coalesce(tx.absent(F.col(f)), F.col(f"_last.{f}")) for f in fields}).drop("_last")
 
+
+def confidence_counts(matches: DataFrame) -> DataFrame:
+    """query_id, high, medium, low: matches by confidence."""
+    return matches.groupBy("query_id").agg(*[F.count_if(F.col("confidence").startswith(level)).alias(level) for level in ("high", "medium", "low")])
+
+
+def source_overlap(records: DataFrame) -> DataFrame:
+    """a, b, shared: entities that two sources have in common, each pair once."""
+    # sources of an entity are few
+    sets = records.groupBy("norm").agg(F.array_sort(F.collect_set("source")).alias("s")).where(F.size("s") > 1)
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+
+
+def segment_causes(companies: DataFrame, segment: str = "category", k: int = 3) -> DataFrame:
+    """segment, cause, n, inferred: the most frequent causes of a segment, and how many of them are inferred."""
+    rows = companies.where(tx.absent(F.col("cause")).isNotNull()).groupBy(segment, "cause").agg(F.count("*").alias("n"), F.count_if("cause_inferred").alias("inferred"))
+    w = Window.partitionBy(segment).orderBy(F.desc("n"), "cause")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def segment_countries(companies: DataFrame, segment: str = "category", k: int = 3) -> DataFrame:
+    """segment, country, n: the most frequent countries of a segment."""
+    rows = companies.where(tx.absent(F.col("country")).isNotNull()).groupBy(segment, "country").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(segment).orderBy(F.desc("n"), "country")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

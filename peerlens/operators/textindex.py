@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peerlens.functions import lexicons as lx
 from peerlens.functions import text as tx
+from peerlens.sources.sinks import stored
 
+BROADCAST_TERMS = 500_000  # rows of a table of terms that is broadcast at most
+BLOCK = 1_000  # items that meet all documents at once where no term narrows them
 
 def term_counts(docs: DataFrame, key: str, text: str, stopwords: list[str] | None = None) -> DataFrame:
     """key, term, n, total: occurrences of each term of a document and its number of tokens."""
@@ -19,28 +23,64 @@ def idf_table(counts: DataFrame, documents: int) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(1.0) + documents) / (F.col("df") + 1.0)) + 1.0)
 
 
+def _carried(terms: DataFrame) -> DataFrame:
+    """Terms as a broadcast side if they are few."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
+def _raw(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    return counts.join(_carried(idf.select("term", "idf")), "term").select(key, "term", (F.col("n") / F.col("total") * F.col("idf")).alias("raw"))
+
+
 def weighted(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """key, term, w: tf * idf with unit length for each document; terms without idf drop out."""
-    raw = counts.join(idf.select("term", "idf"), "term").select(key, "term", (F.col("n") / F.col("total") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    """key, term, w: tf * idf with unit length for each document; terms without idf drop out. One shuffle by document."""
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return _raw(counts, idf, key).select(key, "term", (F.col("raw") / norm).alias("w"))
+
 
+def index(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Term counts and idf of documents, written once: every later step reads them and not the texts."""
+    counts = stored(term_counts(docs, key, text), "term-counts")
+    return counts, stored(idf_table(counts, docs.count()), "idf")
 
-def cosine_topk(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, text: str = "text", k: int = 10, least: float = 0.08) -> DataFrame:
+
+def cosine_topk(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: str, text: str = "text", k: int = 10, least: float = 0.08, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_key, doc_key, score, rank: the k documents closest to each query.
 
     Only postings of terms that some query has are joined; no pair of a query and a document without a
     common term ever arises. Ties go to the smaller document key.
     """
-    counts = term_counts(docs, doc_key, text)
-    idf = idf_table(counts, docs.count())
-    postings = weighted(counts, idf, doc_key)
-    asked = weighted(term_counts(queries, query_key, text), idf, query_key).withColumnRenamed("w", "wq")
-    scored = asked.join(postings, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("wq") * F.col("w")).alias("score")).where(F.col("score") >= least)
+    counts, idf = indexed or index(docs, doc_key, text)
+    asked = stored(weighted(term_counts(queries, query_key, text), idf, query_key).withColumnRenamed("w", "wq"), "asked")
+    raw = _raw(counts, idf, doc_key)
+    norms = raw.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    met = raw.join(_carried(asked.select("term").distinct()), "term", "left_semi").join(norms, doc_key).select(doc_key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    scored = met.join(_carried(asked), "term").groupBy(query_key, doc_key).agg(F.sum(F.col("wq") * F.col("w")).alias("score")).where(F.col("score") >= least)
     order = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), doc_key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def containing(items: DataFrame, item_key: str, docs: DataFrame, doc_key: str, counts: DataFrame, idf: DataFrame, text: str = "text") -> DataFrame:
+    """item_key, doc_key of documents that hold an item's text.
+
+    An item meets the documents that have its rarest inner word (the words at its ends may be parts of longer ones),
+    and those are confirmed. Items without such a word meet all documents, in blocks.
+    """
+    inner = F.slice(tx.tokens(F.col(text), []), 2, F.greatest(F.size(tx.tokens(F.col(text), [])) - 2, F.lit(0)))
+    rows = items.select(item_key, F.col(text).alias("_item"), F.filter(inner, lambda w: ~w.isin(lx.STOPWORDS)).alias("_words"))
+    told = rows.select(item_key, "_item", F.explode("_words").alias("term")).join(_carried(idf.select("term", "df")), "term", "left")
+    # a word that no document has means that none holds the item
+    rarest = told.groupBy(item_key, "_item").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
+    near = counts.select(doc_key, "term").join(_carried(rarest), "term").select(item_key, "_item", doc_key)
+    found = near.join(docs.select(doc_key, F.col(text).alias("_doc")), doc_key).where(F.contains("_doc", "_item")).select(item_key, doc_key)
+    rest = rows.where(F.size("_words") == 0).select(item_key, "_item")
+    n = -(-rest.count() // BLOCK)
+    for i in range(n):
+        part = rest.where(F.pmod(F.xxhash64(item_key), F.lit(n)) == i)
+        found = found.unionByName(docs.join(F.broadcast(part), F.contains(F.col(text), F.col("_item"))).select(item_key, doc_key))
+    return found
+
+
 def contrastive_terms(postings: DataFrame, key: str, groups: DataFrame, n: int = 10, shortest: int = 3) -> DataFrame:
     """Terms whose mean weight among positive documents most exceeds that among negative ones.
 

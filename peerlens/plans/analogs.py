@@ -37,8 +37,8 @@ company AS (
     FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
   JOIN nation ON n_nationkey = c_nationkey)"""
 
-#: The five probe companies that stand for queries.
-PROBES = [7, 100, 301, 700, 1001]
+#: The companies that stand for queries, against all.
+ASKED = "company_id % 100 = 0"
 
 
 def round4(x: str) -> str:

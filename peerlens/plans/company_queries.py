@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from peerlens.functions import classify as cl
 from peerlens.functions import lexicons as lx
 from peerlens.functions import text as tx
-from peerlens.operators import cohorts, linkage, scoring
+from peerlens.operators import cohorts, linkage, scoring, vectors
 
-from .analogs import COMPANIES, PROBES, companies, round4
+from .analogs import ASKED, COMPANIES, companies, round4
 from .registry import load, query, values
 
 
@@ -74,12 +74,12 @@ def provenance_log(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'dead' END AS outcome FROM customer WHERE c_custkey <= 80),
+WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'dead' END AS outcome FROM customer),
 s AS (SELECT s_suppkey AS k, s_name AS name, 'operating' AS outcome FROM supplier)
 SELECT coalesce(c.k, s.k) AS k, coalesce(c.name, s.name) AS name, CASE WHEN coalesce(c.outcome, 'unknown') = 'unknown' THEN coalesce(s.outcome, c.outcome) ELSE c.outcome END AS outcome FROM c FULL JOIN s ON c.k = s.k
 """)
 def upsert_fill_empty(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").where("c_custkey <= 80").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, "unknown").otherwise("dead").alias("outcome"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, "unknown").otherwise("dead").alias("outcome"))
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("operating").alias("outcome"))
     return linkage.upsert(c, s, "k", {"name": "fill", "outcome": "outcome"})
 
@@ -243,10 +243,8 @@ def failure_pattern(spark, sf_dir):
     return out.select("company_id", "lifespan_years", F.array_join("pattern_labels", "|").alias("labels"), F.col("pattern_confidence").alias("confidence"))
 
 
-_IDS = ", ".join(map(str, PROBES))
-
 SCORED = f"""{COMPANIES},
-q AS (SELECT company_id AS query_id, category AS q_category, country AS q_country, founded_year AS q_year, outcome AS q_outcome, n_orders AS q_orders, balance AS q_balance FROM company WHERE company_id IN ({_IDS})),
+q AS (SELECT company_id AS query_id, category AS q_category, country AS q_country, founded_year AS q_year, outcome AS q_outcome, n_orders AS q_orders, balance AS q_balance FROM company WHERE {ASKED}),
 p AS (SELECT q.*, c.*, CASE WHEN q_category = category THEN 16.0 ELSE 0 END AS d_macro, CASE WHEN q_category = category THEN 10.0 ELSE 0 END AS d_category,
   CASE WHEN contains(q_country, country) OR contains(country, q_country) THEN 7.0 ELSE 0 END AS d_country,
   CASE WHEN abs(q_year - founded_year) <= 3 THEN 5.0 * (1 - pow(abs(q_year - founded_year) / 4.0, 1.5)) ELSE 0 END AS d_era,
@@ -262,9 +260,9 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ran
 
 def _scored(spark, sf_dir):
     c = companies(spark, sf_dir)
-    q = c.where(F.col("company_id").isin(PROBES)).select(F.col("company_id").alias("query_id"), F.col("category").alias("q_category"), F.col("country").alias("q_country"), F.col("founded_year").alias("q_year"), F.col("n_orders").alias("q_orders"))
-    # five stated queries meet all companies
-    pairs = c.join(F.broadcast(q), F.col("company_id") != F.col("query_id"))
+    q = c.where(ASKED).select(F.col("company_id").alias("query_id"), F.col("category").alias("q_category"), F.col("country").alias("q_country"), F.col("founded_year").alias("q_year"), F.col("n_orders").alias("q_orders"))
+    # the stated queries meet all companies, in blocks
+    pairs = vectors.against_all(c, q, "query_id", F.col("company_id") != F.col("query_id"))
     dims = [
         scoring.overlap("macro", F.array("q_category"), F.array("category"), lx.WEIGHTS["macro"]),
         scoring.overlap("category", F.array(tx.compact_key(F.col("q_category"))), F.array(tx.compact_key(F.col("category"))), lx.WEIGHTS["category"]),

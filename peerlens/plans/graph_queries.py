@@ -64,7 +64,7 @@ SELECT seed, id, min(hops)::INT AS hops FROM (SELECT seed, seed AS id, 0 AS hops
 """)
 def graph_two_hop(spark, sf_dir):
     joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    edges = joined.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target")).distinct()
+    edges = joined.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"))
     return graph.neighbourhood(edges, spark.createDataFrame([("C7",), ("C100",), ("P5",)], "seed string"))
 
 

@@ -76,12 +76,12 @@ WITH d AS (SELECT doc_id, replace(replace(lower(text), 'of the', 'ofthe'), 'in t
 m(k, v) AS (VALUES {values(list(DICTIONARY.items()))}),
 w AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(coalesce(t, '')), '{lx.ACCENTED}', '{lx.FOLDED}'), '[a-z][a-z0-9]{{2,}}')) AS t FROM d),
 x AS (SELECT doc_id, unnest(string_split(coalesce(v, t), ' ')) AS t FROM w LEFT JOIN m ON k = t)
-SELECT t AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM x WHERE t IN ('plus', 'also', 'object', 'not', 'with', 'ofthe', 'inthe') GROUP BY t
+SELECT t AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM x GROUP BY t
 """)
 def multiword_translate(spark, sf_dir):
     words = tx.translated(tx.tokens(tx.replaced_phrases(F.lower("text"), PHRASES), []), DICTIONARY)
     rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word"))
-    return rows.where(F.col("word").isin("plus", "also", "object", "not", "with", "ofthe", "inthe")).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return rows.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(f"""
@@ -167,10 +167,10 @@ SELECT term, support, {round4('sp / np - sn / nn')} AS delta FROM s, n WHERE sup
 ORDER BY round(sp / np - sn / nn, 9) DESC, term LIMIT 10
 """)
 def contrastive_terms(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = textindex.term_counts(docs, "doc_id", "text")
-    postings = textindex.weighted(counts, textindex.idf_table(counts, docs.count()), "doc_id")
+    counts, idf = textindex.index(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     groups = load(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("positive"))
+    # only documents of either group are weighed
+    postings = textindex.weighted(counts.join(groups, "doc_id", "left_semi"), idf, "doc_id")
     return textindex.contrastive_terms(postings, "doc_id", groups).withColumn("delta", cl.round4(F.col("delta")))
 
 
@@ -182,10 +182,10 @@ SELECT item_id, expected, {round4('coalesce(h5, 0) / least(5, expected)')} AS p_
   {round4('coalesce(h10, 0) / expected')} AS recall_at_10, {round4('coalesce(1.0 / first, 0.0)')} AS reciprocal_rank FROM e LEFT JOIN h USING (item_id)
 """)
 def ir_metrics(spark, sf_dir):
-    # the stated items are held in blocks against all documents
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    truth = load(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(items), F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
-    return quality.ir_metrics(_top(spark, sf_dir), truth, "item_id", "doc_id")
+    items, docs = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents").select("doc_id", "text")
+    counts, idf = textindex.index(docs, "doc_id")
+    truth = textindex.containing(items, "item_id", docs, "doc_id", counts, idf)
+    return quality.ir_metrics(textindex.cosine_topk(items, "item_id", docs, "doc_id", indexed=(counts, idf)), truth, "item_id", "doc_id")
 
 
 @query("""
@@ -208,4 +208,5 @@ FROM (SELECT lang, length(coalesce(text, '')) AS n, CASE WHEN nullif(trim(text),
 """)
 def section_kind_pivot(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").select("lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), quality.section_kind(F.col("text"), PAYWALL).alias("k"))
-    return rows.groupBy("lang").agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("real", "pro_only", "weak", "empty")], quality.upper_median("n").alias("median_chars"))
+    kinds = rows.groupBy("lang").agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("real", "pro_only", "weak", "empty")])
+    return kinds.join(quality.upper_median(rows, "lang", "n", "median_chars"), "lang")

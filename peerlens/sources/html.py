@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerlens.functions import lexicons as lx
+from peerlens.functions import text as tx
+
 
 def links(pages: DataFrame, html: str = "html", pattern: str | None = None) -> DataFrame:
     """page_id, link: targets of anchors in page order, those that match a pattern if one is given."""
@@ -172,3 +175,137 @@ def taxonomy(pages: DataFrame, prefix: str) -> DataFrame:
 def expanded(templates: DataFrame, first: int, last: int) -> DataFrame:
     """Templates with each year of a range for {year}."""
     return templates.select(F.col("template"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year")).select("year", F.replace("template", F.lit("{year}"), F.col("year").cast("string")).alias("name"))
+
+
+class _Interview(HTMLParser):
+    """Name, label and value cells, and candidate bodies of an interview page."""
+
+    LABEL, VALUE = "cemetery-page-data-category", "cemetery-page-data-information"
+    BODIES = ("content-black-rich-text", "div-block-cemetery-article", "w-richtext")
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, list]] = []
+        self.found: list[tuple[str, list[str]]] = []  # kind and texts, in page order
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.VOID:
+            return
+        names = (dict(attrs).get("class") or "").split()
+        kind = next((n for n in (self.LABEL, self.VALUE, *self.BODIES) if n in names), tag if tag in ("h1", "h2", "h3", "p") else "")
+        texts: list = []
+        if kind:
+            self.found.append((kind, texts))
+        self.open.append((tag, texts if kind else None))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        text = " ".join(data.split())
+        if text:
+            for _, texts in self.open:
+                if texts is not None:
+                    texts.append(text)
+
+
+def _interview(page: str | None) -> dict:
+    parser = _Interview()
+    parser.feed(page or "")
+    parser.close()
+    found = [(kind, " ".join(texts)) for kind, texts in parser.found]
+    labels, values = ([t for kind, t in found if kind == want] for want in (parser.LABEL, parser.VALUE))
+    meta: dict[str, str] = {}
+    for label, value in zip(labels, values):
+        key = lx.INTERVIEW_LABELS.get(label.rstrip(":").strip().lower())
+        if key and value:
+            meta.setdefault(key, value)
+    # the body is the longest candidate of the first kind that stands on the page, else the page
+    at = [i for kind in parser.BODIES for i in [j for j, (k, _) in enumerate(found) if k == kind]]
+    first = next((found[i][0] for i in at), None)
+    body = max((i for i in at if found[i][0] == first), key=lambda i: len(found[i][1]), default=None)
+    end = len(found)
+    inside = range(0 if body is None else body + 1, end)
+    parts, left = [], None if body is None else found[body][1]
+    for i in inside:
+        kind, text = found[i]
+        if left is not None and text not in left:
+            break
+        if kind in ("p", "h2", "h3") and len(text) >= 3 and not any(b in text.lower() for b in lx.INTERVIEW_BOILERPLATE):
+            parts.append(text)
+    name = next((t for kind, t in found if kind == "h1"), "")
+    return {"name": name, "one_liner": next((p for p in parts if 40 <= len(p) <= 280), ""), "narrative": "\n\n".join(parts), "meta": meta}
+
+
+def interviews(pages: DataFrame) -> DataFrame:
+    """page_id, name, one_liner, narrative and meta of interview pages; a page without a heading is named by its address."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+                r = _interview(page)
+                r["name"] = r["name"] or (url or "").rsplit("/", 1)[-1].replace("-", " ").title()
+                rows.append({"page_id": page_id, **r, "meta": list(r["meta"].items())})
+            yield pd.DataFrame(rows, columns=["page_id", "name", "one_liner", "narrative", "meta"])
+
+    pairs = "page_id long, name string, one_liner string, narrative string, meta array<struct<key: string, value: string>>"
+    return pages.select("page_id", "url", "html").mapInPandas(run, pairs).withColumn("meta", F.map_from_entries("meta"))
+
+
+TREE = "page_id long, node int, parent int, level int, heading string, content string, items array<string>"
+
+
+def section_tree(pages: DataFrame) -> DataFrame:
+    """One row for each heading with its place in the tree: the parent is the last heading of a lower level before it, absent at the top."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, page in zip(frame["page_id"], frame["html"], strict=True):
+                made: list[dict] = []
+                path: list[dict] = []
+                for kind, texts in outline(page):
+                    if kind[0] == "h":
+                        level = int(kind[1])
+                        while path and path[-1]["level"] >= level:
+                            path.pop()
+                        made.append({"page_id": page_id, "node": len(made), "parent": path[-1]["node"] if path else None, "level": level, "heading": texts[0], "content": [], "items": []})
+                        path.append(made[-1])
+                    elif made and kind in ("p", "li"):
+                        made[-1]["content" if kind == "p" else "items"].append(texts[0])
+                rows += [{**m, "content": "\n".join(m["content"])} for m in made]
+            out = pd.DataFrame(rows, columns=["page_id", "node", "parent", "level", "heading", "content", "items"])
+            out["parent"] = out["parent"].astype("Int32")
+            yield out
+
+    return pages.select("page_id", "html").mapInPandas(run, TREE)
+
+
+def company_pages(pages: DataFrame) -> DataFrame:
+    """page_id, slug, name, description, status, batch, founded_year, website, links, related, competitors of company pages.
+
+    Meta tags give name and description, badges the status and the batch, the text the founding year and competitors.
+    """
+    html = F.col("html")
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]+>", " ")
+    slug = F.regexp_extract(F.col("url"), r"/company/([^/?#]+)", 1)
+    outward = F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="(https?://[^"]+)"'), F.lit(1)))
+    badge = F.nullif(F.regexp_extract(html, r'(?i)<span[^>]+class="[^"]*(?:badge|status)[^"]*"[^>]*>\s*(active|inactive|acquired|public)\s*<', 1), F.lit(""))
+    return pages.select(
+        "page_id",
+        slug.alias("slug"),
+        F.coalesce(meta(html, "og:title"), F.nullif(F.trim(F.regexp_extract(html, "(?s)<h1[^>]*>([^<]*)</h1>", 1)), F.lit(""))).alias("name"),
+        F.coalesce(meta(html, "description"), meta(html, "og:description")).alias("description"),
+        F.initcap(badge).alias("status"),
+        F.nullif(F.regexp_extract(plain, r"\b((?:Winter|Summer|Spring|Fall) (?:19|20)\d{2})\b", 1), F.lit("")).alias("batch"),
+        F.nullif(F.regexp_extract(plain, r"(?i)founded(?: in)?:?\s+((?:19|20)\d{2})", 1), F.lit("")).alias("founded_year"),
+        F.get(F.filter(outward, lambda u: ~F.contains(u, F.lit("/company/"))), 0).alias("website"),
+        outward.alias("links"),
+        tx.related_slugs(html, F.when(slug != "", slug).otherwise("\u0000")).alias("related"),
+        tx.competitor_names(plain).alias("competitors"),
+    )

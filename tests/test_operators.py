@@ -118,7 +118,7 @@ def test_systematic_sample(spark):
 def test_quality(spark):
     df = spark.createDataFrame([("", 1), ("x", 2), (None, 3), ("y", 4)], "a string, n int")
     assert quality.fill_rates(df, ["a"]).first().rate == 0.5
-    assert df.agg(quality.upper_median("n").alias("m")).first().m == 3
+    assert quality.upper_median(df.withColumn("g", F.lit(1)), "g", "n", "m").first().m == 3
     kinds = spark.createDataFrame([("",), ("see the paid plan " * 5,), ("short",), ("a real section " * 5,)], "s string").select(quality.section_kind(F.col("s"), ["paid plan"]).alias("k"))
     assert [r.k for r in kinds.collect()] == ["empty", "pro_only", "weak", "real"]
 

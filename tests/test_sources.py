@@ -13,7 +13,7 @@ def test_register(spark, tmp_path):
 def test_holdings(spark, tmp_path):
     (tmp_path / "h.csv").write_text("cnpj;razao_social;ano;setor_de_atividade;aberta_fechada\n;Old Name;2010;Steel;Aberta\n;old name;2012;Energy;\n")
     (r,) = adapters.ADAPTERS["holdings"](spark, str(tmp_path / "h.csv")).collect()
-    assert r["name"] == "old name" and r.categories == ["Energy", "Steel"] and r.description == "held 2010-2012; Aberta"
+    assert r["name"] == "old name" and r.categories == ["Energy", "Steel"] and r.description == "Empresa brasileira com participação acionária da BNDESPar. Ativa no portfólio de 2010 a 2012. Setor(es): Energy, Steel. Tipo: companhia fechada."
 
 
 def test_accelerator_and_ranking_and_sitemap(spark, tmp_path):
