@@ -116,7 +116,7 @@ def confidence(score: Column, dims: Column, convergence: Column, short_input: Co
         .otherwise("low")
     )
     t = trust if isinstance(trust, Column) else F.lit(trust)
-    return F.when((t <= 0.5) & (level == "high"), "medium").otherwise(level)
+    return F.when((t < 1.0) & (level == "high"), "medium").otherwise(level)
 
 
 def input_quality(words: Column, text: Column) -> Column:

@@ -3,7 +3,10 @@
 Queries: query_id, name, one_liner, categories (array), model, country, founded_year, team_size, stage, cause,
 secondary (array). Companies: company_id, name, description, categories (array), macros (array), country, founded_year,
 headcount, status, cause, cause_inferred, and optionally embedding on both sides. One plan serves one query or
-ten thousand: the lexical part joins postings by term, and the rest meets a bounded set of queries.
+ten thousand: the lexical part joins postings by term, and the rest meets the queries in blocks of a bounded size.
+
+What a query declares is held against its text: a declared model without any of its words in the text scores nothing, a declared cause
+without any of its words counts 0.6, and a segment of few peers lowers the weight of the embedding and the confidence.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from peerlens.functions import classify as cl
 from peerlens.functions import lexicons as lx
 from peerlens.functions import text as tx
 from peerlens.operators import cohorts, scoring, textindex, vectors
+from peerlens.sources.sinks import stored
 
 #: Queries that one plan broadcasts at most; more are taken in blocks of this size.
 BLOCK = 1_000
@@ -39,46 +43,88 @@ def analyzed(queries: DataFrame, macros: dict[str, list[str]] | None = None) ->
     return q.withColumn("year", cl.leading_year(F.col("founded_year")))
 
 
-def similarities(queries: DataFrame, companies: DataFrame) -> DataFrame:
+def corrected(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Queries whose words that no company uses are replaced by the word within one edit that companies use; vocabulary: term, df."""
+    words = queries.select("query_id", F.posexplode("words").alias("at", "word"))
+    fixed = textindex.fuzzy_corrections(words.select("word"), vocabulary)
+    rows = words.join(fixed, "word", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("correction", "word").alias("word")))).alias("_w"))
+    return queries.join(rows, "query_id", "left").withColumn("words", F.coalesce(F.transform("_w", lambda x: x["word"]), "words")).drop("_w")
+
+
+def _expected(declared: Column, table: dict[str, list[str]]) -> Column:
+    """Words that go with what is declared, none if the table doesn't know it."""
+    none = F.array().cast("array<string>")
+    if not table:
+        return none
+    known = F.create_map(*[x for k, ws in table.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in ws]))])
+    return F.coalesce(F.element_at(known, declared), none)
+
+
+def coherence(queries: DataFrame, models: dict[str, list[str]] | None = None, causes: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds coherent (the text has a word of the declared model) and corroborated (a word of the declared cause); true where nothing is expected or said.
+
+    models: model in lower case -> words; causes: cause -> phrases, of which words of three letters or more count.
+    """
+    said = F.size("words") > 0
+    pieces = {c: sorted({w for p in phrases for w in p.split() if len(w) >= 3 and w not in lx.STOPWORDS}) for c, phrases in (causes or {}).items()}
+    model = _expected(F.lower(F.trim(F.coalesce("model", F.lit("")))), models or {})
+    cause = _expected(F.coalesce("cause", F.lit("")), {c: ws for c, ws in pieces.items() if ws})
+    return queries.withColumns({"coherent": ~said | scoring.coherent(F.col("words"), model), "corroborated": ~said | scoring.coherent(F.col("words"), cause)})
+
+
+def segment_trust(queries: DataFrame, companies: DataFrame) -> DataFrame:
+    """Adds segment_trust: 0.5 below 10 companies that share a macro with the query, 0.75 below 20, else 1; 1 for a query without macros."""
+    asked = queries.where(F.size("macros") > 0).select("query_id", F.explode("macros").alias("macro"))
+    peers = companies.select("company_id", F.explode("macros").alias("macro")).join(asked, "macro").select("query_id", "company_id").distinct()
+    counts = peers.groupBy("query_id").agg(F.count("*").alias("_peers"))
+    n = F.coalesce("_peers", F.lit(0))
+    trust = F.when(F.size("macros") == 0, 1.0).when(n < 10, 0.5).when(n < 20, 0.75).otherwise(1.0)
+    return queries.join(counts, "query_id", "left").withColumn("segment_trust", trust).drop("_peers")
+
+
+def similarities(queries: DataFrame, companies: DataFrame, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, company_id, lexical: cosine of the texts, from the term join."""
-    counts = textindex.term_counts(companies, "company_id", "description")
-    idf = textindex.idf_table(counts, companies.count())
+    counts, idf = indexed or textindex.index(companies, "company_id", "description")
     postings = textindex.weighted(counts, idf, "company_id")
     words = queries.select("query_id", F.size("words").alias("total"), F.explode("words").alias("term")).groupBy("query_id", "total", "term").agg(F.count("*").alias("n"))
     asked = textindex.weighted(words, idf, "query_id").withColumnRenamed("w", "wq")
     return asked.join(postings, "term").groupBy("query_id", "company_id").agg(F.sum(F.col("wq") * F.col("w")).alias("lexical")).where(F.col("lexical") >= lx.MIN_LEXICAL)
 
 
-def scored(queries: DataFrame, companies: DataFrame) -> DataFrame:
+def scored(queries: DataFrame, companies: DataFrame, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All pairs from the least score on, with dimensions, score and rank."""
-    lexical = similarities(queries, companies)
-    keep = ["query_id", "macros", "category_keys", "model", "country_key", "year", "cause", "secondary", "quality", "stage", "team_size"]
+    lexical = similarities(queries, companies, indexed)
+    given = {"coherent": F.lit(True), "corroborated": F.lit(True), "segment_trust": F.lit(1.0)}
+    queries = queries.withColumns({c: x for c, x in given.items() if c not in queries.columns})
+    keep = [*given, "query_id", "macros", "category_keys", "model", "country_key", "year", "cause", "secondary", "quality", "stage", "team_size"]
     if "embedding" in queries.columns and "embedding" in companies.columns:
         keep.append("embedding")
     q = queries.select(*[F.col(c).alias(c if c == "query_id" else f"q_{c}") for c in keep])
     c = companies.withColumns({"c_keys": F.transform("categories", tx.compact_key), "c_country": tx.country_key(F.col("country")), "c_year": cl.leading_year(F.col("founded_year"))})
-    # a stated, bounded set of queries in one block against all companies
-    pairs = c.join(F.broadcast(q)).join(lexical, ["query_id", "company_id"], "left")
+    # the stated queries, in blocks, against all companies
+    pairs = vectors.against_all(c, q, "query_id", F.lit(True), BLOCK).join(lexical, ["query_id", "company_id"], "left")
     empty = F.coalesce(F.col("cause"), F.lit(""))
     dims: list[Column] = [
         scoring.overlap("macro", F.col("q_macros"), F.col("macros"), lx.WEIGHTS["macro"]),
         scoring.overlap("category", F.col("q_category_keys"), F.col("c_keys"), lx.WEIGHTS["category"]),
-        scoring.dimension("model", F.lit(1.0), lx.WEIGHTS["model"], (tx.compact_key(F.col("q_model")) != "") & F.array_contains("c_keys", tx.compact_key(F.col("q_model")))),
+        scoring.dimension("model", F.lit(1.0), lx.WEIGHTS["model"], F.col("q_coherent") & (tx.compact_key(F.col("q_model")) != "") & F.array_contains("c_keys", tx.compact_key(F.col("q_model")))),
         scoring.lexical(F.col("lexical")),
-        scoring.cause(tx.compact_key(F.col("q_cause")), tx.compact_key(empty), F.coalesce("cause_inferred", F.lit(False)), F.lit(True)),
+        scoring.cause(tx.compact_key(F.col("q_cause")), tx.compact_key(empty), F.coalesce("cause_inferred", F.lit(False)), F.col("q_corroborated")),
         scoring.secondary(F.transform(F.coalesce("q_secondary", F.array().cast("array<string>")), tx.compact_key), tx.compact_key(empty)),
         scoring.country(F.col("q_country_key"), F.col("c_country")),
         scoring.era(F.col("q_year"), F.col("c_year")),
     ]
     if "q_embedding" in pairs.columns:
-        dims.append(scoring.semantic(vectors.dot(F.col("q_embedding"), F.col("embedding")), F.col("q_quality.trust")))
+        dims.append(scoring.semantic(vectors.dot(F.col("q_embedding"), F.col("embedding")), F.col("q_quality.trust") * F.col("q_segment_trust")))
     return scoring.ranked(scoring.with_score(pairs, dims, cl.is_dead(F.col("status"))))
 
 
-def consult(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25) -> DataFrame:
+def consult(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25, models: dict[str, list[str]] | None = None, causes: dict[str, list[str]] | None = None) -> DataFrame:
     """query_id, company_id, name, outcome, score, final_rank, confidence, reasons of the best matches."""
-    q = analyzed(queries, macros)
-    rows = scored(q, companies)
+    counts, idf = textindex.index(companies, "company_id", "description")
+    q = corrected(analyzed(queries, macros), idf.select("term", "df"))
+    q = stored(segment_trust(coherence(q, models, causes), companies), "queries")
+    rows = scored(q, companies, (counts, idf))
     parts = {
         "country": F.when((F.col("q_country_key") != "") & (F.col("c_country") != ""), (F.col("q_country_key") == F.col("c_country")).cast("double")),
         "decade": scoring.nearness(F.col("q_year"), F.col("c_year"), 20.0),
@@ -87,23 +133,24 @@ def consult(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str
         "model": F.when(tx.compact_key(F.col("q_model")) != "", F.array_contains("c_keys", tx.compact_key(F.col("q_model"))).cast("double")),
     }
     rows = scoring.rerank(rows.withColumn("similarity", scoring.profile_similarity(parts)), "similarity")
-    level = scoring.confidence(F.col("score"), F.col("dims"), F.col("convergence"), F.col("q_quality.short"))
+    level = scoring.confidence(F.col("score"), F.col("dims"), F.col("convergence"), F.col("q_quality.short"), F.col("q_segment_trust"))
     out = rows.where(F.col("final_rank") <= top)
     return out.select("query_id", "company_id", "name", cl.outcome(F.col("status")).alias("outcome"), cl.round4(F.col("final_score")).alias("score"), "final_rank", level.alias("confidence"), scoring.explain(F.col("dims")).alias("reasons"), "convergence")
 
 
-def consult_in_blocks(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25, block: int = BLOCK):
+def consult_in_blocks(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25, block: int = BLOCK, **tables):
     """consult() for any number of queries: one result for each block of them."""
     n = max(1, -(-queries.count() // block))
     for k in range(n):
-        yield consult(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k), companies, macros, top)
+        yield consult(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k), companies, macros, top, **tables)
 
 
 def diagnosis(matches: DataFrame, companies: DataFrame, queries: DataFrame, top: int = 15) -> DataFrame:
     """query_id, direction, gap: outcomes of the closest matches against those of the queries' segments."""
     best = matches.where(F.col("final_rank") <= top).groupBy("query_id").agg(*cohorts.outcome_counts())
     c = companies.withColumn("outcome", cl.outcome(F.col("status")))
-    segment = c.join(F.broadcast(queries.select("query_id", F.col("macros").alias("q_macros"))), F.arrays_overlap("macros", "q_macros")).groupBy("query_id").agg(*cohorts.outcome_counts())
+    asked = queries.select("query_id", F.col("macros").alias("q_macros"))
+    segment = vectors.against_all(c, asked, "query_id", F.arrays_overlap("macros", "q_macros"), BLOCK).groupBy("query_id").agg(*cohorts.outcome_counts())
     return cohorts.path_signal(best, segment, ["query_id"])
 
 

@@ -37,6 +37,18 @@ def tfidf_topk(spark, sf_dir):
     return _top(spark, sf_dir).withColumn("score", cl.round4(F.col("score")))
 
 
+@query(f"""
+WITH {TOPK}, t AS (SELECT item_id, doc_id, term, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(wq * w, 9) DESC, term DESC) AS n FROM q JOIN post USING (term))
+SELECT item_id, doc_id, array_to_string(list(term ORDER BY n), '|') AS terms FROM t WHERE n <= 5 AND item_id % 10 = 0 GROUP BY ALL
+""")
+def shared_terms(spark, sf_dir):
+    """For the items whose id is divisible by 10, against all documents."""
+    counts, idf = textindex.index(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    asked = textindex.weighted(textindex.term_counts(load(spark, sf_dir, "benchmark").where("item_id % 10 = 0"), "item_id", "text"), idf, "item_id").withColumnRenamed("w", "wq")
+    rows = textindex.shared_terms(asked, textindex.weighted(counts, idf, "doc_id"), "item_id", "doc_id")
+    return rows.withColumn("terms", F.array_join("terms", "|"))
+
+
 @query(f"WITH {INDEX} SELECT term, df, {round4('idf')} AS idf FROM idf")
 def tfidf_idf_table(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")

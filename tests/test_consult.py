@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from peerlens.operators import graph
 from peerlens.plans import consult
@@ -34,7 +35,8 @@ def test_matches_are_ranked_and_explained(found):
     _, _, m = found
     rows = m.where("query_id = 1").orderBy("final_rank").collect()
     assert [(r.company_id, r.outcome) for r in rows] == [(10, "dead"), (12, "acquired")]
-    assert rows[0].convergence and rows[0].confidence == "high" and "cause" in rows[0].reasons
+    # a segment of three peers caps the confidence
+    assert rows[0].convergence and rows[0].confidence == "medium" and "cause" in rows[0].reasons
     assert m.where("query_id = 2").count() == 0
 
 
@@ -65,3 +67,25 @@ def test_integrated_graph(spark):
     assert {r.id: (r.type, r.name) for r in nodes.collect()} == {"A": ("company", "filled"), "B": ("company", "b"), "C": ("x", "c")}
     assert edges.count() == 1
     assert {(r.kind, r.key): r.n for r in graph.summary(nodes, edges).collect()} == {("node", "company"): 2, ("node", "x"): 1, ("edge", "R"): 1}
+
+
+def test_words_are_corrected_and_claims_are_held_against_the_text(spark, found):
+    q, c, _ = found
+    a = consult.analyzed(q.withColumn("one_liner", F.replace("one_liner", F.lit("payments"), F.lit("paymants"))), MACROS)
+    fixed = consult.corrected(a, spark.createDataFrame([("payments", 3), ("shops", 2)], "term string, df long"))
+    words = {r.query_id: r.words for r in fixed.collect()}
+    assert "payments" in words[1] and "paymants" not in words[1] and words[2] == ["min", "food"]
+    models, causes = {"saas": ["software", "subscription"]}, {"Lack of Funds": ["ran out of cash"]}
+    told = {r.query_id: (r.coherent, r.corroborated) for r in consult.coherence(a, models, causes).collect()}
+    assert told == {1: (False, False), 2: (True, True)}
+    trust = {r.query_id: r.segment_trust for r in consult.segment_trust(a, c).collect()}
+    assert trust == {1: 0.5, 2: 1.0}
+
+
+def test_claims_without_words_count_less(found):
+    q, c, plain = found
+    less = consult.consult(q, c, MACROS, models={"saas": ["software"]}, causes={"Lack of Funds": ["ran out of cash"]})
+    a, b = ({r.company_id: r for r in m.where("query_id = 1").collect()} for m in (plain, less))
+    assert b[10].score < a[10].score and "model" not in b[10].reasons
+    # a segment of three peers never gives high confidence
+    assert a[10].confidence == b[10].confidence == "medium"
