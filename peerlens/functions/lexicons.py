@@ -117,3 +117,45 @@ INTERVIEW_BOILERPLATE = ["subscribe", "newsletter", "related posts", "read more"
 
 # Texts that mark a section behind a paywall, in raw reports (fixed values).
 PAYWALL_MARKERS = ["does not have a completed analysis", "monthly pro research", "commission the"]
+
+# Country names and the key they go by (fixed values).
+COUNTRY_ALIASES = {
+    "brasil": "brazil", "br": "brazil", "brazilian": "brazil", "usa": "united states", "us": "united states", "u.s.": "united states",
+    "u.s.a.": "united states", "eua": "united states", "estados unidos": "united states", "american": "united states", "uk": "united kingdom",
+    "reino unido": "united kingdom", "inglaterra": "united kingdom", "alemanha": "germany", "franca": "france", "espanha": "spain", "italia": "italy",
+    "holanda": "netherlands", "paises baixos": "netherlands", "suecia": "sweden", "suica": "switzerland", "india": "india", "china": "china",
+    "japao": "japan", "russia": "russia", "mexico": "mexico", "argentina": "argentina", "chile": "chile", "colombia": "colombia", "canada": "canada",
+    "australia": "australia",
+}
+
+# Phrases that tell why a company failed, by cause, in order of precedence (fixed values).
+CAUSE_LEXICON = {
+    "Lack of Funds": ["ran out of money", "ran out of cash", "ran out of funds", "couldn't raise", "could not raise", "unable to raise", "failed to raise", "funding dried", "no more capital", "out of runway", "couldn't secure funding", "failed fundraise"],
+    "No Market Need": ["no market need", "no demand", "nobody wanted", "no one wanted", "users didn't want", "no real need", "solution looking for a problem", "didn't solve a real problem", "no product-market fit", "no product market fit", "lacked demand"],
+    "Bad Market Fit": ["market too small", "wrong market", "niche was too small", "market fit", "tam too small", "couldn't find product-market fit"],
+    "Bad Business Model": ["unit economics", "couldn't monetize", "couldn't make money", "margins too thin", "business model didn't work", "business model failed", "unprofitable", "couldn't turn a profit", "unable to charge", "pricing problem"],
+    "Bad Marketing": ["couldn't acquire users", "couldn't acquire customers", "acquisition was too expensive", "cac was too high", "couldn't get customers", "growth stalled", "bad marketing", "marketing failed", "no growth"],
+    "Poor Product": ["product was bad", "poor product", "product didn't work", "too many bugs", "quality issues", "product wasn't ready", "technical problems"],
+    "Bad Management": ["cofounder left", "co-founder left", "cofounder conflict", "founder conflict", "management issues", "team fell apart", "founder dispute", "founders fought"],
+    "Mismanagement of Funds": ["spent too much", "overspent", "burn rate too high", "burned through cash", "burned too much", "misallocated"],
+    "Competition": ["outcompeted", "bigger competitor", "lost to", "couldn't compete", "competition was too strong", "dominant player", "incumbents won"],
+    "Lack of Focus": ["too many pivots", "pivoted too many", "spread too thin", "lost focus", "scope creep", "tried to do too much"],
+    "Lack of Experience": ["first-time founder", "first time founder", "inexperienced", "didn't know the industry", "no domain expertise"],
+    "Legal Challenges": ["lawsuit", "regulatory", "regulation", "legal issue", "legal challenge", "banned", "compliance", "sued", "regulator", "illegal"],
+    "Bad Timing": ["too early", "too late", "ahead of its time", "timing was wrong", "market wasn't ready"],
+    "Dependence on Others": ["api changed", "platform changed", "depended on", "blocked by", "shut out of", "access revoked", "api deprecated", "kicked off"],
+}
+
+# Words that go with a declared business model (fixed values).
+MODEL_WORDS = {
+    "saas": ["saas", "subscription", "software", "platform", "cloud", "assinatura"],
+    "marketplace": ["marketplace", "match", "connect", "platform", "two-sided", "vendedores", "compradores"],
+    "b2b": ["b2b", "enterprise", "business", "company", "companies", "empresa", "empresas"],
+    "b2c": ["b2c", "consumer", "users", "user", "customer", "usuario", "usuarios", "pessoas"],
+    "b2b2c": ["b2b2c", "platform", "enterprise", "consumer"],
+    "e-commerce": ["ecommerce", "commerce", "shop", "store", "retail", "buy", "sell", "loja", "varejo"],
+    "app": ["app", "mobile", "ios", "android", "aplicativo"],
+    "hardware": ["hardware", "device", "devices", "iot", "sensor", "dispositivo"],
+    "agency": ["agency", "services", "consulting", "consultoria"],
+    "subscription": ["subscription", "recurring", "monthly", "assinatura", "mensalidade"],
+}

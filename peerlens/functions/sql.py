@@ -25,3 +25,19 @@ def register(spark: SparkSession) -> list[str]:
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     return [h.split("(")[0] for h in bodies]
+
+
+def register_tables(spark: SparkSession) -> list[str]:
+    """Registers table functions: html_outline(html) gives node, parent, level, heading, content and items of a page's sections."""
+    from pyspark.sql.functions import udtf
+
+    from peerlens.sources.html import tree_of
+
+    @udtf(returnType="node int, parent int, level int, heading string, content string, items array<string>")
+    class Outline:
+        def eval(self, html: str):
+            for m in tree_of(html):
+                yield m["node"], m["parent"], m["level"], m["heading"], "\n".join(m["content"]), m["items"]
+
+    spark.udtf.register("html_outline", Outline)
+    return ["html_outline"]

@@ -101,12 +101,15 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 
 
 def bulk_nodes(nodes: DataFrame) -> DataFrame:
-    """Rows for a property-graph bulk loader: `id:ID`, `:LABEL`, name."""
-    return nodes.select(F.col("id").alias("id:ID"), F.upper(F.coalesce("type", F.lit("unknown"))).alias(":LABEL"), "name")
+    """Rows for a property-graph bulk loader: `id:ID`, `:LABEL`, and all other columns by name as text, absent ones empty."""
+    rest = sorted(c for c in nodes.columns if c not in ("id", "type"))
+    return nodes.select(F.col("id").alias("id:ID"), F.upper(F.coalesce("type", F.lit("unknown"))).alias(":LABEL"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rest])
 
 
 def bulk_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.col("relation").alias(":TYPE"))
+    """`:START_ID`, `:END_ID`, `:TYPE`, and all other columns by name."""
+    rest = sorted(c for c in edges.columns if c not in ("source", "target", "relation"))
+    return edges.select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.col("relation").alias(":TYPE"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rest])
 
 
 def write_bulk(nodes: DataFrame, edges: DataFrame, path: str) -> None:

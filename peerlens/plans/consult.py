@@ -33,8 +33,9 @@ def analyzed(queries: DataFrame, macros: dict[str, list[str]] | None = None) ->
             "stage": F.coalesce(tx.absent(F.col("stage")), e["round"]),
             "founded_year": F.coalesce(tx.absent(F.col("founded_year")), e["year"].cast("string")),
             "team_size": F.coalesce(tx.absent(F.col("team_size")), e["headcount"].cast("string")),
+            "total_funding": F.coalesce(tx.absent(F.col("total_funding")) if "total_funding" in queries.columns else F.lit(None), e["money"].cast("decimal(20,0)").cast("string")),
             "words": tx.tokens(tx.strip_negated(F.lower(text))),
-            "country_key": tx.country_key(F.col("country")),
+            "country_key": tx.country_key(F.col("country"), lx.COUNTRY_ALIASES),
             "category_keys": F.filter(F.transform("categories", tx.compact_key), lambda c: c != ""),
             "macros": cl.categories_to_macros(F.col("categories"), macros) if macros else F.array().cast("array<string>"),
         }
@@ -63,11 +64,12 @@ def _expected(declared: Column, table: dict[str, list[str]]) -> Column:
 def coherence(queries: DataFrame, models: dict[str, list[str]] | None = None, causes: dict[str, list[str]] | None = None) -> DataFrame:
     """Adds coherent (the text has a word of the declared model) and corroborated (a word of the declared cause); true where nothing is expected or said.
 
-    models: model in lower case -> words; causes: cause -> phrases, of which words of three letters or more count.
+    models: model in lower case -> words; causes: cause -> phrases, of which words of three letters or more count; both default to the fixed lists.
     """
     said = F.size("words") > 0
-    pieces = {c: sorted({w for p in phrases for w in p.split() if len(w) >= 3 and w not in lx.STOPWORDS}) for c, phrases in (causes or {}).items()}
-    model = _expected(F.lower(F.trim(F.coalesce("model", F.lit("")))), models or {})
+    models, causes = lx.MODEL_WORDS if models is None else models, lx.CAUSE_LEXICON if causes is None else causes
+    pieces = {c: sorted({w for p in phrases for w in p.split() if len(w) >= 3 and w not in lx.STOPWORDS}) for c, phrases in causes.items()}
+    model = _expected(F.lower(F.trim(F.coalesce("model", F.lit("")))), models)
     cause = _expected(F.coalesce("cause", F.lit("")), {c: ws for c, ws in pieces.items() if ws})
     return queries.withColumns({"coherent": ~said | scoring.coherent(F.col("words"), model), "corroborated": ~said | scoring.coherent(F.col("words"), cause)})
 
@@ -100,7 +102,7 @@ def scored(queries: DataFrame, companies: DataFrame, indexed: tuple[DataFrame, D
     if "embedding" in queries.columns and "embedding" in companies.columns:
         keep.append("embedding")
     q = queries.select(*[F.col(c).alias(c if c == "query_id" else f"q_{c}") for c in keep])
-    c = companies.withColumns({"c_keys": F.transform("categories", tx.compact_key), "c_country": tx.country_key(F.col("country")), "c_year": cl.leading_year(F.col("founded_year"))})
+    c = companies.withColumns({"c_keys": F.transform("categories", tx.compact_key), "c_country": tx.country_key(F.col("country"), lx.COUNTRY_ALIASES), "c_year": cl.leading_year(F.col("founded_year"))})
     # the stated queries, in blocks, against all companies
     pairs = vectors.against_all(c, q, "query_id", F.lit(True), BLOCK).join(lexical, ["query_id", "company_id"], "left")
     empty = F.coalesce(F.col("cause"), F.lit(""))
@@ -154,6 +156,22 @@ def diagnosis(matches: DataFrame, companies: DataFrame, queries: DataFrame, top:
     return cohorts.path_signal(best, segment, ["query_id"])
 
 
+#: Verdicts by direction; the wording is this package's own.
+VERDICTS = {
+    "NEGATIVO": "Your closest peers died more often than your segment: %s of them.",
+    "POSITIVO": "Your closest peers survived more often than your segment.",
+    "NEUTRO": "Your closest peers fared as your segment did.",
+    "INCERTO": "There are too few peers to tell.",
+}
+
+
+def verdict(direction: Column, dead_share: Column, short_input: Column) -> Column:
+    """A sentence for a direction; a short input overrides it."""
+    share = F.format_string("%.0f %%", dead_share * 100)
+    text = F.coalesce(*[F.when(direction == d, F.replace(F.lit(t), F.lit("%s"), share)) for d, t in VERDICTS.items()], F.lit(VERDICTS["INCERTO"]))
+    return F.when(short_input, "The input is too short for a verdict.").otherwise(text)
+
+
 def payload(matches: DataFrame) -> DataFrame:
     """query_id, payload: the matches of a query as JSON, in rank order. A query has at most `top` of them."""
     fields = ["final_rank", "name", "outcome", "score", "confidence", "reasons"]

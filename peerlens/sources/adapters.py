@@ -257,6 +257,13 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim("loc").alias("url")).select("url", F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)/", 1), F.lit("")), F.lit("page")).alias("kind"))
 
 
+def sitemap_locations(files: DataFrame) -> DataFrame:
+    """url, kind of the locations in the texts (`value`) of sitemaps, read by pattern, so that broken XML loses nothing."""
+    found = F.explode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)))
+    rows = files.select(found.alias("url")).distinct()
+    return rows.select("url", F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)/", 1), F.lit("")), F.lit("page")).alias("kind"))
+
+
 def encyclopedia(pages: DataFrame) -> DataFrame:
     """Records of encyclopedia pages(title, extract, wikitext): infobox fields, status by text."""
     box = tx.infobox(F.col("wikitext"))

@@ -260,25 +260,28 @@ def interviews(pages: DataFrame) -> DataFrame:
 TREE = "page_id long, node int, parent int, level int, heading string, content string, items array<string>"
 
 
+def tree_of(page: str | None) -> list[dict]:
+    """Headings of a page in order; the parent is the last heading of a lower level before it, absent at the top."""
+    made: list[dict] = []
+    path: list[dict] = []
+    for kind, texts in outline(page):
+        if kind[0] == "h":
+            level = int(kind[1])
+            while path and path[-1]["level"] >= level:
+                path.pop()
+            made.append({"node": len(made), "parent": path[-1]["node"] if path else None, "level": level, "heading": texts[0], "content": [], "items": []})
+            path.append(made[-1])
+        elif made and kind in ("p", "li"):
+            made[-1]["content" if kind == "p" else "items"].append(texts[0])
+    return made
+
+
 def section_tree(pages: DataFrame) -> DataFrame:
-    """One row for each heading with its place in the tree: the parent is the last heading of a lower level before it, absent at the top."""
+    """One row for each heading with its place in the tree."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for page_id, page in zip(frame["page_id"], frame["html"], strict=True):
-                made: list[dict] = []
-                path: list[dict] = []
-                for kind, texts in outline(page):
-                    if kind[0] == "h":
-                        level = int(kind[1])
-                        while path and path[-1]["level"] >= level:
-                            path.pop()
-                        made.append({"page_id": page_id, "node": len(made), "parent": path[-1]["node"] if path else None, "level": level, "heading": texts[0], "content": [], "items": []})
-                        path.append(made[-1])
-                    elif made and kind in ("p", "li"):
-                        made[-1]["content" if kind == "p" else "items"].append(texts[0])
-                rows += [{**m, "content": "\n".join(m["content"])} for m in made]
+            rows = [{"page_id": page_id, **m, "content": "\n".join(m["content"])} for page_id, page in zip(frame["page_id"], frame["html"], strict=True) for m in tree_of(page)]
             out = pd.DataFrame(rows, columns=["page_id", "node", "parent", "level", "heading", "content", "items"])
             out["parent"] = out["parent"].astype("Int32")
             yield out
