@@ -26,15 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
 _made: list[tuple[str, str]] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Drops the tables and folders that written() and bucketed() have made; call it when no result of theirs is needed any more."""
-    while _made:
-        kind, name = _made.pop()
+def made() -> int:
+    """How many tables and folders there are by now; see release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Drops the tables and folders that written() and bucketed() have made since made() was `since`, but for the one that `keep`
+    reads; call it when no other result of theirs is needed any more."""
+    kept = None if keep is None else keep.__dict__.get("_folder")
+    left = [m for m in _made[since:] if m[1] == kept]
+    for kind, name in _made[since:]:
+        if name == kept:
+            continue
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         else:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[since:] = left
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +52,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append(("folder", path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
 def bucketed(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import corpus_pipeline
@@ -65,6 +66,19 @@ def test_columns_of_stages(spark, folder):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_extra_columns_with_clashing_names(spark, folder):
+    """Each stage but the last returns the columns of its input, whatever they are called, with their values."""
+    out, _, _ = folder
+    d = spark.read.parquet(f"{out}/documents.parquet").where("doc_id < 60 or doc_id >= 200")
+    names = ["_key", "_mark", "ranges", "set_key", "bands", "component", "component_id", "score", "passages", "runs", "items", "_hash", "rep", "toxic", "fold", "_n", "h", "key"]
+    d = d.select("*", *[(d.doc_id * 10 + i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, d, out)
+        assert got.columns == d.columns, name
+        for r in got.collect():
+            assert r.doc_id is None or [r[n] for n in names] == [r.doc_id * 10 + i for i in range(len(names))], name
+
+
 def test_empty_documents(spark, folder):
     out, _, _ = folder
     d = spark.read.parquet(f"{out}/documents.parquet").limit(0)
@@ -83,11 +97,12 @@ def test_release_drops_what_was_made(spark):
     from peerlens.llm import common
 
     common.release(spark)
+    first = common.written(spark.range(2), "first")
     kept = common.written(spark.range(3), "kept")
+    common.release(spark, keep=kept)
+    assert kept.count() == 3 and len(common._made) == 1 and not os.path.exists(first.inputFiles()[0].removeprefix("file://"))
     table = common.bucketed(spark.range(3).withColumnRenamed("id", "doc_id"), "doc_id")
     assert kept.count() == table.count() == 3
     path = kept.inputFiles()[0].removeprefix("file://")
     common.release(spark)
-    import os
-
     assert not os.path.exists(path) and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
