@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from peerlens.llm import bpe, decontam, minhash, substrings, toxicity
-from peerlens.llm.common import table, written
+from peerlens.llm.common import made, release, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage's output is written, what the stages so far have stored is dropped."""
+    docs, since = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, docs, since)
     return STAGES[-1][1](spark, docs, sf_dir)
