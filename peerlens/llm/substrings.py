@@ -3,8 +3,10 @@
 1. Each window of LENGTH bytes has an anchor: the least hash of its 69 stretches of GRAM bytes, the leftmost in a
    tie. Equal windows have equal anchors at equal offsets, so only windows of one anchor hash need to meet. An
    anchor with the run of windows it stands for is one row; a text has about one for 36 bytes.
-2. Rows with equal anchor and equal bytes around it are repeats of the earliest as a whole. This is settled
-   first within each batch, so a passage in a third of all documents leaves a task once, and then by anchor.
+2. Rows with equal anchor and equal hash of the bytes around it are taken for repeats of the earliest as a whole. This is told
+   first within each batch, so a passage in a third of all documents leaves a task once, and then by anchor. Runs that repeat the
+   same earlier text side by side become one range, and each range is confirmed by the SHA-256 of its bytes and of
+   those it repeats. Anchors of a range that isn't go through step 3 with all their rows.
 3. Where an anchor still has different surroundings, the earliest of each kind send their bytes (a run's windows,
    about 136 bytes). Blocks of whole anchor groups are suffix-sorted in two stages, and adjacent
    common prefixes of LENGTH bytes tell the windows that start earlier as well (suffixes.py). So that a block stays bounded,
@@ -94,7 +96,7 @@ def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-ANCHOR_SCHEMA = "deal long, settled boolean, h long, c long, key long, mark long, start int, n int"
+ANCHOR_SCHEMA = "deal long, settled boolean, h long, c long, key long, mark long, start int, n int, lkey long, lmark long, lstart int"
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
@@ -121,13 +123,14 @@ def find_anchors(rows: DataFrame) -> DataFrame:
             deal = np.where(settled, mix(key.view(np.uint64) ^ mark.view(np.uint64)).view(np.int64), h)
             for i in range(0, len(h), 50_000):
                 s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(deal[s]), pa.array(settled[s]), pa.array(h[s]), pa.array(c[s]), pa.array(key[s]), pa.array(mark[s]), pa.array(first[s].astype(np.int32)), pa.array(n[s].astype(np.int32))], names=["deal", "settled", "h", "c", "key", "mark", "start", "n"])
+                led = [pa.array(x[lead[s]].astype(t), mask=~settled[s]) for x, t in ((key, np.int64), (mark, np.int64), (first, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(deal[s]), pa.array(settled[s]), pa.array(h[s]), pa.array(c[s]), pa.array(key[s]), pa.array(mark[s]), pa.array(first[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), *led], names=["deal", "settled", "h", "c", "key", "mark", "start", "n", "lkey", "lmark", "lstart"])
 
     return rows.select("key", "mark", "data").mapInArrow(run, ANCHOR_SCHEMA)
 
 
 def settle(anchor_rows: DataFrame) -> DataFrame:
-    """key, mark, start, n and h: null for runs that repeat as a whole, the anchor for those whose bytes must be compared."""
+    """key, mark, start, n and h of runs; repeat: whether a run is taken for a repeat as a whole, of the run at lkey, lmark, lstart; the bytes of the others must be compared."""
     dealt = anchor_rows.repartition("deal").sortWithinPartitions("settled", "h", "c", "key", "start")
 
     def places(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,9 +149,11 @@ def settle(anchor_rows: DataFrame) -> DataFrame:
             several |= of_group == 0
         keep = repeat | several
         keep[0] &= not told
-        out = t.select(["key", "mark", "start", "n", "h"]).filter(pa.array(keep))
-        h = t.column("h").to_numpy()
-        out = out.set_column(4, "h", pa.array(h[keep], mask=repeat[keep]))
+        own, led = t.select(["key", "mark", "start", "n", "h"]).filter(pa.array(keep)), lead[keep]
+        out = own.append_column("repeat", pa.array(repeat[keep]))
+        for c in ("key", "mark", "start"):
+            x = t.column(c).to_numpy()
+            out = out.append_column("l" + c, pa.array(x[led], mask=~repeat[keep]))
         yield from out.to_batches(50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +163,8 @@ def settle(anchor_rows: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([batch])
             done = t.filter(t.column("settled"))
             if len(done):
-                done = done.select(["key", "mark", "start", "n"])
-                yield from done.append_column("h", pa.nulls(len(done), pa.int64())).to_batches()
+                done = done.append_column("repeat", pa.array(np.ones(len(done), bool)))
+                yield from done.select(["key", "mark", "start", "n", "h", "repeat", "lkey", "lmark", "lstart"]).to_batches()
             t = t.filter(pa.compute.invert(t.column("settled")))
             if not len(t):
                 continue
@@ -184,7 +189,53 @@ def settle(anchor_rows: DataFrame) -> DataFrame:
 
     import pyarrow.compute  # noqa: F401
 
-    return dealt.mapInArrow(run, "key long, mark long, start int, n int, h long")
+    return dealt.mapInArrow(run, "key long, mark long, start int, n int, h long, repeat boolean, lkey long, lmark long, lstart int")
+
+
+RANGE = "key long, mark long, start int, stop int, lkey long, lmark long, lstart int"
+
+
+def repeated_ranges(repeats: DataFrame) -> DataFrame:
+    """Ranges (RANGE) of bytes that repeat an earlier text in one piece: runs side by side, of one leader at one distance."""
+    runs = repeats.groupBy("key", "mark").agg(F.collect_set(F.struct("lkey", "lmark", "start", "n", "lstart")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                lists = part.column("runs")
+                sizes = np.array([len(x) for x in lists], np.int64)
+                flat = lists.flatten()
+                lkey, lmark, start, n, lstart = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lkey", "lmark", "start", "n", "lstart"))
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((start, start - lstart, lmark, lkey, doc))
+                doc, lkey, lmark, start, n, lstart = (x[order] for x in (doc, lkey, lmark, start, n, lstart))
+                new = np.ones(len(doc), bool)
+                same = [x[1:] == x[:-1] for x in (doc, lkey, lmark, start - lstart)]
+                new[1:] = ~np.logical_and.reduce([*same, start[1:] == start[:-1] + n[:-1]])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(doc)) - 1
+                columns = [part.column("key").to_numpy()[doc[first]], part.column("mark").to_numpy()[doc[first]], start[first].astype(np.int32), (start[last] + n[last] + LENGTH - 1).astype(np.int32), lkey[first], lmark[first], lstart[first].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "mark", "start", "stop", "lkey", "lmark", "lstart"])
+
+    return runs.mapInArrow(run, RANGE)
+
+
+def with_proof(ranges: DataFrame, rows: DataFrame) -> DataFrame:
+    """ranges with `proved`: whether their bytes and those of the leader have one SHA-256. rows: key, mark, data, bucketed by key and mark.
+
+    Equal spans of leaders are read once, and a span that many ranges repeat is looked up by broadcast.
+    """
+    n = F.col("stop") - F.col("start")
+    spans = ranges.select("lkey", "lmark", "lstart", n.alias("n")).distinct()
+    digest = lambda start: F.sha2(F.substring(F.col("data"), F.col(start) + 1, F.col("n")), 256)
+    span = F.concat_ws(":", "lkey", "lmark", "lstart", "n")
+    texts = rows.toDF("lkey", "lmark", "data").join(spans.hint("shuffle_hash"), ["lkey", "lmark"])
+    # equal rows have equal bytes
+    leaders = written(texts.select(span.alias("span"), digest("lstart").alias("led")).distinct(), "leader-spans")
+    own = rows.join(ranges.withColumn("n", n).hint("shuffle_hash"), ["key", "mark"]).select("key", "mark", "start", "stop", span.alias("span"), digest("start").alias("own")).distinct()
+    own = written(own, "repeated-spans")
+    return looked_up(own, "span", leaders, own.count()).select("key", "mark", "start", "stop", F.coalesce(F.col("own") == F.col("led"), F.lit(False)).alias("proved"))
 
 
 def compare(contexts: DataFrame) -> DataFrame:
@@ -247,7 +298,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     stored = bucketed(marked, key, mark)
     rows = stored.select(F.col(key).alias("key"), F.col(mark).alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     found = written(settle(find_anchors(rows)), "anchors")
-    asked = found.where("h is not null")
+    proof = written(with_proof(written(repeated_ranges(found.where("repeat")), "ranges"), rows), "proved-ranges")
+    asked, whole = found.where("not repeat").select("key", "mark", "start", "n", "h"), proof.where("proved").select("key", "mark", "start", "stop")
+    wrong = proof.where("not proved")
+    if not wrong.isEmpty():
+        # two different surroundings with one hash: all rows of such anchors, with the leaders, are compared
+        hit = found.where("repeat").alias("a").join(wrong.alias("w"), (F.col("a.key") == F.col("w.key")) & (F.col("a.mark") == F.col("w.mark")) & (F.col("a.start") >= F.col("w.start")) & (F.col("a.start") < F.col("w.stop")), "left_semi")
+        again = found.join(hit.select("h").distinct(), "h", "left_semi")
+        led = again.where("repeat").select(F.col("lkey").alias("key"), F.col("lmark").alias("mark"), F.col("lstart").alias("start"), "n", "h")
+        asked = asked.unionByName(again.select(asked.columns)).unionByName(led).distinct()
     # at most one busy anchor for GROUP rows
     busy = written(asked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.lit(True).alias("busy")), "busy-anchors")
     several = busy.count()
@@ -259,7 +318,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "key", "mark", F.col("a.h").alias("h"), F.col("a.busy").alias("busy"), F.col("a.start").alias("start"), F.col("a.n").alias("n"),
         F.substring(F.col("data"), F.col("a.start") + 1, F.col("a.n") + (LENGTH - 1)).alias("bytes"),
     )
-    whole = found.where("h is null").select("key", "mark", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
+    # a leader stands with the number of windows of the run that was taken for it
+    contexts = contexts.withColumn("n", F.least("n", F.octet_length("bytes") - (LENGTH - 1))).where("n > 0")
     if several:
         contexts = written(contexts, "contexts")
         whole = whole.unionByName(dealt_windows(contexts.where("busy")))

@@ -73,6 +73,30 @@ def test_one_passage_between_different_words(spark, monkeypatch):
     assert got == brute(rows) and plans and plans[0] > 80
 
 
+def test_colliding_hashes_remove_nothing(spark, monkeypatch):
+    """Surroundings that all have one hash: the bytes tell, and what isn't equal goes through the suffix arrays."""
+    plain = substrings.anchors
+
+    def colliding(data, doc_end, length=substrings.LENGTH):
+        h, c, first, n = plain(data, doc_end, length)
+        return h, np.zeros_like(c), first, n
+
+    monkeypatch.setattr(substrings, "anchors", colliding)
+    wrong = []
+    proof = substrings.with_proof
+    monkeypatch.setattr(substrings, "with_proof", lambda *a: (lambda df: wrong.append(df.where("not proved").count()) or df)(proof(*a)))
+    rows = corpus()
+    for maximum in ("10000", "7"):
+        old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", maximum)
+        try:
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert got == brute(rows)
+    assert len(wrong) == 2 and all(wrong)
+
+
 def test_extra_columns_survive(spark):
     p = " ".join(f"passage{i}" for i in range(30))
     d = spark.createDataFrame([(1, p, 7, 8, [1], "x.y"), (2, "and " + p, 8, 9, None, None)], "doc_id long, text string, _key int, _mark int, Ranges array<int>, `a.b` string")
