@@ -84,9 +84,9 @@ def systematic_sample(df: DataFrame, order: list[str], most: int) -> DataFrame:
     return ranked.where(F.ceil(r * most / F.lit(n)) < F.ceil((r + 1) * most / F.lit(n))).drop("_r")
 
 
-def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
-    """Adds _r, the 0-based place in an order: ranges by quantiles of the first column, numbered within, with the counts before them."""
-    first = order[0]
+def numbered(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Adds _r, the 0-based place in an order: ranges by quantiles of the first column (64, or one for a million rows up to 4,096), numbered within, with the counts before them."""
+    first, parts = order[0], parts or min(4096, max(64, df.count() // 1_000_000))
     bounds = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)]).alias("b")).first()["b"] or []
     table = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast(f"array<{df.schema[first].dataType.simpleString()}>")
     rows = df.withColumn("_part", F.size(F.filter(table, lambda b: b <= F.col(first))))

@@ -60,9 +60,10 @@ def cosine_topk(queries: DataFrame, query_key: str, docs: DataFrame, doc_key: st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def shared_terms(asked: DataFrame, postings: DataFrame, query_key: str, doc_key: str, k: int = 5) -> DataFrame:
-    """query_key, doc_key, terms: the k terms that add most to a cosine, ties by the later word; a pair has no more than the query's terms."""
-    rows = asked.join(postings, "term").select(query_key, doc_key, F.struct(F.round(F.col("wq") * F.col("w"), 9).alias("p"), "term").alias("t"))
+def shared_terms(pairs: DataFrame, asked: DataFrame, postings: DataFrame, query_key: str, doc_key: str, k: int = 5) -> DataFrame:
+    """query_key, doc_key, terms: for given pairs the k terms that add most to their cosine, ties by the later word; a pair has no more than the query's terms."""
+    met = pairs.select(query_key, doc_key).join(asked, query_key).join(postings, [doc_key, "term"])
+    rows = met.select(query_key, doc_key, F.struct(F.round(F.col("wq") * F.col("w"), 9).alias("p"), "term").alias("t"))
     return rows.groupBy(query_key, doc_key).agg(F.transform(F.slice(F.sort_array(F.collect_list("t"), False), 1, k), lambda t: t["term"]).alias("terms"))
 
 

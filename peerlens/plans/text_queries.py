@@ -38,14 +38,16 @@ def tfidf_topk(spark, sf_dir):
 
 
 @query(f"""
-WITH {TOPK}, t AS (SELECT item_id, doc_id, term, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(wq * w, 9) DESC, term DESC) AS n FROM q JOIN post USING (term))
-SELECT item_id, doc_id, array_to_string(list(term ORDER BY n), '|') AS terms FROM t WHERE n <= 5 AND item_id % 10 = 0 GROUP BY ALL
+WITH {TOPK}, t AS (SELECT item_id, doc_id, term, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(wq * w, 9) DESC, term DESC) AS n FROM top JOIN q USING (item_id) JOIN post USING (doc_id, term))
+SELECT item_id, doc_id, array_to_string(list(term ORDER BY n), '|') AS terms FROM t WHERE n <= 5 GROUP BY item_id, doc_id
 """)
 def shared_terms(spark, sf_dir):
-    """For the items whose id is divisible by 10, against all documents."""
-    counts, idf = textindex.index(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    asked = textindex.weighted(textindex.term_counts(load(spark, sf_dir, "benchmark").where("item_id % 10 = 0"), "item_id", "text"), idf, "item_id").withColumnRenamed("w", "wq")
-    rows = textindex.shared_terms(asked, textindex.weighted(counts, idf, "doc_id"), "item_id", "doc_id")
+    """The terms that explain each of an item's ten closest documents."""
+    items, docs = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents").select("doc_id", "text")
+    counts, idf = textindex.index(docs, "doc_id")
+    top = textindex.cosine_topk(items, "item_id", docs, "doc_id", indexed=(counts, idf))
+    asked = textindex.weighted(textindex.term_counts(items, "item_id", "text"), idf, "item_id").withColumnRenamed("w", "wq")
+    rows = textindex.shared_terms(top, asked, textindex.weighted(counts, idf, "doc_id"), "item_id", "doc_id")
     return rows.withColumn("terms", F.array_join("terms", "|"))
 
 

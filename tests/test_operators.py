@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,21 @@ def test_kmeans_profile_takes_the_defaults(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(vectors.KMeans, "fit", lambda self, df: fits.append((self.getK(), self.getMaxIter())) or fit(self, df))
     assert catalogue.QUERIES["kmeans_profile"](spark, str(tmp_path)).count() == 50
     assert fits == [(50, 200)] * 4
+
+
+def test_inverted_file_recall(spark):
+    """Every vector whose id is divisible by 100 against all, with the registered number of probes, against the exact search."""
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    e = spark.read.parquet(path)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vectors.topk(asked, "query_id", e, "vec_id").collect()}
+    near = vectors.ivf_topk(asked, "query_id", e, "vec_id", vectors.centroids(e, "label"))
+    found = {(r.query_id, r.vec_id) for r in near.collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    # more queries than a block are dealt with salts, and give the same
+    dealt = vectors.ivf_topk(asked, "query_id", e, "vec_id", vectors.centroids(e, "label"), block=2)
+    assert {(r.query_id, r.vec_id) for r in dealt.collect()} == found
+    few = {(r.query_id, r.vec_id) for r in vectors.topk(asked, "query_id", e, "vec_id", block=2).collect()}
+    assert few == exact
