@@ -258,11 +258,13 @@ f AS (SELECT *, CASE WHEN rank <= 50 THEN score * (0.6 + 0.4 * similarity) ELSE
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 50 THEN 0 ELSE 1 END, CASE WHEN rank <= 50 THEN -round(final_score, 9) END, rank) AS final_rank FROM f)"""
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, listed: bool = False):
+    """Scored pairs; listed: those only that can reach the least score, which takes an equal category (country and era give 12 at most)."""
     c = companies(spark, sf_dir)
     q = c.where(ASKED).select(F.col("company_id").alias("query_id"), F.col("category").alias("q_category"), F.col("country").alias("q_country"), F.col("founded_year").alias("q_year"), F.col("n_orders").alias("q_orders"))
     # the stated queries meet all companies, in blocks
-    pairs = vectors.against_all(c, q, "query_id", F.col("company_id") != F.col("query_id"))
+    other = F.col("company_id") != F.col("query_id")
+    pairs = vectors.against_all(c, q, "query_id", (F.col("category") == F.col("q_category")) & other if listed else other)
     dims = [
         scoring.overlap("macro", F.array("q_category"), F.array("category"), lx.WEIGHTS["macro"]),
         scoring.overlap("category", F.array(tx.compact_key(F.col("q_category"))), F.array(tx.compact_key(F.col("category"))), lx.WEIGHTS["category"]),
@@ -280,7 +282,7 @@ def _reranked(spark, sf_dir):
         "stage": F.lit(None).cast("double"),
         "model": F.lit(None).cast("double"),
     }
-    rows = scoring.ranked(_scored(spark, sf_dir)).withColumn("similarity", scoring.profile_similarity(parts))
+    rows = scoring.ranked(_scored(spark, sf_dir, listed=True)).withColumn("similarity", scoring.profile_similarity(parts))
     return scoring.rerank(rows, "similarity")
 
 
@@ -294,7 +296,7 @@ def score_dimensions(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT query_id, company_id, rank, {round4('score')} AS score, convergence FROM r WHERE rank <= 25")
 def score_converged_topk(spark, sf_dir):
-    return scoring.ranked(_scored(spark, sf_dir)).where("rank <= 25").select("query_id", "company_id", "rank", cl.round4(F.col("score")).alias("score"), "convergence")
+    return scoring.ranked(_scored(spark, sf_dir, listed=True)).where("rank <= 25").select("query_id", "company_id", "rank", cl.round4(F.col("score")).alias("score"), "convergence")
 
 
 @query(f"WITH {SCORED} SELECT query_id, company_id, rank, final_rank, {round4('final_score')} AS final_score FROM fr WHERE final_rank <= 60")
@@ -304,7 +306,7 @@ def profile_rerank(spark, sf_dir):
 
 @query(f"""WITH {SCORED} SELECT query_id, CASE WHEN convergence THEN 'high' WHEN score >= 55 AND strong >= 3 THEN 'high' WHEN score >= 35 AND strong >= 2 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM r GROUP BY ALL""")
 def match_confidence(spark, sf_dir):
-    rows = scoring.ranked(_scored(spark, sf_dir))
+    rows = scoring.ranked(_scored(spark, sf_dir, listed=True))
     level = scoring.confidence(F.col("score"), F.col("dims"), F.col("convergence"), F.lit(False))
     return rows.groupBy("query_id", level.alias("confidence")).agg(F.count("*").alias("n"))
 
@@ -327,7 +329,7 @@ sig AS (SELECT query_id, CASE WHEN coalesce(t.total, 0) = 0 THEN 'SEM_MATCHES' W
 
 
 def _path(spark, sf_dir):
-    top = scoring.ranked(_scored(spark, sf_dir)).where("rank <= 15").groupBy("query_id").agg(*cohorts.outcome_counts())
+    top = scoring.ranked(_scored(spark, sf_dir, listed=True)).where("rank <= 15").groupBy("query_id").agg(*cohorts.outcome_counts())
     return cohorts.path_signal(top, _segments(spark, sf_dir), ["query_id"])
 
 
@@ -338,7 +340,7 @@ def path_signal(spark, sf_dir):
 
 @query(f"WITH {PATH}, b AS (SELECT query_id, max(score) AS best FROM r GROUP BY query_id) SELECT query_id, CASE WHEN query_id = 7 THEN 'SHORT_INPUT' WHEN direction IN ('NEGATIVO', 'POSITIVO', 'NEUTRO', 'INCERTO') THEN direction WHEN best >= 70 THEN 'STRONG' WHEN best >= 50 THEN 'MODERATE' WHEN best >= 30 THEN 'WEAK' ELSE 'NONE' END AS verdict FROM sig JOIN b USING (query_id)")
 def verdict_label(spark, sf_dir):
-    best = scoring.ranked(_scored(spark, sf_dir)).groupBy("query_id").agg(F.max("score").alias("best"))
+    best = scoring.ranked(_scored(spark, sf_dir, listed=True)).groupBy("query_id").agg(F.max("score").alias("best"))
     return _path(spark, sf_dir).join(best, "query_id").select("query_id", cohorts.verdict_code(F.col("direction"), F.col("query_id") == 7, F.col("best")).alias("verdict"))
 
 
