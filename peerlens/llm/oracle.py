@@ -104,4 +104,77 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN cut USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_document_fingerprints": OP1, "op2_minhash_near_dedup": OP2, "op4_suffix_array_dedup": OP4, "op5_url_filters": OP5, "op7_benchmark_decontamination": OP7}
+OP11 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM met WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN met USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def _op12(rounds: int) -> str:
+    steps = [
+        """WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster, v AS c FROM e QUALIFY cluster < 8)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, best.cluster AS cluster, best.d::BIGINT AS distance
+  FROM (SELECT vec_id, any_value(v) AS v, min({{'d': list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), 'cluster': cluster}}) AS best FROM e, c{r} GROUP BY vec_id))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (
+  SELECT cluster, list(m ORDER BY i) AS c FROM (
+    SELECT cluster, i, floor(sum(x) / count(*)) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))"""
+            )
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+    )
+
+
+OP12 = _op12(10)
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+d AS (SELECT *, length(bin(size)) * 256 + (size >> greatest(length(bin(size)) - 8, 0)) AS size_bin FROM t),
+s AS (SELECT source, sum(size)::BIGINT AS n, 3 * sum(size)::BIGINT AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(nth - 1) % 3 + 1] AS weight FROM s),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, nth) AS k,
+    (sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+g AS (SELECT arg_min(level, k) AS water FROM o WHERE level * weight < cap),
+p AS (SELECT source, n, least(cap::DOUBLE, water * weight) AS target, ('0x' || substr(md5('13:' || coalesce(source, '')), 1, 8))::BIGINT AS start FROM o, g),
+e AS (SELECT *, CASE WHEN n > 0 THEN floor(target * 4294967296 / n)::BIGINT ELSE 0 END AS share FROM p),
+c AS (
+  SELECT doc_id, size, n, target, share,
+    start + coalesce(sum(share) OVER (PARTITION BY d.source ORDER BY size_bin, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, n AS source_size, target, (size * ((place + share) // 4294967296 - place // 4294967296))::BIGINT AS taken,
+  ((place + share) // 4294967296 - place // 4294967296)::INTEGER AS copies
+FROM c
+"""
+
+ORACLES: dict[str, str] = {"op1_document_fingerprints": OP1, "op2_minhash_near_dedup": OP2, "op4_suffix_array_dedup": OP4, "op5_url_filters": OP5, "op7_benchmark_decontamination": OP7, "op11_hard_negatives": OP11, "op12_centroid_clustering": OP12, "op13_source_mixing": OP13}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, fingerprints, htmlextract, minhash, ngramlm, substrings, tokenfiles, toxicity, urlfilter
+from . import bpe, decontam, fingerprints, hamerly, htmlextract, minhash, mixing, negatives, ngramlm, substrings, tokenfiles, toxicity, urlfilter
 from .common import table
 
 
@@ -49,4 +49,16 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op4_suffix_array_dedup, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output, op9_lm_scoring, op10_toxicity)}
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return hamerly.digest(*hamerly.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_source_mixing(spark, sf_dir):
+    return mixing.allocation(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_minhash_near_dedup, op3_byte_level_bpe, op4_suffix_array_dedup, op5_url_filters, op6_html_extraction, op7_benchmark_decontamination, op8_token_id_output, op9_lm_scoring, op10_toxicity, op11_hard_negatives, op12_centroid_clustering, op13_source_mixing)}
