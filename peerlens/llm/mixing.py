@@ -8,8 +8,8 @@ share of the sum crosses: so a document with e expected copies has floor(e) or c
 
 The order is by size (to 1 %), then by a hash of doc_id and text, so that the words taken of a source are near its target whatever the
 sizes are. The sum has two levels: a source is cut into blocks by size and range of the hash, of about BLOCK rows; blocks are added up,
-then the rows within each. What one task holds is a block of rows, the blocks of one source, or one row for each source. The small
-tables are joined by broadcast only where Spark finds them below its own size bound, else by shuffle.
+then the rows within each. What one task holds is a block of rows, the blocks of one source, or one row for each source. The table
+of sources and sizes is broadcast up to BROADCAST_RANGES rows, else joined by shuffle.
 
 Defined results: a null text is empty and has size 0; documents without words are taken like others but add no words; a source without
 words has target 0. A null source is a source. Repeated rows are documents of their own; rows that agree in doc_id, source and text
@@ -28,6 +28,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 13
 BLOCK = 20_000
+BROADCAST_RANGES = 100_000
 ONE = 2**32
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,7 +51,7 @@ def _bin(size: str) -> Column:
 
 def measured(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with size and order columns, and their names by role."""
-    name = {role: fresh(docs.columns, f"_{role}") for role in ("size", "hash", "key", "bin", "slice", "expected", "at", "before", "copies", "source_size", "target")}
+    name = {role: fresh(docs.columns, f"_{role}") for role in ("size", "hash", "key", "bin", "slice", "expected", "at", "before", "copies", "source_size", "target", "slices")}
     mark = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     sized = docs.withColumns({name["size"]: words(F.col("text")), name["hash"]: F.conv(F.substring(mark, 1, 15), 16, 10).cast("long"), name["key"]: _source_key("source")})
     return sized.withColumn(name["bin"], _bin(name["size"])), name
@@ -74,6 +75,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return found.select("key", "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
+def _carried(ranges: DataFrame) -> DataFrame:
+    """One row for each source and size: a broadcast side if they are few, else a side of a shuffled join, where AQE splits what is skewed."""
+    return F.broadcast(ranges) if ranges.count() <= BROADCAST_RANGES else ranges
+
+
 def allocated(sized: DataFrame, name: dict[str, str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of measured() with their source's words and target, and the copies of each."""
     key, bin_, part, size, expected = (name[r] for r in ("key", "bin", "slice", "size", "expected"))
@@ -83,12 +89,12 @@ def allocated(sized: DataFrame, name: dict[str, str], weights: tuple[int, ...] =
     share = F.when(F.col("source_size") > 0, F.floor(F.col("target") * float(ONE) / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     per = per.select("key", "source_size", "target", share.alias("expected"), start.alias("start"))
     ranges = written(bins.join(per, "key").withColumn("slices", F.floor(F.col("rows") / BLOCK).cast("long") + 1), "mixing-ranges")
-    known = ranges.select(F.col("key").alias(key), F.col("bin").alias(bin_), "slices", F.col("expected").alias(expected))
-    placed = sized.join(known, [key, bin_]).withColumn(part, F.expr(f"shiftright(shiftright(`{name['hash']}`, 28) * slices, 32)")).drop("slices")
+    known = _carried(ranges.select(F.col("key").alias(key), F.col("bin").alias(bin_), F.col("slices").alias(name["slices"]), F.col("expected").alias(expected)))
+    placed = sized.join(known, [key, bin_]).withColumn(part, F.expr(f"shiftright(shiftright(`{name['hash']}`, 28) * `{name['slices']}`, 32)")).drop(name["slices"])
     in_source = Window.partitionBy(key).orderBy(bin_, part).rowsBetween(*_ALL_BEFORE)
     blocks = placed.groupBy(key, bin_, part).agg((F.sum(expected) % ONE).alias("sum")).select(key, bin_, part, F.coalesce(F.sum("sum").over(in_source), F.lit(0)).alias(name["before"]))
     marks = ranges.select(F.col("key").alias(key), F.col("bin").alias(bin_), F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]), F.col("start").alias(name["at"]))
-    starts = written(blocks.join(marks, [key, bin_]), "mixing-blocks")
+    starts = written(blocks.join(_carried(marks), [key, bin_]), "mixing-blocks")
     inside = Window.partitionBy(key, bin_, part).orderBy(name["hash"], "doc_id", size).rowsBetween(*_ALL_BEFORE)
     at = (F.col(name["before"]) + F.coalesce(F.sum(expected).over(inside), F.lit(0)) + F.col(name["at"])) % ONE
     return placed.join(starts, [key, bin_, part]).withColumn(name["copies"], F.shiftright(at + F.col(expected), 32).cast("int"))
