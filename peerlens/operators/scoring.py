@@ -68,9 +68,13 @@ def strong(dims: Column) -> Column:
 
 def with_score(pairs: DataFrame, dims: list[Column], dead: Column) -> DataFrame:
     """Adds dims, convergence (dead, with four strong dimensions or more: a bonus) and score."""
-    df = pairs.withColumn("dims", F.array_compact(F.array(*dims)))
-    df = df.withColumn("convergence", dead & (strong(F.col("dims")) >= 4))
-    return df.withColumn("score", total(F.col("dims")) + F.when(F.col("convergence"), lx.CONVERGENCE_BONUS).otherwise(0.0))
+    df = pairs.withColumns({f"_{i}": d for i, d in enumerate(dims)})
+    each = [F.col(f"_{i}") for i in range(len(dims))]
+    points = sum((F.coalesce(d["points"], F.lit(0.0)) for d in each), F.lit(0.0))
+    many = sum((F.coalesce(d["value"] >= 0.3, F.lit(False)).cast("int") for d in each), F.lit(0))
+    df = df.withColumn("convergence", dead & (many >= 4))
+    df = df.withColumn("score", points + F.when(F.col("convergence"), lx.CONVERGENCE_BONUS).otherwise(0.0))
+    return df.withColumn("dims", F.array_compact(F.array(*each))).drop(*[f"_{i}" for i in range(len(dims))])
 
 
 def ranked(scored: DataFrame, query: str = "query_id", order: str = "company_id", least: float = lx.MIN_SCORE) -> DataFrame:

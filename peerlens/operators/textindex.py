@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.functions import lexicons as lx
@@ -104,13 +104,20 @@ def contrastive_terms(postings: DataFrame, key: str, groups: DataFrame, n: int =
     return scored.withColumn("delta", delta).where("delta > 0").orderBy(F.desc(F.round("delta", 9)), "term").limit(n).select("term", "support", "delta")
 
 
+def neighbourhood(word: Column) -> Column:
+    """The word and what is left of it without one letter: words within one edit or swap of neighbours have one of these in common."""
+    without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), without))
+
+
 def fuzzy_corrections(words: DataFrame, vocabulary: DataFrame, shortest: int = 5) -> DataFrame:
-    """word, correction: the vocabulary word within one edit; most frequent first, then alphabetical.
+    """word, correction: the vocabulary word within one edit that begins with the same letter; most frequent first, then alphabetical.
 
-    words(word) are those missing from vocabulary(term, df); both sides meet on first letter and length only.
+    words(word) are those missing from vocabulary(term, df). Both sides are spread to their neighbourhoods of one deletion, which
+    meet in an equi-join; no key is hotter than the words that are alike. What meets is confirmed.
     """
     missing = words.select("word").distinct().where(F.length("word") >= shortest).join(vocabulary, F.col("word") == F.col("term"), "left_anti")
-    asked = missing.withColumns({"_letter": F.left("word", F.lit(1)), "_n": F.explode(F.array(F.length("word") - 1, F.length("word"), F.length("word") + 1))})
-    known = vocabulary.where(F.length("term") >= 4).withColumns({"_letter": F.left("term", F.lit(1)), "_n": F.length("term")})
-    near = asked.join(known, ["_letter", "_n"]).where(tx.within_one_edit(F.col("word"), F.col("term")))
+    asked = missing.select("word", F.explode(neighbourhood(F.col("word"))).alias("_near"))
+    known = vocabulary.where(F.length("term") >= 4).select("term", "df", F.explode(neighbourhood(F.col("term"))).alias("_near"))
+    near = asked.join(known, "_near").where((F.left("word", F.lit(1)) == F.left("term", F.lit(1))) & tx.within_one_edit(F.col("word"), F.col("term")))
     return near.groupBy("word").agg(F.min_by("term", F.struct(-F.col("df"), F.col("term"))).alias("correction"))

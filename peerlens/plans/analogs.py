@@ -49,4 +49,5 @@ def sql_tokens(c: str, stopwords: list[str]) -> str:
     from peerlens.functions import lexicons as lx
 
     stop = ", ".join(f"'{w}'" for w in stopwords)
-    return f"list_filter(regexp_extract_all(translate(lower(coalesce({c}, '')), '{lx.ACCENTED}', '{lx.FOLDED}'), '[a-z][a-z0-9]{{2,}}'), lambda t: t NOT IN ({stop}))"
+    found = f"regexp_extract_all(translate(lower(coalesce({c}, '')), '{lx.ACCENTED}', '{lx.FOLDED}'), '[a-z][a-z0-9]{{2,}}')"
+    return f"list_filter({found}, lambda t: t NOT IN ({stop}))" if stopwords else found

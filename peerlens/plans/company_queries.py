@@ -243,107 +243,6 @@ def failure_pattern(spark, sf_dir):
     return out.select("company_id", "lifespan_years", F.array_join("pattern_labels", "|").alias("labels"), F.col("pattern_confidence").alias("confidence"))
 
 
-SCORED = f"""{COMPANIES},
-q AS (SELECT company_id AS query_id, category AS q_category, country AS q_country, founded_year AS q_year, outcome AS q_outcome, n_orders AS q_orders, balance AS q_balance FROM company WHERE {ASKED}),
-p AS (SELECT q.*, c.*, CASE WHEN q_category = category THEN 16.0 ELSE 0 END AS d_macro, CASE WHEN q_category = category THEN 10.0 ELSE 0 END AS d_category,
-  CASE WHEN contains(q_country, country) OR contains(country, q_country) THEN 7.0 ELSE 0 END AS d_country,
-  CASE WHEN abs(q_year - founded_year) <= 3 THEN 5.0 * (1 - pow(abs(q_year - founded_year) / 4.0, 1.5)) ELSE 0 END AS d_era,
-  CASE WHEN abs(q_year - founded_year) <= 3 AND (1 - pow(abs(q_year - founded_year) / 4.0, 1.5)) >= 0.3 THEN 1 ELSE 0 END
-   + CASE WHEN q_category = category THEN 2 ELSE 0 END + CASE WHEN contains(q_country, country) OR contains(country, q_country) THEN 1 ELSE 0 END AS strong
-  FROM q JOIN company c ON c.company_id <> query_id),
-s AS (SELECT *, outcome = 'dead' AND strong >= 4 AS convergence, d_macro + d_category + d_country + d_era + CASE WHEN outcome = 'dead' AND strong >= 4 THEN 20.0 ELSE 0 END AS score FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, company_id) AS rank FROM s WHERE score >= 18.0),
-sim AS (SELECT *, (0.35 * (q_country = country)::INT + 0.20 * greatest(0.0, 1 - abs(q_year - founded_year) / 20.0) + 0.20 * greatest(0.0, 1 - abs(q_orders - n_orders) / 5.0)) / 0.75 AS similarity FROM r),
-f AS (SELECT *, CASE WHEN rank <= 50 THEN score * (0.6 + 0.4 * similarity) ELSE score END AS final_score FROM sim),
-fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 50 THEN 0 ELSE 1 END, CASE WHEN rank <= 50 THEN -round(final_score, 9) END, rank) AS final_rank FROM f)"""
-
-
-def _scored(spark, sf_dir, listed: bool = False):
-    """Scored pairs; listed: those only that can reach the least score, which takes an equal category (country and era give 12 at most)."""
-    c = companies(spark, sf_dir)
-    q = c.where(ASKED).select(F.col("company_id").alias("query_id"), F.col("category").alias("q_category"), F.col("country").alias("q_country"), F.col("founded_year").alias("q_year"), F.col("n_orders").alias("q_orders"))
-    # the stated queries meet all companies, in blocks
-    other = F.col("company_id") != F.col("query_id")
-    pairs = vectors.against_all(c, q, "query_id", (F.col("category") == F.col("q_category")) & other if listed else other)
-    dims = [
-        scoring.overlap("macro", F.array("q_category"), F.array("category"), lx.WEIGHTS["macro"]),
-        scoring.overlap("category", F.array(tx.compact_key(F.col("q_category"))), F.array(tx.compact_key(F.col("category"))), lx.WEIGHTS["category"]),
-        scoring.country(F.col("q_country"), F.col("country")),
-        scoring.era(F.col("q_year"), F.col("founded_year")),
-    ]
-    return scoring.with_score(pairs, dims, F.col("outcome") == "dead")
-
-
-def _reranked(spark, sf_dir):
-    parts = {
-        "country": F.when(F.col("q_country") == F.col("country"), 1.0).otherwise(0.0),
-        "decade": scoring.nearness(F.col("q_year"), F.col("founded_year"), 20.0),
-        "headcount": scoring.nearness(F.col("q_orders"), F.col("n_orders"), 5.0),
-        "stage": F.lit(None).cast("double"),
-        "model": F.lit(None).cast("double"),
-    }
-    rows = scoring.ranked(_scored(spark, sf_dir, listed=True)).withColumn("similarity", scoring.profile_similarity(parts))
-    return scoring.rerank(rows, "similarity")
-
-
-@query(f"WITH {SCORED} SELECT query_id, company_id, {round4('d_macro + d_category')} AS segment_points, {round4('d_country')} AS country_points, {round4('d_era')} AS era_points, strong::INT AS strong FROM p")
-def score_dimensions(spark, sf_dir):
-    def points(*names: str):
-        return cl.round4(scoring.total(F.filter("dims", lambda d: d["name"].isin(*names))))
-
-    return _scored(spark, sf_dir).select("query_id", "company_id", points("macro", "category").alias("segment_points"), points("country").alias("country_points"), points("era").alias("era_points"), scoring.strong(F.col("dims")).alias("strong"))
-
-
-@query(f"WITH {SCORED} SELECT query_id, company_id, rank, {round4('score')} AS score, convergence FROM r WHERE rank <= 25")
-def score_converged_topk(spark, sf_dir):
-    return scoring.ranked(_scored(spark, sf_dir, listed=True)).where("rank <= 25").select("query_id", "company_id", "rank", cl.round4(F.col("score")).alias("score"), "convergence")
-
-
-@query(f"WITH {SCORED} SELECT query_id, company_id, rank, final_rank, {round4('final_score')} AS final_score FROM fr WHERE final_rank <= 60")
-def profile_rerank(spark, sf_dir):
-    return _reranked(spark, sf_dir).where("final_rank <= 60").select("query_id", "company_id", "rank", "final_rank", cl.round4(F.col("final_score")).alias("final_score"))
-
-
-@query(f"""WITH {SCORED} SELECT query_id, CASE WHEN convergence THEN 'high' WHEN score >= 55 AND strong >= 3 THEN 'high' WHEN score >= 35 AND strong >= 2 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM r GROUP BY ALL""")
-def match_confidence(spark, sf_dir):
-    rows = scoring.ranked(_scored(spark, sf_dir, listed=True))
-    level = scoring.confidence(F.col("score"), F.col("dims"), F.col("convergence"), F.lit(False))
-    return rows.groupBy("query_id", level.alias("confidence")).agg(F.count("*").alias("n"))
-
-
-SEGMENT = """seg AS (SELECT query_id, count(*) FILTER (outcome = 'operating') AS operating, count(*) FILTER (outcome = 'acquired') AS acquired, count(*) FILTER (outcome = 'dead') AS dead, count(*) FILTER (outcome = 'unknown') AS unknown, count(*) AS total FROM p WHERE q_category = category GROUP BY query_id)"""
-
-
-def _segments(spark, sf_dir):
-    return _scored(spark, sf_dir).where(F.array_contains(F.array("category"), F.col("q_category"))).groupBy("query_id").agg(*cohorts.outcome_counts())
-
-
-@query(f"WITH {SCORED}, {SEGMENT} SELECT query_id, operating, acquired, dead, unknown, total, {round4('dead / total')} AS dead_share, CASE WHEN total < 10 THEN 0.5 WHEN total < 20 THEN 0.75 ELSE 1.0 END::DOUBLE AS trust FROM seg")
-def segment_stats(spark, sf_dir):
-    return _segments(spark, sf_dir).select("*", cl.share(F.col("dead"), F.col("total")).alias("dead_share"), cohorts.segment_trust(F.col("total")).alias("trust"))
-
-
-PATH = f"""{SCORED}, {SEGMENT}, top AS (SELECT query_id, count(*) FILTER (outcome = 'dead') AS dead, count(*) AS total FROM r WHERE rank <= 15 GROUP BY query_id),
-sig AS (SELECT query_id, CASE WHEN coalesce(t.total, 0) = 0 THEN 'SEM_MATCHES' WHEN coalesce(s.total, 0) = 0 THEN 'SEM_SEGMENTO' WHEN s.total < 20 THEN 'INCERTO' WHEN t.dead / t.total - s.dead / s.total >= 0.20 THEN 'NEGATIVO' WHEN t.dead / t.total - s.dead / s.total <= -0.15 THEN 'POSITIVO' ELSE 'NEUTRO' END AS direction,
-  floor((t.dead / t.total - s.dead / s.total) * 10000 + 0.5) / 10000 AS gap FROM top t FULL JOIN seg s USING (query_id))"""
-
-
-def _path(spark, sf_dir):
-    top = scoring.ranked(_scored(spark, sf_dir, listed=True)).where("rank <= 15").groupBy("query_id").agg(*cohorts.outcome_counts())
-    return cohorts.path_signal(top, _segments(spark, sf_dir), ["query_id"])
-
-
-@query(f"WITH {PATH} SELECT * FROM sig")
-def path_signal(spark, sf_dir):
-    return _path(spark, sf_dir)
-
-
-@query(f"WITH {PATH}, b AS (SELECT query_id, max(score) AS best FROM r GROUP BY query_id) SELECT query_id, CASE WHEN query_id = 7 THEN 'SHORT_INPUT' WHEN direction IN ('NEGATIVO', 'POSITIVO', 'NEUTRO', 'INCERTO') THEN direction WHEN best >= 70 THEN 'STRONG' WHEN best >= 50 THEN 'MODERATE' WHEN best >= 30 THEN 'WEAK' ELSE 'NONE' END AS verdict FROM sig JOIN b USING (query_id)")
-def verdict_label(spark, sf_dir):
-    best = scoring.ranked(_scored(spark, sf_dir, listed=True)).groupBy("query_id").agg(F.max("score").alias("best"))
-    return _path(spark, sf_dir).join(best, "query_id").select("query_id", cohorts.verdict_code(F.col("direction"), F.col("query_id") == 7, F.col("best")).alias("verdict"))
-
-
 CELLS = f"""{COMPANIES},
 cells AS (SELECT category AS macro, decade, count(*) FILTER (outcome = 'operating') AS operating, count(*) FILTER (outcome = 'acquired') AS acquired, count(*) FILTER (outcome = 'dead') AS dead, count(*) FILTER (outcome = 'unknown') AS unknown, count(*) AS total, grouping(category) * 2 + grouping(decade) AS level
   FROM company GROUP BY ROLLUP (category, decade)),

@@ -3,7 +3,8 @@
 Queries: query_id, name, one_liner, categories (array), model, country, founded_year, team_size, stage, cause,
 secondary (array). Companies: company_id, name, description, categories (array), macros (array), country, founded_year,
 headcount, status, cause, cause_inferred, and optionally embedding on both sides. One plan serves one query or
-ten thousand: the lexical part joins postings by term, and the rest meets the queries in blocks of a bounded size.
+ten thousand: queries meet blocks of companies by what they have in common, and only blocks that can reach the best scores are scored.
+The table of macros (macro -> keywords) is a dictionary or a table (macro, keyword).
 
 What a query declares is held against its text: a declared model without any of its words in the text scores nothing, a declared cause
 without any of its words counts 0.6, and a segment of few peers lowers the weight of the embedding and the confidence.
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 from peerlens.functions import classify as cl
 from peerlens.functions import lexicons as lx
 from peerlens.functions import text as tx
-from peerlens.operators import cohorts, scoring, textindex, vectors
+from peerlens.operators import cohorts, containment, retrieval, scoring, segments, textindex, vectors
 from peerlens.sources.sinks import stored
 
 #: Queries that one plan broadcasts at most; more are taken in blocks of this size.
 BLOCK = 1_000
 
 
-def analyzed(queries: DataFrame, macros: dict[str, list[str]] | None = None) -> DataFrame:
+def analyzed(queries: DataFrame, macros: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
     """Queries with empty slots filled from their text, their words, quality and keys."""
     text = F.concat_ws(" ", "name", "one_liner")
     e = cl.entities(text)
@@ -37,9 +38,12 @@ def analyzed(queries: DataFrame, macros: dict[str, list[str]] | None = None) ->
             "words": tx.tokens(tx.strip_negated(F.lower(text))),
             "country_key": tx.country_key(F.col("country"), lx.COUNTRY_ALIASES),
             "category_keys": F.filter(F.transform("categories", tx.compact_key), lambda c: c != ""),
-            "macros": cl.categories_to_macros(F.col("categories"), macros) if macros else F.array().cast("array<string>"),
+            "macros": F.array().cast("array<string>"),
         }
     )
+    if macros is not None:
+        keywords = containment.keyword_table(queries.sparkSession, macros) if isinstance(macros, dict) else macros
+        q = containment.with_macros(q, keywords)
     q = q.withColumn("quality", scoring.input_quality(F.col("words"), F.col("one_liner")))
     return q.withColumn("year", cl.leading_year(F.col("founded_year")))
 
@@ -74,67 +78,113 @@ def coherence(queries: DataFrame, models: dict[str, list[str]] | None = None, ca
     return queries.withColumns({"coherent": ~said | scoring.coherent(F.col("words"), model), "corroborated": ~said | scoring.coherent(F.col("words"), cause)})
 
 
-def segment_trust(queries: DataFrame, companies: DataFrame) -> DataFrame:
-    """Adds segment_trust: 0.5 below 10 companies that share a macro with the query, 0.75 below 20, else 1; 1 for a query without macros."""
-    asked = queries.where(F.size("macros") > 0).select("query_id", F.explode("macros").alias("macro"))
-    peers = companies.select("company_id", F.explode("macros").alias("macro")).join(asked, "macro").select("query_id", "company_id").distinct()
-    counts = peers.groupBy("query_id").agg(F.count("*").alias("_peers"))
+def segment_trust(queries: DataFrame, companies_cells: DataFrame) -> DataFrame:
+    """Adds segment_trust: 0.5 below 10 companies that share a macro with the query, 0.75 below 20, else 1; 1 for a query without macros. companies_cells: segments.cells()."""
+    counts = segments.outcomes(segments.of_queries(queries, companies_cells)).select("asked", F.col("total").alias("_peers"))
     n = F.coalesce("_peers", F.lit(0))
-    trust = F.when(F.size("macros") == 0, 1.0).when(n < 10, 0.5).when(n < 20, 0.75).otherwise(1.0)
-    return queries.join(counts, "query_id", "left").withColumn("segment_trust", trust).drop("_peers")
-
-
-def similarities(queries: DataFrame, companies: DataFrame, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """query_id, company_id, lexical: cosine of the texts, from the term join."""
-    counts, idf = indexed or textindex.index(companies, "company_id", "description")
-    postings = textindex.weighted(counts, idf, "company_id")
-    words = queries.select("query_id", F.size("words").alias("total"), F.explode("words").alias("term")).groupBy("query_id", "total", "term").agg(F.count("*").alias("n"))
-    asked = textindex.weighted(words, idf, "query_id").withColumnRenamed("w", "wq")
-    return asked.join(postings, "term").groupBy("query_id", "company_id").agg(F.sum(F.col("wq") * F.col("w")).alias("lexical")).where(F.col("lexical") >= lx.MIN_LEXICAL)
-
-
-def scored(queries: DataFrame, companies: DataFrame, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """All pairs from the least score on, with dimensions, score and rank."""
-    lexical = similarities(queries, companies, indexed)
-    given = {"coherent": F.lit(True), "corroborated": F.lit(True), "segment_trust": F.lit(1.0)}
-    queries = queries.withColumns({c: x for c, x in given.items() if c not in queries.columns})
-    keep = [*given, "query_id", "macros", "category_keys", "model", "country_key", "year", "cause", "secondary", "quality", "stage", "team_size"]
-    if "embedding" in queries.columns and "embedding" in companies.columns:
-        keep.append("embedding")
-    q = queries.select(*[F.col(c).alias(c if c == "query_id" else f"q_{c}") for c in keep])
-    c = companies.withColumns({"c_keys": F.transform("categories", tx.compact_key), "c_country": tx.country_key(F.col("country"), lx.COUNTRY_ALIASES), "c_year": cl.leading_year(F.col("founded_year"))})
-    # the stated queries, in blocks, against all companies
-    pairs = vectors.against_all(c, q, "query_id", F.lit(True), BLOCK).join(lexical, ["query_id", "company_id"], "left")
-    empty = F.coalesce(F.col("cause"), F.lit(""))
-    dims: list[Column] = [
-        scoring.overlap("macro", F.col("q_macros"), F.col("macros"), lx.WEIGHTS["macro"]),
-        scoring.overlap("category", F.col("q_category_keys"), F.col("c_keys"), lx.WEIGHTS["category"]),
-        scoring.dimension("model", F.lit(1.0), lx.WEIGHTS["model"], F.col("q_coherent") & (tx.compact_key(F.col("q_model")) != "") & F.array_contains("c_keys", tx.compact_key(F.col("q_model")))),
-        scoring.lexical(F.col("lexical")),
-        scoring.cause(tx.compact_key(F.col("q_cause")), tx.compact_key(empty), F.coalesce("cause_inferred", F.lit(False)), F.col("q_corroborated")),
-        scoring.secondary(F.transform(F.coalesce("q_secondary", F.array().cast("array<string>")), tx.compact_key), tx.compact_key(empty)),
-        scoring.country(F.col("q_country_key"), F.col("c_country")),
-        scoring.era(F.col("q_year"), F.col("c_year")),
-    ]
-    if "q_embedding" in pairs.columns:
-        dims.append(scoring.semantic(vectors.dot(F.col("q_embedding"), F.col("embedding")), F.col("q_quality.trust") * F.col("q_segment_trust")))
-    return scoring.ranked(scoring.with_score(pairs, dims, cl.is_dead(F.col("status"))))
-
-
-def consult(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25, models: dict[str, list[str]] | None = None, causes: dict[str, list[str]] | None = None) -> DataFrame:
+    trust = F.when(F.size("macros") == 0, 1.0).otherwise(cohorts.segment_trust(n))
+    return queries.withColumn("asked", segments.signature(F.col("macros"))).join(counts, "asked", "left").withColumn("segment_trust", trust).drop("asked", "_peers")
+
+
+class Corpus:
+    """Companies made ready for queries: laid in blocks, with postings and the inverted file over blocks, each stored once.
+
+    `indexed`: term counts (by place) and idf of the companies as they are laid.
+    """
+
+    def __init__(self, companies: DataFrame, key: str = "company_id"):
+        self.key = key
+        self.rows = retrieval.laid(companies, key)
+        self.counts, self.idf = textindex.index(self.rows, "place", "description")
+        self.postings = stored(textindex.weighted(self.counts, self.idf, "place").withColumn("block", retrieval.block_of()), "postings")
+        self.file = stored(retrieval.entries(self.rows, self.postings), "entries")
+        self.blocks = stored(retrieval.blocks(self.rows, key), "blocks")
+
+
+_KEPT = ["macros", "category_keys", "country_key", "year", "quality", "stage", "team_size", "coherent", "corroborated", "segment_trust"]
+
+
+class Asked:
+    """Queries of analyzed() (and coherence(), segment_trust()) against a corpus: bounds of blocks, scores of chosen blocks, explained matches."""
+
+    def __init__(self, queries: DataFrame, corpus: Corpus):
+        given = {"coherent": F.lit(True), "corroborated": F.lit(True), "segment_trust": F.lit(1.0)}
+        queries = queries.withColumns({c: x for c, x in given.items() if c not in queries.columns})
+        self.dense = "embedding" in queries.columns and "embedding" in corpus.rows.columns
+        self.corpus = corpus
+        none = F.array().cast("array<string>")
+        keys = {"q_model_key": tx.compact_key(F.col("model")), "q_cause_key": tx.compact_key(F.col("cause")), "q_secondary_keys": F.filter(F.array_distinct(F.transform(F.coalesce("secondary", none), tx.compact_key)), lambda c: c != "")}
+        kept = [F.col(c).alias(f"q_{c}") for c in [*_KEPT, *(["embedding"] if self.dense else [])]]
+        self.rows = stored(queries.select("query_id", *kept, *[x.alias(c) for c, x in keys.items()]), "asked")
+        words = queries.select("query_id", F.size("words").alias("total"), F.explode("words").alias("term")).groupBy("query_id", "total", "term").agg(F.count("*").alias("n"))
+        self.terms = stored(textindex.weighted(words, corpus.idf, "query_id").withColumnRenamed("w", "wq"), "asked-terms")
+
+    def bounds(self) -> DataFrame:
+        keys = retrieval.asked_keys(self.rows, self.corpus.rows, self.terms)
+        trust = F.col("q_quality.trust") * F.col("q_segment_trust")
+        dense = retrieval.dense_bounds(self.rows, self.corpus.rows, trust, BLOCK) if self.dense else None
+        return stored(retrieval.bounds(keys, self.corpus.file, self.corpus.blocks, dense), "reachable")
+
+    def _scored(self, chosen: DataFrame, by: str, rows: DataFrame) -> DataFrame:
+        """chosen (query_id, and block or place) with rows of the corpus, dimensions and score."""
+        met = chosen.join(self.terms, "query_id").join(self.corpus.postings, [by, "term"])
+        lexical = met.groupBy("query_id", "place").agg(F.sum(F.col("wq") * F.col("w")).alias("lexical")).where(F.col("lexical") >= lx.MIN_LEXICAL)
+        pairs = chosen.join(self.rows, "query_id").join(rows, by).join(lexical, ["query_id", "place"], "left")
+        dims: list[Column] = [
+            scoring.overlap("macro", F.col("q_macros"), F.col("macros"), lx.WEIGHTS["macro"]),
+            scoring.overlap("category", F.col("q_category_keys"), F.col("c_keys"), lx.WEIGHTS["category"]),
+            scoring.dimension("model", F.lit(1.0), lx.WEIGHTS["model"], F.col("q_coherent") & (F.col("q_model_key") != "") & F.array_contains("c_keys", F.col("q_model_key"))),
+            scoring.lexical(F.col("lexical")),
+            scoring.cause(F.col("q_cause_key"), F.col("c_cause"), F.coalesce("cause_inferred", F.lit(False)), F.col("q_corroborated")),
+            scoring.secondary(F.col("q_secondary_keys"), F.col("c_cause")),
+            scoring.country(F.col("q_country_key"), F.col("c_country")),
+            scoring.era(F.col("q_year"), F.col("c_year")),
+        ]
+        if self.dense:
+            dims.append(scoring.semantic(vectors.dot(F.col("q_embedding"), F.col("embedding")), F.col("q_quality.trust") * F.col("q_segment_trust")))
+        return scoring.with_score(pairs, dims, F.col("c_dead"))
+
+    def scored(self, chosen: DataFrame) -> DataFrame:
+        """query_id, place, company, score of all rows in chosen (query_id, block)."""
+        needed = ["place", self.corpus.key, "macros", "c_keys", "c_cause", "cause_inferred", "c_country", "c_year", "c_dead", *(["embedding"] if self.dense else [])]
+        rows = self.corpus.rows.select(*needed, retrieval.block_of().alias("block"))
+        return self._scored(chosen, "block", rows).select("query_id", "place", self.corpus.key, "score")
+
+    def explained(self, found: DataFrame) -> DataFrame:
+        """Matches (query_id, place, rank) with all columns of the company, dimensions, score and convergence."""
+        ranks = found.select("query_id", "place", "rank")
+        return self._scored(ranks.select("query_id", "place"), "place", self.corpus.rows).join(ranks, ["query_id", "place"])
+
+    def best(self, k: int) -> DataFrame:
+        """The k best companies of each query with their rank, exactly; blocks that can't reach them are not scored."""
+        return self.explained(stored(retrieval.best(self.bounds(), self.scored, k, self.corpus.key), "best"))
+
+
+def scored(queries: DataFrame, companies: DataFrame) -> DataFrame:
+    """All pairs from the least score on, with dimensions, score and rank; blocks that can't reach it are not scored."""
+    asked = Asked(queries, Corpus(companies))
+    return asked.explained(scoring.ranked(asked.scored(asked.bounds().select("query_id", "block"))))
+
+
+#: Matches whose order the profile can change.
+HEAD = 50
+
+
+def consult(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25, models: dict[str, list[str]] | None = None, causes: dict[str, list[str]] | None = None, corpus: Corpus | None = None) -> DataFrame:
     """query_id, company_id, name, outcome, score, final_rank, confidence, reasons of the best matches."""
-    counts, idf = textindex.index(companies, "company_id", "description")
-    q = corrected(analyzed(queries, macros), idf.select("term", "df"))
-    q = stored(segment_trust(coherence(q, models, causes), companies), "queries")
-    rows = scored(q, companies, (counts, idf))
+    corpus = corpus or Corpus(companies)
+    q = corrected(analyzed(queries, macros), corpus.idf.select("term", "df"))
+    cells = segments.cells(corpus.rows.withColumn("outcome", cl.outcome(F.col("status"))))
+    q = stored(segment_trust(coherence(q, models, causes), cells), "queries")
+    rows = Asked(q, corpus).best(max(HEAD, top))
     parts = {
         "country": F.when((F.col("q_country_key") != "") & (F.col("c_country") != ""), (F.col("q_country_key") == F.col("c_country")).cast("double")),
         "decade": scoring.nearness(F.col("q_year"), F.col("c_year"), 20.0),
         "headcount": scoring.nearness(cl.headcount_band(F.col("q_team_size")), cl.headcount_band(F.col("headcount")), 5.0),
         "stage": scoring.nearness(cl.stage_ordinal(F.col("q_stage")), cl.implicit_stage(F.col("headcount")), 4.0),
-        "model": F.when(tx.compact_key(F.col("q_model")) != "", F.array_contains("c_keys", tx.compact_key(F.col("q_model"))).cast("double")),
+        "model": F.when(F.col("q_model_key") != "", F.array_contains("c_keys", F.col("q_model_key")).cast("double")),
     }
-    rows = scoring.rerank(rows.withColumn("similarity", scoring.profile_similarity(parts)), "similarity")
+    rows = scoring.rerank(rows.withColumn("similarity", scoring.profile_similarity(parts)), "similarity", head=HEAD)
     level = scoring.confidence(F.col("score"), F.col("dims"), F.col("convergence"), F.col("q_quality.short"), F.col("q_segment_trust"))
     out = rows.where(F.col("final_rank") <= top)
     return out.select("query_id", "company_id", "name", cl.outcome(F.col("status")).alias("outcome"), cl.round4(F.col("final_score")).alias("score"), "final_rank", level.alias("confidence"), scoring.explain(F.col("dims")).alias("reasons"), "convergence")
@@ -142,17 +192,16 @@ def consult(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str
 
 def consult_in_blocks(queries: DataFrame, companies: DataFrame, macros: dict[str, list[str]] | None = None, top: int = 25, block: int = BLOCK, **tables):
     """consult() for any number of queries: one result for each block of them."""
-    n = max(1, -(-queries.count() // block))
+    n, corpus = max(1, -(-queries.count() // block)), Corpus(companies)
     for k in range(n):
-        yield consult(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k), companies, macros, top, **tables)
+        yield consult(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k), companies, macros, top, corpus=corpus, **tables)
 
 
 def diagnosis(matches: DataFrame, companies: DataFrame, queries: DataFrame, top: int = 15) -> DataFrame:
     """query_id, direction, gap: outcomes of the closest matches against those of the queries' segments."""
     best = matches.where(F.col("final_rank") <= top).groupBy("query_id").agg(*cohorts.outcome_counts())
-    c = companies.withColumn("outcome", cl.outcome(F.col("status")))
-    asked = queries.select("query_id", F.col("macros").alias("q_macros"))
-    segment = vectors.against_all(c, asked, "query_id", F.arrays_overlap("macros", "q_macros"), BLOCK).groupBy("query_id").agg(*cohorts.outcome_counts())
+    found = segments.outcomes(segments.of_queries(queries, segments.cells(companies.withColumn("outcome", cl.outcome(F.col("status"))))))
+    segment = queries.select("query_id", segments.signature(F.col("macros")).alias("asked")).join(found, "asked").drop("asked")
     return cohorts.path_signal(best, segment, ["query_id"])
 
 

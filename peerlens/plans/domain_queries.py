@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from peerlens.functions import classify as cl
@@ -83,13 +84,12 @@ def country_fixed_aliases(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", tx.country_key(s, lx.COUNTRY_ALIASES).alias("country"))
 
 
-_MATCHES = "m AS (SELECT l_orderkey AS query_id, l_linenumber AS final_rank, 'S' || l_suppkey AS name, CASE l_linenumber % 2 WHEN 0 THEN 'dead' ELSE 'operating' END AS outcome, floor(l_quantity)::INT AS score FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) WHERE c = 1)"
+_MATCHES = "m AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity) AS final_rank, 'S' || l_suppkey AS name, CASE l_linenumber % 2 WHEN 0 THEN 'dead' ELSE 'operating' END AS outcome, floor(l_quantity)::INT AS score FROM lineitem)"
 
 
 def _matches(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem")
-    one = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").alias("l_quantity")).where("c = 1")
-    return one.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("final_rank"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "dead").otherwise("operating").alias("outcome"), F.floor("l_quantity").cast("int").alias("score"), F.lit("low").alias("confidence"), F.array(F.lit("era"), F.lit("macro")).alias("reasons"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), rank.alias("final_rank"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "dead").otherwise("operating").alias("outcome"), F.floor("l_quantity").cast("int").alias("score"), F.lit("low").alias("confidence"), F.array(F.lit("era"), F.lit("macro")).alias("reasons"))
 
 
 @query(f"""

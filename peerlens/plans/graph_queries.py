@@ -58,14 +58,15 @@ _LINKS = "l AS (SELECT DISTINCT 'C' || o_custkey AS source, 'P' || l_partkey AS
 
 
 @query(f"""
-WITH {_LINKS}, u AS (SELECT source, target FROM l UNION SELECT target, source FROM l), s AS (SELECT * FROM (VALUES ('C7'), ('C100'), ('P5')) v(seed)),
+WITH {_LINKS}, u AS (SELECT source, target FROM l UNION SELECT target, source FROM l), s AS (SELECT 'C' || c_custkey AS seed FROM customer WHERE c_custkey % 100 = 0),
 h1 AS (SELECT DISTINCT seed, target AS id FROM s JOIN u ON source = seed), h2 AS (SELECT DISTINCT seed, target AS id FROM h1 JOIN u ON source = id)
 SELECT seed, id, min(hops)::INT AS hops FROM (SELECT seed, seed AS id, 0 AS hops FROM s UNION ALL SELECT seed, id, 1 FROM h1 UNION ALL SELECT seed, id, 2 FROM h2) GROUP BY seed, id
 """)
 def graph_two_hop(spark, sf_dir):
     joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     edges = joined.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"))
-    return graph.neighbourhood(edges, spark.createDataFrame([("C7",), ("C100",), ("P5",)], "seed string"))
+    seeds = load(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("seed"))
+    return graph.neighbourhood(edges, seeds)
 
 
 @query(f"WITH {GRAPH}, k AS (SELECT id FROM n WHERE type NOT IN ('location', 'outcome')) SELECT * FROM e WHERE relation NOT IN ('FROM_SOURCE', 'HAS_DATA_SOURCE') AND source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")

@@ -8,6 +8,7 @@ from peerlens.functions import classify as cl
 from peerlens.functions import lexicons as lx
 from peerlens.functions import text as tx
 from peerlens.operators import quality, scoring, textindex
+from peerlens.sources.sinks import stored
 
 from .analogs import round4, sql_tokens
 from .registry import load, query, values
@@ -112,6 +113,21 @@ def fuzzy_vocab_match(spark, sf_dir):
     return textindex.fuzzy_corrections(words, vocabulary)
 
 
+_ALL = f"SELECT doc_id, unnest({sql_tokens('text', [])}) AS t FROM documents"
+
+
+@query(f"""
+WITH n AS (SELECT t AS term, count(DISTINCT doc_id) AS df FROM ({_ALL}) GROUP BY t), v AS (SELECT * FROM n WHERE df > 1), w AS (SELECT term AS word FROM n WHERE df = 1 AND length(term) >= 5),
+m AS (SELECT word, term, df FROM w JOIN v ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= 1 AND length(term) >= 4 WHERE damerau_levenshtein(word, term) <= 1)
+SELECT word, arg_min(term, (-df, term)) AS correction FROM m GROUP BY word
+""")
+def fuzzy_document_words(spark, sf_dir):
+    """Words that one document uses, by the word within one edit that several use; all words of documents."""
+    words = load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"), [])).alias("term"))
+    counts = stored(words.groupBy("term").agg(F.countDistinct("doc_id").alias("df")), "words")
+    return textindex.fuzzy_corrections(counts.where("df = 1").select(F.col("term").alias("word")), counts.where("df > 1"))
+
+
 CAUSES = {"Lack of Funds": ["ran out of", "funds", "cash"], "Competition": ["lost to", "other", "tion"], "Bad Timing": ["too early", "then", "late"], "Poor Product": ["bug", "thing"]}
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from peerlens.operators import graph
+from peerlens.operators import graph, segments
 from peerlens.plans import consult
 
 MACROS = {"fin": ["fintech", "payments"], "food": ["food", "delivery"]}
@@ -78,7 +78,7 @@ def test_words_are_corrected_and_claims_are_held_against_the_text(spark, found):
     models, causes = {"saas": ["software", "subscription"]}, {"Lack of Funds": ["ran out of cash"]}
     told = {r.query_id: (r.coherent, r.corroborated) for r in consult.coherence(a, models, causes).collect()}
     assert told == {1: (False, False), 2: (True, True)}
-    trust = {r.query_id: r.segment_trust for r in consult.segment_trust(a, c).collect()}
+    trust = {r.query_id: r.segment_trust for r in consult.segment_trust(a, segments.cells(c.withColumn('outcome', F.lit('dead')))).collect()}
     assert trust == {1: 0.5, 2: 1.0}
 
 
