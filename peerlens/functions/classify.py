@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,26 +70,34 @@ def implicit_stage(headcount: Column) -> Column:
 
 
 def money(number: Column, unit: Column) -> Column:
-    """Number of a money expression: dots group thousands, a comma is decimal; k, m and b units."""
+    """Number of a money expression: dots group thousands, a comma is decimal; then the factor of its unit."""
     value = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
-    u = F.lower(F.coalesce(unit, F.lit("")))
-    return value * F.when(u.startswith("b"), 1e9).when(u.isin("k", "mil"), 1e3).when(u.startswith("m"), 1e6).otherwise(1.0)
+    factors = F.create_map(*[F.lit(x) for kv in lx.MONEY_UNITS.items() for x in kv])
+    return value * F.coalesce(F.element_at(factors, F.lower(F.coalesce(unit, F.lit("")))), F.lit(1.0))
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern for any of some literal words, the longest first; blanks match any white space."""
+    parts = sorted((re.escape(w).replace("\\ ", r"\s+") for w in words), key=len, reverse=True)
+    return "(?:" + "|".join(parts) + ")"
 
 
-MONEY = r"(?i)(?:us\$|r\$|\$|€|£)\s*([0-9][0-9.,]*)(?:\s*(million|mil|m|billion|bi|b|k)\b)?"
-ROUND = r"(?i)\b(pre-seed|seed|series [a-e])\b"
+MONEY = rf"(?i){any_of(lx.CURRENCIES)}\s*([0-9][0-9.,]*)(?:\s*({any_of(list(lx.MONEY_UNITS))})(?![\p{{L}}0-9]))?"
+ROUND = rf"(?i)(?<![\p{{L}}0-9])({any_of(lx.ROUND_WORDS)}|{any_of(lx.ROUND_SERIES)}\s?[a-f])(?![\p{{L}}0-9])"
+YEAR = r"\b(19[0-9]{2}|20[0-3][0-9])\b"
+STAFF = rf"(?i)\b([0-9]{{1,4}})\s*{any_of(lx.STAFF_WORDS)}(?![\p{{L}}0-9])"
 
 
 def entities(text: Column) -> Column:
-    """First money, first round, least year, all years and first headcount that a text names."""
+    """First money, first round, least year (1900 to 2039), all years and first headcount that a text names."""
     t = F.coalesce(text, F.lit(""))
-    years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))))
+    years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int"))))
     return F.struct(
         money(F.nullif(F.regexp_extract(t, MONEY, 1), F.lit("")), F.regexp_extract(t, MONEY, 2)).alias("money"),
         F.nullif(F.lower(F.regexp_extract(t, ROUND, 1)), F.lit("")).alias("round"),
         F.array_min(years).alias("year"),
         years.alias("years"),
-        F.regexp_extract(t, r"(?i)\b([0-9]+)\s*(?:people|employees|funcionarios|pessoas)\b", 1).try_cast("int").alias("headcount"),
+        F.regexp_extract(t, STAFF, 1).try_cast("int").alias("headcount"),
     )
 
 

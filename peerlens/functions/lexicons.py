@@ -159,3 +159,18 @@ MODEL_WORDS = {
     "agency": ["agency", "services", "consulting", "consultoria"],
     "subscription": ["subscription", "recurring", "monthly", "assinatura", "mensalidade"],
 }
+
+# Signs and codes before an amount of money, the factors of its units, words for rounds and for staff (fixed values).
+CURRENCIES = ["us$", "u$s", "r$", "$", "€", "£", "usd", "brl", "eur", "gbp"]
+MONEY_UNITS = {
+    "k": 1e3, "mil": 1e3,
+    "m": 1e6, "mm": 1e6, "milhão": 1e6, "milhões": 1e6, "milhao": 1e6, "milhoes": 1e6, "million": 1e6, "millions": 1e6,
+    "bi": 1e9, "b": 1e9, "bn": 1e9, "bilhão": 1e9, "bilhões": 1e9, "billion": 1e9,
+}
+ROUND_WORDS = ["pre-seed", "pre seed", "preseed", "seed", "ipo", "anjo", "angel", "bootstrap", "bootstrapped", "revenue-based", "revenue based", "revenuebased"]
+ROUND_SERIES = ["series", "série", "serie"]
+STAFF_WORDS = ["funcionario", "funcionarios", "funcionário", "funcionários", "employee", "employees", "people", "pessoas", "func", "funcs", "dev", "devs", "staff", "colab", "colabs", "colaboradores"]
+
+# Phrases before the name of a competitor; those of the second list want a colon or a space behind them (fixed values).
+RIVAL_CUES = ["vs.", "vs", "versus", "compete with", "competes with", "competed with"]
+RIVAL_TITLES = ["competitor", "competitors"]

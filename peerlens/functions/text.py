@@ -173,16 +173,24 @@ def plain_wiki(s: Column) -> Column:
 
 
 def infobox(s: Column) -> Column:
-    """Map of the "| key = value" lines of an infobox."""
-    lines = F.regexp_extract_all(s, F.lit(r"(?m)^\s*\|\s*([A-Za-z_ ]+?)\s*=\s*(.+)$"), F.lit(0))
+    """Map of the "| key = value" entries of an infobox; a value runs on to the next entry or the end of the box.
+
+    Keys begin with a letter or underscore, may have digits, and are in lower case with underscores; of repeated keys the last counts.
+    Template marks within a value go, line breaks of the markup become semicolons; empty values are left out.
+    """
+    body = F.regexp_replace(F.regexp_replace(s, r"(?s)^.*?\{\{\s*[Ii]nfobox[^\n|]*", ""), r"(?m)^\s*\}\}\s*$(?s:.*)", "")
+    parts = F.slice(F.split(F.concat(F.lit("\n"), body), r"\n\s*\|(?=\s*[A-Za-z_][A-Za-z0-9_ \t]*=)"), 2, 1_000_000)
     pairs = F.transform(
-        lines,
-        lambda line: F.struct(
-            F.lower(F.trim(F.regexp_extract(line, r"^\s*\|\s*([A-Za-z_ ]+?)\s*=", 1))).alias("key"),
-            plain_wiki(F.regexp_extract(line, r"=\s*(.+)$", 1)).alias("value"),
+        parts,
+        lambda p: F.struct(
+            F.replace(F.lower(F.trim(F.substring_index(p, "=", 1))), F.lit(" "), F.lit("_")).alias("key"),
+            F.regexp_replace(plain_wiki(F.regexp_replace(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1), r"(?i)<br\s*/?>", "; ")), r"^[ ,;|]+|[ ,;|]+$", "").alias("value"),
         ),
     )
-    return F.map_from_entries(F.filter(pairs, lambda p, i: (F.array_position(F.transform(pairs, lambda x: x["key"]), p["key"]) == i + 1) & (p["value"] != "")))
+    full = F.filter(pairs, lambda p: p["value"] != "")
+    keys = F.transform(pairs, lambda p: p["key"])
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, 1_000_000), p["key"]))
+    return F.map_from_entries(F.filter(last, lambda p: (p["value"] != "") & (F.size(full) > 0)))
 
 
 def flattened(*parts: Column) -> Column:
@@ -197,12 +205,24 @@ def related_slugs(html: Column, own: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda s: (s != "") & ~F.contains(s, own)))
 
 
-COMPETITOR = r"(?:vs\.?|versus|compete[sd]?\s+with|competitors?[:\s]+)\s*([A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)?)"
+#: One or two words, each a capital letter and more letters or digits.
+RIVAL_NAME = "^[A-Z][A-Za-z0-9]+(?:\\s+[A-Z][A-Za-z0-9]+)?"
+_CUT = "\x1f"
 
 
 def competitor_names(s: Column) -> Column:
-    """Names behind "vs", "versus", "competes with" and "competitor:", distinct, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(COMPETITOR), F.lit(1)))
+    """Names behind "vs", "versus", "competes with" and "competitor:", distinct, in order.
+
+    The text is cut at the cues; a piece counts if a name stands at its very beginning.
+    """
+    cut = F.coalesce(s, F.lit(""))
+    for phrase in sorted(lx.RIVAL_TITLES, key=len, reverse=True):
+        cut = F.regexp_replace(cut, re.escape(phrase) + r"[:\s]+", _CUT)
+    for phrase in sorted(lx.RIVAL_CUES, key=len, reverse=True):
+        cut = F.regexp_replace(cut, re.escape(phrase).replace("\\ ", r"\s+") + r"\s*", _CUT)
+    pieces = F.slice(F.split(cut, _CUT), 2, 1_000_000)
+    names = F.transform(pieces, lambda p: F.regexp_extract(p, RIVAL_NAME, 0))
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 
 def unique_id() -> Column:

@@ -6,42 +6,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.functions import text as tx
+from peerlens.sources.sinks import stored
 
 
-def first_present(value: str | Column, order: Column) -> Column:
-    """Aggregate: the first present value by an order."""
-    v = tx.absent(F.col(value) if isinstance(value, str) else value)
-    return F.min_by(v, F.when(v.isNotNull(), order))
+def facts(records: DataFrame, scalars: list[str], key: str = "norm", order: tuple[str, ...] = ("source_ord", "record_ord"), source: str = "source") -> DataFrame:
+    """key, field, source, value, n, first: who says what of an entity, how often, and where first; the provenance in long form.
+
+    Equal statements are added up where they are read, and a key is spread by field, source and value, so one that has a third of all rows is no hot task.
+    """
+    value = lambda f: tx.absent(F.col(f).cast("string"))
+    said = F.array_compact(F.array(*[F.when(value(f).isNotNull(), F.struct(F.lit(f).alias("field"), value(f).alias("value"))) for f in scalars]))
+    rows = records.where(tx.absent(F.col(key)).isNotNull()).select(key, F.col(source).alias("source"), F.struct(*order).alias("_seq"), F.explode(said).alias("_f"))
+    return rows.groupBy(key, F.col("_f.field").alias("field"), "source", F.col("_f.value").alias("value")).agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
+
+
+def items(records: DataFrame, lists: list[str], key: str = "norm", order: tuple[str, ...] = ("source_ord", "record_ord")) -> DataFrame:
+    """key, field, value, first: distinct present items of list columns, and where each stands first."""
+    def listed(f: str) -> Column:
+        return F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(f).alias("field"), v.alias("value"), i.alias("at")))
+
+    said = F.flatten(F.array(*[listed(f) for f in lists]))
+    rows = records.where(tx.absent(F.col(key)).isNotNull()).select(key, *order, F.explode(said).alias("_i")).where(tx.absent(F.col("_i.value")).isNotNull())
+    return rows.groupBy(key, F.col("_i.field").alias("field"), F.col("_i.value").alias("value")).agg(F.min(F.struct(*order, F.col("_i.at"))).alias("first"))
+
+
+def raw_per_source(records: DataFrame, key: str = "norm", order: tuple[str, ...] = ("source_ord", "record_ord"), source: str = "source") -> DataFrame:
+    """key, source, raw (VARIANT), first, records: the last record that each source has of an entity, with its present columns only."""
+    seq = F.struct(*order)
+    rows = records.where(tx.absent(F.col(key)).isNotNull())
+    made = rows.groupBy(key, F.col(source).alias("source")).agg(F.max_by(F.to_json(F.struct(*records.columns)), seq).alias("raw"), F.min(seq).alias("first"), F.count("*").alias("records"))
+    return made.withColumn("raw", F.parse_json("raw"))
 
 
-def distinct_in_order(values: str, order: Column) -> Column:
-    """Aggregate: distinct items of list columns, in the order of their rows."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(values).alias("v"))))
-    items = F.flatten(F.transform(rows, lambda r: F.coalesce(r["v"], F.array().cast("array<string>"))))
-    return F.array_distinct(F.filter(items, lambda x: tx.absent(x).isNotNull()))
+def _in_order(entries: Column, what: str) -> Column:
+    return F.transform(F.array_sort(entries), lambda e: e[what])
 
 
-def merge_records(records: DataFrame, scalars: list[str], lists: list[str] = (), key: str = "norm", order: tuple[str, ...] = ("source_ord", "record_ord"), source: str = "source") -> DataFrame:
+def merge_records(records: DataFrame, scalars: list[str], lists: list[str] = (), key: str = "norm", order: tuple[str, ...] = ("source_ord", "record_ord"), source: str = "source", raw: bool = False) -> DataFrame:
     """One row for each entity: first present scalars, ordered unions of lists, sources, and the log of who said what.
 
-    `provenance` maps a field to all (source, value) pairs in order; `aliases` holds other spellings of the name.
+    `provenance` maps a field to its distinct (source, value) pairs in order, with the number of records; `aliases` holds other spellings of the
+    name; with `raw`, `raw_per_source` maps a source to its last record. Rows are put together from facts(), items() and sources, which are
+    aggregated before they meet by key; what has more of them than a row should hold is read from these tables.
     """
-    seq = F.struct(*order)
-    log = [F.when(tx.absent(F.col(f).cast("string")).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(source).alias("source"), F.trim(F.col(f).cast("string")).alias("value"))) for f in scalars]
-    rows = records.where(tx.absent(F.col(key)).isNotNull()).withColumn("_log", F.array_compact(F.array(*log)))
-    made = rows.groupBy(key).agg(
-        *[first_present(f, seq).alias(f) for f in scalars],
-        *[distinct_in_order(f, seq).alias(f) for f in lists],
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(seq.alias("o"), F.col(source).alias("s")))), lambda r: r["s"])).alias("sources"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(seq.alias("o"), F.col("_log").alias("l")))), lambda r: r["l"])).alias("_log"),
+    said = facts(records, scalars, key, order, source)
+    of = said.groupBy(key).agg(
+        *[F.min_by("value", F.when(F.col("field") == f, F.col("first"))).alias(f) for f in scalars],
+        F.array_sort(F.collect_list(F.struct("first", "field", "source", "value", "n"))).alias("_log"),
     )
-    fields = F.array_distinct(F.transform("_log", lambda e: e["field"]))
-    provenance = F.map_from_arrays(fields, F.transform(fields, lambda f: F.transform(F.filter("_log", lambda e: e["field"] == f), lambda e: F.struct(e["source"], e["value"]))))
-    made = made.withColumn("provenance", provenance)
+    kept = raw_per_source(records, key, order, source)
+    known = kept.groupBy(key).agg(
+        _in_order(F.collect_list(F.struct("first", "source")), "source").alias("sources"),  # as many as there are sources
+        *([F.map_from_entries(F.collect_list(F.struct("source", "raw"))).alias("raw_per_source")] if raw else []),
+    )
+    made = known.join(of, key, "left")
+    if lists:
+        each = [_in_order(F.collect_list(F.when(F.col("field") == f, F.struct("first", "value"))), "value").alias(f) for f in lists]
+        made = made.join(items(records, list(lists), key, order).groupBy(key).agg(*each), key, "left")
+    log = F.coalesce("_log", F.array().cast(of.schema["_log"].dataType))
+    fields = F.array_distinct(F.transform(log, lambda e: e["field"]))
+    provenance = F.map_from_arrays(fields, F.transform(fields, lambda f: F.transform(F.filter(log, lambda e: e["field"] == f), lambda e: F.struct(e["source"], e["value"], e["n"]))))
+    columns = [key, *scalars, *[F.coalesce(f, F.array().cast("array<string>")).alias(f) for f in lists], "sources", *(["raw_per_source"] if raw else []), provenance.alias("provenance")]
     if "name" in scalars:
-        names = F.transform(F.filter("_log", lambda e: e["field"] == "name"), lambda e: e["value"])
-        made = made.withColumn("aliases", F.filter(F.array_distinct(names), lambda x: x != F.col("name")))
-    return made.drop("_log")
+        names = F.array_distinct(F.transform(F.filter(log, lambda e: e["field"] == "name"), lambda e: e["value"]))
+        columns.append(F.filter(names, lambda x: x != F.col("name")).alias("aliases"))
+    return made.select(*columns)
 
 
 def upsert(corpus: DataFrame, new: DataFrame, key: str, policies: dict[str, str]) -> DataFrame:
@@ -89,8 +118,8 @@ def fill_from_lookup(df: DataFrame, lookup: DataFrame, key: str, fields: list[st
 
 
 def apply_patches(df: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with curated values, and the patches that met no row."""
-    other = patches.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    """Rows with curated values, and the patches that met no row. Of several patches with one key the least present value of each field counts, so rows don't multiply."""
+    other = patches.groupBy(key).agg(*[F.min(f).alias(f"_{f}") for f in fields])
     joined = df.join(other, key, "left").withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).drop(*[f"_{f}" for f in fields])
     return joined, patches.join(df, key, "left_anti")
 
@@ -99,10 +128,21 @@ def unseen(new: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return new.join(seen, key, "left_anti")
 
 
-def with_suffix_on_collision(df: DataFrame, slug: str, order: list, out: str) -> DataFrame:
+def numbered_within(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """df with the place of each row, from 1, within its group. Groups may be of any size: rows are sorted by ranges of group and order, and a range begins where the ranges before it end."""
+    ranged = stored(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    starts = ranged.groupBy(group, part.alias("_p")).agg(F.min("_m").alias("_first"), F.count("*").alias("_c"))  # rows: groups and ranges
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(F.col(group).alias("_g"), "_p", "_first", before.alias("_before"))
+    joined = ranged.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (part == F.col("_p")))
+    return joined.withColumn(out, (F.col("_m") - F.col("_first") + F.col("_before") + 1)).drop("_m", "_g", "_p", "_first", "_before")
+
+
+def with_suffix_on_collision(df: DataFrame, slug: str, order: list[str], out: str) -> DataFrame:
     """Unique ids from slugs: the second and later rows of one slug get -2, -3 and so on."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), "_n"))).drop("_n")
+    rows = numbered_within(df, slug, order, "_n")
+    return rows.withColumn(out, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string")))).drop("_n")
 
 
 def looked_up_by_keys(df: DataFrame, lookup: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:

@@ -70,7 +70,46 @@ def merge_list_union(spark, sf_dir):
 @query(f"WITH {SOURCES} SELECT norm, source, trim(name) AS value, count(*) AS n FROM src WHERE nullif(trim(name), '') IS NOT NULL GROUP BY ALL")
 def provenance_log(spark, sf_dir):
     merged = linkage.merge_records(_sources(spark, sf_dir), ["name"])
-    return merged.select("norm", F.explode(F.element_at("provenance", F.lit("name"))).alias("e")).groupBy("norm", "e.source", "e.value").agg(F.count("*").alias("n"))
+    return merged.select("norm", F.explode(F.element_at("provenance", F.lit("name"))).alias("e")).select("norm", "e.source", "e.value", "e.n")
+
+
+HOT = """hot AS (
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'k' || l_suppkey END AS norm, 'm' || (l_partkey % 7) AS source, l_partkey AS source_ord, l_linenumber AS record_ord, l_orderkey AS id, round(l_extendedprice * 100)::BIGINT AS amount,
+    CASE WHEN l_linenumber > 1 THEN l_returnflag || l_linestatus END AS status, CASE WHEN l_linenumber > 2 THEN ' p' || (l_suppkey % 10) ELSE ' ' END AS place, [l_returnflag, NULL, 'm' || (l_partkey % 7), ''] AS tags FROM lineitem)"""
+
+
+def _hot(spark, sf_dir):
+    """Line items as records of entities, of which one has a third of all rows."""
+    i, n, source = F.col("l_orderkey"), F.col("l_linenumber"), F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string"))
+    return load(spark, sf_dir, "lineitem").select(
+        F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("l_suppkey").cast("string"))).alias("norm"), source.alias("source"), F.col("l_partkey").alias("source_ord"), n.alias("record_ord"), i.alias("id"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"),
+        F.when(n > 1, F.concat("l_returnflag", "l_linestatus")).alias("status"), F.when(n > 2, F.concat(F.lit(" p"), (F.col("l_suppkey") % 10).cast("string"))).otherwise(" ").alias("place"), F.array("l_returnflag", F.lit(None).cast("string"), source, F.lit("")).alias("tags"),
+    )
+
+
+@query(f"""
+WITH {HOT}, f AS (SELECT *, (source_ord, record_ord, id, amount) AS o FROM hot),
+a AS (SELECT norm, arg_min(status, o) FILTER (status IS NOT NULL) AS status, arg_min(trim(place), o) FILTER (nullif(trim(place), '') IS NOT NULL) AS place FROM f GROUP BY norm),
+t AS (SELECT norm, array_to_string(list(x ORDER BY o), '|') AS tags FROM (SELECT norm, x, min((source_ord, record_ord, id, amount, CASE WHEN x = source THEN 1 ELSE 0 END)) AS o FROM (SELECT norm, source, source_ord, record_ord, id, amount, unnest(tags) AS x FROM hot) WHERE nullif(trim(x), '') IS NOT NULL GROUP BY norm, x) GROUP BY norm),
+s AS (SELECT norm, array_to_string(list(source ORDER BY o), '|') AS sources FROM (SELECT norm, source, min(o) AS o FROM f GROUP BY norm, source) GROUP BY norm),
+p AS (SELECT norm, count(*) AS facts FROM (SELECT DISTINCT norm, source, status FROM hot WHERE status IS NOT NULL UNION ALL SELECT DISTINCT norm, source, place FROM hot WHERE nullif(trim(place), '') IS NOT NULL) GROUP BY norm)
+SELECT norm, status, place, tags, sources, coalesce(facts, 0) AS facts FROM a JOIN t USING (norm) JOIN s USING (norm) LEFT JOIN p USING (norm)
+""")
+def merge_hot_entity(spark, sf_dir):
+    merged = linkage.merge_records(_hot(spark, sf_dir), ["status", "place"], ["tags"], order=("source_ord", "record_ord", "id", "amount"))
+    n = F.aggregate(F.map_values("provenance"), F.lit(0).cast("long"), lambda a, x: a + F.size(x))
+    return merged.select("norm", "status", "place", F.array_join("tags", "|").alias("tags"), F.array_join("sources", "|").alias("sources"), n.alias("facts"))
+
+
+@query(f"""
+WITH {HOT}, r AS (SELECT norm, source, arg_max({{'id': id, 'status': status, 'n': record_ord}}, (source_ord, record_ord, id, amount)) AS r, count(*) AS records FROM hot GROUP BY norm, source)
+SELECT norm, source, r.id AS id, r.status AS status, r.n AS record_ord, records FROM r
+""")
+def records_of_sources(spark, sf_dir):
+    """The last record of each source and entity, read back from its VARIANT."""
+    kept = linkage.raw_per_source(_hot(spark, sf_dir), order=("source_ord", "record_ord", "id", "amount"))
+    get = lambda path, kind: F.try_variant_get("raw", path, kind)
+    return kept.select("norm", "source", get("$.id", "long").alias("id"), get("$.status", "string").alias("status"), get("$.record_ord", "int").alias("record_ord"), "records")
 
 
 @query("""

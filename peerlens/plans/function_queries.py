@@ -72,6 +72,11 @@ def string_functions(spark, sf_dir):
     )
 
 
+_CUT = "market"
+for _phrase, _behind in [*[(p, r"[:\s]+") for p in sorted(lx.RIVAL_TITLES, key=len, reverse=True)], *[(p, r"\s*") for p in sorted(lx.RIVAL_CUES, key=len, reverse=True)]]:
+    _CUT = f"regexp_replace({_CUT}, '{_phrase.replace('.', '[.]').replace(' ', '[ ]+')}{_behind}', chr(31), 'g')"
+
+
 @query(f"""
 WITH {PEOPLE}, s AS (SELECT id, regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, url,
   '<a href="/company/self">x</a><a href="https://h.io/company/' || lower(seg) || '/">y</a><a href="/company/' || id || '">z</a><a href="/company/' || lower(seg) || '">w</a>' AS html,
@@ -80,7 +85,7 @@ SELECT id, length(slug) BETWEEN 3 AND 80 AND regexp_matches(slug, '^[a-z0-9][a-z
   array_to_string(list_distinct_in_order, '|') AS related, array_to_string(names, '|') AS competitors
 FROM (SELECT *, list_filter(r, lambda x, i: list_position(r, x) = i) AS list_distinct_in_order, list_filter(m, lambda x, i: list_position(m, x) = i) AS names
   FROM (SELECT *, list_filter(list_transform(regexp_extract_all(html, 'href="[^"]*/company/([^"]*)"', 1), lambda x: trim(x, '/')), lambda x: x <> '' AND NOT contains(x, 'self')) AS r,
-    regexp_extract_all(market, '(?:vs\\.?|versus|compete[sd]?\\s+with|competitors?[:\\s]+)\\s*([A-Z][A-Za-z0-9]+(?:\\s+[A-Z][A-Za-z0-9]+)?)', 1) AS m FROM s))
+    list_filter(list_transform(string_split({_CUT}, chr(31))[2:], lambda x: regexp_extract(x, '{tx.RIVAL_NAME}')), lambda x: x <> '') AS m FROM s))
 """)
 def relation_extract(spark, sf_dir):
     p, i = _people(spark, sf_dir), F.col("id").cast("string")
@@ -109,7 +114,7 @@ def semantic_texts(spark, sf_dir):
 WITH w AS (SELECT s_suppkey AS id, '<!-- c' || s_suppkey || ' -->''''''' || s_name || ''''''' is a [[firm|company]] of [[' || n_name || ']]<ref name="x">cite</ref>, {{cn|a}} see [http://e.org the  site]<br/> end' AS body,
   '{{Infobox' || chr(10) || '| name = ' || s_name || chr(10) || '| location = [[' || n_name || ']]' || chr(10) || ' | founded = {{start}} ' || (1900 + s_suppkey % 120) || chr(10) || '|name = again' || chr(10) || '}}' AS box, s_name, n_name
   FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-SELECT id, s_name || ' is a company of ' || n_name || ', see the site end' AS plain, s_name AS box_name, n_name AS box_place, (1900 + id % 120)::VARCHAR AS box_year, 3 AS box_fields FROM w
+SELECT id, s_name || ' is a company of ' || n_name || ', see the site end' AS plain, 'again' AS box_name, n_name AS box_place, (1900 + id % 120)::VARCHAR AS box_year, 3 AS box_fields FROM w
 """)
 def wiki_texts(spark, sf_dir):
     rows = load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from peerlens.functions import classify as cl
@@ -117,8 +119,10 @@ _ALL = f"SELECT doc_id, unnest({sql_tokens('text', [])}) AS t FROM documents"
 
 
 @query(f"""
-WITH n AS (SELECT t AS term, count(DISTINCT doc_id) AS df FROM ({_ALL}) GROUP BY t), v AS (SELECT * FROM n WHERE df > 1), w AS (SELECT term AS word FROM n WHERE df = 1 AND length(term) >= 5),
-m AS (SELECT word, term, df FROM w JOIN v ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= 1 AND length(term) >= 4 WHERE damerau_levenshtein(word, term) <= 1)
+WITH n AS (SELECT t AS term, count(DISTINCT doc_id) AS df FROM ({_ALL}) GROUP BY t),
+x AS (SELECT term, df, unnest(list_distinct(list_append(list_transform(range(1, length(term) + 1), lambda i: left(term, i - 1) || substring(term, i + 1)), term))) AS part FROM n),
+m AS (SELECT w.term AS word, v.term AS term, v.df AS df FROM x w JOIN x v USING (part)
+  WHERE w.df = 1 AND v.df > 1 AND length(w.term) >= 5 AND length(v.term) >= 4 AND left(w.term, 1) = left(v.term, 1) AND damerau_levenshtein(w.term, v.term) <= 1)
 SELECT word, arg_min(term, (-df, term)) AS correction FROM m GROUP BY word
 """)
 def fuzzy_document_words(spark, sf_dir):
@@ -148,17 +152,45 @@ def cause_lexicon(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", c.alias("c")).where("c is not null").select("doc_id", "c.cause", "c.confidence")
 
 
-@query("""
-WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations
-  UNION ALL SELECT doc_id + 1000000, 0, coalesce(text, '') FROM documents)
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(re.sub(r"([.$])", r"[\1]", w).replace(" ", "[ ]+") for w in sorted(words, key=len, reverse=True)) + ")"
+
+
+_MONEY = f"(?i){_any(lx.CURRENCIES)}\\s*([0-9][0-9.,]*)(?:\\s*({_any(list(lx.MONEY_UNITS))})(?:[^\\pL0-9]|$))?"
+_ROUND = f"(?i)(?:^|[^\\pL0-9])({_any(lx.ROUND_WORDS)}|{_any(lx.ROUND_SERIES)}\\s?[a-f])(?:[^\\pL0-9]|$)"
+_YEAR = "\\b(19[0-9]{2}|20[0-3][0-9])\\b"
+_STAFF = f"(?i)\\b([0-9]{{1,4}})\\s*{_any(lx.STAFF_WORDS)}(?:[^\\pL0-9]|$)"
+
+# Forms of money, rounds, years and staff, told of every order, behind the text of the document of its customer.
+FORMS = ["raised US$ {n},5 million in a Series B, 1998", "levantamos R$ {n}.000 mil em rodada série f; 12 funcionários", "usd {n} mm seed; {n} devs", "€{n}bn, ipo 2041, 2039", "GBP {n} milhões anjo {n} staff", "nothing {n} here, pre seed 2005 and 1999", "bootstrapped, u$s {n}k, {n} colabs", "£{n} billion revenue-based 20015", "brl {n} bilhão, seedling, {n} people"]
+
+
+@query(f"""
+WITH f(k, s) AS (VALUES {values(list(enumerate(FORMS)))}), u(unit, factor) AS (VALUES {values(list(lx.MONEY_UNITS.items()))}),
+t AS (SELECT o_orderkey, replace(s, '{{n}}', (o_orderkey % 97)::VARCHAR) || ' | ' || left(coalesce(text, ''), 300) AS t FROM orders JOIN f ON k = o_orderkey % {len(FORMS)} LEFT JOIN (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id) ON doc_id = o_custkey),
+x AS (SELECT *, regexp_extract_all(t, '{_YEAR}', 1) AS y, regexp_extract(t, '{_MONEY}', 1) AS n, lower(regexp_extract(t, '{_MONEY}', 2)) AS unit FROM t)
+SELECT o_orderkey, list_min(list_transform(y, lambda v: v::INT)) AS least_year, len(list_distinct(y))::INT AS years, nullif(lower(regexp_extract(t, '{_ROUND}', 1)), '') AS round,
+  try_cast(nullif(regexp_extract(t, '{_STAFF}', 1), '') AS INT) AS headcount, try_cast(replace(replace(nullif(n, ''), '.', ''), ',', '.') AS DOUBLE) * coalesce(factor, 1.0) AS money
+FROM x LEFT JOIN u USING (unit)
+""")
+def entity_forms(spark, sf_dir):
+    """Money, rounds, years and staff in all the forms there are lists for."""
+    docs = load(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("o_custkey")).agg(F.min("text").alias("text"))
+    form = F.get(F.array(*[F.lit(s) for s in FORMS]), (F.col("o_orderkey") % len(FORMS)).cast("int"))
+    told = F.concat(F.replace(form, F.lit("{n}"), (F.col("o_orderkey") % 97).cast("string")), F.lit(" | "), F.left(F.coalesce("text", F.lit("")), F.lit(300)))
+    rows = load(spark, sf_dir, "orders").join(docs, "o_custkey", "left").select("o_orderkey", cl.entities(told).alias("e"))
+    return rows.select("o_orderkey", F.col("e.year").alias("least_year"), F.size("e.years").alias("years"), "e.round", "e.headcount", "e.money")
+
+
+@query(f"""
+WITH u(unit, factor) AS (VALUES {values(list(lx.MONEY_UNITS.items()))}),
+t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT doc_id + 1000000, 0, coalesce(text, '') FROM documents),
+x AS (SELECT *, regexp_extract_all(t, '{_YEAR}', 1) AS y, regexp_extract(t, '{_MONEY}', 1) AS n, lower(regexp_extract(t, '{_MONEY}', 2)) AS unit FROM t)
 SELECT conv_id, turn,
-  list_min(list_transform(y, lambda x: x::INT)) AS least_year, len(list_distinct(y))::INT AS years,
-  nullif(lower(regexp_extract(t, '(?i)\\b(pre-seed|seed|series [a-e])\\b', 1)), '') AS round,
-  try_cast(replace(replace(nullif(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 1), ''), '.', ''), ',', '.') AS DOUBLE)
-    * CASE WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 2)) LIKE 'b%' THEN 1e9
-      WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 2)) IN ('k', 'mil') THEN 1e3
-      WHEN lower(regexp_extract(t, '(?i)(?:us\\$|r\\$|\\$|€|£)\\s*([0-9][0-9.,]*)(?:\\s*(million|mil|m|billion|bi|b|k)\\b)?', 2)) LIKE 'm%' THEN 1e6 ELSE 1.0 END AS money
-FROM (SELECT *, regexp_extract_all(t, '\\b((?:19|20)[0-9]{2})\\b', 1) AS y FROM t)
+  list_min(list_transform(y, lambda x: x::INT)) AS least_year, len(list_distinct(y))::INT AS years, nullif(lower(regexp_extract(t, '{_ROUND}', 1)), '') AS round,
+  try_cast(replace(replace(nullif(n, ''), '.', ''), ',', '.') AS DOUBLE) * coalesce(factor, 1.0) AS money
+FROM x LEFT JOIN u USING (unit)
 """)
 def money_extract(spark, sf_dir):
     texts = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(load(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text"))
@@ -166,10 +198,10 @@ def money_extract(spark, sf_dir):
     return texts.select("conv_id", "turn", cl.entities(F.col("text")).alias("e")).select("conv_id", "turn", e["year"].alias("least_year"), F.size(e["years"]).alias("years"), e["round"].alias("round"), e["money"].alias("money"))
 
 
-@query("""
+@query(f"""
 WITH s AS (SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN 'series a' END AS declared FROM conversations)
-SELECT conv_id, turn, coalesce(nullif(trim(declared), ''), nullif(lower(regexp_extract(coalesce(text, ''), '(?i)\\b(pre-seed|seed|series [a-e])\\b', 1)), '')) AS stage,
-  try_cast(nullif(regexp_extract(coalesce(text, ''), '\\b((?:19|20)[0-9]{2})\\b', 1), '') AS INT) IS NOT NULL AS found_year FROM s
+SELECT conv_id, turn, coalesce(nullif(trim(declared), ''), nullif(lower(regexp_extract(coalesce(text, ''), '{_ROUND}', 1)), '')) AS stage,
+  try_cast(nullif(regexp_extract(coalesce(text, ''), '{_YEAR}', 1), '') AS INT) IS NOT NULL AS found_year FROM s
 """)
 def slot_fill(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").withColumn("declared", F.when(F.col("turn") % 2 == 0, "series a"))

@@ -30,11 +30,19 @@ def profile(pages: DataFrame) -> DataFrame:
 
 
 def packed_cell(c: Column) -> Column:
-    """struct<name, year, location, stage> of a cell such as `Acme2019,Berlin,Seed`; the first part only if it has another form."""
-    form = r"^(.*?)((?:19|20)\d{2}),\s*([^,]*),\s*(.*)$"
-    parsed = F.struct(F.regexp_extract(c, form, 1).alias("name"), F.regexp_extract(c, form, 2).alias("year"), F.regexp_extract(c, form, 3).alias("location"), F.regexp_extract(c, form, 4).alias("stage"))
-    plain = F.struct(F.split(c, ",")[0].alias("name"), F.lit("").alias("year"), F.lit("").alias("location"), F.lit("").alias("stage"))
-    return F.when(c.rlike(form), parsed).otherwise(plain)
+    """struct<name, year, location, stage> of a cell such as `Acme2019,Berlin(Germany),Seed`; location and stage may be absent.
+
+    The name ends at the first four digits that close the cell or stand before a comma. Of the parts behind, the last is the stage if there
+    are several and it begins with a letter; all others are the location. A cell of another form gives its first part as the name.
+    """
+    year = r"^(.+?)(\d{4})(?=,|$)"
+    behind = F.regexp_replace(c, r"^.+?\d{4}(?:,|$)", "")
+    last = F.trim(F.substring_index(behind, ",", -1))
+    staged = F.contains(behind, F.lit(",")) & last.rlike("^[A-Za-z]")
+    place = F.trim(F.when(staged, F.regexp_replace(behind, ",[^,]*$", "")).otherwise(behind))
+    parsed = F.struct(F.regexp_replace(F.regexp_extract(c, year, 1), r"^[, ]+|[, ]+$", "").alias("name"), F.regexp_extract(c, year, 2).alias("year"), place.alias("location"), F.when(staged, last).otherwise("").alias("stage"))
+    plain = F.struct(F.trim(F.split(c, ",")[0]).alias("name"), F.lit("").alias("year"), F.lit("").alias("location"), F.lit("").alias("stage"))
+    return F.when(c.rlike(year), parsed).otherwise(plain)
 
 
 class _Outline(HTMLParser):

@@ -90,3 +90,27 @@ def test_sql_functions_equal_expressions(spark):
     a = spark.sql("SELECT entity_key(s) AS k, compact_key(s) AS c, text_tokens(s) AS w, outcome_bucket(t) AS o FROM sql_functions_test").collect()
     b = df.select(tx.entity_key(F.col("s")).alias("k"), tx.compact_key(F.col("s")).alias("c"), tx.tokens(F.col("s")).alias("w"), cl.outcome(F.col("t")).alias("o")).collect()
     assert a == b
+
+
+def test_entities_in_all_forms(one):
+    def e(text):
+        return one(cl.entities(F.lit(text)))
+
+    for text, money in (("usd 3 mm", 3e6), ("BRL 2,5 milhões", 2.5e6), ("u$s 7k", 7e3), ("gbp 1bn", 1e9), ("R$ 1.500 mil", 1.5e6), ("£2 bilhão", 2e9), ("$ 5 mikes", 5.0), ("€9", 9.0), ("eur 4 million", 4e6)):
+        assert e(text).money == money, text
+    for text, found in (("an angel", "angel"), ("Série F now", "série f"), ("series g", None), ("seedling", None), ("pre seed", "pre seed"), ("bootstrapped", "bootstrapped"), ("Revenue Based", "revenue based"), ("IPO!", "ipo"), ("anjo", "anjo")):
+        assert e(text).round == found, text
+    for text, n in (("12 funcs", 12), ("3 devs", 3), ("40 staff", 40), ("7 colabs", 7), ("8 colaboradores", 8), ("15 funcionários", 15), ("9 stafford", None)):
+        assert e(text).headcount == n, text
+    assert e("2040 and 2039 and 1899").years == [2039]
+
+
+def test_infobox_runs_over_lines(one):
+    box = one(tx.infobox(F.lit("before {{Infobox company\n| name = One\n| key_people2 = [[Ann Bo|Ann]]\n* and [[Cy]]<br/>Di,\n| empty =\n| Num Employees = 5\n|name = Two\n| list = a = b | c\n}}\nafter | x = y")))
+    assert box == {"name": "Two", "key_people2": "Ann * and Cy; Di", "num_employees": "5", "list": "a = b | c"}
+    assert one(tx.infobox(F.lit("no box"))) == {} and one(tx.infobox(F.lit(None).cast("string"))) is None
+
+
+def test_competitors_stand_right_behind_a_cue(one):
+    assert one(tx.competitor_names(F.lit("It competes  with Acme Two Three; vs.Beta, versus gamma, competitors: Delta vs Acme Two; competitorX competitor Y9"))) == ["Acme Two", "Beta", "Delta", "Y9"]
+    assert one(tx.competitor_names(F.lit(None).cast("string"))) == []

@@ -25,6 +25,22 @@ def test_merge_is_idempotent(spark):
     assert (m["name"], m.categories, m.sources) == ("N", ["x"], ["a"])
 
 
+def test_merge_counts_statements_and_keeps_raw_records(spark):
+    rows = [("a", 0, i, "acme", "Acme" if i % 2 else "ACME", ["x"]) for i in range(6)] + [("b", 1, 0, "acme", " ", None), ("b", 1, 1, "lone", None, None)]
+    df = spark.createDataFrame(rows, "source string, source_ord int, record_ord int, norm string, name string, categories array<string>")
+    got = {r.norm: r for r in linkage.merge_records(df, ["name"], ["categories"], raw=True).select("*", F.expr("variant_get(raw_per_source['a'], '$.record_ord', 'int')").alias("last")).drop("raw_per_source").collect()}
+    assert [(e.source, e.value, e.n) for e in got["acme"].provenance["name"]] == [("a", "ACME", 3), ("a", "Acme", 3)]
+    assert (got["acme"]["name"], got["acme"].aliases, got["acme"].sources, got["acme"]["last"]) == ("ACME", ["Acme"], ["a", "b"], 5)
+    assert (got["lone"]["name"], got["lone"].categories, got["lone"].provenance, got["lone"].sources) == (None, [], {}, ["b"])
+    assert linkage.merge_records(df.limit(0), ["name"], ["categories"]).collect() == []
+
+
+def test_patches_do_not_multiply_rows(spark):
+    df, patches = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string"), spark.createDataFrame([(1, "y"), (1, "x"), (9, "z")], "k int, v string")
+    done, misses = linkage.apply_patches(df, patches, "k", ["v"])
+    assert sorted(map(tuple, done.collect())) == [(1, "x"), (1, "x"), (2, "c")] and [r.k for r in misses.collect()] == [9]
+
+
 def test_upsert_policies(spark):
     s = "k string, a string, t string, l array<string>, outcome string"
     old = spark.createDataFrame([("1", "old", "long text", ["x"], "unknown"), ("2", "", "", None, "dead")], s)
@@ -37,6 +53,9 @@ def test_upsert_policies(spark):
 def test_collision_suffix(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "slug string, o int")
     assert sorted(r.id for r in linkage.with_suffix_on_collision(df, "slug", ["o"], "id").collect()) == ["a", "a-2", "b"]
+    many = spark.createDataFrame([("s", i) for i in range(500)] + [(None, 1), (None, 2)], "slug string, o int").repartition(7)
+    got = {(r.slug, r.o): r.n for r in linkage.numbered_within(many, "slug", ["o"], "n").collect()}
+    assert got == {("s", i): i + 1 for i in range(500)} | {(None, 1): 1, (None, 2): 2}
 
 
 def test_era_and_semantic_values(spark):

@@ -56,3 +56,11 @@ def test_html(spark):
     assert (r["name"], r.year) == ("Acme", "2001")
     p = spark.createDataFrame([("Acme2019, Berlin, Seed",), ("Plain, x",)], "c string")
     assert [(r.p["name"], r.p["year"]) for r in p.select(html.packed_cell(p.c).alias("p")).collect()] == [("Acme", "2019"), ("Plain", "")]
+
+
+def test_packed_cells_without_stage_or_place(spark):
+    cells = ["Carvana2012,Phoenix(United States),Public", "Acme2019", "Acme2019, Berlin", "Two Words 2001,Sao Paulo, Brazil, Series A", "B12345,Oslo,1st", "Plain, Inc", "2019,Berlin", "Odd2019x,Here"]
+    p = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [tuple(r.p) for r in p.select("i", html.packed_cell(p.c).alias("p")).orderBy("i").collect()]
+    want = [("Carvana", "2012", "Phoenix(United States)", "Public"), ("Acme", "2019", "", ""), ("Acme", "2019", "Berlin", ""), ("Two Words", "2001", "Sao Paulo, Brazil", "Series A")]
+    assert got == [*want, ("B1", "2345", "Oslo,1st", ""), ("Plain", "", "", ""), ("2019", "", "", ""), ("Odd2019x", "", "", "")]
