@@ -174,3 +174,18 @@ STAFF_WORDS = ["funcionario", "funcionarios", "funcionário", "funcionários", "
 # Phrases before the name of a competitor; those of the second list want a colon or a space behind them (fixed values).
 RIVAL_CUES = ["vs.", "vs", "versus", "compete with", "competes with", "competed with"]
 RIVAL_TITLES = ["competitor", "competitors"]
+
+# Company pages: statuses in order of precedence, seasons of batches, parts of addresses that are no website, labels of places, words of locked
+# reports, headings of known sections, words of build plans; stages of listed companies that are statuses (fixed values).
+PAGE_STATUSES = ["Acquired", "Inactive", "Active", "Parted Ways", "Public"]
+BATCH_SEASONS = {"W": "Winter", "S": "Summer", "F": "Fall", "Sp": "Spring"}
+NOT_A_WEBSITE = ["ycombinator", "x.com", "twitter.com", "producthunt"]
+PLACE_LABELS = ["location", "hq", "headquarters", "based in"]
+LOCKED_MARKERS = ["locked", "upgrade to pro", "pro subscription", "unlock this"]
+PAGE_SECTIONS = {
+    "overview": ["overview"], "founding_story": ["founding story"], "timeline": ["timeline"], "what_they_built": ["what they built", "what it built"],
+    "market_position": ["market position"], "business_model": ["business model"], "traction": ["traction"],
+    "post_mortem": ["post-mortem", "post mortem", "postmortem", "why it failed", "why they failed"], "key_lessons": ["key lessons", "lessons", "lessons learned"], "sources": ["sources"],
+}
+BUILD_PLAN_WORDS = ["build plan", "rebuild", "technical spec"]
+LISTED_STAGES = ["Public", "Acquired", "Seed", "Series A", "Series B", "Series C", "Series D", "Series E", "Series F", "Late Stage", "Deadpooled", "Unfunded"]

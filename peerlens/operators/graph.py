@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerlens.functions import text as tx
-from peerlens.sources.sinks import stored
+from peerlens.sources.sinks import stored, write_document
 
 HEAVY = ["FROM_SOURCE", "HAS_DATA_SOURCE"]
 
@@ -171,48 +171,37 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(edges.groupBy(F.col("relation").alias("key")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "key", "n"))
 
 
-SMALL = 200_000  # rows of a graph that may be written as one document
-
-
-def _small(*tables: DataFrame) -> None:
-    """One document is one row: refused for graphs of more than SMALL rows, which have write_node_link()."""
-    for t in tables:
-        if t.limit(SMALL + 1).count() > SMALL:
-            raise ValueError(f"a graph of more than {SMALL} rows is written as folders, not as one document")
-
+def write_node_link_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as one JSON document with `nodes` and `edges`, each in order and one a line; of any size."""
+    def lines(df: DataFrame, first: str) -> DataFrame:
+        rest = [c for c in df.columns if c != first]
+        return df.select(*df.columns, F.to_json(F.struct(first, *rest), {"ignoreNullFields": "false"}).alias("value"))
 
-def node_link_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, `value`: the graph as one JSON document with `nodes` and `edges`, each in order."""
-    _small(nodes, edges)
-    a = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
-    b = edges.agg(F.array_sort(F.collect_list(F.struct(*edges.columns))).alias("edges"))
-    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), "nodes", "edges")
-    return a.crossJoin(b).select(F.to_json(whole).alias("value"))
+    head = '{"directed": true, "multigraph": false, "nodes": [\n'
+    sections = [(head, lines(nodes, "id"), ["id"]), ('],\n"edges": [\n', lines(edges, "source"), ["source", "target", "relation"])]
+    write_document(nodes.sparkSession, sections, "]}\n", path, ",")
 
 
-def write_node_link_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A document that read_node_link() reads back."""
-    node_link_document(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
+def read_node_link_lines(spark, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, by the given schemas, of a document that write_node_link_document() wrote: its lines are read in parallel."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value"))
+    a, b = lines.where(F.col("value").startswith('{"id":')), lines.where(F.col("value").startswith('{"source":'))
+    return tuple(x.select(F.from_json("value", schema).alias("r")).select("r.*") for x, schema in ((a, nodes), (b, edges)))
 
 
 def _escaped(c: Column) -> Column:
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
         c = F.replace(c, F.lit(sign), F.lit(name))
     return c
 
 
-def gexf_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, `value`: the graph in GEXF 1.2 with types and relations as attributes; other values as text."""
-    _small(nodes, edges)
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as one GEXF 1.2 document with types and relations as attributes, one element a line; of any size."""
     n = F.concat(F.lit('<node id="'), _escaped(F.col("id")), F.lit('" label="'), _escaped(F.coalesce("name", "id")), F.lit('"><attvalues><attvalue for="0" value="'), _escaped(F.coalesce("type", F.lit(""))), F.lit('"/></attvalues></node>'))
     e = F.concat(F.lit('<edge source="'), _escaped(F.col("source")), F.lit('" target="'), _escaped(F.col("target")), F.lit('" label="'), _escaped(F.col("relation")), F.lit('"/>'))
-    a, b = (t.agg(F.array_join(F.array_sort(F.collect_list(x)), "\n").alias(name)) for t, x, name in ((nodes, n, "n"), (edges, e, "e")))
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="type" type="string"/></attributes>\n<nodes>\n'
-    return a.crossJoin(b).select(F.concat(F.lit(head), "n", F.lit("\n</nodes>\n<edges>\n"), "e", F.lit("\n</edges></graph></gexf>")).alias("value"))
-
-
-def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    gexf_document(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
+    head = '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="type" type="string"/></attributes>\n<nodes>\n'
+    sections = [(head, nodes.select("id", n.alias("value")), ["id"]), ("</nodes>\n<edges>\n", edges.select("source", "target", "relation", e.alias("value")), ["source", "target", "relation"])]
+    write_document(nodes.sparkSession, sections, "</edges></graph></gexf>\n", path)
 
 
 def read_gexf(spark, path: str) -> tuple[DataFrame, DataFrame]:

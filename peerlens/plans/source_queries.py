@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from peerlens.functions import lexicons as lx
 from peerlens.operators import graph, linkage
-from peerlens.sources import adapters, html, sinks
+from peerlens.sources import adapters, html, sinks, versions
 
 from .function_queries import _KEY
 from .registry import load, query
@@ -248,7 +249,7 @@ UNION ALL SELECT 'edge', source, relation, target FROM e
 def node_link_files(spark, sf_dir):
     path = sinks.scratch(spark, "node-link")
     graph.write_node_link_document(*_graph(spark, sf_dir), path)
-    nodes, edges = graph.read_node_link(spark, path)
+    nodes, edges = graph.read_node_link_lines(spark, path, "id string, type string, name string", "source string, target string, relation string")
     return nodes.select(F.lit("node").alias("kind"), "id", "type", "name").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("relation").alias("type"), F.col("target").alias("name")))
 
 
@@ -263,6 +264,47 @@ def gexf_files(spark, sf_dir):
     return nodes.select(F.lit("node").alias("kind"), "id", "type", "name").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("relation").alias("type"), F.col("target").alias("name")))
 
 
+_SHOP = "SELECT 'C' || o_custkey AS source, 'P' || l_partkey AS target, 'BOUGHT' AS relation FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+@query(f"""
+WITH e AS (SELECT DISTINCT * FROM ({_SHOP})) SELECT format, kind, id, name FROM (VALUES ('json'), ('gexf')) f(format),
+  (SELECT 'node' AS kind, id, 'no. "' || id || '" <&>' AS name FROM (SELECT DISTINCT source AS id FROM e UNION SELECT DISTINCT target FROM e) UNION ALL SELECT 'edge', source, target FROM e)
+""")
+def graph_documents(spark, sf_dir):
+    """The graph of who bought what as one JSON and one GEXF document, each written in parallel, and read back."""
+    joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = joined.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"), F.lit("BOUGHT").alias("relation")).distinct()
+    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().select("id", F.lit("thing").alias("type"), F.concat(F.lit('no. "'), "id", F.lit('" <&>')).alias("name"))
+    a, b = sinks.scratch(spark, "graph-json"), sinks.scratch(spark, "graph-gexf")
+    graph.write_node_link_document(nodes, edges, a)
+    graph.write_gexf(nodes, edges, b)
+    out = None
+    for form, (n, e) in (("json", graph.read_node_link_lines(spark, a, "id string, type string, name string", "source string, target string, relation string")), ("gexf", graph.read_gexf(spark, b))):
+        both = n.select(F.lit(form).alias("format"), F.lit("node").alias("kind"), "id", "name").unionByName(e.select(F.lit(form).alias("format"), F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("target").alias("name")))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END AS name, c_mktsegment AS segment FROM customer), b AS (SELECT s_suppkey * 2 AS k, s_name AS name, 'SUPPLY' AS segment FROM supplier)
+SELECT 1 AS version, * FROM a UNION ALL SELECT 2, coalesce(a.k, b.k), coalesce(nullif(trim(a.name), ''), nullif(trim(b.name), '')), coalesce(b.segment, a.segment) FROM a FULL JOIN b ON a.k = b.k
+""")
+def versioned_upsert(spark, sf_dir):
+    """Customers as the first version of a table, suppliers upserted as the second; a write that fails in between leaves the first as it is."""
+    table = versions.VersionedTable(spark, sinks.scratch(spark, "versioned"))
+    old = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("segment"))
+    new = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("k"), F.col("s_name").alias("name"), F.lit("SUPPLY").alias("segment"))
+    table.commit(old)
+    try:
+        table.upsert(new.withColumn("name", F.when(F.col("k") >= 0, F.raise_error(F.lit("planted"))).otherwise(F.col("name"))), "k", {"segment": "overwrite"})
+        raise AssertionError("the planted failure was committed")
+    except PySparkException:
+        pass  # the version before stays the last
+    table.upsert(new, "k", {"segment": "overwrite"})
+    return table.read(1).select(F.lit(1).alias("version"), "*").unionByName(table.read().select(F.lit(2).alias("version"), "*"))
+
+
 PRO = ", ".join(f"'{m}'" for m in lx.PAYWALL_MARKERS)
 
 

@@ -35,8 +35,8 @@ def packed_cell(c: Column) -> Column:
     The name ends at the first four digits that close the cell or stand before a comma. Of the parts behind, the last is the stage if there
     are several and it begins with a letter; all others are the location. A cell of another form gives its first part as the name.
     """
-    year = r"^(.+?)(\d{4})(?=,|$)"
-    behind = F.regexp_replace(c, r"^.+?\d{4}(?:,|$)", "")
+    year = r"^(.+?)(\d{4})\s*(?=,|$)"
+    behind = F.regexp_replace(c, r"^.+?\d{4}\s*(?:,|$)", "")
     last = F.trim(F.substring_index(behind, ",", -1))
     staged = F.contains(behind, F.lit(",")) & last.rlike("^[A-Za-z]")
     place = F.trim(F.when(staged, F.regexp_replace(behind, ",[^,]*$", "")).otherwise(behind))

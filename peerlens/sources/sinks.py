@@ -1,9 +1,10 @@
-"""Sinks: corpus files, raw reports and evaluation reports. Graphs are written by operators.graph."""
+"""Sinks: corpus files, raw reports, evaluation reports, and single documents of any size. Graphs are written by operators.graph."""
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,71 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, without checksum files where it is a local one, and its Path class."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    fs = kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        return fs.getRawFileSystem(), kind
+    except Py4JError:  # no such method: not a local file system
+        return fs, kind
+
+
+def write_small(fs, path, text: str) -> None:
+    """A new file of a few bytes, written by the driver."""
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_document(spark: SparkSession, sections: list[tuple[str, DataFrame, list[str]]], end: str, path: str, between: str = "") -> str:
+    """One file below path from sections (head, lines with a column `value`, order), whatever their size, and its path.
+
+    Lines of a section are dealt to ranges of the order and written in parallel, one a line; `between` stands between any two of them. The parts, with
+    the heads, separators and end as small files, are then put in a row by the file system's own concatenation, so no task and not the driver
+    holds a document. A file system without it raises an error and leaves the ordered parts where they are.
+    """
+    fs, at = file_system(spark, path)
+    root = at(path)
+    fs.delete(root, True)
+    fs.mkdirs(root)
+    files, n = [], 0
+
+    def small(text: str) -> None:
+        nonlocal n
+        files.append(at(root, f"_small-{n:06d}"))
+        n += 1
+        write_small(fs, files[-1], text)
+
+    for k, (head, lines, order) in enumerate(sections):
+        small(head)
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
+        ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+        folder = f"{path}/_section-{k}"
+        ranged.select(F.concat(F.when(first, "").otherwise(between), "value").alias("value")).write.text(folder)
+        parts = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(at(folder)))
+        full = [at(folder, name) for name, size in parts if size and name.startswith("part-")]
+        for i, part in enumerate(full):
+            if i and between:
+                small(between)
+            files.append(part)
+    small(end)
+    whole = at(root, "document")
+    write_small(fs, whole, "\n")  # some file systems want a target that isn't empty
+    array = spark._sc._gateway.new_array(at, len(files) + 1)
+    array[0] = at(root, "_begin")
+    write_small(fs, array[0], "\n")
+    for i, f in enumerate(files):
+        array[i + 1] = f
+    fs.concat(whole, array)
+    for s in fs.listStatus(root):
+        if s.getPath().getName().startswith("_"):
+            fs.delete(s.getPath(), True)
+    return f"{path}/document"
+
+
 def write_corpus(records: DataFrame, path: str) -> None:
     """Canonical records as JSON lines; absent fields are left out. The write is committed as a whole or not at all."""
     records.write.mode("overwrite").json(path)
