@@ -189,3 +189,6 @@ PAGE_SECTIONS = {
 }
 BUILD_PLAN_WORDS = ["build plan", "rebuild", "technical spec"]
 LISTED_STAGES = ["Public", "Acquired", "Seed", "Series A", "Series B", "Series C", "Series D", "Series E", "Series F", "Late Stage", "Deadpooled", "Unfunded"]
+
+# Texts that sell a report in place of showing it, in quality reports (fixed values).
+UPSELL_MARKERS = ["go pro", "commission", "monthly pro", "does not have a completed analysis", "unlock the full", "upgrade to pro", "subscribe"]

@@ -257,3 +257,50 @@ def section_tree_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = tree.select(own.alias("id"), F.lit("section").alias("type"), F.col("heading").alias("name")).unionByName(tree.select(page.alias("id"), F.lit("page").alias("type"), page.alias("name")).distinct())
     edges = tree.select(F.when(F.col("parent").isNull(), page).otherwise(above).alias("source"), own.alias("target"), F.when(F.col("parent").isNull(), "HAS_SECTION").otherwise("HAS_SUBSECTION").alias("relation"))
     return nodes, edges
+
+
+def company_graph(companies: DataFrame, sections: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, name) and edges of companies as sources.company_page.companies() gives them.
+
+    Statuses, categories, batches, places, people, acquirers, competitors, related companies, sections with content and build plans; a company
+    that is only related is a node without a type. sections: column of a section -> its name. Batches are chained by batch_chain().
+    """
+    own = F.concat(F.lit("COMPANY:"), "slug")
+    none = F.array().cast("array<string>")
+    one = lambda c: F.array_compact(F.array(tx.absent(F.col(c))))
+    several = lambda c: F.filter(F.coalesce(F.col(c), none), lambda x: tx.absent(x).isNotNull())
+
+    def linked(values: Column, kind: str, out: str | None, back: str | None = None, name: Column | None = None, tail: Column | None = None) -> Column:
+        """Entries (id, type, name, relation from and to the company) for an array of values."""
+        def entry(v: Column) -> Column:
+            label = kind.split(":")[0]
+            there = F.concat(F.lit(f"{label}:"), v if tail is None else tail)
+            return F.struct(there.alias("id"), F.lit(kind.split(":")[1]).alias("type"), (v if name is None else name).alias("name"), F.lit(out).alias("out"), F.lit(back).alias("back"))
+
+        return F.transform(values, entry)
+
+    parts = [
+        linked(one("status"), "STATUS:status", "HAS_STATUS"),
+        linked(several("categories"), "CATEGORY:category", "IN_CATEGORY"),
+        linked(one("yc_batch"), "BATCH:yc_batch", "IN_BATCH"),
+        linked(one("location"), "LOCATION:location", "LOCATED_IN"),
+        linked(several("founders"), "PERSON:person", "HAS_FOUNDER", "FOUNDED"),
+        linked(one("acquirer"), "ACQUIRER:acquirer", "ACQUIRED_BY", "ACQUIRED"),
+        linked(several("competitors"), "COMPETITOR:competitor", "COMPETES_WITH"),
+        linked(one("build_plan"), "BUILDPLAN:build_plan", "HAS_BUILD_PLAN", tail=F.col("slug")),
+        *[linked(F.array_compact(F.array(F.when(tx.absent(F.col(f"{c}.content")).isNotNull(), F.lit(name)))), "SECTION:report_section", "HAS_SECTION", tail=F.concat("slug", F.lit(f":{name}"))) for c, name in sections.items()],
+    ]
+    rows = companies.select(own.alias("own"), F.explode(F.concat(*parts)).alias("e")).select("own", "e.*")
+    related = companies.select(own.alias("source"), F.explode(several("related")).alias("r")).select("source", F.concat(F.lit("COMPANY:"), "r").alias("target"), F.lit("RELATED_TO").alias("relation"))
+    out = rows.where("out is not null").select(F.col("own").alias("source"), F.col("id").alias("target"), F.col("out").alias("relation"))
+    back = rows.where("back is not null").select(F.col("id").alias("source"), F.col("own").alias("target"), F.col("back").alias("relation"))
+    edges = distinct_edges([out, back, related])
+    declared = companies.select(own.alias("id"), F.lit("company").alias("type"), F.coalesce(tx.absent(F.col("name")), "slug").alias("name"))
+    return nodes_of([declared, rows.select("id", "type", "name")], edges), edges
+
+
+def batch_chain(batches: DataFrame) -> DataFrame:
+    """Edges between batch nodes (name such as "Winter 2012") by year and season; batches are few."""
+    form = r"(Winter|Summer|Spring|Fall)\s+(\d{4})"
+    dated = batches.select(F.concat(F.lit("BATCH:"), "name").alias("id"), F.regexp_extract("name", form, 2).alias("year"), F.regexp_extract("name", form, 1).alias("season")).where("year <> ''").distinct()
+    return chain(dated, "id", ["year", "season", "id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from peerlens.operators import lifecycle
 from peerlens.sources import html
 from peerlens.streaming import events as ev
+from peerlens.streaming import followups
 
 from .registry import load, query
 
@@ -143,6 +144,26 @@ def events_stateful_stream(spark, sf_dir):
     return lifecycle.latest(out, "user_id", [F.desc("_batch")]).select("user_id", "status", "snapshots", "errors")
 
 
+@query("""
+WITH e AS (SELECT user_id, event_type, epoch_ms(ts) AS t FROM events), now AS (SELECT max(t) - 86400000 AS now FROM e),
+r AS (SELECT user_id, min(t) AS reg FROM e WHERE event_type = 'signup' GROUP BY user_id),
+d AS (SELECT user_id, o, reg + o * 86400000 AS due, reg + (o + 1) * 86400000 AS ends FROM r, (VALUES (1::BIGINT), (2), (4), (8), (60)) v(o)),
+m AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = d.user_id AND event_type = 'purchase' AND t > due AND t <= ends)),
+n AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ends) AS missed, (SELECT arg_max(event_type, (t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) FROM e WHERE e.user_id = m.user_id AND event_type IN ('click', 'error') AND t <= ends) AS last FROM m),
+s AS (SELECT user_id, min(ends) AS t0, arg_min(o, ends) AS o FROM n WHERE missed >= 2 AND last = 'error' GROUP BY user_id),
+all_events AS (SELECT user_id AS company_id, due AS t0, 'due' AS event, o FROM d UNION ALL SELECT user_id, ends, 'missed', o FROM m UNION ALL SELECT user_id, t0, 'silent', o FROM s)
+SELECT company_id, make_timestamp(t0 * 1000) AS "at", event, o::INTEGER AS "offset" FROM all_events, now WHERE t0 <= now
+""")
+def followup_timers(spark, sf_dir):
+    """Follow-ups due, missed and companies gone silent, by timers over the stream of events."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
+    kinds = F.create_map(*[F.lit(x) for kv in {"signup": "registered", "purchase": "answered", "click": "alive", "error": "dead"}.items() for x in kv])
+    events = stream.select(F.col("user_id").alias("company_id"), F.coalesce(F.element_at(kinds, F.col("event_type")), F.lit("other")).alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    made = followups.run(followups.follow_ups(events, [1, 2, 4, 8, 60], 1, 2))
+    return made.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peerlens.sources import company_page, dom
+from peerlens.functions import lexicons as lx
+from peerlens.operators import graph, quality
+from peerlens.sources import company_page, dom, windows
+from peerlens.sources.sinks import stored
 
 from .registry import load, query
 
@@ -75,6 +79,14 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (
 """)
 def company_page_fields(spark, sf_dir):
     """All fields of company pages whose markup, order and content vary by customer, nation and document."""
+    found = company_page.companies(_company_pages(spark, sf_dir))
+    return found.select(
+        "page_id", "slug", "name", "one_liner", "status", F.col("yc_batch").alias("batch"), F.col("yc_batch_season").alias("season"), F.col("yc_batch_year").alias("batch_year"), F.array_join("categories", "|").alias("categories"), "website", "location", "founded_year", "team_size",
+        F.array_join("related", "|").alias("related"), "acquirer", F.col("overview.content").alias("overview"), F.array_join("competitors", "|").alias("competitors"), F.col("post_mortem.content").alias("post_mortem"), F.col("founding_story.content").alias("story"),
+    )
+
+
+def _company_pages(spark, sf_dir):
     i, s = F.col("c_custkey"), lambda x: x.cast("string")
     docs = load(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("c_custkey")).agg(F.first("text").alias("text"))
     rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(docs, "c_custkey", "left")
@@ -89,9 +101,110 @@ def company_page_fields(spark, sf_dir):
         F.lit("<h1>Title</h1><h2>Overview</h2><p>It sells "), F.col("c_mktsegment"), F.lit(".<h3>Deeper</h3><p>More of "), F.col("n_name"), F.lit("<h2>Market position</h2><p>Acme vs. Rival"), s(i), F.lit(", again"),
         F.when(i % 3 == 0, F.concat(F.lit("</p><h2>Postmortem</h2><p>No cash "), s(i))).otherwise(""), F.lit("</p><h2>Founding Story</h2><p>"), story, F.lit("</p></body></html>"),
     ]
-    pages = rows.select(i.alias("page_id"), F.concat(F.lit("https://h.io/company/c-"), s(i), F.lit("?x")).alias("url"), F.concat(*bits).alias("html"))
-    found = company_page.companies(pages)
-    return found.select(
-        "page_id", "slug", "name", "one_liner", "status", F.col("yc_batch").alias("batch"), F.col("yc_batch_season").alias("season"), F.col("yc_batch_year").alias("batch_year"), F.array_join("categories", "|").alias("categories"), "website", "location", "founded_year", "team_size",
-        F.array_join("related", "|").alias("related"), "acquirer", F.col("overview.content").alias("overview"), F.array_join("competitors", "|").alias("competitors"), F.col("post_mortem.content").alias("post_mortem"), F.col("founding_story.content").alias("story"),
+    return rows.select(i.alias("page_id"), F.concat(F.lit("https://h.io/company/c-"), s(i), F.lit("?x")).alias("url"), F.concat(*bits).alias("html"))
+
+
+SECTION_NAMES = {"overview": "Overview", "founding_story": "Founding Story", "market_position": "Market Position", "post_mortem": "Post-Mortem"}
+
+
+@query("""
+WITH c AS (
+  SELECT c_custkey AS k, 'COMPANY:c-' || c_custkey AS own, n_name, c_mktsegment, coalesce(trim(regexp_replace(left(text, 200), '[^a-zA-Z ]', ' ', 'g')), '') AS story,
+    CASE WHEN c_custkey % 2 = 0 THEN 'Winter ' || (2005 + c_custkey % 20) ELSE 'S' || lpad((c_custkey % 20)::VARCHAR, 2, '0') END AS batch
+  FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY doc_id) ON doc_id = c_custkey),
+e AS (
+  SELECT own, 'STATUS:' || CASE k % 4 WHEN 0 THEN 'Acquired' WHEN 1 THEN 'Inactive' ELSE 'Public' END AS other, 'HAS_STATUS' AS relation FROM c WHERE k % 4 < 3
+  UNION SELECT own, 'CATEGORY:' || c_mktsegment, 'IN_CATEGORY' FROM c UNION SELECT own, 'CATEGORY:' || n_name, 'IN_CATEGORY' FROM c UNION SELECT own, 'BATCH:' || batch, 'IN_BATCH' FROM c
+  UNION SELECT own, 'LOCATION:' || n_name, 'LOCATED_IN' FROM c UNION SELECT own, 'ACQUIRER:Giant ' || c_mktsegment, 'ACQUIRED_BY' FROM c WHERE k % 5 = 0 UNION SELECT 'ACQUIRER:Giant ' || c_mktsegment, own, 'ACQUIRED' FROM c WHERE k % 5 = 0
+  UNION SELECT own, 'COMPETITOR:Rival' || k, 'COMPETES_WITH' FROM c UNION SELECT own, 'COMPANY:c-' || (k + 1), 'RELATED_TO' FROM c
+  UNION SELECT own, 'SECTION:c-' || k || ':' || s, 'HAS_SECTION' FROM c, (VALUES ('Overview'), ('Market Position')) v(s) UNION SELECT own, 'SECTION:c-' || k || ':Post-Mortem', 'HAS_SECTION' FROM c WHERE k % 3 = 0
+  UNION SELECT own, 'SECTION:c-' || k || ':Founding Story', 'HAS_SECTION' FROM c WHERE story <> ''
+  UNION SELECT 'BATCH:' || b, 'BATCH:' || n, 'FOLLOWED_BY' FROM (SELECT b, lead(b) OVER (ORDER BY b) AS n FROM (SELECT DISTINCT batch AS b FROM c WHERE k % 2 = 0)) WHERE n IS NOT NULL)
+SELECT 'edge' AS kind, own AS a, other AS b, relation AS c FROM e
+UNION ALL SELECT 'nodes', coalesce(type, 'unknown'), NULL, count(*)::VARCHAR FROM (
+  SELECT id, any_value(CASE split_part(id, ':', 1) WHEN 'COMPANY' THEN CASE WHEN id IN (SELECT own FROM c) THEN 'company' END WHEN 'STATUS' THEN 'status' WHEN 'CATEGORY' THEN 'category' WHEN 'BATCH' THEN 'yc_batch' WHEN 'LOCATION' THEN 'location'
+    WHEN 'ACQUIRER' THEN 'acquirer' WHEN 'COMPETITOR' THEN 'competitor' ELSE 'report_section' END) AS type FROM (SELECT own AS id FROM e UNION SELECT other FROM e) GROUP BY id) GROUP BY type
+""")
+def company_graph(spark, sf_dir):
+    """The graph of companies as their pages tell it: edges, and nodes by type."""
+    found = stored(company_page.companies(_company_pages(spark, sf_dir)), "companies")
+    nodes, edges = graph.company_graph(found, SECTION_NAMES)
+    batches = found.select(F.col("yc_batch").alias("name")).distinct()
+    edges = edges.unionByName(graph.batch_chain(batches))
+    counts = nodes.groupBy("type").agg(F.count("*").alias("n"))
+    rows = edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("c"))
+    return rows.unionByName(counts.select(F.lit("nodes").alias("kind"), F.col("type").alias("a"), F.lit(None).cast("string").alias("b"), F.col("n").cast("string").alias("c")))
+
+
+@query("""
+SELECT n_nationkey AS page_id, 'Failures of ' || n_name AS list_label, c_name AS name, 'It sold ' || c_mktsegment || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' & more' END AS description,
+  CASE c_custkey % 3 WHEN 0 THEN 'Ann Lee|Bo|Cy' WHEN 1 THEN 'Dee' ELSE '' END AS founders, n_name AS country, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS categories, (1990 + c_custkey % 30)::VARCHAR AS founded_year,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE (2000 + c_custkey % 20)::VARCHAR END AS shutdown_year, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 70)::VARCHAR ELSE '' END AS headcount, '/cemetery/' || c_custkey AS deep_link
+FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def listicle_companies(spark, sf_dir):
+    """Cards of failed companies, one page for each nation, with items that vary and come in two orders."""
+    i, s = F.col("c_custkey"), lambda x: x.cast("string")
+    rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+
+    def item(label: str, value, test=None):
+        one = F.concat(F.lit(f'<li class="x listicle-list-item"><div class="listicle-list-category">{label}</div><div class="failed-startup-list-information">'), value, F.lit("</div></li>"))
+        return one if test is None else F.when(test, one).otherwise("")
+
+    founders = F.when(i % 3 == 0, "Ann Lee, Bo and Cy").when(i % 3 == 1, "Dee")
+    items = [item("Country:", F.col("n_name")), item("Started in:", s(1990 + i % 30)), item("Closed in:", s(2000 + i % 20), i % 5 != 0), item("Nº of employees:", s(i % 70), i % 2 == 0), item("Industry", F.col("c_mktsegment"), i % 2 == 0), item("Founders:", F.coalesce(founders, F.lit("")), founders.isNotNull())]
+    card = F.concat(
+        F.lit('<div class="listicle-startup-collection-item w-dyn"><h3 class="listicle-h3">'), F.col("c_name"), F.lit('</h3><a href="/startups/x">list</a><p class="content-paragraph">It sold '), F.col("c_mktsegment"), F.when(i % 4 == 0, "").otherwise(" &amp; <b>more</b>"),
+        F.lit('</p><p class="content-paragraph">second</p><ul>'), F.when(i % 2 == 0, F.concat(*items)).otherwise(F.concat(*items[::-1])), F.lit('</ul><a href="/cemetery/'), s(i), F.lit('">read</a></div>'),
     )
+    # the cards of one nation's page
+    pages = rows.groupBy(F.col("n_nationkey").cast("long").alias("page_id"), "n_name").agg(F.array_join(F.collect_list(card), "<hr>").alias("cards")).select("page_id", F.concat(F.lit("<body><h1>Failures of "), "n_name", F.lit("</h1>"), "cards", F.lit("</body>")).alias("html"))
+    found = company_page.listicle(dom.nodes(pages))
+    return found.select("page_id", "list_label", "name", "description", F.array_join("founders", "|").alias("founders"), "country", F.array_join("categories", "|").alias("categories"), "founded_year", "shutdown_year", "headcount", "deep_link")
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS facet, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders WHERE o_custkey % 10 <> 0) SELECT facet, o_orderkey FROM o
+""")
+def paged_windows(spark, sf_dir):
+    """Orders asked for by status and months, at most 3,000 rows an answer, wide windows of one status failing: all orders that aren't seen come in the end."""
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("_f"), "o_orderkey", "o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("_m"))
+    span = rows.agg(F.min("_m").alias("a"), F.max("_m").alias("b")).first()
+
+    def fetch(asked):
+        met = F.broadcast(asked).join(rows, (F.col("facet") == F.col("_f")) & F.col("_m").between(F.col("first"), F.col("last")))
+        met = met.where((F.col("facet") != "F") | (F.col("last") - F.col("first") < 12))  # wider ones give no answer
+        n = F.row_number().over(Window.partitionBy("facet", "first", "last").orderBy("o_orderkey"))
+        return met.withColumn("_n", n).where("_n <= 3000").select("facet", "first", "last", "o_orderkey", "o_custkey")
+
+    facets = rows.select(F.col("_f").alias("facet")).distinct()
+    seen = rows.where("o_custkey % 10 = 0").select("o_orderkey")
+    found, left = windows.fetched(windows.covering(facets, span["a"], span["b"], 48), fetch, "o_orderkey", 3000, seen)
+    return found.select("facet", "o_orderkey")
+
+
+_UP = " OR ".join(f"contains(lower(c), '{m}')" for m in lx.UPSELL_MARKERS)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, trim(left(coalesce(text, ''), (doc_id % 120)::INT)) || CASE WHEN doc_id % 11 = 0 THEN ' Upgrade to Pro' ELSE '' END AS c, (doc_id % 4)::INT AS items, (doc_id % 13 = 0)::INT AS parts, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS title FROM documents),
+x AS (SELECT *, length(trim(c)) AS n, {_UP} AS up FROM d),
+f AS (SELECT *, NOT up AND (parts > 0 OR items >= 2 OR n >= 80) AS s, n >= 80 OR items > 0 OR parts > 0 OR (n >= 40 AND NOT up) AS l, NOT up AND items < 1 AND n >= 80 AS s2, n >= 80 OR (n >= 40 AND NOT up) AS l2,
+  items * n >= 60 AND NOT (items > 0 AND up) AS ss, items * n >= 40 AS sl, title <> '' AND NOT up AND n >= 80 AS bs, title <> '' OR n > 0 AS bl FROM x),
+g AS (SELECT *, s::INT + (NOT up AND n >= 80)::INT AS k, NOT up AND n >= 80 AS s3 FROM f)
+SELECT 'section' AS kind, 'overview' AS key, count(*) FILTER (s) AS strict, count(*) FILTER (l) AS loose, NULL::BIGINT AS n FROM g UNION ALL SELECT 'section', 'traction', count(*) FILTER (s3), count(*) FILTER (l2), NULL FROM g
+UNION ALL SELECT 'section', 'sources', count(*) FILTER (ss), count(*) FILTER (sl), NULL FROM g UNION ALL SELECT 'section', 'build_plan', count(*) FILTER (bs), count(*) FILTER (bl), NULL FROM g
+UNION ALL SELECT 'strict_sections', i::VARCHAR, NULL, NULL, (SELECT count(*) FROM g WHERE k = i) FROM range(3) t(i) UNION ALL SELECT 'total', 'reports', NULL, NULL, count(*) FROM g
+UNION ALL SELECT 'total', 'all_sections', NULL, NULL, count(*) FILTER (k = 2) FROM g UNION ALL SELECT 'total', 'complete', NULL, NULL, count(*) FILTER (k = 2 AND ss AND bs) FROM g
+""")
+def section_quality(spark, sf_dir):
+    """Strict and loose sections, sources and build plans of reports made of documents, with the histogram."""
+    i = F.col("doc_id")
+    c = F.concat(F.trim(F.left(F.coalesce("text", F.lit("")), (i % 120).cast("int"))), F.when(i % 11 == 0, " Upgrade to Pro").otherwise(""))
+    many = F.array_repeat(c, (i % 4).cast("int"))
+    none = F.array().cast("array<string>")
+    section = lambda items, parts: F.struct(c.alias("content"), items.alias("items"), parts.alias("subsections"))
+    overview = section(many, F.when(i % 13 == 0, F.array(F.lit("part"))).otherwise(none))
+    plan = F.struct(F.when(i % 3 == 0, F.col("lang")).otherwise("").alias("title"), c.alias("content"), none.alias("items"), none.alias("subsections"))
+    reports = load(spark, sf_dir, "documents").select(overview.alias("overview"), section(none, none).alias("traction"), many.alias("sources"), plan.alias("build_plan"))
+    return quality.report_quality(reports, ["overview", "traction"], lx.UPSELL_MARKERS)

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from peerlens.functions import classify as cl
 from peerlens.functions import text as tx
 
+from . import company_page, dom
+
 #: Canonical columns of a company record; absent values are null or empty lists.
 SCALARS = ["norm", "name", "description", "status", "founded_year", "shutdown_year", "shutdown_date", "location", "country", "city", "total_funding", "headcount", "failure_cause", "post_mortem", "acquirer", "yc_batch", "website", "cnpj", "outcome"]
 LISTS = ["founders", "categories", "investors", "competitors", "links"]
@@ -337,3 +339,47 @@ def enriched(companies: DataFrame, payloads: DataFrame, source: str = "tax_regis
     }
     joined = companies.withColumn("_key", key).join(one, "_key", "left")
     return joined.withColumns({c: x for c, x in changed.items() if c in companies.columns}).select(*companies.columns)
+
+
+@adapter("dump")
+def dump(spark: SparkSession, path: str) -> DataFrame:
+    """Companies of a report dump, a whole array or JSON lines: the one-liner describes, the slug names the nameless, a post-mortem counts by its content."""
+    raw = in_order(spark.read.option("multiLine", "true").json(path))
+    have = set(raw.columns)
+    text = lambda c: tx.absent(F.col(c).cast("string")) if c in have else F.lit(None).cast("string")
+    mortem = raw.schema["post_mortem"].dataType if "post_mortem" in have else None
+    content = F.col("post_mortem.content") if mortem is not None and mortem.typeName() == "struct" and "content" in mortem.names else F.lit(None).cast("string")
+    listed = {c: F.coalesce(F.col(s).cast("array<string>"), F.array().cast("array<string>")) for c, s in (("founders", "founders"), ("categories", "categories"), ("competitors", "competitors"), ("links", "sources")) if s in have and raw.schema[s].dataType.typeName() == "array"}
+    same = ("status", "founded_year", "shutdown_date", "location", "total_funding", "yc_batch", "website", "acquirer")
+    rows = raw.select(F.coalesce(text("name"), text("slug")).alias("name"), F.coalesce(text("one_liner"), text("description")).alias("description"), text("team_size").alias("headcount"), content.alias("post_mortem"), *[text(c).alias(c) for c in same], *[x.alias(c) for c, x in listed.items()], "_ord")
+    return canonical(rows, "dump")
+
+
+@adapter("encyclopedia")
+def encyclopedia_files(spark: SparkSession, path: str) -> DataFrame:
+    """Encyclopedia pages as JSON lines (title, extract, wikitext)."""
+    return encyclopedia(spark.read.schema("title string, extract string, wikitext string").json(path))
+
+
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("page_id long, url string, html string").parquet(path)
+
+
+@adapter("company_pages")
+def company_page_files(spark: SparkSession, path: str) -> DataFrame:
+    """Stored pages of companies (Parquet: page_id, url, html)."""
+    rows = company_page.companies(_pages(spark, path)).where("name <> ''")
+    return canonical(rows.withColumnsRenamed({"one_liner": "description", "team_size": "headcount"}).withColumn("post_mortem", F.col("post_mortem.content")), "company_pages")
+
+
+@adapter("listed")
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Stored pages with tables of companies (Parquet: page_id, url, html)."""
+    return canonical(company_page.table_companies(dom.grids(_pages(spark, path))), "listed")
+
+
+@adapter("listicle")
+def listicle_files(spark: SparkSession, path: str) -> DataFrame:
+    """Stored pages with cards of failed companies (Parquet: page_id, url, html)."""
+    rows = company_page.listicle(dom.nodes(_pages(spark, path)))
+    return canonical(rows.withColumns({"location": F.col("country"), "links": F.filter(F.array("deep_link"), lambda x: x != "")}), "listicle")

@@ -119,6 +119,30 @@ def companies(pages: DataFrame, own_site: str = "") -> DataFrame:
     return rows.withColumns({"competitors": tx.competitor_names(rival), "report_available": F.coalesce("report_available", F.lit(False))})
 
 
+def listicle(elements: DataFrame) -> DataFrame:
+    """page_id, card, list_label, name, description, founders, country, categories, years, headcount, funding, cause, deep_link, status of the cards of lists of failed companies.
+
+    A card is an element of its own class with a heading; its first paragraph describes it, its items hold a label and a value each.
+    """
+    rows = elements.withColumns({"card": dom.within(".listicle-startup-collection-item"), "item": dom.within("li.listicle-list-item")})
+    title = rows.groupBy("page_id").agg(F.coalesce(_first(dom.matches("h1"), F.col("text")), F.lit("")).alias("list_label"))
+    inside = rows.where("card is not null")
+    href = dom.attribute("href")
+    deep = dom.matches("a[href]") & (href.contains("/cemetery/") | ~href.contains("/startups/"))
+    heads = inside.groupBy("page_id", "card").agg(_first(dom.matches(".listicle-h3"), F.col("text")).alias("name"), _first(dom.matches("p.content-paragraph"), F.col("text")).alias("description"), _first(deep, href).alias("deep_link"))
+    items = inside.where("item is not null").groupBy("page_id", "card", "item").agg(_first(dom.matches(".listicle-list-category"), F.col("text")).alias("k"), _first(dom.matches(".failed-startup-list-information"), F.col("text")).alias("v"))
+    key = F.lower(F.regexp_replace("k", ":+$", ""))
+    told = items.where("k is not null and v is not null").groupBy("page_id", "card", key.alias("k")).agg(F.max_by("v", "item").alias("v")).groupBy("page_id", "card").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("f"))  # labels of a card
+    get = lambda *names: F.coalesce(*[F.element_at("f", F.lit(n)) for n in names], F.lit(""))
+    made = heads.where("name is not null").join(told, ["page_id", "card"], "left").join(title, "page_id")
+    founders = F.filter(F.transform(F.split(get("founders"), ",|&| and "), lambda x: F.trim(x)), lambda x: x != "")
+    return made.select(
+        "page_id", "card", "list_label", "name", F.coalesce("description", F.lit("")).alias("description"), founders.alias("founders"), get("country").alias("country"), F.filter(F.array(get("industry")), lambda x: x != "").alias("categories"),
+        get("started in").alias("founded_year"), get("closed in").alias("shutdown_year"), get("nº of employees", "n° of employees", "no of employees").alias("headcount"), get("funding amount").alias("total_funding"),
+        get("specific cause of failure").alias("failure_cause"), F.coalesce("deep_link", F.lit("")).alias("deep_link"), F.lit("Inactive").alias("status"),
+    )
+
+
 #: Roles of columns by words of their header, in order of precedence: exact names, words within, words that must not stand beside.
 ROLES = [
     ("name", ["company", "startup"], ["company details", "company name"], []),

@@ -1,6 +1,6 @@
 """Pages as node tables, selectors as column expressions, and tables as grids.
 
-A page is parsed once, into one row for each element with the path from the root (tag, id, classes, attributes of each step). A selector becomes a
+A page is parsed once, into one row for each element with the path from the root (number, tag, id, classes, attributes of each step). A selector becomes a
 boolean expression over that path: a fold that carries which steps of the selector are met so far, so any number of selectors is read off one
 scan and Spark prunes and combines them like other expressions. Cells of tables come with their place in the grid, where those that span
 several rows or columns stand in each place they cover.
@@ -26,7 +26,7 @@ ENDS = {"p": {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "div", "table
 HOLDERS = {"table", "ul", "ol", "dl", "select", "div", "section", "article", "td", "th", "body"}
 SILENT = {"script", "style"}
 
-STEP = "struct<tag: string, id: string, classes: array<string>, attrs: map<string, string>>"
+STEP = "struct<n: int, tag: string, id: string, classes: array<string>, attrs: map<string, string>>"
 NODES = f"page_id bigint, node int, parent int, depth int, text string, own string, path array<{STEP}>"
 
 
@@ -40,7 +40,7 @@ class Element:
         self.texts: list[str] = []
 
     def step(self) -> dict:
-        return {"tag": self.tag, "id": self.attrs.get("id", ""), "classes": self.attrs.get("class", "").split(), "attrs": list(self.attrs.items())}
+        return {"n": self.number, "tag": self.tag, "id": self.attrs.get("id", ""), "classes": self.attrs.get("class", "").split(), "attrs": list(self.attrs.items())}
 
 
 class Tree(HTMLParser):
@@ -107,7 +107,7 @@ def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row for each element of each page."""
-    step = pa.struct([("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string()))])
+    step = pa.struct([("n", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string()))])
     schema = pa.schema([("page_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("text", pa.string()), ("own", pa.string()), ("path", pa.list_(step))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -207,6 +207,11 @@ def attribute(name: str) -> Column:
     return F.element_at(F.element_at("path", -1)["attrs"], F.lit(name))
 
 
+def within(selector: str) -> Column:
+    """Number of the innermost step of an element's path, itself included, that meets a simple selector; null if none does."""
+    return F.try_element_at(F.filter("path", lambda s: _simple(selector, s)), F.lit(-1))["n"]
+
+
 def select(elements: DataFrame, selector: str) -> DataFrame:
     return elements.where(matches(selector))
 
