@@ -145,7 +145,7 @@ def events_stateful_stream(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id, event_type, epoch_ms(ts) AS t FROM events), now AS (SELECT max(t) - 86400000 AS now FROM e),
+WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t FROM events), now AS (SELECT max(t) - 86400000 AS now FROM e),
 r AS (SELECT user_id, min(t) AS reg FROM e WHERE event_type = 'signup' GROUP BY user_id),
 d AS (SELECT user_id, o, reg + o * 86400000 AS due, reg + (o + 1) * 86400000 AS ends FROM r, (VALUES (1::BIGINT), (2), (4), (8), (60)) v(o)),
 m AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = d.user_id AND event_type = 'purchase' AND t > due AND t <= ends)),
