@@ -89,14 +89,16 @@ def segment_trust(queries: DataFrame, companies_cells: DataFrame) -> DataFrame:
 class Corpus:
     """Companies made ready for queries: laid in blocks, with postings and the inverted file over blocks, each stored once.
 
-    `indexed`: term counts (by place) and idf of the companies as they are laid.
+    Without a text column there are no postings, and matches have no lexical dimension.
     """
 
-    def __init__(self, companies: DataFrame, key: str = "company_id"):
+    def __init__(self, companies: DataFrame, key: str = "company_id", text: str | None = "description"):
         self.key = key
         self.rows = retrieval.laid(companies, key)
-        self.counts, self.idf = textindex.index(self.rows, "place", "description")
-        self.postings = stored(textindex.weighted(self.counts, self.idf, "place").withColumn("block", retrieval.block_of()), "postings")
+        self.idf = self.postings = None
+        if text:
+            counts, self.idf = textindex.index(self.rows, "place", text)
+            self.postings = stored(textindex.weighted(counts, self.idf, "place").withColumn("block", retrieval.block_of()), "postings")
         self.file = stored(retrieval.entries(self.rows, self.postings), "entries")
         self.blocks = stored(retrieval.blocks(self.rows, key), "blocks")
 
@@ -116,6 +118,9 @@ class Asked:
         keys = {"q_model_key": tx.compact_key(F.col("model")), "q_cause_key": tx.compact_key(F.col("cause")), "q_secondary_keys": F.filter(F.array_distinct(F.transform(F.coalesce("secondary", none), tx.compact_key)), lambda c: c != "")}
         kept = [F.col(c).alias(f"q_{c}") for c in [*_KEPT, *(["embedding"] if self.dense else [])]]
         self.rows = stored(queries.select("query_id", *kept, *[x.alias(c) for c, x in keys.items()]), "asked")
+        self.terms = None
+        if corpus.idf is None:
+            return
         words = queries.select("query_id", F.size("words").alias("total"), F.explode("words").alias("term")).groupBy("query_id", "total", "term").agg(F.count("*").alias("n"))
         self.terms = stored(textindex.weighted(words, corpus.idf, "query_id").withColumnRenamed("w", "wq"), "asked-terms")
 
@@ -127,9 +132,13 @@ class Asked:
 
     def _scored(self, chosen: DataFrame, by: str, rows: DataFrame) -> DataFrame:
         """chosen (query_id, and block or place) with rows of the corpus, dimensions and score."""
-        met = chosen.join(self.terms, "query_id").join(self.corpus.postings, [by, "term"])
-        lexical = met.groupBy("query_id", "place").agg(F.sum(F.col("wq") * F.col("w")).alias("lexical")).where(F.col("lexical") >= lx.MIN_LEXICAL)
-        pairs = chosen.join(self.rows, "query_id").join(rows, by).join(lexical, ["query_id", "place"], "left")
+        pairs = chosen.join(self.rows, "query_id").join(rows, by)
+        if self.terms is None:
+            pairs = pairs.withColumn("lexical", F.lit(None).cast("double"))
+        else:
+            met = chosen.join(self.terms, "query_id").join(self.corpus.postings, [by, "term"])
+            lexical = met.groupBy("query_id", "place").agg(F.sum(F.col("wq") * F.col("w")).alias("lexical")).where(F.col("lexical") >= lx.MIN_LEXICAL)
+            pairs = pairs.join(lexical, ["query_id", "place"], "left")
         dims: list[Column] = [
             scoring.overlap("macro", F.col("q_macros"), F.col("macros"), lx.WEIGHTS["macro"]),
             scoring.overlap("category", F.col("q_category_keys"), F.col("c_keys"), lx.WEIGHTS["category"]),
@@ -155,9 +164,13 @@ class Asked:
         ranks = found.select("query_id", "place", "rank")
         return self._scored(ranks.select("query_id", "place"), "place", self.corpus.rows).join(ranks, ["query_id", "place"])
 
+    def ranked(self, k: int) -> DataFrame:
+        """query_id, place, company, score, rank of the k best companies of each query, exactly; blocks that can't reach them are not scored."""
+        return stored(retrieval.best(self.bounds(), self.scored, k, self.corpus.key), "best")
+
     def best(self, k: int) -> DataFrame:
-        """The k best companies of each query with their rank, exactly; blocks that can't reach them are not scored."""
-        return self.explained(stored(retrieval.best(self.bounds(), self.scored, k, self.corpus.key), "best"))
+        """ranked() with all columns of the company, dimensions and convergence."""
+        return self.explained(self.ranked(k))
 
 
 def scored(queries: DataFrame, companies: DataFrame) -> DataFrame:

@@ -55,9 +55,19 @@ class _Others(consult.Asked):
         return super().scored(chosen).where("company_id <> query_id")
 
 
+def _asked(spark, sf_dir: str) -> consult.Asked:
+    rows = stored(_as_companies(companies(spark, sf_dir)), "companies")
+    return _Others(_as_queries(rows.where(ASKED)), consult.Corpus(rows, text=None))
+
+
 def _best(spark, sf_dir: str, k: int) -> DataFrame:
-    rows = _as_companies(companies(spark, sf_dir))
-    return _Others(_as_queries(rows.where(ASKED)), consult.Corpus(rows)).best(k)
+    return _asked(spark, sf_dir).best(k)
+
+
+def _outcomes(spark, sf_dir: str, k: int) -> DataFrame:
+    """query_id, rank, score, outcome of the k best."""
+    asked = _asked(spark, sf_dir)
+    return asked.ranked(k).join(asked.corpus.rows.select("place", "outcome"), "place").select("query_id", "rank", "score", "outcome")
 
 
 def _scored_cells(spark, sf_dir: str) -> DataFrame:
@@ -143,13 +153,13 @@ def _path(top: DataFrame, spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {PATH} SELECT * FROM sig")
 def path_signal(spark, sf_dir):
-    return _path(_best(spark, sf_dir, 15), spark, sf_dir)
+    return _path(_outcomes(spark, sf_dir, 15), spark, sf_dir)
 
 
 @query(f"WITH {PATH}, b AS (SELECT query_id, max(score) AS best FROM r GROUP BY query_id) SELECT query_id, CASE WHEN query_id % 300 = 0 THEN 'SHORT_INPUT' WHEN direction IN ('NEGATIVO', 'POSITIVO', 'NEUTRO', 'INCERTO') THEN direction WHEN best >= 70 THEN 'STRONG' WHEN best >= 50 THEN 'MODERATE' WHEN best >= 30 THEN 'WEAK' ELSE 'NONE' END AS verdict FROM sig JOIN b USING (query_id)")
 def verdict_label(spark, sf_dir):
     """Verdicts; every third query stands for one whose input is too short."""
-    top = stored(_best(spark, sf_dir, 15), "best")
+    top = stored(_outcomes(spark, sf_dir, 15), "best")
     best = top.groupBy("query_id").agg(F.max("score").alias("best"))
     return _path(top, spark, sf_dir).join(best, "query_id").select("query_id", cohorts.verdict_code(F.col("direction"), F.col("query_id") % 300 == 0, F.col("best")).alias("verdict"))
 
