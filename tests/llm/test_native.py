@@ -194,6 +194,6 @@ def test_decontamination_spans_and_empty_tables(spark):
 
 
 def test_names():
-    assert len(queries.QUERIES) == 10
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert len(queries.QUERIES) == 13
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(llm_oracle.ORACLES) <= set(queries.QUERIES)
