@@ -69,7 +69,8 @@ SELECT o_orderkey, CASE WHEN causes >= 3 THEN 'Multiple Reasons' ELSE best END A
 def cause_fixed_lexicon(spark, sf_dir):
     text = F.concat(F.get(F.array(*[F.lit(s) for s in STORIES]), (F.col("o_orderkey") % len(STORIES)).cast("int")), F.lit("     "))
     c = cl.infer_cause(text, lx.CAUSE_LEXICON)
-    return load(spark, sf_dir, "orders").select("o_orderkey", c.alias("c")).where("c is not null").select("o_orderkey", "c.cause", "c.confidence")
+    # a generator, since a filter on the struct and each of its fields would compute it again
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.inline_outer(F.array(c))).where("cause is not null").select("o_orderkey", "cause", "confidence")
 
 
 NAMES = ["Brasil", "U.S.A.", "usa", "Reino Unido", "Atlantis", " EUA ", ""]

@@ -149,7 +149,7 @@ SELECT doc_id, CASE WHEN causes >= 3 THEN 'Multiple Reasons' ELSE best END AS ca
 @query(_cause_sql())
 def cause_lexicon(spark, sf_dir):
     c = cl.infer_cause(F.col("text"), CAUSES)
-    return load(spark, sf_dir, "documents").select("doc_id", c.alias("c")).where("c is not null").select("doc_id", "c.cause", "c.confidence")
+    return load(spark, sf_dir, "documents").select("doc_id", F.inline_outer(F.array(c))).where("cause is not null").select("doc_id", "cause", "confidence")
 
 
 def _any(words: list[str]) -> str:

@@ -114,3 +114,12 @@ def test_infobox_runs_over_lines(one):
 def test_competitors_stand_right_behind_a_cue(one):
     assert one(tx.competitor_names(F.lit("It competes  with Acme Two Three; vs.Beta, versus gamma, competitors: Delta vs Acme Two; competitorX competitor Y9"))) == ["Acme Two", "Beta", "Delta", "Y9"]
     assert one(tx.competitor_names(F.lit(None).cast("string"))) == []
+
+
+def test_infer_cause_looks_for_each_phrase_once(spark):
+    from peerlens.functions import lexicons as lx
+
+    text = F.concat(F.lit("we ran out of cash, a lawsuit "), F.col("id").cast("string"))
+    df = spark.range(1, 3).select("id", F.inline_outer(F.array(cl.infer_cause(text, lx.CAUSE_LEXICON)))).where("cause is not null").select("id", "cause", "confidence")
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") <= 1
+    assert sorted(map(tuple, df.collect())) == [(1, "Lack of Funds", "low"), (2, "Lack of Funds", "low")]
