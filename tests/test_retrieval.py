@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,20 @@ def test_corrections_equal_edit_distances(spark):
             want[w] = min(near)[1]
     got = textindex.fuzzy_corrections(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(vocabulary.items()), "term string, df long"))
     assert {r.word: r.correction for r in got.collect()} == want
+
+
+def test_scores_of_all_pairs_from_cells(spark):
+    from peerlens.plans import match_queries
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], "xy"[i % 2], 2000 + i % 2, "dead") for i in range(0, 1200, 10)], "company_id long, category string, country string, founded_year int, outcome string")
+    cells = match_queries._scored_cells(rows)
+    assert cells.count() == 1 and cells.first().n == 119  # one kind of company, whatever the number of those that ask
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_score_dimensions_has_every_pair(spark):
+    from peerlens.plans import analogs, match_queries
+
+    rows = analogs.companies(spark, "/root/testdata/sf0.001")
+    found = match_queries.score_dimensions(spark, "/root/testdata/sf0.001")
+    assert found.select("query_id", "company_id").distinct().count() == found.count() == rows.where(analogs.ASKED).count() * (rows.count() - 1)
