@@ -58,3 +58,16 @@ def test_quality_of_no_reports(spark):
     one = spark.createDataFrame([(None, None, None), (("x" * 90, None, None), ["y" * 70], ("t", "z" * 90, None, None))], df.schema)
     got = {(r.kind, r.key): (r.strict, r.loose, r.n) for r in quality.report_quality(one, ["overview"], ["go pro"]).collect()}
     assert got["section", "overview"] == (1, 1, None) and got["strict_sections", "0"][2] == 1 and got["total", "complete"][2] == 1
+
+
+def test_a_window_of_one_number_comes_whole_in_parts(spark):
+    rows = spark.createDataFrame([("b", 2013, f"much{i}") for i in range(300)] + [("b", 2011, "one")], "f string, y int, id string")
+
+    def fetch(pending):
+        met = pending.join(rows, (F.col("facet") == F.col("f")) & F.col("y").between(F.col("first"), F.col("last")) & (windows.part_of(F.col("id"), F.col("parts")) == F.col("part")))
+        return met.withColumn("n", F.row_number().over(Window.partitionBy("facet", "first", "last", "parts", "part").orderBy("id"))).where("n <= 40").drop("n", "f")
+
+    facets = spark.createDataFrame([("b",)], "facet string")
+    found, left = windows.fetched(windows.covering(facets, 2010, 2013, 4), fetch, "id", 40, dealt=True)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in rows.collect())
+    assert {r["first"] for r in left.collect()} == {2012}  # without an answer
