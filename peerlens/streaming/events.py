@@ -29,22 +29,29 @@ def without_repeats(events: DataFrame, keys: list[str], watermark: str = "1 day"
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-STATE = "registered boolean, snapshots int, errors int"
+#: Before every event.
+NEVER = -(1 << 63)
+STATE = "registered boolean, snapshots int, other_ts long, other_id long, error_ts array<long>, error_id array<long>"
 LIFECYCLE = "user_id long, status string, snapshots int, errors int"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    registered, snapshots, errors = state.get if state.exists else (False, 0, 0)
+    """A user's rows come in any order and in several frames. The state keeps the last event that is no error, and the errors behind it."""
+    registered, snapshots, *last, stamps, ids = state.get if state.exists else (False, 0, NEVER, NEVER, [], [])
+    last, errors = tuple(last), list(zip(stamps, ids, strict=True))
     for frame in batches:
-        for kind in frame.sort_values(["ts", "event_id"])["event_type"]:
-            registered = registered or kind == "signup"
-            snapshots += kind in ("signup", "purchase")
-            errors = errors + 1 if kind == "error" else 0
-    state.update((bool(registered), int(snapshots), int(errors)))
-    status = "silent" if registered and errors >= 2 else "active" if registered else "prospect"
-    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "snapshots": [int(snapshots)], "errors": [int(errors)]})
+        kind, at = frame["event_type"], frame["ts"].astype("datetime64[us]").astype("int64")
+        registered = registered or bool((kind == "signup").any())
+        snapshots += int(kind.isin(["signup", "purchase"]).sum())
+        is_error = kind == "error"
+        errors.extend(zip(at[is_error].tolist(), frame["event_id"][is_error].tolist(), strict=True))
+        last = max([last, *zip(at[~is_error].tolist(), frame["event_id"][~is_error].tolist(), strict=True)])
+        errors = [e for e in errors if e > last]
+    state.update((bool(registered), int(snapshots), *last, [t for t, _ in errors], [i for _, i in errors]))
+    status = "silent" if registered and len(errors) >= 2 else "active" if registered else "prospect"
+    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "snapshots": [int(snapshots)], "errors": [len(errors)]})
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """State of each user after each batch: signup registers, signup and purchase are snapshots, errors in a row silence."""
+    """State of each user after each batch: signup registers, signup and purchase are snapshots, errors in a row silence; in the order of ts and event_id, whatever the order they come in."""
     return events.groupBy("user_id").applyInPandasWithState(_advance, LIFECYCLE, STATE, "update", GroupStateTimeout.NoTimeout)

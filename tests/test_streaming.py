@@ -30,3 +30,21 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_sessions(spark):
     got = sorted((r.user_id, r.n) for r in ev.sessions(rows(spark), "15 minutes").collect())
     assert got == [(1, 3), (2, 2)]
+
+
+def test_lifecycle_of_rows_in_any_order():
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rows = pd.DataFrame({"event_id": range(6), "ts": pd.to_datetime([f"2024-01-01 00:0{i}:00" for i in range(6)]), "event_type": ["signup", "error", "view", "error", "error", "error"]})
+    for order in ([5, 2, 0, 3, 1, 4], [1, 3, 4, 5, 0, 2], [2, 1, 0, 5, 4, 3]):
+        state = State()
+        frames = [rows.iloc[order[a : a + 2]] for a in (0, 2, 4)]
+        (first,) = ev._advance((7,), iter(frames[:2]), state)
+        (last,) = ev._advance((7,), iter(frames[2:]), state)
+        assert last.values.tolist() == [[7, "silent", 1, 3]]
