@@ -6,7 +6,7 @@ scan and Spark prunes and combines them like other expressions. Cells of tables
 several rows or columns stand in each place they cover.
 
 Void elements have no content; an open p, li, tr, td, th, dt, dd or option ends where the next one begins; script and style have no text;
-character references are decoded; text of an element is all text within it, pieces and white space joined by one blank; of a root, pieces by a line
+character references that end in a semicolon are decoded; text of an element is all text within it, pieces and white space joined by one blank; of a root, pieces by a line
 break. Null pages have no elements.
 """
 
@@ -43,6 +43,10 @@ class Element:
         return {"n": self.number, "tag": self.tag, "id": self.attrs.get("id", ""), "classes": self.attrs.get("class", "").split(), "attrs": list(self.attrs.items())}
 
 
+#: An ampersand that begins no reference with a semicolon at its end stands for itself.
+_OPEN_REFERENCE = re.compile(r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);)")
+
+
 class Tree(HTMLParser):
     """Elements of a page in the order of their start tags."""
 
@@ -50,7 +54,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
         self.open: list[Element] = []
-        self.feed(page or "")
+        self.feed(_OPEN_REFERENCE.sub("&amp;", page or ""))
         self.close()
 
     def handle_starttag(self, tag, attrs):

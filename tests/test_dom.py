@@ -115,3 +115,24 @@ def test_one_parse_serves_many_selectors(spark):
     found = dom.nodes(pages(spark, PAGE))
     plan = found.select(F.count_if(dom.matches("p")).alias("p"), F.count_if(dom.matches("nav a")).alias("a"))
     assert plan.first().asDict() == {"p": 9, "a": 1} and plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_page_elements_of_each_row(spark, tmp_path):
+    from peerlens.plans import page_queries
+
+    page = "<html lang='en'><head><title>a &amp; b&amp</title></head><body><p>x<a href='/y?a=1&copy=2'>z</a></body></html>"
+    spark.createDataFrame([(1, page), (1, page), (2, ""), (3, "plain"), (4, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id, r.anchors, r.own_links, r.title, r.bodies) for r in page_queries.page_elements(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "/y?a=1&copy=2", "a & b&amp", 0)] * 2 + [(2, 0, "", "", 0), (3, 0, "", "", 0)]
+
+
+def test_listicle_pages_hold_a_bounded_number_of_cards(spark, tmp_path, monkeypatch):
+    from peerlens.plans import page_queries
+
+    spark.range(1700).selectExpr("id as c_custkey", "concat('C', id) as c_name", "3 as c_nationkey", "'seg' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(3, "LAND")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    made, whole = [], page_queries.dom.nodes
+    monkeypatch.setattr(page_queries.dom, "nodes", lambda pages: made.append(pages) or whole(pages))
+    found = page_queries.listicle_companies(spark, str(tmp_path))
+    assert found.count() == 1700 and {(r.page_id, r.list_label) for r in found.select("page_id", "list_label").distinct().collect()} == {(3, "Failures of LAND")}
+    assert max(r.html.count("<h3") for r in made[0].collect()) <= page_queries.CARDS
