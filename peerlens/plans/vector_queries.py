@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peerlens.functions import classify as cl
+from peerlens.functions import lexicons as lx
 from peerlens.operators import cohorts, scoring, vectors
 
 from .analogs import round4
@@ -42,9 +43,9 @@ def nearest_centroid(spark, sf_dir):
 @query(f"WITH {_PAIRS} SELECT query_id, vec_id, {round4('24.0 * least(1.0, greatest(0.0, (score - 0.22) / 0.48))')} AS points FROM s WHERE score >= 0.22")
 def semantic_rescale(spark, sf_dir):
     q, e = _asked(spark, sf_dir)
-    pairs = vectors.against_all(e, q.withColumnRenamed("embedding", "qv"), "query_id", F.col("vec_id") != F.col("query_id")).withColumn("score", vectors.dot(F.col("qv"), F.col("embedding")))
-    d = scoring.semantic(F.col("score"))
-    return pairs.select("query_id", "vec_id", d.alias("d")).where("d is not null").select("query_id", "vec_id", cl.round4(F.col("d.points")).alias("points"))
+    pairs = vectors.above(q, "query_id", e, "vec_id", lx.MIN_SEMANTIC)
+    points = scoring.semantic(F.col("score"))["points"]
+    return pairs.select("query_id", "vec_id", cl.round4(points).alias("points"))
 
 
 @query(f"WITH {CENTS}, {NEAR} SELECT label, vec_id, {round4('distance')} AS distance, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rank FROM near JOIN embeddings USING (vec_id) QUALIFY rank <= 3")

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,14 @@ def test_inverted_file_recall(spark):
     assert {(r.query_id, r.vec_id) for r in dealt.collect()} == found
     few = {(r.query_id, r.vec_id) for r in vectors.topk(asked, "query_id", e, "vec_id", block=2).collect()}
     assert few == exact
+
+
+def test_products_above_a_bound(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(40)] + [(40, None)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    pairs = asked.withColumnRenamed("embedding", "q").crossJoin(e).where("query_id <> vec_id").select("query_id", "vec_id", vectors.dot(F.col("q"), F.col("embedding")).alias("score")).where("score >= 0.2")
+    want = sorted(map(tuple, pairs.collect()))
+    for block in (vectors.BLOCK, 2):
+        assert sorted(map(tuple, vectors.above(asked, "query_id", e, "vec_id", 0.2, block=block).collect())) == want
