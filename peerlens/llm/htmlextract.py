@@ -10,8 +10,8 @@ The result has no unions. Its slots tell where the pages of a host differ: the m
 fixed on every page of the region are template and are left out (below). Boilerplate by tag, role or class (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out everywhere.
 
-The main region is inferred from up to SAMPLE pages of a host (least hashes; Spark limits each map task to as many
-before the shuffle). What is template is counted over all pages of the host, combined in tasks: a classed path in the
+The main region is inferred from all pages of a host, dealt by hash to blocks of about BLOCK pages: each block is aligned and tells
+a region, and the region that most pages tell counts. What is template is counted over all pages of the host, combined in tasks: a classed path in the
 region is template if all pages that hold it hold the same texts there and at least FIXED_PAGES of them are different
 pages (copies count once). A text that differs on a single page is kept on all. A page that its host's wrapper doesn't fit, or whose host is
 unknown, is read with a wrapper of its own. Wrappers are broadcast only up to BROADCAST_BYTES in all, else joined.
@@ -29,13 +29,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .urlfilter import host_of
 
-SAMPLE = 8
+BLOCK = 8
 FIXED_PAGES = 4  # a part is template only if that many different pages, and all that hold it, agree on it
 BROADCAST_BYTES = 32 << 20
 DEPTH = 60  # levels of markup that a wrapper tells apart
@@ -370,18 +370,36 @@ def extract(page: str | None, rule: dict | None) -> str:
     return "\n\n".join(blocks(tree))
 
 
-def host_mains(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, main of each host, from its sample."""
-    hosts = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "page_id").alias("_h"), "html").where("html is not null")
-    w = Window.partitionBy("host").orderBy("_h")
-    some = hosts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample).select("host", "_n", "html")
+def host_mains(pages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """host, main of each host: all its pages are aligned, in blocks of about `block`; each block tells a main region, and the one that most pages tell counts, ties by its path."""
+    hosts = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("_h"), "html").where("html is not null")
+    # copies within a host are one page, so a task passes a text of a host on once
+    hosts = hosts.mapInArrow(_once, "host string, _h long, html string")
+    sizes = pages.where("html is not null").groupBy(host_of(F.col("url")).alias("host")).agg(F.countDistinct(F.xxhash64("html")).alias("_pages"))
+    blocks_of = F.ceil(F.col("_pages") / block)
+    dealt = hosts.join(sizes, "host").select("host", F.pmod("_h", blocks_of).alias("_block"), "_h", "html")
 
     def run(key, frame):
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "main": [infer_main(frame.sort_values("_n")["html"].tolist())]})
+        some = frame.drop_duplicates("_h").sort_values("_h")["html"].tolist()
+        return pd.DataFrame({"host": [key[0]], "main": [infer_main(some)], "pages": [len(some)]})
 
-    return some.groupBy("host").applyInPandas(run, "host string, main string")
+    told = dealt.groupBy("host", "_block").applyInPandas(run, "host string, main string, pages long")
+    votes = told.groupBy("host", "main").agg(F.sum("pages").alias("pages"))
+    return votes.groupBy("host").agg(F.min_by("main", F.struct((-F.col("pages")).alias("n"), "main")).alias("main"))
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        keep = []
+        for key in zip(batch.column("host").to_pylist(), batch.column("_h").to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+        if len(seen) > FLUSH:
+            seen.clear()  # copies that come again are left out behind the shuffle
 
 
 def _small(table: DataFrame, *columns: str) -> DataFrame:
@@ -419,9 +437,9 @@ def host_templates(pages: DataFrame, mains: DataFrame) -> DataFrame:
     return fixed.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("skip"))
 
 
-def host_rules(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def host_rules(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """host, rule (JSON) of each host: its main region and its template paths."""
-    mains = written(host_mains(pages, sample), "host-mains")
+    mains = written(host_mains(pages, block), "host-mains")
     none = F.array().cast("array<string>")
     skip = F.coalesce("skip", none)
     # where all of the region is fixed, it is what the page says
@@ -429,9 +447,9 @@ def host_rules(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return mains.join(host_templates(pages, mains), "host", "left").select("host", F.to_json(F.struct("main", skip.alias("skip"))).alias("rule"))
 
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract_pages(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
-    rules = written(host_rules(pages, sample), "host-rules")
+    rules = written(host_rules(pages, block), "host-rules")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(_small(rules, "host", "rule"), "host", "left").select("page_id", "url", "html", "rule")
 

@@ -105,3 +105,15 @@ def test_plain_pages_equal_brute_force():
         want.append("\n\n".join(blocks))
     rule = h.infer(pages[:8])
     assert [h.extract(p, rule) for p in pages] == want
+
+
+def test_main_region_is_told_by_all_pages(spark):
+    # few pages of a host look otherwise; whichever blocks they fall into, the region of most pages counts, and no page is left out
+    usual = _plain_host(40)
+    docs = spark.createDataFrame([(i, "http://plain.com/x", p) for i, p in enumerate(usual + usual[:20])], "page_id long, url string, html string")
+    import pyspark.sql.functions as F
+
+    told = h.host_mains(docs)
+    assert [r.main for r in told.collect()] == [h.infer_main(usual)]
+    again = docs.repartition(7, F.col("page_id"))
+    assert told.collect() == h.host_mains(again).collect()
