@@ -48,7 +48,8 @@ def shared_terms(spark, sf_dir):
     """The terms that explain each of an item's ten closest documents."""
     items, docs = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents").select("doc_id", "text")
     counts, idf = textindex.index(docs, "doc_id")
-    top = textindex.cosine_topk(items, "item_id", docs, "doc_id", indexed=(counts, idf))
+    top = stored(textindex.cosine_topk(items, "item_id", docs, "doc_id", indexed=(counts, idf)), "top")
+    counts = counts.join(top.select("doc_id").distinct(), "doc_id", "left_semi")  # only documents that are told of are weighed
     asked = textindex.weighted(textindex.term_counts(items, "item_id", "text"), idf, "item_id").withColumnRenamed("w", "wq")
     rows = textindex.shared_terms(top, asked, textindex.weighted(counts, idf, "doc_id"), "item_id", "doc_id")
     return rows.withColumn("terms", F.array_join("terms", "|"))
