@@ -89,3 +89,30 @@ def test_claims_without_words_count_less(found):
     assert b[10].score < a[10].score and "model" not in b[10].reasons
     # a segment of three peers never gives high confidence
     assert a[10].confidence == b[10].confidence == "medium"
+
+
+def test_consultation_reads_its_inputs_once(spark, monkeypatch):
+    """What is joined to itself later is stored first, so that plans don't hold the companies' joins many times over."""
+    from peerlens.plans import match_queries
+
+    plans = []
+
+    def noted(f):
+        def call(first, *rest, **more):
+            plans.append(first._jdf.queryExecution().optimizedPlan().toString())
+            return f(first, *rest, **more)
+
+        return call
+
+    class Done(Exception):
+        pass
+
+    def stop(*_):
+        raise Done
+
+    monkeypatch.setattr(consult, "Corpus", noted(consult.Corpus))
+    monkeypatch.setattr(consult, "corrected", noted(consult.corrected))
+    monkeypatch.setattr(consult, "coherence", noted(stop))
+    with pytest.raises(Done):
+        match_queries.consult_run(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
