@@ -210,3 +210,16 @@ def test_products_above_a_bound(spark):
     want = sorted(map(tuple, pairs.collect()))
     for block in (vectors.BLOCK, 2):
         assert sorted(map(tuple, vectors.above(asked, "query_id", e, "vec_id", 0.2, block=block).collect())) == want
+
+
+def test_terms_are_counted_where_the_documents_lie(spark):
+    """No shuffle by document and term; documents that share a key are counted together as before."""
+    from peerlens.operators import textindex
+
+    docs = [(1, "tree tree river lake tree"), (2, None), (3, ""), (4, "lake"), (None, "river river")]
+    want = {(1, "tree", 3, 5), (1, "river", 1, 5), (1, "lake", 1, 5), (4, "lake", 1, 1), (None, "river", 2, 2)}
+    once = textindex.term_counts(spark.createDataFrame(docs, "id int, text string"), "id", "text")
+    assert {(r["id"], r["term"], r["n"], r["total"]) for r in once.collect()} == want and once.count() == len(want)
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
+    twice = textindex.term_counts(spark.createDataFrame([*docs, docs[0]], "id int, text string"), "id", "text")
+    assert {(r["id"], r["term"], r["n"]) for r in twice.collect() if r["id"] == 1} == {(1, "tree", 6), (1, "river", 2), (1, "lake", 2)}
