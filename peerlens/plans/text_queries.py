@@ -98,7 +98,11 @@ SELECT t AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM x GROUP BY
 """)
 def multiword_translate(spark, sf_dir):
     words = tx.translated(tx.tokens(tx.replaced_phrases(F.lower("text"), PHRASES), []), DICTIONARY)
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word"))
+    docs = load(spark, sf_dir, "documents")
+    if not textindex.repeated(docs, "doc_id"):  # counted within each document, so that no pair of a word and a document is shuffled
+        rows = docs.select("doc_id", words.alias("_w")).select("doc_id", F.explode(textindex.counted(F.col("_w"))).alias("t"))
+        return rows.groupBy(F.col("t.term").alias("word")).agg(F.sum("t.n").alias("n"), F.count("doc_id").alias("docs"))
+    rows = docs.select("doc_id", F.explode(words).alias("word"))
     return rows.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
