@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from peerlens.functions import text as tx
 from peerlens.sources.sinks import stored
 
-from . import cohorts
+from . import cohorts, textindex
 
 
 def signature(macros: Column) -> Column:
@@ -84,6 +84,11 @@ def totals(companies_cells: DataFrame, causes: int = 8) -> DataFrame:
     return outcomes(everything).join(with_cause, "asked").join(top, "asked", "left").drop("asked")
 
 
+def _support(size: Column) -> Column:
+    """Companies of a side that a term needs."""
+    return F.greatest(F.lit(3), F.floor(size / 12))
+
+
 def contrast(queries: DataFrame, companies: DataFrame, postings: DataFrame, key: str = "company_id", macros: str = "macros", n: int = 10, shortest: int = 3) -> DataFrame:
     """query_id, side ('survivors' or 'dead'), rank, term, support, delta: terms whose mean weight on one side of a segment exceeds that on the other.
 
@@ -99,11 +104,17 @@ def contrast(queries: DataFrame, companies: DataFrame, postings: DataFrame, key:
         return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("alive") == a, F.col(c))), F.lit(0)).alias(f"{c}{int(a)}") for c in columns for a in (False, True)])
 
     count = both(pairs.join(sizes, "signature"), ["asked"], ["n"]).withColumnsRenamed({"n0": "dead", "n1": "living"})
-    rows = both(pairs.join(terms, "signature"), ["asked", "term"], ["w", "n"]).join(count, "asked").where(F.length("term") >= shortest)
+    # no segment has more companies with a term than there are, so a term needs as many as the smallest segment asks for; it keeps both of its sides
+    least = count.agg(*[F.min(_support(F.col(c))).alias(c) for c in ("living", "dead")]).first()
+    total = lambda a: F.coalesce(F.sum(F.when(F.col("alive") == a, F.col("n"))), F.lit(0))
+    enough = (F.col("living") >= F.lit(least["living"])) | (F.col("dead") >= F.lit(least["dead"]))
+    common = terms.where(F.length("term") >= shortest).groupBy("term").agg(total(True).alias("living"), total(False).alias("dead")).where(enough).select("term")
+    terms = terms.join(textindex.carried(stored(common, "segment-common")), "term", "left_semi")
+    rows = both(pairs.join(terms, "signature"), ["asked", "term"], ["w", "n"]).join(count, "asked")
     mean = lambda w, size: F.coalesce(F.try_divide(w, size), F.lit(0.0))
     gap = mean(F.col("w1"), F.col("living")) - mean(F.col("w0"), F.col("dead"))
     side = F.explode(F.array(F.struct(F.lit("survivors").alias("side"), F.col("n1").alias("support"), F.col("living").alias("size"), gap.alias("delta")), F.struct(F.lit("dead").alias("side"), F.col("n0").alias("support"), F.col("dead").alias("size"), (-gap).alias("delta"))))
-    told = rows.select("asked", "term", side.alias("s")).select("asked", "term", "s.*").where((F.col("delta") > 0) & (F.col("support") >= F.greatest(F.lit(3), F.floor(F.col("size") / 12))))
+    told = rows.select("asked", "term", side.alias("s")).select("asked", "term", "s.*").where((F.col("delta") > 0) & (F.col("support") >= _support(F.col("size"))))
     order = Window.partitionBy("asked", "side").orderBy(F.desc(F.round("delta", 9)), "term")
     best = told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return queries.select("query_id", signature(F.col(macros)).alias("asked")).join(best, "asked").select("query_id", "side", "rank", "term", "support", "delta")
