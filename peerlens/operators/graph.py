@@ -210,6 +210,13 @@ def read_gexf(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return n.select(F.col("_id").alias("id"), F.col("attvalues.attvalue._value").alias("type"), F.col("_label").alias("name")), e.select(F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_label").alias("relation"))
 
 
+def read_gexf_lines(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_gexf() of a document that write_gexf() wrote: its lines, one element each, are read in parallel, where the reader of XML takes a document as one task."""
+    lines = spark.read.text(path)
+    n, e = (lines.where(F.col("value").startswith(f"<{tag} ")).select(F.from_xml("value", schema, {"attributePrefix": "_"}).alias("r")) for tag, schema in (("node", "_id string, _label string, attvalues struct<attvalue: struct<_value: string>>"), ("edge", "_source string, _target string, _label string")))
+    return n.select(F.col("r._id").alias("id"), F.col("r.attvalues.attvalue._value").alias("type"), F.col("r._label").alias("name")), e.select(F.col("r._source").alias("source"), F.col("r._target").alias("target"), F.col("r._label").alias("relation"))
+
+
 def with_origin(edges: DataFrame, origin: str) -> DataFrame:
     """Edges with the name of the source that says so."""
     return edges.withColumn("origin", F.lit(origin))

@@ -260,7 +260,7 @@ UNION ALL SELECT 'edge', source, relation, target FROM e
 def gexf_files(spark, sf_dir):
     path = sinks.scratch(spark, "gexf")
     graph.write_gexf(*_graph(spark, sf_dir), path)
-    nodes, edges = graph.read_gexf(spark, path)
+    nodes, edges = graph.read_gexf_lines(spark, path)
     return nodes.select(F.lit("node").alias("kind"), "id", "type", "name").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("relation").alias("type"), F.col("target").alias("name")))
 
 
@@ -280,7 +280,7 @@ def graph_documents(spark, sf_dir):
     graph.write_node_link_document(nodes, edges, a)
     graph.write_gexf(nodes, edges, b)
     out = None
-    for form, (n, e) in (("json", graph.read_node_link_lines(spark, a, "id string, type string, name string", "source string, target string, relation string")), ("gexf", graph.read_gexf(spark, b))):
+    for form, (n, e) in (("json", graph.read_node_link_lines(spark, a, "id string, type string, name string", "source string, target string, relation string")), ("gexf", graph.read_gexf_lines(spark, b))):
         both = n.select(F.lit(form).alias("format"), F.lit("node").alias("kind"), "id", "name").unionByName(e.select(F.lit(form).alias("format"), F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("target").alias("name")))
         out = both if out is None else out.unionByName(both)
     return out

@@ -90,3 +90,17 @@ def test_of_two_writers_one_commits(spark, tmp_path):
     for x in threads:
         x.join()
     assert rows(t.read()) == [(1,), (5,), (7,), (10,), (11,), (12,)]
+
+
+def test_lines_of_gexf_are_read_in_parallel(spark, tmp_path):
+    edges = spark.createDataFrame([(f"a {i}", 'b & \n\t<"é">' + str(i), "R") for i in range(300)], "source string, target string, relation string")
+    nodes = edges.select(F.col("target").alias("id"), F.when(F.col("source") != "a 3", "t").alias("type"), F.col("source").alias("name"))
+    graph.write_gexf(nodes, edges, str(tmp_path / "g"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found, whole = graph.read_gexf_lines(spark, str(tmp_path / "g/document")), graph.read_gexf(spark, str(tmp_path / "g/document"))
+        assert all(x.rdd.getNumPartitions() > 2 for x in found)
+        assert all(x.count() == 300 and x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() for x, y in zip(found, whole, strict=True))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
