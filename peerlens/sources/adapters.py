@@ -375,7 +375,7 @@ def company_page_files(spark: SparkSession, path: str) -> DataFrame:
 @adapter("listed")
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages with tables of companies (Parquet: page_id, url, html)."""
-    return canonical(company_page.table_companies(dom.grids(_pages(spark, path))), "listed")
+    return canonical(company_page.row_companies(dom.grid_rows(_pages(spark, path))), "listed")
 
 
 @adapter("listicle")

@@ -156,28 +156,42 @@ ROLES = [
 
 
 def table_companies(cells: DataFrame) -> DataFrame:
-    """page_id, grid, row, name, description, founded_year, location, status, total_funding, investors, profile_url of dom.grids() cells that list companies.
+    """row_companies() of dom.grids() cells, which are grouped by table first."""
+    key = ["page_id", "grid"]
+    heads = cells.where("header").groupBy(*key, "text").agg(F.min("col").alias("col")).groupBy(*key).agg(F.collect_list(F.struct("col", "text")).alias("heads"))
+    at = lambda what: F.map_from_entries(F.collect_list(F.struct("col", what)))
+    rows = cells.where("not header").groupBy(*key, "row").agg(at("text").alias("texts"), at("links").alias("links"))
+    return row_companies(rows.join(heads, key).select(*key, "heads", F.array(F.struct("row", "texts", "links")).alias("rows")))
+
+
+def row_companies(tables: DataFrame) -> DataFrame:
+    """page_id, grid, row, name, description, founded_year, location, status, total_funding, investors, profile_url of dom.grid_rows() that list companies.
 
     A header has the first role it fits; a role goes to its leftmost column. Tables without a name column and those of rounds or listings are left out. What is packed
     into the name (year, place, stage) gives way to columns of its own; a stage is a status only if it is a known one.
     """
     key = ["page_id", "grid"]
-    head = F.lower(F.trim("text"))
-    role = F.coalesce(*[F.when((head.isin(exact) if exact else F.lit(False)) | (F.greatest(*[F.contains(head, F.lit(w)) for w in within], F.lit(False)) & ~F.greatest(*[F.contains(head, F.lit(w)) for w in without], F.lit(False), F.lit(False))), name) for name, exact, within, without in ROLES])
-    other = (F.contains(head, F.lit("round")) & F.contains(head, F.lit("raised"))) | F.contains(head, F.lit("ipo date"))
-    heads = cells.where("header").groupBy(*key).agg(*[F.min(F.when(role == name, F.col("col"))).alias(f"_{name}") for name, *_ in ROLES], F.max(other).alias("_other"))
-    heads = heads.where("_name is not null and not _other")
-    rows = cells.where("not header").join(heads, key)
-    at = lambda name, what="text": F.max(F.when(F.col("col") == F.col(f"_{name}"), F.col(what)))
-    made = rows.groupBy(*key, "row").agg(*[at(name).alias(name) for name, *_ in ROLES], at("name", "links").alias("_links"))
+
+    def role(h: Column) -> Column:
+        head = F.lower(F.trim(h["text"]))
+        return F.coalesce(*[F.when((head.isin(exact) if exact else F.lit(False)) | (F.greatest(*[F.contains(head, F.lit(w)) for w in within], F.lit(False)) & ~F.greatest(*[F.contains(head, F.lit(w)) for w in without], F.lit(False), F.lit(False))), name) for name, exact, within, without in ROLES])
+
+    def other(h: Column) -> Column:
+        head = F.lower(F.trim(h["text"]))
+        return (F.contains(head, F.lit("round")) & F.contains(head, F.lit("raised"))) | F.contains(head, F.lit("ipo date"))
+
+    heads = tables.where(~F.exists("heads", other)).withColumn("_heads", F.transform("heads", lambda h: F.struct(h["col"].alias("col"), role(h).alias("role"))))
+    # once for each record of many rows, whose tables needn't be put together again
+    placed = heads.select(*key, "rows", *[F.array_min(F.transform(F.filter("_heads", lambda h: h["role"] == name), lambda h: h["col"])).alias(f"_{name}") for name, *_ in ROLES]).where("_name is not null")
+    at = lambda name, what="texts": F.try_element_at(f"r.{what}", F.col(f"_{name}"))
+    made = placed.select(*key, *[f"_{name}" for name, *_ in ROLES], F.explode("rows").alias("r")).select(*key, "r.row", *[at(name).alias(name) for name, *_ in ROLES], at("name", "links").alias("_links"))
     made = made.where((F.coalesce("name", F.lit("")) != "") & (F.length("name") <= 400))
     packed = html.packed_cell(F.col("name"))
     is_packed = F.col("name").rlike(r"\d{4}") & F.contains("name", F.lit(","))
     made = made.withColumns({"_packed": packed, "_is": is_packed})
     stage = F.coalesce(tx.absent(F.col("stage")), F.when(F.col("_is"), F.col("_packed.stage")), F.lit(""))
     backers = F.transform(F.split(F.regexp_replace(F.coalesce("investors", F.lit("")), r"(?i)&\s*\d+\s*others?", ""), ",|&"), lambda x: F.trim(x))
-    out = made.select(
-        *key, "row",
+    fields = F.struct(
         F.when(F.col("_is"), F.col("_packed.name")).otherwise(F.regexp_replace("name", "^[, ]+|[, ]+$", "")).alias("name"),
         F.coalesce("description", F.lit("")).alias("description"),
         F.when(F.col("founded").rlike(r"^\d{4}$"), F.col("founded")).otherwise(F.when(F.col("_is"), F.col("_packed.year")).otherwise("")).alias("founded_year"),
@@ -187,4 +201,6 @@ def table_companies(cells: DataFrame) -> DataFrame:
         F.filter(backers, lambda x: (x != "") & (F.length(x) < 80)).alias("investors"),
         F.coalesce(F.get(F.filter("_links", lambda x: F.contains(x, F.lit("/d/companies/"))), F.lit(0)), F.lit("")).alias("profile_url"),
     )
+    # a generator: filters of its columns stay above it and don't compute them once more
+    out = made.select(*key, "row", F.inline(F.array(fields)))
     return out.where((F.col("name") != "") & (F.length("name") <= 120))

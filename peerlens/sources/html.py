@@ -35,14 +35,25 @@ def packed_cell(c: Column) -> Column:
     The name ends at the first four digits that close the cell or stand before a comma. Of the parts behind, the last is the stage if there
     are several and it begins with a letter; all others are the location. A cell of another form gives its first part as the name.
     """
-    year = r"^(.+?)(\d{4})\s*(?=,|$)"
-    behind = F.regexp_replace(c, r"^.+?\d{4}\s*(?:,|$)", "")
-    last = F.trim(F.substring_index(behind, ",", -1))
-    staged = F.contains(behind, F.lit(",")) & last.rlike("^[A-Za-z]")
-    place = F.trim(F.when(staged, F.regexp_replace(behind, ",[^,]*$", "")).otherwise(behind))
-    parsed = F.struct(F.regexp_replace(F.regexp_extract(c, year, 1), r"^[, ]+|[, ]+$", "").alias("name"), F.regexp_extract(c, year, 2).alias("year"), place.alias("location"), F.when(staged, last).otherwise("").alias("stage"))
-    plain = F.struct(F.trim(F.split(c, ",")[0]).alias("name"), F.lit("").alias("year"), F.lit("").alias("location"), F.lit("").alias("stage"))
-    return F.when(c.rlike(year), parsed).otherwise(plain)
+
+    def named(whole: Column) -> Column:
+        # of what ends with the year: a lambda's argument is computed once, whatever is read off it
+        text = F.rtrim(whole, F.lit(" \t\n\x0b\f\r"))
+        behind = F.substr(c, F.length(whole) + 1)
+        behind = F.when(F.startswith(behind, F.lit(",")), F.substr(behind, F.lit(2))).otherwise(behind)
+        return F.struct(whole.alias("whole"), F.trim(F.left(text, F.length(text) - 4), F.lit(", ")).alias("name"), F.right(text, F.lit(4)).alias("year"), behind.alias("behind"), F.substring_index(behind, ",", -1).alias("end"))
+
+    def told(p: Column) -> Column:
+        last = F.trim(p["end"])
+        first = F.left(last, F.lit(1))
+        staged = F.contains(p["behind"], F.lit(",")) & (first.between("A", "Z") | first.between("a", "z"))
+        place = F.trim(F.when(staged, F.left(p["behind"], F.length(p["behind"]) - F.length(p["end"]) - 1)).otherwise(p["behind"]))
+        parsed = F.struct(p["name"].alias("name"), p["year"].alias("year"), place.alias("location"), F.when(staged, last).otherwise("").alias("stage"))
+        plain = F.struct(F.trim(F.split(c, ",")[0]).alias("name"), F.lit("").alias("year"), F.lit("").alias("location"), F.lit("").alias("stage"))
+        return F.when(p["whole"] != "", parsed).otherwise(plain)
+
+    year = F.regexp_extract(c, r"^.+?\d{4}\s*(?=,|$)", 0)
+    return F.get(F.transform(F.transform(F.array(year), named), told), F.lit(0))
 
 
 class _Outline(HTMLParser):

@@ -136,3 +136,30 @@ def test_listicle_pages_hold_a_bounded_number_of_cards(spark, tmp_path, monkeypa
     found = page_queries.listicle_companies(spark, str(tmp_path))
     assert found.count() == 1700 and {(r.page_id, r.list_label) for r in found.select("page_id", "list_label").distinct().collect()} == {(3, "Failures of LAND")}
     assert max(r.html.count("<h3") for r in made[0].collect()) <= page_queries.CARDS
+
+
+def test_rows_of_lists_come_from_one_parse(spark, tmp_path):
+    from peerlens.plans import page_queries
+
+    spark.range(40).selectExpr("id as l_orderkey", "id % 3 as l_suppkey", "id as l_partkey", "cast(id % 5 as int) as l_linenumber", "id * 1.5D as l_quantity", "id * 2.5D as l_extendedprice", "'R' as l_returnflag", "date'1997-01-02' as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = page_queries.listed_companies(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and found.count() == 40
+
+
+def test_rows_of_grids_are_those_of_their_cells(spark):
+    html = '<table><tr><th>Company<th>Stage<tr><th>row<td>A<td>Seed</table><table><tr><td>Acme2012, Oslo<td rowspan=2>Public<tr><td>Bee<tr><th>Startup<th>Round raised</table><table><tr><td>C<td>D<tr><th>Stage<th>Company name<th>Company name</table>'
+    both = [sorted(map(tuple, f.collect())) for f in (company_page.table_companies(dom.grids(pages(spark, html))), company_page.row_companies(dom.grid_rows(pages(spark, html))))]
+    assert both[0] == both[1] and [r[1:4] for r in both[1]] == [(2, 0, "D")]
+
+
+def test_plain_markup_is_cut_as_the_parser_reads_it(monkeypatch):
+    rng = random.Random(5)
+    bits = [*"<p> </p> <div> </div> <table> <tr> <td> <th> </table> <ul> <li> </ul> <br> <title> </title> <P> <script> </script> <br/> < <!--x--> <b>".split(" "), '<a href="/x?a=1&b=2">', '<td rowspan="2" ROWSPAN="3">', "text", " &amp; &copy &notit; ", "&", "\n"]
+    made = lambda page: [(e.tag, e.attrs, list(e.own), e.texts, e.parent and e.parent.number) for e in dom.Tree(page).elements]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 15)))
+        got = made(page)
+        with monkeypatch.context() as m:
+            m.setattr(dom.Tree, "_plain_markup", lambda self, text: False)
+            assert made(page) == got, page
