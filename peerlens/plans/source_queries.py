@@ -150,7 +150,9 @@ def tax_register_fill(spark, sf_dir):
 
 
 def _page(spark, sf_dir, *parts):
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://h.io/company/c-"), F.col("c_custkey").cast("string")).alias("url"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"), "c_mktsegment", "c_name")
+    """Pages made of customers, which are few bytes and come as few partitions: they are dealt over tasks first, by their key, for the parsers to come."""
+    rows = sinks.dealt(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name"), "c_custkey")
+    return rows.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://h.io/company/c-"), F.col("c_custkey").cast("string")).alias("url"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"), "c_mktsegment", "c_name")
 
 
 @query("""

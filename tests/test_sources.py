@@ -64,3 +64,11 @@ def test_packed_cells_without_stage_or_place(spark):
     got = [tuple(r.p) for r in p.select("i", html.packed_cell(p.c).alias("p")).orderBy("i").collect()]
     want = [("Carvana", "2012", "Phoenix(United States)", "Public"), ("Acme", "2019", "", ""), ("Acme", "2019", "Berlin", ""), ("Two Words", "2001", "Sao Paulo, Brazil", "Series A")]
     assert got == [*want, ("B1", "2345", "Oslo,1st", ""), ("Plain", "", "", ""), ("2019", "", "", ""), ("Odd2019x", "", "", "")]
+
+
+def test_pages_of_customers_are_dealt_over_tasks(spark, tmp_path):
+    from peerlens.plans import source_queries
+
+    spark.range(400).selectExpr("id as c_custkey", "concat('C', id) as c_name", "'seg' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    held = source_queries._page(spark, str(tmp_path), "<h1>", "c_name", "</h1>").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(held) >= 8 and max(held) < 200 and sum(held) == 400
