@@ -223,3 +223,11 @@ def test_terms_are_counted_where_the_documents_lie(spark):
     assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
     twice = textindex.term_counts(spark.createDataFrame([*docs, docs[0]], "id int, text string"), "id", "text")
     assert {(r["id"], r["term"], r["n"]) for r in twice.collect() if r["id"] == 1} == {(1, "tree", 6), (1, "river", 2), (1, "lake", 2)}
+
+
+def test_kmeans_goes_over_dealt_vectors(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id as vec_id", "array(cast(id % 3 as float), cast(id as float) / 100) as embedding").coalesce(1)
+    made, whole = [], vectors.KMeans.fit
+    monkeypatch.setattr(vectors.KMeans, "fit", lambda self, df: made.append(df.rdd.getNumPartitions()) or whole(self, df))
+    model = vectors.kmeans(rows, k=3, starts=2)
+    assert len(made) == 2 and min(made) >= 8 and sorted(r["count"] for r in vectors.with_cluster(rows, model).groupBy("cluster_id").count().collect()) == [20, 20, 20]
