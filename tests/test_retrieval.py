@@ -55,6 +55,41 @@ def test_best_equals_scoring_all(spark, monkeypatch, dense):
     assert dense or "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("others", [False, True])
+def test_best_by_kinds_equals_scoring_all(spark, monkeypatch, others):
+    monkeypatch.setattr(retrieval, "BITS", 2)
+    monkeypatch.setattr(retrieval, "FIRST", 1)
+    rng = random.Random(11)
+    some, asking = list(companies(rng, 30)), list(queries(rng, 6))
+    c = spark.createDataFrame([(90 * n + r[0], *r[1:]) for n in range(3) for r in some], C).drop("embedding", "description").withColumn("own", F.col("company_id") * 2)
+    q = spark.createDataFrame([(7 * n + r[0], *r[1:]) for n in range(4) for r in asking], Q).drop("embedding").withColumn("team_size", F.col("query_id").cast("string"))
+    q = consult.analyzed(q).drop("macros").join(q.select("query_id", "macros"), "query_id")
+    asked = consult.Asked(q, consult.Corpus(c, text=None))
+    every = asked.scored(asked.corpus.blocks.crossJoin(asked.rows.select("query_id")).select("query_id", "block"))
+    want = scoring.ranked(every.where("company_id <> query_id") if others else every)
+    for k in (1, 4, 12):
+        got = consult.best_by_kinds(q, c, k, others=others).collect()
+        assert sorted((r.query_id, r.company_id, r["rank"]) for r in got) == sorted((r.query_id, r.company_id, r["rank"]) for r in want.where(F.col("rank") <= k).collect())
+        assert got and all(r.own == 2 * r.company_id and r.q_team_size == str(r.query_id) for r in got)
+
+
+def test_bounds_of_matches_grow_with_kinds_only(spark, monkeypatch, tmp_path):
+    from peerlens.plans import match_queries
+
+    monkeypatch.setattr(retrieval, "BITS", 2)
+    met, best, read = [], retrieval.best, lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    monkeypatch.setattr(retrieval, "best", lambda candidates, *a, **b: met.append(candidates.count()) or best(candidates, *a, **b))
+    for n in (1, 4):
+        at = str(tmp_path / str(n))
+        copies = spark.range(n).select((F.col("id") * 1_000_000).alias("_by"))
+        read("nation").write.parquet(f"{at}/nation.parquet")
+        for t, keys in (("customer", ["c_custkey"]), ("orders", ["o_custkey", "o_orderkey"])):
+            read(t).crossJoin(copies).withColumns({x: F.col(x) + F.col("_by") for x in keys}).drop("_by").write.parquet(f"{at}/{t}.parquet")
+        rows = match_queries.score_converged_topk(spark, at).groupBy("query_id").agg(F.max("rank").alias("n")).collect()
+        assert len({r.query_id % 1_000_000 for r in rows}) * n == len(rows)
+    assert met[0] == met[1] > 0
+
+
 def test_an_empty_corpus_and_no_queries(spark):
     rng = random.Random(1)
     c, q = spark.createDataFrame(list(companies(rng, 5)), C), spark.createDataFrame(list(queries(rng, 2)), Q)
