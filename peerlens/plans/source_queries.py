@@ -204,10 +204,8 @@ def listicle_cards(spark, sf_dir):
         spark, sf_dir, "<h2>", F.col("c_name"), "</h2><p>A card.</p><ul><li>Founded: 1999</li><li>plain</li></ul><table><tr><th>Company name</th><th>Segment</th></tr><tr><td>",
         F.concat("c_name", (1990 + F.col("c_custkey") % 30).cast("string"), F.lit(", Berlin, Seed")), "</td><td>", F.col("c_mktsegment"), '</td></tr></table><a href="/industry/p">P</a><a href="/about">no</a>',
     )
-    card = html.cards(pages).select("page_id", F.explode("fields").alias("field", "value"))
-    cell = html.packed_cell(F.col("packed"))
-    rows = html.table_records(html.tables(pages), {"packed": ["company", "name"], "listed": ["segment"]}).select("page_id", cell["name"].alias("name"), cell["year"].alias("year"), cell["location"].alias("location"), cell["stage"].alias("stage"), "listed")
-    return rows.join(card, "page_id").join(html.taxonomy(pages, "/industry/").select("page_id", "slug"), "page_id")
+    rows = html.listicles(pages, {"packed": ["company", "name"], "listed": ["segment"]}, "/industry/").withColumn("cell", html.packed_cell(F.col("packed")))
+    return rows.select("page_id", "cell.name", "cell.year", "cell.location", "cell.stage", "listed", "field", "value", "slug")
 
 
 @query("""

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from peerlens.functions import lexicons as lx
 from peerlens.functions import text as tx
@@ -116,37 +118,67 @@ def outline(page: str | None) -> list[tuple[str, list[str]]]:
 SECTIONS = "page_id long, section int, heading string, content string, items array<string>"
 
 
+def _sections_of(parts: list[tuple[str, list[str]]]) -> list[dict]:
+    """Headings of an outline with the paragraphs and list items up to the next."""
+    made: list[dict] = []
+    for kind, texts in parts:
+        if kind[0] == "h":
+            made.append({"heading": texts[0], "content": [], "items": []})
+        elif made and kind == "p":
+            made[-1]["content"].append(texts[0])
+        elif made and kind == "li":
+            made[-1]["items"].append(texts[0])
+    return [{**m, "content": "\n".join(m["content"])} for m in made]
+
+
+def _rows_of(parts: list[tuple[str, list[str]]]) -> list[list[str]]:
+    """Cells of the table rows of an outline."""
+    return [texts for kind, texts in parts if kind == "tr"]
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """One row for each heading: the paragraphs and list items up to the next."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for page_id, page in zip(frame["page_id"], frame["html"], strict=True):
-                made: list[dict] = []
-                for kind, texts in outline(page):
-                    if kind[0] == "h":
-                        made.append({"page_id": page_id, "section": len(made), "heading": texts[0], "content": [], "items": []})
-                    elif made and kind == "p":
-                        made[-1]["content"].append(texts[0])
-                    elif made and kind == "li":
-                        made[-1]["items"].append(texts[0])
-                rows += [{**m, "content": "\n".join(m["content"])} for m in made]
+            rows = [{"page_id": page_id, "section": i, **m} for page_id, page in zip(frame["page_id"], frame["html"], strict=True) for i, m in enumerate(_sections_of(outline(page)))]
             yield pd.DataFrame(rows, columns=["page_id", "section", "heading", "content", "items"])
 
     return pages.select("page_id", "html").mapInPandas(run, SECTIONS)
 
 
+#: What outlined() adds, and the same for Arrow.
+OUTLINED = "sections array<struct<heading:string,content:string,items:array<string>>>, rows array<array<string>>"
+_OUTLINED = pa.schema([("sections", pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string()), ("items", pa.list_(pa.string()))]))), ("rows", pa.list_(pa.list_(pa.string())))])
+
+
+def outlined(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Pages with `sections` (heading, content and items of each, as of sections()) and `rows` (cells of each, as of tables()) in place of their html: one parse for both."""
+    rest = pages.drop(html)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [outline(page.as_py()) for page in batch.column(0)]
+            made = [[_sections_of(parts) for parts in found], [_rows_of(parts) for parts in found]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(m, f.type) for m, f in zip(made, _OUTLINED, strict=True)]], [*batch.schema.names[1:], *_OUTLINED.names])
+
+    return pages.select(html, *rest.columns).mapInArrow(run, StructType([*rest.schema, *StructType.fromDDL(OUTLINED)]))
+
+
 CARDS = "page_id long, name string, description string, fields map<string,string>"
 
 
-def cards(pages: DataFrame) -> DataFrame:
-    """Cards of a listicle: a heading, its first paragraph, and `key: value` items."""
-    rows = sections(pages)
-    pairs = F.filter("items", lambda x: x.contains(":"))
+def card_fields(items: Column) -> Column:
+    """Map of the `key: value` items of a card, the first of each key."""
+    pairs = F.filter(items, lambda x: x.contains(":"))
     entries = F.transform(pairs, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value")))
     firsts = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda k: k["key"]), e["key"]) == i + 1)
-    return rows.select("page_id", F.col("heading").alias("name"), F.split("content", "\n")[0].alias("description"), F.map_from_entries(firsts).alias("fields"))
+    return F.map_from_entries(firsts)
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """Cards of a listicle: a heading, its first paragraph, and `key: value` items."""
+    return sections(pages).select("page_id", F.col("heading").alias("name"), F.split("content", "\n")[0].alias("description"), card_fields(F.col("items")).alias("fields"))
 
 
 def tables(pages: DataFrame) -> DataFrame:
@@ -156,23 +188,35 @@ def tables(pages: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for page_id, page in zip(frame["page_id"], frame["html"], strict=True):
-                cells = [texts for kind, texts in outline(page) if kind == "tr"]
-                rows += [{"page_id": page_id, "row": i, "cells": c} for i, c in enumerate(cells)]
+                rows += [{"page_id": page_id, "row": i, "cells": c} for i, c in enumerate(_rows_of(outline(page)))]
             yield pd.DataFrame(rows, columns=["page_id", "row", "cells"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, row int, cells array<string>")
 
 
+def cell_of(header: Column, cells: Column, words: list[str]) -> Column:
+    """The cell in the column of the first header that contains one of the words."""
+    hit = F.array_position(F.transform(header, lambda h: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(h), w))), True)
+    return F.when(hit > 0, F.get(cells, (hit - 1).cast("int")))
+
+
 def table_records(rows: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
     """Records of tables(): the column of a role is the first header that contains one of its words."""
     header = rows.where("row = 0").select("page_id", F.col("cells").alias("header"))
     body = rows.where("row > 0").join(header, "page_id")
+    return body.select("page_id", "row", *[cell_of(F.col("header"), F.col("cells"), words).alias(role) for role, words in roles.items()])
+
 
-    def value(words: list[str]) -> Column:
-        hit = F.array_position(F.transform("header", lambda h: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(h), w))), True)
-        return F.when(hit > 0, F.get("cells", (hit - 1).cast("int")))
+def listicles(pages: DataFrame, roles: dict[str, list[str]], prefix: str) -> DataFrame:
+    """page_id, field, value, a column a role, slug, name: each field of the cards() of a page with each of its table_records() and links of its taxonomy().
 
-    return body.select("page_id", "row", *[value(words).alias(role) for role, words in roles.items()])
+    A page is one row until all its parts are found, so it is parsed once, and nothing is joined or shuffled.
+    """
+    found = outlined(pages.select("page_id", "html", F.array_distinct(links_below(F.col("html"), prefix)).alias("links")))
+    card = found.withColumn("_s", F.explode("sections")).select("page_id", "rows", "links", F.explode(card_fields(F.col("_s.items"))).alias("field", "value"))
+    body = card.withColumns({"header": F.get("rows", 0), "cells": F.explode(F.filter("rows", lambda r, i: i > 0))})
+    record = body.select("page_id", "field", "value", *[cell_of(F.col("header"), F.col("cells"), words).alias(role) for role, words in roles.items()], F.explode("links").alias("_l"))
+    return record.select("*", "_l.slug", "_l.name").drop("_l")
 
 
 def portfolio(pages: DataFrame, stop: list[str]) -> DataFrame:
@@ -184,11 +228,15 @@ def portfolio(pages: DataFrame, stop: list[str]) -> DataFrame:
     return rows.select("page_id", named.alias("name"), url.alias("url")).where(~F.lower("name").isin(stop) if stop else F.lit(True)).dropDuplicates(["page_id", "url"])
 
 
+def links_below(html: Column, prefix: str) -> Column:
+    """array<struct<slug, name>> of the links below a path."""
+    anchors = F.regexp_extract_all(html, F.lit(rf'<a[^>]+href="{prefix}[^"]+"[^>]*>[^<]*</a>'), F.lit(0))
+    return F.transform(anchors, lambda a: F.struct(F.regexp_extract(a, rf'href="{prefix}([^"/?#]+)', 1).alias("slug"), F.trim(F.regexp_extract(a, ">([^<]*)</a>", 1)).alias("name")))
+
+
 def taxonomy(pages: DataFrame, prefix: str) -> DataFrame:
     """page_id, slug, name of the links below a path."""
-    anchors = F.regexp_extract_all("html", F.lit(rf'<a[^>]+href="{prefix}[^"]+"[^>]*>[^<]*</a>'), F.lit(0))
-    rows = pages.select("page_id", F.explode(anchors).alias("a"))
-    return rows.select("page_id", F.regexp_extract("a", rf'href="{prefix}([^"/?#]+)', 1).alias("slug"), F.trim(F.regexp_extract("a", ">([^<]*)</a>", 1)).alias("name")).distinct()
+    return pages.select("page_id", F.inline(links_below(F.col("html"), prefix))).distinct()
 
 
 def expanded(templates: DataFrame, first: int, last: int) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from peerlens.operators import linkage
 from peerlens.sources import adapters, html
 
@@ -72,3 +74,29 @@ def test_pages_of_customers_are_dealt_over_tasks(spark, tmp_path):
     spark.range(400).selectExpr("id as c_custkey", "concat('C', id) as c_name", "'seg' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     held = source_queries._page(spark, str(tmp_path), "<h1>", "c_name", "</h1>").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(held) >= 8 and max(held) < 200 and sum(held) == 400
+
+
+def test_listicles_are_the_joined_parts_of_pages_parsed_once(spark):
+    row = "<tr><td>{0}</td><td>1</td><td>{0}!</td></tr>"
+    several = "<h2>A</h2><p>x</p><ul><li>Founded: 1999</li><li>founded: 2</li><li>b</li></ul><h3>B &amp; c</h3><ul><li>Team: a: b</li></ul><table><tr><th>Year</th><th>n</th><th>Company <b>name</b></th></tr>" + row.format("Acme") + row.format("Foo") + "</table>"
+    links = '<a href="/c/steel">Steel</a><a href="/c/steel">Steel</a><a class="x" href="/c/steel/more"> Other </a><a href="/c/iron?x">Iron</a>'
+    odd = "<script>x<h2>no</h2></script><nav><h2>Menu</h2></nav><h2>D<ul><li>K: v<li>L: w</ul><table><tr><td>only</td></tr></table>"
+    pages = spark.createDataFrame([(1, PAGE + links), (2, several + links), (3, None), (4, ""), (5, odd + links), (6, several), (7, links), (8, "<tr><th>Name</th></tr><tr></tr><tr><td>z" + odd + links)], "page_id long, html string")
+    roles = {"who": ["company", "name"], "n": ["n"], "none": ["zzz"]}
+    got = html.listicles(pages, roles, "/c/")
+    parts = [html.cards(pages).select("page_id", F.explode("fields").alias("field", "value")), html.table_records(html.tables(pages), roles).drop("row"), html.taxonomy(pages, "/c/")]
+    want = parts[0].join(parts[1], "page_id").join(parts[2], "page_id").select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.page_id for r in got.collect()} >= {1, 2}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_listicle_cards_joins_nothing(spark, tmp_path):
+    from peerlens.plans import source_queries
+
+    spark.range(30).selectExpr("id as c_custkey", "concat('C#', id, 'x') as c_name", "'seg' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    got = source_queries.listicle_cards(spark, str(tmp_path))
+    assert sorted((r.page_id, r["name"], r.year, r.listed, r.slug) for r in got.collect()) == [(i, f"C#{i}x", str(1990 + i), "seg", "p") for i in range(30)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapIn") == 1 and "Join" not in plan
