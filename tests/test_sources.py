@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from peerlens.operators import linkage
@@ -100,3 +102,27 @@ def test_listicle_cards_joins_nothing(spark, tmp_path):
     assert sorted((r.page_id, r["name"], r.year, r.listed, r.slug) for r in got.collect()) == [(i, f"C#{i}x", str(1990 + i), "seg", "p") for i in range(30)]
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("MapIn") == 1 and "Join" not in plan
+
+
+def test_plain_pages_are_outlined_as_by_the_parser(monkeypatch):
+    rng = random.Random(3)
+    tags = ["h1", "H2", "h3", "p", "li", "ul", "table", "tr", "td", "th", "nav", "footer", "b", "br", "x9"]
+    plain = ["a", " b\n", "&amp;", "&am", "&#65", "&notit;", "x > y", '"', "/", "\u00e9\x00", *[f"<{t}>" for t in tags], *[f"</{t}>" for t in tags], '<a href="/c/x?a=1&amp;b" data-x="">', "<p class=\"it's\">"]
+    odd = ["<", "< p>", "<br/>", "<p/>", "<p a=b>", "<p a='<h2>'>", '<p a="<h2>x">', '<p a="1"b="2">', "</p >", '</p a="b">', "<!-- <h2>c</h2> -->", "<!DOCTYPE html>", "<?x?>", "<![CDATA[x]]>", "<script>", "</script>", "<TITLE>", "<style a=\"b\">", "<1>", "<p\n>", "<my-tag>", "</>", "<p"]
+
+    def parsed(page):
+        parser = html._Outline()
+        parser.feed(page)
+        parser.close()
+        parser._close()
+        return parser.parts
+
+    fed = []
+    feed = html._Outline.feed
+    for n in range(4000):
+        page = "".join(rng.choice(odd if n % 2 and rng.random() < 0.1 else plain) for _ in range(rng.randrange(30)))
+        want = parsed(page)
+        with monkeypatch.context() as m:
+            m.setattr(html._Outline, "feed", lambda self, text: (fed.append(n), feed(self, text)))
+            assert html.outline(page) == want, page
+    assert not [n for n in fed if n % 2 == 0] and len(fed) > 1000
