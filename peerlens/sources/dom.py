@@ -62,14 +62,19 @@ _ATTRIBUTE = re.compile(r'([a-zA-Z][a-zA-Z0-9_:-]*)="([^"]*)"')
 
 
 class Tree(HTMLParser):
-    """Elements of a page in the order of their start tags. Pages of plain markup are cut at their tags at once, which gives the parser's events."""
+    """Elements of a page in the order of their start tags. Pages of plain markup are cut at their tags at once, which gives the parser's events.
 
-    def __init__(self, page: str | None):
+    Without `decode`, character references stay as they are written.
+    """
+
+    def __init__(self, page: str | None, decode: bool = True):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
         self.open: list[Element] = []
         self.pieces: list[str] = []
-        text = _OPEN_REFERENCE.sub("&amp;", page) if page and "&" in page else page or ""
+        text = page or ""
+        if "&" in text:
+            text = _OPEN_REFERENCE.sub("&amp;", text) if decode else text.replace("&", "&amp;")
         if not self._plain_markup(text):
             self.feed(text)
             self.close()
@@ -179,14 +184,14 @@ def _node_batch(trees: list[tuple[int, Tree]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["page_id", "node", "parent", "depth", "text", "own", "path"])
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row for each element of each page."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", decode: bool = True) -> DataFrame:
+    """One row for each element of each page; without `decode`, character references stay as they are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((page_id, Tree(page.as_py())))
+                held.append((page_id, Tree(page.as_py(), decode)))
                 n += len(held[-1][1].elements)
                 if n >= ROWS:
                     yield _node_batch(held)

@@ -126,6 +126,20 @@ def test_page_elements_of_each_row(spark, tmp_path):
     assert got == [(1, 1, "/y?a=1&copy=2", "a & b&amp", 0)] * 2 + [(2, 0, "", "", 0), (3, 0, "", "", 0)]
 
 
+def test_references_of_page_elements_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from peerlens.plans import page_queries, registry
+
+    titles = ["token = &quot;7&quot;", "a &amp;lt; b &lt;i&gt; &nbsp;c&#39;d", "&amp;amp;quot; &eacute;&lt"]
+    made = [(i, f'<html lang="e&amp;n"><head><title> {t}\n</title></head><body><p>x &quot;<a href="/y?a=1&amp;b={i}">z</a><a href="/&quot;">q</a></p></body></html>') for i, t in enumerate(titles)]
+    spark.createDataFrame(made, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = page_queries.page_elements(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(registry.ORACLES["page_elements"]).project(", ".join(found.columns)).fetchall())
+
+
 def test_listicle_pages_hold_a_bounded_number_of_cards(spark, tmp_path, monkeypatch):
     from peerlens.plans import page_queries
 
