@@ -73,6 +73,29 @@ def test_best_by_kinds_equals_scoring_all(spark, monkeypatch, others):
         assert got and all(r.own == 2 * r.company_id and r.q_team_size == str(r.query_id) for r in got)
 
 
+@pytest.mark.parametrize("others", [False, True])
+def test_best_with_texts_equals_scoring_all(spark, monkeypatch, others):
+    monkeypatch.setattr(retrieval, "BITS", 2)
+    monkeypatch.setattr(retrieval, "TOGETHER", 1)
+    rng = random.Random(13)
+    some, asking = list(companies(rng, 90)), list(queries(rng, 12))
+    alike = [(100 * n + r[0], r[1], None if rng.random() < 0.4 else " ".join(rng.choices(WORDS[: rng.choice([4, 24])], k=rng.choice([1, 3, 8]))), *r[3:]) for n in range(4) for r in some[:40]]
+    c = spark.createDataFrame(alike + [(1000 + r[0], *r[1:]) for r in some], C).drop("embedding")
+    q = spark.createDataFrame([(100 * n + r[0], *r[1:]) for n in range(2) for r in asking], Q).drop("embedding")
+    q = consult.coherence(consult.analyzed(q).drop("macros").join(q.select("query_id", "macros"), "query_id"))
+    corpus = consult.Corpus(c)
+    asked = consult.Asked(q, corpus)
+    every = asked.scored(corpus.blocks.crossJoin(asked.rows.select("query_id")).select("query_id", "block"))
+    want = scoring.ranked(every.where("company_id <> query_id") if others else every)
+    fresh = consult.Corpus(c)
+    for k in (1, 5, 40):
+        got = consult.best_with_texts(q, fresh, k, others).collect()
+        told = [(r.query_id, r.company_id, r["rank"], round(r.score, 6)) for r in got]
+        assert sorted(told) == sorted((r.query_id, r.company_id, r["rank"], round(r.score, 6)) for r in want.where(F.col("rank") <= k).collect())
+        assert any(d.name == "lexical" for r in got for d in r.dims)
+    assert not {"postings", "file"} & set(vars(fresh))  # no term of a query meets a block
+
+
 def test_bounds_of_matches_grow_with_kinds_only(spark, monkeypatch, tmp_path):
     from peerlens.plans import match_queries
 
