@@ -223,3 +223,6 @@ def test_score_dimensions_has_every_pair(spark):
     rows = analogs.companies(spark, "/root/testdata/sf0.001")
     found = match_queries.score_dimensions(spark, "/root/testdata/sf0.001")
     assert found.select("query_id", "company_id").distinct().count() == found.count() == rows.where(analogs.ASKED).count() * (rows.count() - 1)
+    # pairs arise behind the last shuffle and join, from lists of those that ask
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("Generate explode") < min(plan.find(x) for x in ("Join", "Repartition"))
