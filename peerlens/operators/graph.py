@@ -173,12 +173,12 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def write_node_link_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The graph as one JSON document with `nodes` and `edges`, each in order and one a line; of any size."""
-    def lines(df: DataFrame, first: str) -> DataFrame:
+    def line(df: DataFrame, first: str) -> Column:
         rest = [c for c in df.columns if c != first]
-        return df.select(*df.columns, F.to_json(F.struct(first, *rest), {"ignoreNullFields": "false"}).alias("value"))
+        return F.to_json(F.struct(first, *rest), {"ignoreNullFields": "false"})
 
     head = '{"directed": true, "multigraph": false, "nodes": [\n'
-    sections = [(head, lines(nodes, "id"), ["id"]), ('],\n"edges": [\n', lines(edges, "source"), ["source", "target", "relation"])]
+    sections = [(head, nodes, ["id"], line(nodes, "id")), ('],\n"edges": [\n', edges, ["source", "target", "relation"], line(edges, "source"))]
     write_document(nodes.sparkSession, sections, "]}\n", path, ",")
 
 
@@ -200,7 +200,7 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     n = F.concat(F.lit('<node id="'), _escaped(F.col("id")), F.lit('" label="'), _escaped(F.coalesce("name", "id")), F.lit('"><attvalues><attvalue for="0" value="'), _escaped(F.coalesce("type", F.lit(""))), F.lit('"/></attvalues></node>'))
     e = F.concat(F.lit('<edge source="'), _escaped(F.col("source")), F.lit('" target="'), _escaped(F.col("target")), F.lit('" label="'), _escaped(F.col("relation")), F.lit('"/>'))
     head = '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="type" type="string"/></attributes>\n<nodes>\n'
-    sections = [(head, nodes.select("id", n.alias("value")), ["id"]), ("</nodes>\n<edges>\n", edges.select("source", "target", "relation", e.alias("value")), ["source", "target", "relation"])]
+    sections = [(head, nodes.select("id", "type", "name"), ["id"], n), ("</nodes>\n<edges>\n", edges.select("source", "target", "relation"), ["source", "target", "relation"], e)]
     write_document(nodes.sparkSession, sections, "</edges></graph></gexf>\n", path)
 
 

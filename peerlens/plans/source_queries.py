@@ -272,17 +272,22 @@ WITH e AS (SELECT DISTINCT * FROM ({_SHOP})) SELECT format, kind, id, name FROM
   (SELECT 'node' AS kind, id, 'no. "' || id || '" <&>' AS name FROM (SELECT DISTINCT source AS id FROM e UNION SELECT DISTINCT target FROM e) UNION ALL SELECT 'edge', source, target FROM e)
 """)
 def graph_documents(spark, sf_dir):
-    """The graph of who bought what as one JSON and one GEXF document, each written in parallel, and read back."""
+    """The graph of who bought what as one JSON and one GEXF document, each written in parallel, and read back; one document is there at a time."""
     joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    edges = joined.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"), F.lit("BOUGHT").alias("relation")).distinct()
-    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().select("id", F.lit("thing").alias("type"), F.concat(F.lit('no. "'), "id", F.lit('" <&>')).alias("name"))
-    a, b = sinks.scratch(spark, "graph-json"), sinks.scratch(spark, "graph-gexf")
-    graph.write_node_link_document(nodes, edges, a)
-    graph.write_gexf(nodes, edges, b)
+    pairs = sinks.stored(joined.select("o_custkey", "l_partkey").distinct().sortWithinPartitions("o_custkey", "l_partkey"), "bought")  # sorted, they pack
+    edges = pairs.select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"), F.lit("BOUGHT").alias("relation"))
+    ids = sinks.stored(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "bought-nodes")
+    nodes = ids.select("id", F.lit("thing").alias("type"), F.concat(F.lit('no. "'), "id", F.lit('" <&>')).alias("name"))
+    as_json = lambda path: graph.read_node_link_lines(spark, path, "id string, type string, name string", "source string, target string, relation string")
     out = None
-    for form, (n, e) in (("json", graph.read_node_link_lines(spark, a, "id string, type string, name string", "source string, target string, relation string")), ("gexf", graph.read_gexf_lines(spark, b))):
-        both = n.select(F.lit(form).alias("format"), F.lit("node").alias("kind"), "id", "name").unionByName(e.select(F.lit(form).alias("format"), F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("target").alias("name")))
-        out = both if out is None else out.unionByName(both)
+    for form, write, read in (("json", graph.write_node_link_document, as_json), ("gexf", graph.write_gexf, lambda path: graph.read_gexf_lines(spark, path))):
+        path = sinks.scratch(spark, f"graph-{form}")
+        write(nodes, edges, path)
+        n, e = read(path)
+        both = n.select(F.lit("node").alias("kind"), "id", "name").unionByName(e.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("target").alias("name")))
+        found = sinks.stored(both, f"read-{form}").select(F.lit(form).alias("format"), "*")
+        sinks.remove(spark, path)  # its rows are stored, packed
+        out = found if out is None else out.unionByName(found)
     return out
 
 

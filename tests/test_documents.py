@@ -45,6 +45,37 @@ def test_one_gexf_document(spark, tmp_path, n):
     assert a.count() == n and sorted(b.collect()) == sorted(edges.collect())
 
 
+def test_a_document_is_never_there_twice(spark, tmp_path, monkeypatch):
+    nodes, edges = make(spark, 300)
+    sizes, whole = [], sinks.append_and_remove
+
+    def size():
+        return sum(p.stat().st_size for p in (tmp_path / "g").rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+    class Watched:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            sizes.append(size())
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(sinks, "append_and_remove", lambda spark, fs, *rest: whole(spark, Watched(fs), *rest))
+    graph.write_node_link_document(nodes, edges, str(tmp_path / "g"))
+    largest = max(p.stat().st_size for p in (tmp_path / "g").iterdir())
+    assert len(sizes) > 10 and max(sizes) < 1.7 * largest
+
+
+def test_graph_documents_leave_no_document(spark):
+    from pathlib import Path
+
+    from peerlens.plans import source_queries
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    found = source_queries.graph_documents(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and not list(shared.glob("graph-*/document"))
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()))
 
